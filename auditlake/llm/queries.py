@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.llm import bpe, embedding_dedup, exact_dedup, mixing, simhash
+from auditlake.llm import bpe, embedding_dedup, exact_dedup, mixing, simhash, substring_dedup
 from auditlake.llm.common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -26,6 +26,10 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_byte_bpe, op6_simhash_dedup, op8_exact_dedup, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_byte_bpe, op6_simhash_dedup, op7_substring_dedup, op8_exact_dedup, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
