@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.llm import bpe, embedding_dedup, exact_dedup, mixing, simhash, substring_dedup
+from auditlake.llm import bpe, embedding_dedup, exact_dedup, licenses, mixing, quality, simhash, substring_dedup
 from auditlake.llm.common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -22,6 +22,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
 
@@ -34,13 +38,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = mixing.allocation(table(spark, sf_dir, "documents"))
     return x.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_byte_bpe, op6_simhash_dedup, op7_substring_dedup, op8_exact_dedup, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_byte_bpe, op4_license_scan, op6_simhash_dedup, op7_substring_dedup, op8_exact_dedup, op9_quality, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
