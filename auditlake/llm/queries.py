@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.llm import bpe, embedding_dedup, exact_dedup, licenses, mixing, quality, simhash, substring_dedup
+from auditlake.llm import bpe, embedding_dedup, exact_dedup, html_text, licenses, mixing, pii, quality, simhash, substring_dedup
 from auditlake.llm.common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -22,10 +22,18 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
 
@@ -48,7 +56,19 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_byte_bpe, op4_license_scan, op6_simhash_dedup, op7_substring_dedup, op8_exact_dedup, op9_quality, op10_source_mixing)}
+    found = (
+        op1_embedding_dedup,
+        op2_byte_bpe,
+        op3_html_text,
+        op4_license_scan,
+        op5_pii,
+        op6_simhash_dedup,
+        op7_substring_dedup,
+        op8_exact_dedup,
+        op9_quality,
+        op10_source_mixing,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
