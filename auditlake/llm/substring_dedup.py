@@ -8,8 +8,9 @@ full windows around it, and these are compared by 96 bits of hash of all their w
 that starts in a document with a smaller doc_id too has its words removed.
 
 Scale: nothing pairs documents. Anchors and windows meet by hash, each needs the smallest doc_id
-of its hash only, so a passage in n documents makes n rows a window, not n * n. Texts are
-shuffled once by doc_id (both joins reuse the exchange); anchors are about a fifth of the words.
+of its hash only, so a passage in n documents makes n rows a window, not n * n, and they are
+read as a stream. Texts are shuffled once by doc_id (both joins reuse the exchange); anchors are
+about a fifth of the words.
 
 Defined cases: a null or empty text has no words; texts shorter than a window lose nothing;
 repeats inside one document stay; a row with null doc_id neither loses words nor makes others
@@ -25,10 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import bounded_batches
+from auditlake.llm.packed import exchanged, later, shared
 
 WINDOW = 50
 #: A difference set: each number from 1 to 30 is one difference of two members modulo 31.
@@ -56,47 +58,33 @@ class Words:
 def _anchors(window: int, period: int, cover: tuple[int, ...]):
     length = window - period + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, places, hashes = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = Words(text.as_py() or "")
-                if words.n < window:
-                    continue
+    def find(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            words = Words(text.as_py() or "")
+            if words.n >= window:
                 at = (np.arange(0, words.n, period)[:, None] + np.array(cover)).reshape(-1)
                 at = at[at <= words.n - length]
-                docs.append(np.full(len(at), doc, np.int64))
-                places.append(at.astype(np.int32))
-                hashes.append(words.hashes(at, length, 0))
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(places))], ["h", "doc_id", "place"])
+                yield words.hashes(at, length, 0), np.zeros(len(at), np.uint32), np.full(len(at), doc, np.int64), at.astype(np.int32)
 
-    return run
+    return find
 
 
 def _windows(window: int, period: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, places, one, two = [], [], [], []
-            for doc, text, shared in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                words = Words(text.as_py() or "")
-                if words.n < window:
-                    continue
-                at = np.array(shared.as_py(), np.int64)
-                at = at[at <= words.n]
-                # windows that contain the anchor start at most period - 1 words before it
-                opens = np.zeros(words.n + 2, np.int64)
-                np.add.at(opens, np.maximum(at - period + 1, 0), 1)
-                np.add.at(opens, at + 1, -1)
-                at = np.flatnonzero(np.cumsum(opens)[: words.n - window + 1] > 0)
-                docs.append(np.full(len(at), doc, np.int64))
-                places.append(at.astype(np.int32))
-                one.append(words.hashes(at, window, _SEEDS[0]))
-                two.append(words.hashes(at, window, _SEEDS[1]).astype(np.uint32))
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(one).view(np.int64)), pa.array(np.concatenate(two).view(np.int32)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(places))], ["h", "g", "doc_id", "place"])
-
-    return run
+    def find(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        for doc, text, shared in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            words = Words(text.as_py() or "")
+            if words.n < window:
+                continue
+            at = np.array(shared.as_py(), np.int64)
+            at = at[at <= words.n]
+            # windows that contain the anchor start at most period - 1 words before it
+            opens = np.zeros(words.n + 2, np.int64)
+            np.add.at(opens, np.maximum(at - period + 1, 0), 1)
+            np.add.at(opens, at + 1, -1)
+            at = np.flatnonzero(np.cumsum(opens)[: words.n - window + 1] > 0)
+            yield words.hashes(at, window, _SEEDS[0]), words.hashes(at, window, _SEEDS[1]).astype(np.uint32), np.full(len(at), doc, np.int64), at.astype(np.int32)
+
+    return find
 
 
 def _cut(window: int, keep_text: bool):
@@ -137,13 +125,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     nameless = texts.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<int>").alias("places"))
     texts = texts.filter("doc_id is not null")  # in both joins, so that they read one exchange of the texts
-    anchors = texts.mapInArrow(_anchors(window, period, cover), "h long, doc_id long, place int")
-    by_hash = Window.partitionBy("h")
-    shared = anchors.withColumn("least", F.min("doc_id").over(by_hash)).withColumn("most", F.max("doc_id").over(by_hash)).filter("least < most")
-    shared = shared.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    windows = texts.join(shared, "doc_id").select("doc_id", "text", "places").mapInArrow(_windows(window, period), "h long, g int, doc_id long, place int")
-    repeated = windows.withColumn("least", F.min("doc_id").over(Window.partitionBy("h", "g"))).filter("least < doc_id")
-    repeated = repeated.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    # buckets of the exchange: enough to spread evenly over the partitions
+    bits = max(10, (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+    anchors = exchanged(texts, _anchors(window, period, cover), bits)
+    places = anchors.mapInArrow(shared, "doc_id long, place int").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    windows = exchanged(texts.join(places, "doc_id").select("doc_id", "text", "places"), _windows(window, period), bits)
+    repeated = windows.mapInArrow(later, "doc_id long, place int").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     columns = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
-    marked = texts.join(repeated, "doc_id", "left").select("doc_id", "text", "places").union(nameless)
-    return marked.mapInArrow(_cut(window, keep_text), columns)
+    cut = texts.join(repeated, "doc_id", "left").select("doc_id", "text", "places").mapInArrow(_cut(window, keep_text), columns)
+    return cut.union(nameless.mapInArrow(_cut(window, keep_text), columns))
