@@ -77,6 +77,25 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"\n".join(segments)[:DICTIONARY_BYTES]
 
 
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
+    """Weights of a logistic curve: Newton's method, each step halved until it lowers the loss."""
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, np.where(y > 0, -z, z)).sum() + ridge * w @ w / 2)
+
+    w, now = np.zeros(x.shape[1]), loss(np.zeros(x.shape[1]))
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+        while (after := loss(w - step)) > now and np.abs(step).max() > 1e-12:
+            step = step / 2
+        if now - after < 1e-9:
+            break
+        w, now = w - step, after
+    return tuple(map(float, w))
+
+
 def fit_texts(good: list[str], bad: list[str]) -> Model:
     """A model from labelled texts, given in an order that has nothing to do with them."""
     if not good or not bad:
@@ -86,14 +105,7 @@ def fit_texts(good: list[str], bad: list[str]) -> Model:
     rest = [(t, 1) for t in good[cut[0] :] or good] + [(t, 0) for t in bad[cut[1] :] or bad]
     scorer = model.scorer()
     x, y = np.array([scorer.features(t) for t, _ in rest]), np.array([q for _, q in rest], float)
-    w = np.zeros(3)
-    for _ in range(60):  # Newton's method, slightly regularised
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(3), x.T @ (p - y) + 1e-3 * w)
-        w -= step
-        if np.abs(step).max() < 1e-9:
-            break
-    model.weights = tuple(map(float, w))
+    model.weights = _logistic(x, y)
     return model
 
 
