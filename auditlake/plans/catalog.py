@@ -96,7 +96,7 @@ def _projects(s: SparkSession, d: str) -> DataFrame:
 
 def _crawls(s: SparkSession, d: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "running").otherwise("failed")
-    return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("project_id"), status.alias("status"), (F.round("o_totalprice").cast("long") % 1000 / 10.0).alias("score"))
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("project_id"), status.alias("status"), (F.floor("o_totalprice") % 1000 / 10.0).alias("score"))
 
 
 def page_titles(s, d):

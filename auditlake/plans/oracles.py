@@ -216,7 +216,7 @@ SQL = {
     "page_detail": f"WITH {_ISSUES}, {_EDGES}, {_RESOURCES} SELECT page_id, url, (SELECT count(*) FROM edges WHERE edges.p = crawl.p) AS n_links, (SELECT count(*) FROM res WHERE res.page_url = crawl.url) AS n_resources, (SELECT count(*) FROM issues WHERE issues.page_id = crawl.page_id) AS n_issues FROM crawl",
     "crawl_compare": f"WITH {_ISSUES}, a AS ({_crawls_of('0')} UNION ALL SELECT * FROM issues WHERE page_id IS NULL AND id % 2 = 0), b AS ({_crawls_of('1')} UNION ALL SELECT * FROM issues WHERE page_id IS NULL AND id % 2 = 1), x AS (SELECT rule_id, CASE WHEN page_id IS NOT NULL THEN page_url END AS page_url, severity, payload FROM a QUALIFY row_number() OVER (PARTITION BY rule_id, CASE WHEN page_id IS NOT NULL THEN page_url END ORDER BY id) = 1), y AS (SELECT rule_id, CASE WHEN page_id IS NOT NULL THEN page_url END AS page_url, severity, payload FROM b QUALIFY row_number() OVER (PARTITION BY rule_id, CASE WHEN page_id IS NOT NULL THEN page_url END ORDER BY id) = 1) "
     "SELECT CASE WHEN x.rule_id IS NULL THEN 'new' WHEN y.rule_id IS NULL THEN 'resolved' ELSE 'persistent' END AS bucket, coalesce(y.rule_id, x.rule_id) AS rule_id, CASE WHEN y.rule_id IS NULL THEN x.page_url ELSE y.page_url END AS page_url, coalesce(y.severity, x.severity) AS severity, coalesce(y.payload, x.payload) AS payload FROM x FULL JOIN y ON x.rule_id = y.rule_id AND x.page_url IS NOT DISTINCT FROM y.page_url",
-    "dashboard_latest_two": "WITH c AS (SELECT o_custkey, o_orderkey, (o_totalprice::BIGINT % 1000) / 10.0::DOUBLE AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders WHERE o_orderstatus = 'F'), two AS (SELECT o_custkey, max(CASE WHEN n = 1 THEN o_orderkey END) AS latest_id, max(CASE WHEN n = 1 THEN score END) AS latest_score, max(CASE WHEN n = 2 THEN o_orderkey END) AS previous_id, max(CASE WHEN n = 2 THEN score END) AS previous_score FROM c WHERE n <= 2 GROUP BY o_custkey) SELECT c_custkey AS project_id, latest_id, latest_score, previous_id, previous_score, floor((latest_score - previous_score) * 10 + 0.5::DOUBLE) / 10 AS delta FROM customer LEFT JOIN two ON c_custkey = o_custkey",
+    "dashboard_latest_two": "WITH c AS (SELECT o_custkey, o_orderkey, (floor(o_totalprice)::BIGINT % 1000) / 10.0::DOUBLE AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders WHERE o_orderstatus = 'F'), two AS (SELECT o_custkey, max(CASE WHEN n = 1 THEN o_orderkey END) AS latest_id, max(CASE WHEN n = 1 THEN score END) AS latest_score, max(CASE WHEN n = 2 THEN o_orderkey END) AS previous_id, max(CASE WHEN n = 2 THEN score END) AS previous_score FROM c WHERE n <= 2 GROUP BY o_custkey) SELECT c_custkey AS project_id, latest_id, latest_score, previous_id, previous_score, floor((latest_score - previous_score) * 10 + 0.5::DOUBLE) / 10 AS delta FROM customer LEFT JOIN two ON c_custkey = o_custkey",
     "scheduler_due": "WITH p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 <> 0 THEN 60 * (c_custkey % 5 + 1) END AS every, CASE WHEN c_custkey % 7 <> 0 THEN TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (c_custkey % 48 - 24)::INT END AS next FROM customer) SELECT id FROM p WHERE every IS NOT NULL AND next <= TIMESTAMP '2024-01-01'",
     "scheduler_tick": "WITH p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 <> 0 THEN 60 * (c_custkey % 5 + 1) END AS every, CASE WHEN c_custkey % 7 <> 0 THEN TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (c_custkey % 48 - 24)::INT END AS next FROM customer), d AS (SELECT id, every, id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AS busy FROM p WHERE every IS NOT NULL AND next <= TIMESTAMP '2024-01-01') SELECT id AS project_id, CASE WHEN busy THEN 'skip' ELSE 'enqueue' END AS action, strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * every::INT, '%Y-%m-%d %H:%M:%S') AS next_at FROM d",
     "scheduler_tick_counts": "WITH p AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 48 <= 24), d AS (SELECT id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AS busy FROM p) SELECT count(*) FILTER (NOT busy) AS enqueued, count(*) FILTER (busy) AS skipped_in_flight, count(*) AS advanced FROM d",

@@ -15,19 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _when(divisor: int, rest: int, yes: Column, no: Column) -> Column:
-    return F.when(F.col("page_id") % divisor == rest, yes).otherwise(no)
+def _swap(html: Column, divisor: int, rest: int, old: str, new: str) -> Column:
+    """html with old replaced by new where page_id leaves that rest; elsewhere the empty text is looked for, which changes nothing."""
+    return F.replace(html, F.when(F.col("page_id") % divisor == rest, old).otherwise(""), F.lit(new))
 
 
 def furnished_html() -> Column:
     """The page with tags added or taken by page_id, so that every rule has pages to find."""
     p, text = F.col("page_id"), lambda s: F.lit(s)
     h = F.col("html")
-    h = _when(19, 0, F.replace(h, text("title>"), text("xtitle>")), h)
-    h = _when(18, 1, F.replace(h, text("<title>"), text("<title>A title that goes on for a while: ")), h)
-    h = _when(17, 0, F.replace(h, text("h1>"), text("h6>")), h)
-    h = _when(12, 0, F.replace(h, text("<html lang="), text("<html data-lang=")), h)
-    h = _when(14, 0, F.replace(h, text("<meta charset="), text("<meta data-charset=")), h)
+    h = _swap(h, 19, 0, "title>", "xtitle>")
+    h = _swap(h, 18, 1, "<title>", "<title>A title that goes on for a while: ")
+    h = _swap(h, 17, 0, "h1>", "h6>")
+    h = _swap(h, 12, 0, "<html lang=", "<html data-lang=")
+    h = _swap(h, 14, 0, "<meta charset=", "<meta data-charset=")
     head = F.concat(
         F.when(p % 5 == 1, F.concat(text('<meta name="description" content="Short '), (p % 50).cast("string"), text('">')))
         .when(p % 5 == 2, F.concat(text('<meta name="Description" content="'), F.repeat(text("Long words here "), 12), text('">')))
@@ -52,7 +53,7 @@ def furnished_html() -> Column:
     )
     h = F.replace(h, text("</head>"), F.concat(head, text("</head>")))
     h = F.replace(h, text("<article>"), F.concat(text("<article>"), body))
-    return _when(21, 0, F.replace(h, text("<a "), text("<i ")), h)
+    return _swap(h, 21, 0, "<a ", "<i ")
 
 
 def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,13 +38,15 @@ def crawl_order(edges: DataFrame, start: str, max_pages: int = MAX_PAGES, max_de
         if reached >= max_pages:
             break
         first = links.join(frontier.select(F.col("url").alias("source_url"), "ord"), "source_url").groupBy(F.col("target_url").alias("url")).agg(F.min(F.struct("ord", "position", "source_url")).alias("by"))
-        new = first.join(seen.select("url"), "url", "left_anti").orderBy("by", "url").limit(max_pages - reached)
-        # the order of a level is bounded by the budget of pages
+        new = settled(first.join(seen.select("url"), "url", "left_anti"))
+        n, room = new.count(), max_pages - reached
+        new = new.orderBy("by", "url")
+        if n > room:
+            new = new.limit(room)
         found = new.select("url", F.lit(depth).alias("depth"), F.col("by.source_url").alias("discovered_from"), (F.monotonically_increasing_id() + reached).alias("ord"))
         frontier = settled(found)
-        n = frontier.count()
         if not n:
             break
-        reached += n
+        reached += min(n, room)
         seen = seen.union(frontier)
     return seen.select("url", "depth", "discovered_from")
