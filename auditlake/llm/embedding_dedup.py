@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ def buckets(x: np.ndarray, labels: np.ndarray, k: int, tables: int = TABLES, see
                 at = size.argmax(axis=1)
                 vertex[:, j, rank] = at * 2 + (y[row, at] < 0)
                 size[row, at] = -1
-        start = _fold(labels.astype(np.int64).view(np.uint64), (dim << 20) + t + 1)
+        start = _fold(_fold(np.full(n, 1, np.uint64), labels.astype(np.int64).view(np.uint64)), (dim << 20) + t + 1)
 
         def key(swap: int) -> np.ndarray:
             code = start
@@ -156,16 +157,21 @@ def _verify(k: int, tables: int, seed: int, cosine: float, block: int = 512):
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for start, end in zip(*bounds(key)):
                 part = runs.slice(start, end - start)
-                n = end - start
+                # keys are hashes: vectors of another length may fall into a bucket, and are left to theirs
+                lengths = pc.list_value_length(part.column(7))
+                part = part.filter(pc.equal(lengths, pc.mode(lengths)[0]["mode"]))
+                n = part.num_rows
                 own = part.column(1).to_numpy().view(np.uint64)[0]  # the bucket, which a split bucket's key isn't
-                ids, home, weight, labels = (part.column(c).to_numpy() for c in (2, 3, 4, 5))
-                x = _matrix(part.column(6))
+                ids, home, chunk, weight, labels = (part.column(c).to_numpy() for c in (2, 3, 4, 5, 6))
+                x = _matrix(part.column(7))
                 pairs = []
                 for a in range(0, n, block):
                     near = x[a : a + block] @ x.T >= cosine
                     i, j = np.nonzero(near)
                     i += a
-                    fit = (i < j) & (home[i] | home[j])
+                    fit = (i < j) & (home[i] | home[j]) & (labels[i] == labels[j])
+                    # in a pair of chunks, only what lies in different ones: either has a bucket of its own
+                    fit &= (chunk[i] != chunk[j]) | (chunk[i] < 0)
                     if fit.any():
                         pairs.append((i[fit], j[fit]))
                 if not pairs:
@@ -204,8 +210,8 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
         n, widest = classes.agg(F.count(F.lit(1)), F.max("dim")).first()
         k = max(2, math.ceil(math.log(max(n, 1)) / math.log(2 * max(widest or 2, 2)) - 0.5))
     hashed = classes.select("class", "label", "embedding", "dim").mapInArrow(_hash(k, tables, seed), "key long, class long, home boolean")
-    met = bucketed(hashed.withColumn("bucket", F.col("key")), "class", large, keep=lambda w: F.max("home").over(w))
-    met = met.join(classes.select("class", "weight", "label", "embedding"), "class").select("key", "bucket", "class", "home", "weight", "label", "embedding")
+    met = bucketed(hashed.withColumn("bucket", F.col("key")), "class", large, keep=lambda w: F.max("home").over(w), chunk="chunk")
+    met = met.join(classes.select("class", "weight", "label", "embedding"), "class").select("key", "bucket", "class", "home", "chunk", "weight", "label", "embedding")
     found = materialize(dealt(met).mapInArrow(_verify(k, tables, seed, cosine), "class long, links long, root long"), "found")
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("class").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "class")

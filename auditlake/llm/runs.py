@@ -34,13 +34,13 @@ def bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.r_[starts[1:], len(key)]
 
 
-def bucketed(rows: DataFrame, member: str, large: int, keep=None) -> DataFrame:
+def bucketed(rows: DataFrame, member: str, large: int, keep=None, chunk: str | None = None) -> DataFrame:
     """Rows (key, ...) without buckets of one row, large buckets split; ``dealt`` brings them to tasks.
 
     A bucket of over ``large`` rows is cut into chunks by a hash of ``member``, and each pair of
     chunks is a bucket of its own, so that any two members still meet in some bucket, and no task
     gets more than ``large`` rows of one bucket. keep: what else a bucket needs, from the window
-    over its rows.
+    over its rows. chunk: name of a column that tells the chunks apart.
     """
     w = Window.partitionBy("key")
     columns = rows.columns
@@ -48,10 +48,12 @@ def bucketed(rows: DataFrame, member: str, large: int, keep=None) -> DataFrame:
     x = x.filter((F.col("__n") > 1) & F.col("__keep"))
     chunks = F.ceil(F.col("__n") * 2 / large).cast("int")
     mine = F.pmod(F.xxhash64(F.lit("chunk"), member), chunks).cast("int")
-    unit = lambda j: F.xxhash64(F.col("key"), F.least("__c", j), F.greatest("__c", j))
-    units = F.when(F.col("__n") <= large, F.array("key")).otherwise(F.transform(F.sequence(F.lit(0), chunks - 1), unit))
-    x = x.withColumn("__c", mine).withColumn("key", F.explode(units))
-    return x.select(*columns)
+    # the unit of a chunk with itself has chunk -1: only there do members of one chunk count
+    unit = lambda j: F.struct(F.xxhash64(F.col("key"), F.least("__c", j), F.greatest("__c", j)).alias("key"), F.when(F.col("__c") == j, -1).otherwise(F.col("__c")).alias("chunk"))
+    whole = F.array(F.struct(F.col("key").alias("key"), F.lit(-1).alias("chunk")))
+    units = F.when(F.col("__n") <= large, whole).otherwise(F.transform(F.sequence(F.lit(0), chunks - 1), unit))
+    x = x.withColumn("__c", mine).withColumn("__u", F.explode(units))
+    return x.select(F.col("__u.key").alias("key"), *[c for c in columns if c != "key"], *([F.col("__u.chunk").alias(chunk)] if chunk else []))
 
 
 def dealt(rows: DataFrame) -> DataFrame:
