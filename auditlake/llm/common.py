@@ -62,3 +62,8 @@ def discard(df: DataFrame) -> None:
 
 def no_nulls(text: str = "text"):
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
+
+
+def own_columns(df: DataFrame) -> list:
+    """The columns by name, also those with dots or back quotes in theirs."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import SPACE, materialize, no_nulls
+from auditlake.llm.common import SPACE, materialize, no_nulls, own_columns
 
 #: Quotient ranges; a power of two, at most 2**16.
 BLOCKS = 1024
@@ -149,4 +149,4 @@ def filter_exact(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     x = docs.withColumn("__mine", F.sha2(normalized().cast("binary"), 256))
     x = x.join(groups, x["__mine"] == groups["__sha"], "left")
     stays = F.col("__sha").isNull() | docs["doc_id"].eqNullSafe(F.col("__keep"))
-    return x.filter(stays).select(*[docs[c] for c in docs.columns])
+    return x.filter(stays).select(*own_columns(docs))

@@ -59,29 +59,33 @@ class _Tag:
         self.name, self.furniture = name, furniture
 
 
-def events(page: str) -> Iterator[tuple[str, str, bool]]:
-    """(kind, text, furniture): kind is 'word' for text, else the tag; furniture tells whether it stands in page furniture."""
+def events(page: str) -> Iterator[tuple[str, str, int]]:
+    """(kind, text, furniture): kind is 'word' or in links 'link' for text, else the tag with its slash; furniture is 0 outside page furniture, 1 in it, 2 in such inside an article."""
     stack: list[_Tag] = []
     at, n = 0, len(page)
     depth = 0  # of furniture
     sections = 0  # open articles and mains: their own headers are no furniture
+
+    def inside() -> int:
+        return (1 + (sections > 0)) if depth else 0
+
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
             lt = n
         if lt > at:
-            yield "word", page[at:lt], depth > 0
+            yield "link" if any(t.name == "a" for t in stack[-3:]) else "word", page[at:lt], inside()
             at = lt
             continue
         m = _PIECE.match(page, at)
         if not m:
-            yield "word", "<", depth > 0
+            yield "word", "<", inside()
             at += 1
             continue
         at = m.end()
         if m.group(2) is None:
             if page.startswith("<![CDATA[", m.start()):
-                yield "word", page[m.start() + 9 : at].removesuffix("]]>"), depth > 0
+                yield "word", page[m.start() + 9 : at].removesuffix("]]>"), inside()
             continue
         name, attributes = m.group(2).lower(), m.group(3)
         if m.group(1):
@@ -92,30 +96,34 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
                     depth -= gone.furniture
                     sections -= gone.name in ("article", "main")
                 del stack[where:]
-            yield "/" + name, "", depth > 0
+            yield "/" + name, "", inside()
             continue
         names = " ".join(x for g in _NAMES.findall(attributes) for x in g).lower() if "=" in attributes else ""
         furniture = name in FURNITURE or name == "header" and not sections or bool(names and name not in ("body", "html", "article", "main") and MARKS.search(names)) or bool(attributes and _HIDDEN.search(attributes))
         if name in _END:
             end = _END[name].search(page, at)
             at = end.end() if end else n
-            yield name, "", depth > 0
+            yield f"<{name}", "", inside()
             continue
         if name == "body":  # the head ends here, closed or not
             for gone in stack:
                 depth -= gone.furniture
             stack.clear()
-        yield name, "", depth > 0 or furniture
+        yield f"<{name}", "", inside() or (furniture and 1 + (sections > 0))
         if name not in VOID and not attributes.rstrip().endswith("/"):
             stack.append(_Tag(name, furniture))
             depth += furniture
             sections += name in ("article", "main")
 
 
-def _kind(kind: str, furniture: bool) -> str:
-    if kind == "word":
-        return "furniture word" if furniture else "word"
-    return "furniture tag" if furniture else "inline tag" if kind.lstrip("/") in INLINE else "block tag" if kind.lstrip("/") in _CONTENT else "other tag"
+_TEXT = ("word", "link")
+
+
+def _kind(kind: str, furniture: int) -> str:
+    if kind in _TEXT:
+        return "furniture word" if furniture else kind
+    name = kind.lstrip("</")
+    return "furniture tag" if furniture else "inline tag" if name in INLINE else "block tag" if name in _CONTENT else "other tag"
 
 
 #: Block tags of running text.
@@ -137,7 +145,7 @@ def labelled_pages(n: int = 200, seed: int = 5) -> list[tuple[str, list[tuple[st
         ]
         parts += [(r.choice(furniture)(), False) for _ in range(r.randint(1, 4))]
         opening, closing = r.choice((("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ("<div><div>", "</div></div>")))
-        body = f"{opening}<h1>{words(3, 9)}</h1>" + "".join(f"<p>{words(8, 90)} <b>{words(1, 5)}</b> {words(2, 30)}</p>" + ("<br>" if r.random() < 0.2 else "") for _ in range(r.randint(1, 12))) + closing
+        body = f"{opening}<h1>{words(3, 9)}</h1>" + "".join(f"<p>{words(8, 90)} <b>{words(1, 5)}</b> {words(2, 30)}" + (f' <a href="/x">{words(1, 3)}</a>' if r.random() < 0.2 else "") + "</p>" + ("<br>" if r.random() < 0.2 else "") for _ in range(r.randint(1, 12))) + closing
         parts.append((body, True))
         parts += [(r.choice([*furniture, lambda: f'<div class="comments">{words(10, 40)}</div>'])(), False) for _ in range(r.randint(0, 3))]
         parts.append((f"<footer>{words(3, 15)}</footer></body></html>", False))
@@ -162,17 +170,17 @@ def learn(pages: list[tuple[str, list[tuple[str, bool]]]]) -> dict[str, float]:
             place = max(place, where)
             while place >= end:
                 end, main = next(stretch, (math.inf, False))
-            (inside if main else outside)[_kind(kind, furniture)] += max(1, len(text.split())) if kind == "word" else 1
+            (inside if main else outside)[_kind(kind, furniture)] += max(1, len(text.split())) if kind in _TEXT else 1
             place += len(text)
             if not text:
                 nearest = page.find(">", place)
                 place = nearest + 1 if nearest >= 0 else place
-    kinds = {"word", "furniture word", "furniture tag", "inline tag", "block tag", "other tag"}
+    kinds = {"word", "link", "furniture word", "furniture tag", "inline tag", "block tag", "other tag"}
     a, b = (sum(x.values()) + len(kinds) for x in (inside, outside))
     scores = {k: math.log((inside[k] + 1) / a) - math.log((outside[k] + 1) / b) for k in kinds}
     # the method's signs: running words for, tags and furniture against
     scores["word"] = max(scores["word"], 0.1)
-    for k in ("inline tag", "block tag", "other tag"):
+    for k in ("link", "inline tag", "block tag", "other tag"):
         scores[k] = min(scores[k], -0.1)
     for k in ("furniture word", "furniture tag"):
         scores[k] = min(scores[k], -1.0)
@@ -194,12 +202,12 @@ def extract(page: str, scores: dict[str, float] | None = None) -> str:
     total, start, owed = 0.0, 0, FURNITURE_FLOOR
     for i, (kind, text, furniture) in enumerate(found):
         s = scores[_kind(kind, furniture)]
-        if kind == "word":
+        if kind in _TEXT:
             s *= len(text.split())
-        if furniture:  # its text is left out anyway; a long advert must not cut an article in two
-            s = max(s, owed)
+        if furniture:  # its text is left out anyway; an advert must not cut an article in two
+            s = max(s, owed) if furniture == 1 else 0.0
             owed -= s
-        elif kind == "word" and s:
+        elif kind in _TEXT and s:
             owed = FURNITURE_FLOOR
         total += s
         if total <= 0:
@@ -208,8 +216,8 @@ def extract(page: str, scores: dict[str, float] | None = None) -> str:
             best, best_from, best_to = total, start, i + 1
     out = []
     for kind, text, furniture in found[best_from:best_to]:
-        if kind != "word":
-            if kind.lstrip("/") not in INLINE:
+        if kind not in _TEXT:
+            if kind.lstrip("</") not in INLINE:
                 out.append(" ")
         elif not furniture:
             out.append(text)

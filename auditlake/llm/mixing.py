@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.llm.common import own_columns
+
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_EPOCHS = 2
@@ -92,4 +94,4 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     # a name that can't clash with columns of docs
     times = allocation(docs, **options).filter("times > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("times").cast("int").alias("__times"))
     kept = docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]), "inner")
-    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])
+    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*own_columns(docs))

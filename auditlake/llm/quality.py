@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import bounded_batches
+from auditlake.llm.common import bounded_batches, own_columns
 
 #: Labelled rows of each class that are fitted on, at most, and the length of their texts.
 SAMPLE = 1500
@@ -154,4 +154,4 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **
 def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The rows of docs that are predicted good, with their columns."""
     x = _scored(docs, fit(docs, labels, **options), threshold, ("__score", "__predicted"))
-    return x.filter("__predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return x.filter("__predicted = 1").select(*own_columns(docs))
