@@ -39,7 +39,7 @@ def _spelling_results(s: SparkSession, d: str) -> DataFrame:
 
 def _group(rule_id: str) -> Query:
     """The findings of one rule."""
-    if rule_id in {r for r, *_ in tech._page_rules()}:
+    if rule_id in oracles.PAGE_RULES:
         f: Query = lambda s, d: tech.page_findings(crawl(s, d))
     elif rule_id.endswith("title.duplicate") or rule_id.endswith("description.duplicate"):
         f = lambda s, d: tech.duplicate_findings(crawl(s, d))

@@ -70,7 +70,7 @@ _PAGE = "fetch_error IS NULL AND is_html"
 _GAP = "list_filter(list_zip(levels[1:len(levels) - 1], levels[2:len(levels)]), lambda x: x[2] - x[1] > 1)[1]"
 _ROBOTS = "list_sort(list_distinct(list_transform(string_split(robots, ','), lambda x: lower(trim(x)))))"
 #: rule_id: (condition, payload) over crawl.
-_PAGE_RULES = {
+PAGE_RULES = {
     "tech.fetch.failed": ("fetch_error IS NOT NULL", "{'error': fetch_error}"),
     "tech.fetch.http_error": ("fetch_error IS NULL AND status_code >= 400", "{'status_code': status_code}"),
     "url.too_long": ("fetch_error IS NULL AND length(url) > 115", "{'length': length(url), 'max': 115}"),
@@ -104,7 +104,7 @@ def _row(rule_id: str, url: str, payload: str | None, rest: str) -> str:
     return f"SELECT {url} AS page_url, '{rule_id}' AS rule_id, '{r.category}' AS category, '{r.severity}' AS severity, {data} AS payload {rest}"
 
 
-PAGE_FINDINGS = " UNION ALL ".join(_row(i, "url", data, f"FROM crawl WHERE {when}") for i, (when, data) in _PAGE_RULES.items())
+PAGE_FINDINGS = " UNION ALL ".join(_row(i, "url", data, f"FROM crawl WHERE {when}") for i, (when, data) in PAGE_RULES.items())
 
 
 def _shared(column: str, shown: str, name: str, rule_id: str) -> str:
@@ -114,7 +114,7 @@ def _shared(column: str, shown: str, name: str, rule_id: str) -> str:
 
 
 def page_rule(rule_id: str) -> str:
-    when, data = _PAGE_RULES[rule_id]
+    when, data = PAGE_RULES[rule_id]
     return f"WITH {_CRAWL} " + _row(rule_id, "url", data, f"FROM crawl WHERE {when}")
 
 
@@ -177,7 +177,7 @@ j AS (SELECT a, b, common / (x.n + y.n - common) AS similarity FROM o JOIN c x O
     + _row("content.spelling.errors", "url", "{'count': n, 'min_errors': 5, 'top_rules': ['R0', 'R1', 'R2'], 'examples': list_transform(range(5), lambda i: {'rule_id': 'R' || (i % 3), 'message': 'm' || i, 'excerpt': 'e' || doc_id, 'suggestions': ['a', 'b', 'c']})}", "FROM s WHERE n >= 5"),
 }
 
-RULE_SQL = {i: page_rule(i) for i in _PAGE_RULES} | _PAGE_SETS | _CONTENT
+RULE_SQL = {i: page_rule(i) for i in PAGE_RULES} | _PAGE_SETS | _CONTENT
 
 #: Stored issues: findings of single pages and of the sitemap, numbered.
 _ISSUES = f"""{_CRAWL}, {_SITEMAP}, found AS ({PAGE_FINDINGS} UNION ALL {_row("structure.sitemap.in_sitemap_only", "url", None, f"FROM (SELECT DISTINCT url FROM named WHERE {_SITE.format('url')} AND url NOT IN (SELECT url FROM crawl WHERE is_html))")}),

@@ -258,3 +258,14 @@ def test_queries_equal_their_sql(spark, duck, name):
 def test_text_functions(spark):
     row = spark.createDataFrame([("  für\tüber \n",)], "t string").select(text.strip(F.col("t")).alias("s"), text.collapse(F.col("t")).alias("c"), text.tokens(F.col("t")).alias("w"), text.word_count(F.col("t")).alias("n"), text.blank(F.lit("\t ")).alias("b")).first()
     assert tuple(row) == ("für\tüber", "für über", ["für", "über"], 2, True)
+
+
+def test_queries_are_listed_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) - len(set(e.oracle_sql()) - set(e.queries())))"], cwd=root, capture_output=True, text=True)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout.split()[-1]) > 80
