@@ -147,6 +147,7 @@ def filter_exact(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """The rows of docs that stay, with their columns."""
     groups = exact_groups(docs, blocks).select(F.col("sha").alias("__sha"), F.col("keep_id").alias("__keep"))
     x = docs.withColumn("__mine", F.sha2(normalized().cast("binary"), 256))
-    x = x.join(groups, x["__mine"] == groups["__sha"], "left")
+    # a merge join at every size: the groups grow with the data
+    x = x.join(groups.hint("merge"), x["__mine"] == groups["__sha"], "left")
     stays = F.col("__sha").isNull() | docs["doc_id"].eqNullSafe(F.col("__keep"))
     return x.filter(stays).select(*own_columns(docs))

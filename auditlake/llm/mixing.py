@@ -93,5 +93,6 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows: each document as often as ``allocation`` says, with its own columns."""
     # a name that can't clash with columns of docs
     times = allocation(docs, **options).filter("times > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("times").cast("int").alias("__times"))
-    kept = docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]), "inner")
+    # a merge join at every size: the documents taken grow with the data
+    kept = docs.join(times.hint("merge"), docs["doc_id"].eqNullSafe(times["__id"]), "inner")
     return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*own_columns(docs))

@@ -144,4 +144,5 @@ def filter_near(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stay, with their columns: of each component the one with the smallest doc_id."""
     gone = near_groups(docs, **options).filter("not doc_id <=> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     gone = materialize(gone, "gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    # a merge join at every size: what goes grows with the data
+    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
