@@ -1,14 +1,17 @@
 """Quality classifier by compression.
 
 One zstandard dictionary is trained from texts labelled good, one from texts labelled bad. A text
-is compressed with each; the difference of the sizes over their sum tells which it resembles, and
-the sizes over the text's length tell how much it repeats itself. Both are measures of
-normalised compressed size, and a logistic curve fitted on labelled rows that the dictionaries
-haven't seen makes them a probability.
-
-Scale: fitting uses a bounded sample (``SAMPLE`` rows of each class, texts up to ``SAMPLE_CHARS``),
-picked by a hash of doc_id among all labelled rows, without moving other texts. Scoring is one
-pass without a shuffle; the model (under 300 KB) is broadcast.
+is compressed with each in pieces of ``PIECE`` bytes, a fresh frame for each, so that the
+dictionaries weigh on all of it; the difference of the summed sizes over their sum tells which it
+resembles, and its sizes in one frame over its length tell how much it repeats itself. Both are
+measures of normalised compressed size, and a logistic curve fitted on labelled rows that the
+dictionaries haven't seen makes them a probability.
+
+Scale: fitting uses a bounded sample (``SAMPLE`` rows of each class, texts of any length), picked
+by a hash of doc_id among all labelled rows, without moving other texts. Dictionaries are trained
+from at most ``SAMPLE_CHARS`` characters of a text, of longer ones from segments spread over the
+whole; the curve is fitted on measures of whole texts, taken where they lie. Scoring is one pass
+without a shuffle; the model (under 300 KB) is broadcast.
 
 Defined cases: a null text counts as empty and an empty text gets the score of its equal sizes; rows
 with crc32(doc_id) mod 5 = 0 or null doc_id are held out of fitting; unlabelled rows and null
@@ -19,7 +22,7 @@ gives an empty result; other columns pass through ``filter_quality``.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,13 +33,15 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import bounded_batches, own_columns
 
-#: Labelled rows of each class that are fitted on, at most, and the length of their texts.
+#: Labelled rows of each class that are fitted on, at most, and what of a text goes to the dictionaries.
 SAMPLE = 1500
 SAMPLE_CHARS = 20_000
 #: Share of the sample that trains the dictionaries; the rest calibrates.
 FOR_DICTIONARY = 2 / 3
 DICTIONARY_BYTES = 112_640
 SEGMENT = 1024
+#: Bytes that are compressed at once: in longer frames the text's own past would displace the dictionary.
+PIECE = 2048
 LEVEL = 3
 THRESHOLD = 0.3
 
@@ -59,8 +64,10 @@ class Scorer:
 
     def features(self, text: str) -> tuple[float, float, float]:
         data = text.encode("utf-8", "surrogatepass")
-        good, bad = (len(t.compress(data)) for t in self.tools)
-        return 1.0, (bad - good) / (bad + good), min(0.0, np.log((bad + good) / 2 / max(len(data), 1)) - np.log(0.25))
+        pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)] or [data]
+        good, bad = (sum(len(t.compress(p)) for p in pieces) for t in self.tools)
+        whole = sum(len(t.compress(data)) for t in self.tools) if len(pieces) > 1 else bad + good
+        return 1.0, (bad - good) / (bad + good), min(0.0, np.log(whole / 2 / max(len(data), 1)) - np.log(0.25))
 
     def score(self, text: str) -> float:
         if not self.tools:
@@ -96,17 +103,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return tuple(map(float, w))
 
 
-def fit_texts(good: list[str], bad: list[str]) -> Model:
-    """A model from labelled texts, given in an order that has nothing to do with them."""
-    if not good or not bad:
-        return Model(b"", b"", (0.0, 0.0, 0.0))
-    cut = [max(1, round(len(x) * FOR_DICTIONARY)) for x in (good, bad)]
-    model = Model(_dictionary(good[: cut[0]]), _dictionary(bad[: cut[1]]), (0.0, 1.0, 0.0))
-    rest = [(t, 1) for t in good[cut[0] :] or good] + [(t, 0) for t in bad[cut[1] :] or bad]
-    scorer = model.scorer()
-    x, y = np.array([scorer.features(t) for t, _ in rest]), np.array([q for _, q in rest], float)
-    model.weights = _logistic(x, y)
-    return model
+def _spread(text: str, chars: int) -> str:
+    """The text, or of a longer one segments spread evenly over it."""
+    if len(text) <= chars:
+        return text
+    n = max(1, chars // SEGMENT)
+    starts = [(len(text) - SEGMENT) * i // max(n - 1, 1) for i in range(n)]
+    return "".join(text[i : i + SEGMENT] for i in starts)
+
+
+def _for_dictionary(n: int) -> int:
+    return max(1, round(n * FOR_DICTIONARY))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -116,31 +123,45 @@ def held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Fit on labelled rows that aren't held out."""
     known = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
-    there = docs.filter(~held_out() & F.col("text").isNotNull() & (F.length("text") <= sample_chars)).select("doc_id")
+    there = docs.filter(~held_out() & F.col("text").isNotNull()).select("doc_id")
     near = known.join(there, "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
-    picked = [r for q in (0, 1) for r in near.filter(F.col("quality") == q).orderBy("h", "doc_id").limit(sample).collect()]
-    if not picked:
-        return fit_texts([], [])
-    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["quality"], r["h"]) for r in picked], "doc_id long, quality int, h long")
-    # at most 2 * sample ids, so the broadcast is bounded
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= sample_chars)).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id", "quality"]).collect()
-    rows.sort(key=lambda r: (r["h"], r["doc_id"]))
-    return fit_texts([r["text"] for r in rows if r["quality"] == 1], [r["text"] for r in rows if r["quality"] == 0])
-
+    picked = {q: near.filter(F.col("quality") == q).orderBy("h", "doc_id").limit(sample).collect() for q in (1, 0)}
+    if not picked[1] or not picked[0]:
+        return Model(b"", b"", (0.0, 0.0, 0.0))
+    cut = {q: _for_dictionary(len(rows)) for q, rows in picked.items()}
 
-def _scored(docs: DataFrame, model: Model, threshold: float, names: tuple[str, str]) -> DataFrame:
-    import pandas as pd
+    def rows_of(some: list, value) -> list:
+        # at most 2 * sample ids, so the broadcast is bounded
+        ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["quality"], r["h"]) for r in some], "doc_id long, quality int, h long")
+        texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
+        return sorted(texts.select("doc_id", "quality", "h", value("text").alias("value")).dropDuplicates(["doc_id", "quality"]).collect(), key=lambda r: (r["h"], r["doc_id"]))
 
     bounded_batches(docs.sparkSession)
+    seen = rows_of([r for q in (1, 0) for r in picked[q][: cut[q]]], _column(lambda: lambda t: _spread(t, sample_chars), "string"))
+    model = Model(*(_dictionary([r["value"] for r in seen if r["quality"] == q]) for q in (1, 0)), (0.0, 1.0, 0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rest = rows_of([r for q in (1, 0) for r in picked[q][cut[q] :] or picked[q]], _column(lambda: shared.value.scorer().features, "array<double>"))
+    model.weights = _logistic(np.array([r["value"] for r in rest]), np.array([r["quality"] for r in rest], float))
+    return model
+
 
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = shared.value.scorer()
+def _column(make: Callable[[], Callable], kind: str):
+    """A column function of texts; make() is called once in each task."""
+    import pandas as pd
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        f = make()
         for part in parts:
-            yield pd.Series([scorer.score(t or "") for t in part], dtype="float64")
+            yield pd.Series([f(t or "") for t in part], dtype="float64" if kind == "double" else "object")
+
+    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, kind)
 
-    score.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    udf = F.pandas_udf(score, "double")
+
+def _scored(docs: DataFrame, model: Model, threshold: float, names: tuple[str, str]) -> DataFrame:
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    udf = _column(lambda: shared.value.scorer().score, "double")
     x = docs.withColumn(names[0], udf(F.col("text").cast("string")))
     return x.withColumn(names[1], F.when(F.col(names[0]) >= threshold, 1).otherwise(0))
 

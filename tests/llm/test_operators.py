@@ -391,6 +391,30 @@ def test_quality(spark):
     assert np.mean([p for q, p in held if q == 1]) > 0.95 and np.mean([p for q, p in held if q == 0]) < 0.5
 
 
+def test_quality_reads_long_texts_whole(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels, "doc_id").filter(quality.held_out()).orderBy("doc_id").collect()
+    bad, good = ([r["text"] for r in rows if r["quality"] == q] for q in (0, 1))
+    scorer = quality.fit(docs, labels).scorer()
+    joined = lambda texts: [" ".join(texts[i : i + 30]) for i in range(0, len(texts) - 29, 30)]
+    assert len(joined(bad)) >= 3 and all(scorer.score(t) < quality.THRESHOLD for t in joined(bad))
+    assert all(scorer.score(t) >= quality.THRESHOLD for t in joined(good))
+    long = [scorer.score(t) for t in bad if len(t) > 5000]
+    assert long and max(long) < quality.THRESHOLD
+
+
+def test_quality_learns_from_long_texts(spark):
+    r = random.Random(8)
+    good, bad = (["".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(400)] for letters in ("abcdefgh", "stuvwxyz"))
+    text = lambda words: " ".join(r.choice(words) for _ in range(4500))
+    docs = _docs(spark, [(i, text(good if i % 2 else bad), None) for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert docs.filter(f"length(text) <= {quality.SAMPLE_CHARS}").isEmpty()
+    assert all(row["predicted"] == row["doc_id"] % 2 for row in quality.quality(docs, labels).collect())
+    spread = quality._spread("a" * 50_000 + "b" * 50_000, 20_000)
+    assert len(spread) <= 20_000 and spread.count("a") == pytest.approx(spread.count("b"), abs=quality.SEGMENT)
+
+
 def test_quality_of_odd_rows(spark, odd_rows):
     docs = _docs(spark, odd_rows)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
