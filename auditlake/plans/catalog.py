@@ -12,7 +12,7 @@ from auditlake.functions import text, urls
 from auditlake.functions.html import extract
 from auditlake.operators import content, scoring, structure, tech
 from auditlake.operators.registry import RULES, rules_frame
-from auditlake.plans import compare, issues, oracles, projects, store
+from auditlake.plans import audit, compare, issues, oracles, projects, store
 from auditlake.sources import fixtures, frontier, robots, sitemaps, spelling
 from auditlake.sources.fixtures import BASE_URL, crawl, document_pages, table
 
@@ -76,10 +76,11 @@ def _group(rule_id: str) -> Query:
 
 
 def _issues(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(crawled pages, stored issues): findings of single pages and of the sitemap, numbered."""
-    pages = crawl(s, d)
-    found = tech.page_findings(pages).union(structure.sitemap_findings(pages, _sitemap_urls(pages), BASE_URL).filter("rule_id = 'structure.sitemap.in_sitemap_only'"))
-    rows = issues.numbered(issues.with_page_ids(found, fixtures.fetched(s, d)))
+    """(crawled pages, stored issues): all findings of the audit, numbered."""
+    pages = frontier.settled(crawl(s, d))
+    external = structure.edges(pages).filter("not is_internal").select(F.col("target_url").alias("url"))
+    found = audit.audit(pages, BASE_URL, fixtures.statuses(external), fixtures.statuses(tech.resources(pages)), _sitemap_urls(pages), _spelling_results(s, d))
+    rows = issues.numbered(frontier.settled(issues.with_page_ids(found, fixtures.fetched(s, d))))
     return pages, rows
 
 

@@ -255,6 +255,26 @@ def test_queries_equal_their_sql(spark, duck, name):
     assert set(names) == set(got.columns) and show(got.select(names).collect()) == show(want.fetchall())
 
 
+def test_stored_issues_hold_the_whole_audit(spark, duck):
+    from auditlake.operators.registry import RULES
+    from auditlake.plans.oracles import RULE_SQL
+
+    pages, rows = catalog._issues(spark, SMALL)
+    got = rows.select("id", "rule_id", "category", "severity", "page_url", "payload").collect()
+    assert sorted(r["id"] for r in got) == list(range(1, len(got) + 1))
+    show = lambda rows: sorted("|".join(map(str, r)) for r in rows)
+    for rule_id in RULES:
+        if rule_id in RULE_SQL and (not rule_id.startswith("content.") or rule_id == "content.spelling.errors"):
+            want = duck.execute(f"SELECT rule_id, page_url, payload FROM ({RULE_SQL[rule_id]})").fetchall()
+            assert show((r["rule_id"], r["page_url"], r["payload"]) for r in got if r["rule_id"] == rule_id) == show(want), rule_id
+    thin = {r["page_url"] for r in got if r["rule_id"] == "content.thin"}
+    assert thin == {p["url"] for p in pages.filter("is_html and main_text <> '' and main_word_count < 100").select("url").collect()} and thin
+    passing = {r["rule_id"] for r in catalog.rules_passing(spark, SMALL).collect()}
+    assert passing == set(RULES) - {r["rule_id"] for r in got}
+    score = {r["category"]: r["score"] for r in catalog.category_scores(spark, SMALL).collect()}
+    assert score["content"] < 100
+
+
 def test_text_functions(spark):
     row = spark.createDataFrame([("  für\tüber \n",)], "t string").select(text.strip(F.col("t")).alias("s"), text.collapse(F.col("t")).alias("c"), text.tokens(F.col("t")).alias("w"), text.word_count(F.col("t")).alias("n"), text.blank(F.lit("\t ")).alias("b")).first()
     assert tuple(row) == ("für\tüber", "für über", ["für", "über"], 2, True)
