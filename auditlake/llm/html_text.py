@@ -4,7 +4,8 @@ A page is a sequence of words and tags. Each gets a score by its kind: how much
 inside main text than outside, as counted on labelled pages, so that words score positive and
 tags negative, and words in menus, notices, adverts, forms or comments strongly negative. A
 linear scan finds the contiguous stretch with the greatest sum: the main content. Blocks inside
-it that are themselves marked as furniture are left out of the text.
+it that are themselves marked as furniture are left out of the text; a marked block around the
+main article, or without one around most of the page's words, is no furniture.
 
 Scale: one pass over the rows, no shuffle; the scores are a few dozen numbers.
 
@@ -43,77 +44,147 @@ MARKS = re.compile(
     r"nav\w*|menu\w*|breadcrumb\w*|header|footer\w*|masthead|sidebar\w*|aside|widget\w*|related|recommend\w*|share\w*|social\w*|comment\w*|disqus|respond|reply|replies|login|search|pagination|pager|toolbar|contentinfo|complementary|navigation)(?![a-z])"
 )
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_HIDDEN = re.compile(r"""(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Class or id words that name an article's own header.
+_OWN_HEADER = re.compile(r"(?:entry|post|article|content|section|story)[-_]+header")
+#: Share of a page's words that a marked block outside articles may hold and still be furniture: by a word of its own ("sidebar") or a part of one ("has-sidebar").
+MOST, MOST_OF_PART = 0.75, 0.5
 _END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
+#: Of these, those that only hide what they close: without an end tag the rest of the page is text.
+_MAY_STAY_OPEN = {"noscript", "template", "svg", "select", "object", "canvas"}
 #: Score that one stretch of furniture takes off, at most.
 FURNITURE_FLOOR = -60.0
 #: Elements that a page may leave open; an outer end tag closes them.
 _OPEN_ENDED = {"p", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "option", "b", "i", "em", "strong", "u", "span", "a", "font"}
 
 
-class _Tag:
-    __slots__ = ("name", "furniture")
+#: Elements that marks say nothing about: text, and what names an article.
+_UNMARKED = INLINE | {"html", "body", "article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: Furniture by name that on some sites wraps a whole page.
+_WRAPPERS = {"form", "fieldset"}
 
-    def __init__(self, name: str, furniture: bool):
-        self.name, self.furniture = name, furniture
 
+def _attributes(text: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), "".join(values))
+    return out
 
-def events(page: str) -> Iterator[tuple[str, str, int]]:
-    """(kind, text, furniture): kind is 'word' or in links 'link' for text, else the tag with its slash; furniture is 0 outside page furniture, 1 in it, 2 in such inside an article."""
-    stack: list[_Tag] = []
-    at, n = 0, len(page)
-    depth = 0  # of furniture
-    sections = 0  # open articles and mains: their own headers are no furniture
 
-    def inside() -> int:
-        return (1 + (sections > 0)) if depth else 0
+def _hidden(attributes: dict[str, str]) -> bool:
+    if "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    style = [[x.strip() for x in d.split("!")[0].lower().partition(":")[::2]] for d in attributes.get("style", "").split(";")]
+    return ["display", "none"] in style or ["visibility", "hidden"] in style
+
+
+class _Element:
+    """An element from the event of its start to that of its end, with the number of words before and in it."""
+
+    __slots__ = ("name", "start", "end", "words", "hidden", "marked", "by_part")
+
+    def __init__(self, name: str, start: int, words: int, attributes: dict[str, str]):
+        self.name, self.start, self.end, self.words = name, start, start, words
+        self.hidden = name not in ("html", "body") and _hidden(attributes)
+        names = [x for k in ("class", "id", "role") for x in attributes.get(k, "").lower().split() if not _OWN_HEADER.fullmatch(x)]
+        self.marked = any(MARKS.search(x) for x in names)
+        self.by_part = self.marked and not any(MARKS.fullmatch(x) for x in names)
+
+
+def _parse(page: str) -> tuple[list[tuple[str, str]], list[_Element], int]:
+    """((kind, text) of the events, elements in order of their start, number of words)."""
+    found: list[tuple[str, str]] = []
+    elements: list[_Element] = []
+    stack: list[_Element] = []
+    at, n, words = 0, len(page), 0
+
+    def text(t: str) -> None:
+        nonlocal words
+        words += 0 if any(e.name == "head" for e in stack[:2]) else len(t.split())
+        found.append(("link" if any(e.name == "a" for e in stack[-3:]) else "word", t))
+
+    def close(gone: list[_Element]) -> None:
+        for e in gone:
+            e.end, e.words = len(found), words - e.words
 
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
             lt = n
         if lt > at:
-            yield "link" if any(t.name == "a" for t in stack[-3:]) else "word", page[at:lt], inside()
+            text(page[at:lt])
             at = lt
             continue
         m = _PIECE.match(page, at)
         if not m:
-            yield "word", "<", inside()
+            found.append(("word", "<"))
             at += 1
             continue
         at = m.end()
         if m.group(2) is None:
             if page.startswith("<![CDATA[", m.start()):
-                yield "word", page[m.start() + 9 : at].removesuffix("]]>"), inside()
+                text(page[m.start() + 9 : at].removesuffix("]]>"))
             continue
         name, attributes = m.group(2).lower(), m.group(3)
         if m.group(1):
             where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), None)
             # an inline end tag without its start, or across a block, closes nothing
             if where is not None and (name not in INLINE or all(s.name in _OPEN_ENDED or s.name in INLINE for s in stack[where:])):
-                for gone in stack[where:]:
-                    depth -= gone.furniture
-                    sections -= gone.name in ("article", "main")
+                close(stack[where:])
                 del stack[where:]
-            yield "/" + name, "", inside()
+            found.append(("/" + name, ""))
             continue
-        names = " ".join(x for g in _NAMES.findall(attributes) for x in g).lower() if "=" in attributes else ""
-        furniture = name in FURNITURE or name == "header" and not sections or bool(names and name not in ("body", "html", "article", "main") and MARKS.search(names)) or bool(attributes and _HIDDEN.search(attributes))
-        if name in _END:
+        closed = attributes.rstrip().endswith("/")
+        if name in _END and not (name == "svg" and closed):
             end = _END[name].search(page, at)
-            at = end.end() if end else n
-            yield f"<{name}", "", inside()
+            at = end.end() if end else at if name in _MAY_STAY_OPEN else n
+            found.append((f"<{name}", ""))
             continue
         if name == "body":  # the head ends here, closed or not
-            for gone in stack:
-                depth -= gone.furniture
+            close(stack)
             stack.clear()
-        yield f"<{name}", "", inside() or (furniture and 1 + (sections > 0))
-        if name not in VOID and not attributes.rstrip().endswith("/"):
-            stack.append(_Tag(name, furniture))
-            depth += furniture
-            sections += name in ("article", "main")
+        element = _Element(name, len(found), words, _attributes(attributes) if attributes.strip() else {})
+        found.append((f"<{name}", ""))
+        if name not in VOID and not closed:
+            stack.append(element)
+        else:
+            close([element])
+        elements.append(element)
+    close(stack)
+    return found, elements, words
+
+
+def events(page: str) -> Iterator[tuple[str, str, int]]:
+    """(kind, text, furniture): kind is 'word' or in links 'link' for text, else the tag with its slash; furniture is 0 outside page furniture, 1 in it, 2 in such inside an article."""
+    found, elements, words = _parse(page)
+    # a block around the main article is no furniture, whatever its class; comments and teasers may be articles, but marked or shorter ones
+    articles = [e for e in elements if e.name in ("article", "main") and not e.marked and not e.hidden]
+    text = max(articles, key=lambda e: (e.name == "main", e.words), default=None)
+
+    def holds_the_text(e: _Element) -> bool:
+        if text is not None:
+            return e.start <= text.start and text.end <= e.end
+        return e.words > words * (MOST_OF_PART if e.by_part or e.name in _WRAPPERS and not e.marked else MOST)
+
+    furniture, sections = [0] * (len(found) + 1), [0] * (len(found) + 1)  # changes of the open ones at each event
+    inside = open_sections = 0
+    starts = {e.start: e for e in elements}
+    for i, (kind, piece) in enumerate(found):
+        inside += furniture[i]
+        open_sections += sections[i]
+        state = (1 + (open_sections > 0)) if inside else 0
+        e = starts.get(i)
+        if e is not None:
+            named = e.name in FURNITURE or e.name == "header" and not open_sections
+            is_furniture = e.hidden or named and not (e.name in _WRAPPERS and holds_the_text(e)) or e.marked and e.name not in _UNMARKED and not holds_the_text(e)
+            state = state or (1 + (open_sections > 0) if is_furniture else 0)
+            if e.end > i + 1:
+                furniture[i + 1] += is_furniture
+                furniture[e.end] -= is_furniture
+                if e.name in ("article", "main"):
+                    sections[i + 1] += 1
+                    sections[e.end] -= 1
+        yield kind, piece, state
 
 
 _TEXT = ("word", "link")

@@ -273,6 +273,21 @@ def test_html_text(spark):
         assert html_text.extract("".join(p for p, _ in parts)) == truth, n
 
 
+def test_html_text_keeps_articles_in_marked_wrappers():
+    story = "<p>The first words of a story that is long enough.</p><p>More words of it follow here.</p>"
+    text = "The first words of a story that is long enough. More words of it follow here."
+    whole = lambda start, end="": html_text.extract(f"<html><head><title>t</title></head><body>{start}{story}{end}</body></html>")
+    wrappers = ('<div class="content-sidebar-wrap"><article>', '<div class="layout has-sidebar"><main>', '<div class="layout has-sidebar"><div>', '<div style="overflow:hidden"><article>', '<article style="overflow-x: hidden">', '<main class="md:hidden">', '<form id="aspnetForm"><div>', '<svg viewBox="0 0 1 1"/><article>', "<div><select>")
+    assert {w: whole(w) for w in wrappers} == dict.fromkeys(wrappers, text)
+    assert html_text.extract(f'<body style="overflow-x:hidden">{story}') == text
+    assert whole('<article><div class="entry-header"><h1>Head</h1></div>') == "Head " + text
+    assert whole("<article>", '<h2 id="related-work">Related work</h2><p>Some <span class="share">of</span> it.</p></article>') == text + " Related work Some of it."
+    # what is hidden or marked stays out
+    for part in ('<div hidden>', '<div style="color:red; DISPLAY : none !important">', '<div style="visibility:hidden">', '<div class="sidebar">', '<div id="comments"><article class="comment-body">', '<div class="related-posts">'):
+        assert whole("<article>", f"</article>{part}<p>{'other words ' * 30}</p></div>") == text, part
+        assert whole("<article>", f"{part}<p>other words</p></div></article>") == text, part
+
+
 def test_html_text_of_the_test_pages(spark):
     import html
     import re
