@@ -10,7 +10,8 @@ middle it lies nearest, over the whole text, before spans are read. A span found
 the form of its kind (number of digits, check digit, parts up to 255) and not touch a pattern's.
 
 A span of these kinds holds a digit, an @ or the word "at", so windows are laid around these
-characters only; all others are O by rule, not by sampling.
+characters only, as far as the address they stand in reaches; all others are O by rule, not by
+sampling. An address found is read to the end of its host, however long.
 
 Scale: one pass over the rows, no shuffle; the weights (under 100 KB) are broadcast. Windows go
 through the network in batches of bounded size.
@@ -43,6 +44,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TRIGGER = re.compile(r"[0-9@]|(?<![A-Za-z])(?:at|AT)(?![A-Za-z])(?=[)\] ])")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
+#: Characters of addresses, in both directions, and the words that join their parts.
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+@()\[\]-]*")
+_NO_ADDRESS = re.compile(r"[^A-Za-z0-9._%+@()\[\]-]")
+_JOINT = re.compile(r"[(\[]?(?:at|AT|dot|DOT)[)\]]?")
+_HOST = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[(\[]at[)\]]| at | AT ) ?[A-Za-z0-9-]+(?:(?:\.| ?[(\[]dot[)\]] ?| dot | DOT )[A-Za-z0-9-]+)*")
 
 WINDOW = 96
 STRIDE = 48
@@ -247,7 +253,7 @@ def labelled_spans(n: int, seed: int, window: int = WINDOW) -> list[tuple[str, l
         return form.format(a=a, b=b, c=c)
 
     def email() -> str:
-        user, host, top = r.choice((name(), f"{name()}.{name()}", f"{name()}{num(2)}", f"{name()}.{num(2)}")), r.choice((name(), f"mail{num(1)}.{name()}")), r.choice(("com", "org", "net", "de", "fr", "example.com"))
+        user, host, top = r.choice((name(), f"{name()}.{name()}", f"{name()}{num(2)}", f"{name()}.{num(2)}")), r.choice((name(), f"mail{num(1)}.{name()}", name(), "".join(name() + r.choice(".--") for _ in range(r.randint(1, 5))) + name())), r.choice(("com", "org", "net", "de", "fr", "example.com"))
         at = r.choice(("@", "@", " (at) ", " [at] ", " at ", "(at)", " AT "))
         dot = "." if at == "@" else r.choice((".", " (dot) ", " [dot] ", " dot "))
         return f"{user}{at}{host}{dot}{top}"
@@ -335,6 +341,28 @@ def trained(spark: SparkSession, **options) -> dict[str, np.ndarray]:
     return _trained[key]
 
 
+def _run_end(text: str, b: int, since: int) -> int:
+    """b, or where it lies in an address the end of that: white space that no "at" or "dot" precedes or follows."""
+    start = b
+    while start > since and not _NO_ADDRESS.match(text, start - 1):
+        start -= 1
+    while True:
+        end = _ADDRESS.match(text, start).end()
+        if end + 1 >= len(text) or text[end] != " ":
+            return max(b, end)
+        after = _ADDRESS.match(text, end + 1).end()
+        if not (_JOINT.fullmatch(text, start, end) or _JOINT.fullmatch(text, end + 1, after)):
+            return max(b, end)
+        start = end + 1
+
+
+def _run_start(text: str, a: int, since: int) -> int:
+    """a, or the start of the address characters that it lies in, but not before since."""
+    while a > since and not _NO_ADDRESS.match(text, a - 1):
+        a -= 1
+    return a
+
+
 class Tagger:
     """Spans of many texts at once."""
 
@@ -345,9 +373,12 @@ class Tagger:
     def _regions(self, text: str) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
         for m in _TRIGGER.finditer(text):
+            if out and m.end() + CONTEXT <= out[-1][1]:
+                continue
             a, b = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
+            a, b = _run_start(text, a, out[-1][1] if out else 0), _run_end(text, b, m.start())
             if out and a <= out[-1][1]:
-                out[-1] = (out[-1][0], b)
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
             else:
                 out.append((a, b))
         return out
@@ -401,8 +432,11 @@ class Tagger:
                 a += 1
             if KINDS[kind] == "email":
                 a -= len(_LOCAL.search(text[max(0, a - 64) : a]).group()) if a < b and text[a] not in "@(" else 0
+                m = _HOST.match(text, a)
+                b = max(b, m.end()) if m else b
             if a < b and plausible(KINDS[kind], text[a:b]) and not _inside_word(text, a, b):
                 out.append((a, b, KINDS[kind]))
+                j = max(j, b - offset)
             i = j
         return out
 

@@ -396,6 +396,20 @@ def test_crf_gradient():
         assert tuple(best[:, b]) == max(itertools.product(range(4), repeat=5), key=lambda p: score(p, b))
 
 
+def test_pii_reads_long_addresses_whole(weights):
+    tagger = pii.Tagger(weights)
+    hosts = ["informatik.uni-freiburg-sued (dot) de", "department.of.computer.science.university (dot) example (dot) org", "mail-server-number-of-the-university-of-somewhere (dot) net", "-".join(["host"] * 40) + " (dot) com"]
+    for host in hosts:
+        address = f"jane.doe (at) {host}"
+        for text in (address, f"write to {address} today please. the erin onst", f"the in {address}. Then go on"):
+            assert [text[a:b] for a, b, _ in tagger.spans([text])[0]] == [address], text
+            a = text.index(address)
+            assert any(x <= a and a + len(address) <= y for x, y in tagger._regions(text))
+    # a region takes in no more than its address
+    text = "jane (at) host (dot) de " + "the erin onst " * 60 + "1"
+    assert sum(b - a for a, b in tagger._regions(text)) < 150
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = _by_id(quality.quality(docs, labels).collect())
