@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import zlib
 from collections.abc import Iterator
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,16 +38,54 @@ def decoded(bodies: DataFrame) -> DataFrame:
     return bodies.select("url", F.pandas_udf(gunzip, "xml string, error string")("url", "body").alias("x")).select("url", "x.*")
 
 
+class _Locs(HTMLParser):
+    """Texts of the loc elements, an open one's until an outer end tag."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack: list[tuple[str, int | None]] = []  # open elements, with the number of their loc
+        self.locs: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        self.stack.append((tag, len(self.locs) if tag == "loc" else None))
+        if tag == "loc":
+            self.locs.append("")
+
+    handle_startendtag = handle_starttag  # in HTML the slash closes nothing
+
+    def handle_endtag(self, tag):
+        where = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
+        if where is not None:
+            del self.stack[where:]
+
+    def handle_data(self, data):
+        for _, loc in self.stack:
+            if loc is not None:
+                self.locs[loc] += data.strip()
+
+
+def _html_locs(text: str) -> list[str]:
+    parser = _Locs()
+    parser.feed(text)
+    parser.close()
+    return [x for x in parser.locs if x]
+
+
 def parsed(sitemaps: DataFrame) -> DataFrame:
-    """(url, is_index, locs) of (url, xml): the places named, resolved against the sitemap's URL and normalised."""
+    """(url, is_index, locs) of (url, xml): the places named, resolved against the sitemap's URL and normalised.
+
+    Where the pattern finds none but there is "<loc", as with attributes or spaces in the tag, the text is parsed as HTML.
+    """
 
-    def resolve(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for bases, lists in parts:
-            yield pd.Series([[u for u in (normalize(x, b) for x in (xs if xs is not None else [])) if u] for b, xs in zip(bases, lists)])
+    def resolve(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for bases, lists, odd in parts:
+            lists = [_html_locs(t) if t is not None else xs if xs is not None else [] for xs, t in zip(lists, odd)]
+            yield pd.Series([[u for u in (normalize(x, b) for x in xs) if u] for b, xs in zip(bases, lists)])
 
-    resolve.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    resolve.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
     locs = F.regexp_extract_all("xml", F.lit(_LOC), F.lit(1))
-    return sitemaps.select("url", F.coalesce(F.lower("xml").contains("<sitemapindex"), F.lit(False)).alias("is_index"), F.pandas_udf(resolve, "array<string>")("url", locs).alias("locs"))
+    odd = F.when((F.size(locs) == 0) & F.lower("xml").contains("<loc"), F.col("xml"))
+    return sitemaps.select("url", F.coalesce(F.lower("xml").contains("<sitemapindex"), F.lit(False)).alias("is_index"), F.pandas_udf(resolve, "array<string>")("url", locs, odd).alias("locs"))
 
 
 def walk(seeds: DataFrame, sitemaps: DataFrame, max_depth: int = MAX_DEPTH, max_sitemaps: int = MAX_SITEMAPS) -> DataFrame:

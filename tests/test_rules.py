@@ -275,6 +275,23 @@ def test_stored_issues_hold_the_whole_audit(spark, duck):
     assert score["content"] < 100
 
 
+def test_sitemaps_of_all_pages_and_of_odd_texts(spark, duck):
+    got = sorted((r["page_id"], r["url"]) for r in catalog.sitemap_parse(spark, SMALL).collect())
+    want = duck.execute("SELECT page_id, regexp_replace(url, '#.*$', '') FROM pages UNION ALL SELECT page_id, regexp_extract(url, '^(https?://[^/]*)', 1) || '/rel/' || page_id FROM pages").fetchall()
+    assert got == sorted(want) and {i % 2 for i, _ in got} == {0, 1}
+    texts = {
+        "<urlset><url><loc >/a?x=1&amp;y=2</loc ></url><url><LOC lang='de'> /b </LOC></url></urlset>": ["https://s.example/a?x=1&y=2", "https://s.example/b"],
+        "<sitemapindex><loc\n>/m.xml</loc></sitemapindex>": ["https://s.example/m.xml"],
+        "<url><loc x>/open</url><url><loc x></loc></url>": ["https://s.example/open"],
+        "<loc>/first</loc><loc x>/not read where the pattern finds some</loc>": ["https://s.example/first"],
+        "<!-- <loc x>/no</loc> --><lock>/no</lock>": [], "no places": [],
+    }
+    rows = spark.createDataFrame([(f"https://s.example/{i}.xml", t) for i, t in enumerate(texts)] + [("https://s.example/none", None)], "url string, xml string")
+    read = {r["url"]: r for r in sitemaps.parsed(rows).collect()}
+    assert [list(read[f"https://s.example/{i}.xml"]["locs"]) for i in range(len(texts))] == list(texts.values()) and read["https://s.example/none"]["locs"] == []
+    assert [i for i in range(len(texts)) if read[f"https://s.example/{i}.xml"]["is_index"]] == [1]
+
+
 def test_text_functions(spark):
     row = spark.createDataFrame([("  für\tüber \n",)], "t string").select(text.strip(F.col("t")).alias("s"), text.collapse(F.col("t")).alias("c"), text.tokens(F.col("t")).alias("w"), text.word_count(F.col("t")).alias("n"), text.blank(F.lit("\t ")).alias("b")).first()
     assert tuple(row) == ("für\tüber", "für über", ["für", "über"], 2, True)
