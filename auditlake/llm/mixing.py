@@ -68,31 +68,37 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epoch
 
 
 def _keyed(docs: DataFrame, seed: str, buckets: int) -> DataFrame:
-    x = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), _order(seed).alias("h"))
+    x = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), _order(seed).alias("h"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     return x.select("*", F.col("source").isNull().alias("sn"), F.coalesce("source", F.lit("")).alias("sk"), (F.col("h") % buckets).cast("int").alias("bucket"))
 
 
-def allocation(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, buckets: int = BUCKETS) -> DataFrame:
+def allocation(docs: DataFrame, **options) -> DataFrame:
     """Return (doc_id, source, size, source_size, target, times, taken), one row for each document."""
+    return _allocated(docs, **options).drop("text_hash")
+
+
+def _allocated(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, buckets: int = BUCKETS) -> DataFrame:
     keyed = _keyed(docs, seed, buckets)
     parts = keyed.groupBy("sn", "sk", "bucket").agg(F.sum("size").alias("part"))
     goal = targets(parts.groupBy("sn", "sk").agg(F.sum("part").alias("source_size")), weights, share, max_epochs)
     before = Window.partitionBy("sn", "sk").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("earlier", F.coalesce(F.sum("part").over(before), F.lit(0)))
     plan = parts.join(goal, ["sn", "sk"]).select("sn", "sk", "bucket", "earlier", "source_size", "target")
-    inside = Window.partitionBy("sn", "sk", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sn", "sk", "bucket").orderBy("h", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     x = keyed.join(plan, ["sn", "sk", "bucket"])
     start = F.col("earlier") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     x = x.withColumn("whole", whole.cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     x = x.withColumn("times", F.col("whole") + F.when((F.col("size") > 0) & (F.col("whole") < max_epochs) & (start + F.col("size") / 2.0 < F.col("rest")), 1).otherwise(0))
-    return x.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+    return x.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), "text_hash")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows: each document as often as ``allocation`` says, with its own columns."""
     # a name that can't clash with columns of docs
-    times = allocation(docs, **options).filter("times > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("times").cast("int").alias("__times"))
+    keys = (F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"))
+    times = _allocated(docs, **options).filter("times > 0").groupBy(*keys).agg(F.max("times").cast("int").alias("__times"))
     # a merge join at every size: the documents taken grow with the data
-    kept = docs.join(times.hint("merge"), docs["doc_id"].eqNullSafe(times["__id"]), "inner")
+    own = docs["doc_id"].eqNullSafe(times["__id"]) & docs["source"].cast("string").eqNullSafe(times["__source"]) & (F.xxhash64(docs["text"].cast("string")) == times["__hash"])
+    kept = docs.join(times.hint("merge"), own, "inner")
     return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*own_columns(docs))

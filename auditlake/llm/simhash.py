@@ -13,7 +13,9 @@ blocks a bucket stands for about 27 bits, so chance company stays rare up to 10*
 Defined cases: a null text counts as empty; a text without words has fingerprint zero, one with
 fewer words than a shingle hashes its whole sequence; repeated rows share a fingerprint and so a
 component; a null doc_id is no component's smallest unless all are null; an empty table gives an
-empty result; other columns pass through ``filter_near``.
+empty result; other columns pass through ``filter_near``. There a row goes by its doc_id and own
+fingerprint: unlike texts under the same or a null doc_id stay. Repeated rows of the smallest id
+all stay, and so do rows of a component whose ids are all null.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import bounded_batches, materialize
+from auditlake.llm.common import bounded_batches, materialize, own_columns
 from auditlake.llm.components import components
 from auditlake.llm.runs import bounds, bucketed, dealt, whole_runs
 
@@ -141,8 +143,20 @@ def simhash_dedup(docs: DataFrame, **options) -> DataFrame:
 
 
 def filter_near(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay, with their columns: of each component the one with the smallest doc_id."""
-    gone = near_groups(docs, **options).filter("not doc_id <=> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    """The rows of docs that stay, with their columns: of each component those with the smallest doc_id."""
+    gone = near_groups(docs, **options).filter("not doc_id <=> component_id").select(F.col("doc_id").alias("__gone"), F.col("fp").alias("__of")).distinct()
     gone = materialize(gone, "gone")
+    words, seed = options.get("words", WORDS), options.get("seed", SEED)
+    x = docs.withColumn("__fp", _fingerprint_column(words, seed)(F.col("text").cast("string")))
     # a merge join at every size: what goes grows with the data
-    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    return x.join(gone.hint("merge"), x["doc_id"].eqNullSafe(gone["__gone"]) & (x["__fp"] == gone["__of"]), "left_anti").select(*own_columns(docs))
+
+
+def _fingerprint_column(words: int, seed: int):
+    import pandas as pd
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t or "", words, seed) for t in texts], np.uint64).view(np.int64))
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "long")

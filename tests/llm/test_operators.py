@@ -410,6 +410,17 @@ def test_pii_reads_long_addresses_whole(weights):
     assert sum(b - a for a, b in tagger._regions(text)) < 150
 
 
+def test_rows_without_or_with_shared_ids_are_decided_by_their_own_text(spark):
+    r = random.Random(12)
+    a, b, c = (_words(r, 200) for _ in range(3))
+    docs = _docs(spark, [(1, a, "s"), (None, a, "s"), (None, b, "s"), (5, a, "s"), (5, c, "s")])
+    assert sorted((str(x["doc_id"]), x["text"]) for x in simhash.filter_near(docs).collect()) == sorted([("1", a), ("None", b), ("5", c)])
+    rows = [(None, _words(r, 20 + i), "s" if i % 2 else "t") for i in range(40)] + [(7, _words(r, 30 + i), "s") for i in range(20)]
+    docs = _docs(spark, rows)
+    want = sum(x["times"] for x in mixing.allocation(docs).collect())
+    assert mixing.mix(docs).count() == want > 0
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = _by_id(quality.quality(docs, labels).collect())
