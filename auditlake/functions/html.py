@@ -154,7 +154,7 @@ class _Scan:
             self.charset = a["charset"].strip().lower()
         if (a.get("http-equiv") or "").lower() == "content-type":
             m = re.search(r"charset\s*=\s*([^\s;]+)", a.get("content") or "", re.I)
-            if m and "legacy" not in self.metas:
+            if m:
                 self.metas["\0charset"] = m.group(1).lower()
 
     def _close(self, name: str) -> None:

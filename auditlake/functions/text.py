@@ -15,7 +15,7 @@ def strip(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return strip(F.regexp_replace(c, rf"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(c, rf"[{SPACE}]+", " "))
 
 
 def blank(c: Column) -> Column:
@@ -30,7 +30,7 @@ def tokens(c: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     """Words between white space; 0 for null."""
-    return F.when(blank(c), 0).otherwise(F.size(F.split(collapse(c), " ")))
+    return F.when(c.isNull(), 0).otherwise(F.size(F.filter(F.split(c, rf"[{SPACE}]+"), lambda w: w != "")))
 
 
 def content_blocks(c: Column, least_words: int = 5) -> Column:

@@ -3,6 +3,7 @@
 Near duplicates are found exactly: with each text's shingles in order from the rarest to the most
 frequent, two texts that share 85 % of them share one among the first 15 % (prefix filter), so a
 phrase that stands on every page never brings pages together. Equal texts are one row there.
+Each text is cut into words once; what is exchanged are 8-byte hashes.
 """
 
 from __future__ import annotations
@@ -12,13 +13,20 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.text import collapse, tokens
 from auditlake.operators.registry import FINDING, as_findings, payload
+from auditlake.storage import materialize
 
 THIN, DUPLICATE_WORDS, SIMILAR, SHINGLE, BLOCK_PAGES, KEYWORD_LENGTH, TOP, SHOWN, SPELLING_ERRORS = 100, 50, 0.85, 4, 3, 4, 3, 5, 5
 #: Words that are no keywords (fixed values).
 STOPWORDS = (
-    "der die das den dem des ein eine einen einem einer eines und oder aber sondern denn weil wenn dann ist sind war waren wird werden wurde wurden hat haben hatte hatten auf für mit von zu im in an bei aus über unter vor nach ohne gegen durch um auch noch nur schon wieder sehr mehr alle sich sie es er wir ihr sein seine ihre als wie was wer wo warum wann welche diese dieser dieses diesen diesem uns ihnen mir mich dich dir "
-    "the and for with from this that these those have has had are were will would could should you your our their his her but not all any more less than into onto"
-).split()
+    "der", "die", "das", "den", "dem", "des", "ein", "eine", "einen", "einem", "einer", "eines", "und", "oder", "aber",
+    "sondern", "denn", "weil", "wenn", "dann", "ist", "sind", "war", "waren", "wird", "werden", "wurde", "wurden", "hat",
+    "haben", "hatte", "hatten", "auf", "für", "mit", "von", "zu", "im", "in", "an", "bei", "aus", "über", "unter", "vor", "nach",
+    "ohne", "gegen", "durch", "um", "auch", "noch", "nur", "schon", "wieder", "sehr", "mehr", "alle", "sich", "sie", "es", "er",
+    "wir", "ihr", "sein", "seine", "ihre", "als", "wie", "was", "wer", "wo", "warum", "wann", "welche", "diese", "dieser",
+    "dieses", "diesen", "diesem", "uns", "ihnen", "mir", "mich", "dich", "dir", "the", "and", "for", "with", "from", "this",
+    "that", "these", "those", "have", "has", "had", "are", "were", "will", "would", "could", "should", "you", "your", "our",
+    "their", "his", "her", "but", "not", "all", "any", "more", "less", "than", "into", "onto",
+)
 
 
 def with_text(pages: DataFrame) -> DataFrame:
@@ -47,16 +55,34 @@ def duplicate_findings(texts: DataFrame) -> DataFrame:
     return as_findings(rows.join(many, "digest"), "content.duplicate.page", payload(duplicate_of=others, count=F.col("count")))
 
 
-def shingles(c: Column, k: int = SHINGLE) -> Column:
-    """Distinct hashes of the k-word shingles; a shorter text is one shingle."""
-    words = tokens(c)
-    several = F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice(words, i, k), " ")))
-    return F.array_distinct(F.when(F.size(words) >= k, several).when(F.size(words) > 0, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(F.array().cast("array<bigint>")))
+def _word_hashes(c: Column) -> Column:
+    return F.transform(tokens(c), lambda w: F.xxhash64(w))
 
 
-def near_pairs(texts: DataFrame, similar: float = SIMILAR, k: int = SHINGLE) -> DataFrame:
-    """(a, b, similarity) of digests a < b of texts whose shingle sets have at least that Jaccard similarity."""
-    sets = _eligible(texts).select(_digest().alias("doc"), shingles(F.col("main_text"), k).alias("set")).dropDuplicates(["doc"]).withColumn("n", F.size("set")).filter("n > 0")
+def _shingles(hashes: str, k: int) -> Column:
+    """Distinct hashes of the runs of k in the column of word hashes; a shorter text is one run."""
+    words = F.col(hashes)
+    several = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
+    return F.array_distinct(F.when(F.size(words) >= k, several).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>")))
+
+
+def shingled(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(page_url, doc, set) of texts of enough words: the digest of the text, and its shingles' hashes.
+
+    The words are bound to a column before the runs are made: inside the lambda the text would be
+    cut into words again for each run.
+    """
+    words = _eligible(texts).select("page_url", _digest().alias("doc"), _word_hashes(F.col("main_text")).alias("__words"))
+    return words.select("page_url", "doc", _shingles("__words", k).alias("set"))
+
+
+def near_pairs(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(a, b, similarity) of docs a < b in (doc, set) whose sets have at least that Jaccard similarity.
+
+    A doc is an equal text's representative, so copies add nothing; ``sets`` is read several times
+    and should be a written table.
+    """
+    sets = sets.select("doc", "set", F.size("set").alias("n")).filter("n > 0").dropDuplicates(["doc"])
     each = sets.select("doc", "n", F.explode("set").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     # shingles of one text only can't be shared, but have their place in the order: they come first
@@ -75,9 +101,10 @@ def near_pairs(texts: DataFrame, similar: float = SIMILAR, k: int = SHINGLE) ->
 
 def near_findings(texts: DataFrame) -> DataFrame:
     """A finding for either page of each pair of similar but not equal texts."""
-    pairs = near_pairs(texts)
+    sets = materialize(shingled(texts), "shingles")
+    pairs = near_pairs(sets)
     both = pairs.union(pairs.select("b", "a", "similarity"))
-    members = _eligible(texts).select("page_url", _digest().alias("doc")).distinct()
+    members = sets.select("page_url", "doc").distinct()
     rows = both.join(members.withColumnRenamed("doc", "a"), "a").join(members.select(F.col("doc").alias("b"), F.col("page_url").alias("other")), "b")
     return as_findings(rows, "content.duplicate.near", payload(similar_to=F.col("other"), similarity=F.round("similarity", 3)))
 
@@ -92,11 +119,24 @@ def _keywords(c: Column) -> Column:
     return F.filter(tokens(c), lambda w: (F.length(w) >= KEYWORD_LENGTH) & ~w.isin(*STOPWORDS))
 
 
+def _most_frequent(words: Column) -> Column:
+    """The most frequent of an array of words, the first among equals; null without one. One pass over the sorted words."""
+    at = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("at"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("w"), F.lit(0).alias("c"), F.lit(0).alias("f"))
+
+    def step(s: Column, x: Column) -> Column:
+        same = s["w"].eqNullSafe(x["w"])
+        run, first = F.when(same, s["c"] + 1).otherwise(F.lit(1)), F.when(same, s["f"]).otherwise(x["i"])
+        better = (run > s["n"]) | (run == s["n"]) & (first < s["at"])
+        pick = lambda a, b: F.when(better, a).otherwise(b)
+        return F.struct(pick(run, s["n"]).alias("n"), pick(first, s["at"]).alias("at"), pick(x["w"], s["word"]).alias("word"), x["w"].alias("w"), run.alias("c"), first.alias("f"))
+
+    return F.aggregate(at, start, step, lambda s: s["word"])
+
+
 def top_keyword(c: Column) -> Column:
     """The most frequent keyword, the first among equals; null without one."""
-    words = _keywords(c)
-    counted = F.transform(F.array_distinct(words), lambda w: F.struct((-F.size(F.filter(words, lambda x: x == w))).alias("n"), F.array_position(words, w).alias("at"), w.alias("word")))
-    return F.try_element_at(F.array_sort(counted), F.lit(1))["word"]
+    return _most_frequent(_keywords(c))
 
 
 def keyword_findings(texts: DataFrame) -> DataFrame:
@@ -127,6 +167,7 @@ def spelling_findings(results: DataFrame, least: int = SPELLING_ERRORS) -> DataF
     """results: (url, error, matches array<struct<rule_id, message, excerpt, suggestions>>)."""
     rows = results.filter((F.col("error").isNull() | (F.col("error") == "")) & (F.size("matches") >= least))
     ids = F.transform("matches", lambda m: m["rule_id"])
+    # rules times matches: a service is sent a few thousand characters of a page and names some dozen rules
     counted = F.transform(F.array_distinct(ids), lambda r: F.struct((-F.size(F.filter(ids, lambda x: x == r))).alias("n"), F.array_position(ids, r).alias("at"), r.alias("id")))
     examples = F.transform(F.slice("matches", 1, SHOWN), lambda m: F.struct(m["rule_id"].alias("rule_id"), m["message"].alias("message"), m["excerpt"].alias("excerpt"), F.slice(m["suggestions"], 1, 3).alias("suggestions")))
     data = payload(count=F.size("matches"), min_errors=F.lit(least), top_rules=F.transform(F.slice(F.array_sort(counted), 1, SHOWN), lambda x: x["id"]), examples=examples)

@@ -24,60 +24,60 @@ class Rule:
 
 
 #: rule_id, category, severity, weight (fixed values), description.
-_CATALOGUE = """
-meta.title.missing|tech_meta|critical|3.0|The page has no title
-meta.title.empty|tech_meta|critical|3.0|The title holds no text
-meta.title.too_short|tech_meta|important|1.5|The title is shorter than 30 characters
-meta.title.too_long|tech_meta|important|1.5|The title is longer than 65 characters
-meta.title.duplicate|tech_meta|important|2.0|Several pages share the title
-meta.description.missing|tech_meta|important|2.0|The page has no description
-meta.description.too_long|tech_meta|tip|1.0|The description is longer than 160 characters
-meta.description.too_short|tech_meta|tip|1.0|The description is shorter than 70 characters
-meta.description.duplicate|tech_meta|important|2.0|Several pages share the description
-heading.h1.missing|tech_meta|critical|2.5|The page has no top heading
-heading.h1.multiple|tech_meta|important|1.5|The page has more than one top heading
-content.image.alt_missing|tech_meta|important|1.0|Images lack an alternative text
-tech.response_time.slow|tech_meta|important|1.5|The answer took over 1500 ms
-tech.response_time.medium|tech_meta|tip|0.5|The answer took over 500 ms
-tech.language.missing|tech_meta|tip|1.0|The page declares no language
-tech.html.too_large|tech_meta|tip|1.0|The page is larger than a million bytes
-tech.charset.missing|tech_meta|tip|0.5|The page declares no character set
-tech.compression.missing|tech_meta|tip|0.5|The answer was not compressed
-heading.hierarchy.skipped|tech_meta|tip|0.5|A heading level is left out
-url.too_long|tech_meta|tip|0.5|The URL is longer than 115 characters
-url.too_deep|tech_meta|tip|0.5|The URL has more than 4 path segments
-url.dynamic_params|tech_meta|tip|0.3|The URL has query parameters
-url.session_id|tech_meta|important|1.5|The URL carries a session
-tech.fetch.failed|tech_meta|critical|3.0|The page could not be fetched
-tech.fetch.http_error|tech_meta|critical|3.0|The page answered with an error
-meta.robots.noindex|tech_meta|tip|0.5|The page asks not to be indexed
-tech.resource.broken|tech_meta|important|1.0|An embedded resource answers with an error
-tech.resource.unreachable|tech_meta|important|1.0|An embedded resource does not answer
-tech.resource.mixed_content|tech_meta|important|1.5|A secure page embeds an insecure resource
-structure.depth.deep|structure|tip|0.5|The page is 3 or 4 clicks away
-structure.depth.very_deep|structure|important|1.0|The page is 5 or more clicks away
-structure.inlinks.none|structure|important|1.5|No page links to this page
-structure.outlinks.none|structure|tip|0.5|The page links nowhere
-structure.outlinks.many|structure|tip|0.5|The page has more than 100 links
-structure.anchor.generic|structure|tip|0.5|A link text says nothing about its target
-structure.anchor.ambiguous|structure|important|1.0|One link text leads to different targets
-structure.canonical.cross_domain|structure|important|1.5|The canonical URL is on another site
-structure.canonical.mismatch|structure|tip|0.5|The canonical URL is another page
-structure.redirect.long_chain|structure|important|1.0|More than two redirects lead to the page
-structure.redirect.loop|structure|critical|2.0|Redirects run in a circle
-structure.external_link.broken|structure|important|1.0|An external link answers with an error
-structure.external_link.unreachable|structure|important|1.0|An external link does not answer
-structure.sitemap.in_sitemap_only|structure|important|1.0|A sitemap names a page that the crawl lacks
-structure.sitemap.in_crawl_only|structure|tip|0.5|The crawl has a page that no sitemap names
-content.thin|content|important|1.5|The main text has fewer than 100 words
-content.duplicate.page|content|critical|2.5|Several pages share the main text
-content.duplicate.near|content|important|1.5|The main text resembles another page's
-content.block.repeated|content|tip|0.5|A block of text stands on more than 3 pages
-content.keyword.title_not_in_body|content|important|1.0|The title's keyword is not in the text
-content.keyword.h1_not_in_body|content|important|1.0|The heading's keyword is not in the text
-content.keyword.cannibalization|content|important|1.5|Pages compete for a keyword
-content.spelling.errors|content|tip|0.5|The text has spelling errors
-"""
+_CATALOGUE = (
+    ("meta.title.missing", "tech_meta", "critical", 3.0, "The page has no title"),
+    ("meta.title.empty", "tech_meta", "critical", 3.0, "The title holds no text"),
+    ("meta.title.too_short", "tech_meta", "important", 1.5, "The title is shorter than 30 characters"),
+    ("meta.title.too_long", "tech_meta", "important", 1.5, "The title is longer than 65 characters"),
+    ("meta.title.duplicate", "tech_meta", "important", 2.0, "Several pages share the title"),
+    ("meta.description.missing", "tech_meta", "important", 2.0, "The page has no description"),
+    ("meta.description.too_long", "tech_meta", "tip", 1.0, "The description is longer than 160 characters"),
+    ("meta.description.too_short", "tech_meta", "tip", 1.0, "The description is shorter than 70 characters"),
+    ("meta.description.duplicate", "tech_meta", "important", 2.0, "Several pages share the description"),
+    ("heading.h1.missing", "tech_meta", "critical", 2.5, "The page has no top heading"),
+    ("heading.h1.multiple", "tech_meta", "important", 1.5, "The page has more than one top heading"),
+    ("content.image.alt_missing", "tech_meta", "important", 1.0, "Images lack an alternative text"),
+    ("tech.response_time.slow", "tech_meta", "important", 1.5, "The answer took over 1500 ms"),
+    ("tech.response_time.medium", "tech_meta", "tip", 0.5, "The answer took over 500 ms"),
+    ("tech.language.missing", "tech_meta", "tip", 1.0, "The page declares no language"),
+    ("tech.html.too_large", "tech_meta", "tip", 1.0, "The page is larger than a million bytes"),
+    ("tech.charset.missing", "tech_meta", "tip", 0.5, "The page declares no character set"),
+    ("tech.compression.missing", "tech_meta", "tip", 0.5, "The answer was not compressed"),
+    ("heading.hierarchy.skipped", "tech_meta", "tip", 0.5, "A heading level is left out"),
+    ("url.too_long", "tech_meta", "tip", 0.5, "The URL is longer than 115 characters"),
+    ("url.too_deep", "tech_meta", "tip", 0.5, "The URL has more than 4 path segments"),
+    ("url.dynamic_params", "tech_meta", "tip", 0.3, "The URL has query parameters"),
+    ("url.session_id", "tech_meta", "important", 1.5, "The URL carries a session"),
+    ("tech.fetch.failed", "tech_meta", "critical", 3.0, "The page could not be fetched"),
+    ("tech.fetch.http_error", "tech_meta", "critical", 3.0, "The page answered with an error"),
+    ("meta.robots.noindex", "tech_meta", "tip", 0.5, "The page asks not to be indexed"),
+    ("tech.resource.broken", "tech_meta", "important", 1.0, "An embedded resource answers with an error"),
+    ("tech.resource.unreachable", "tech_meta", "important", 1.0, "An embedded resource does not answer"),
+    ("tech.resource.mixed_content", "tech_meta", "important", 1.5, "A secure page embeds an insecure resource"),
+    ("structure.depth.deep", "structure", "tip", 0.5, "The page is 3 or 4 clicks away"),
+    ("structure.depth.very_deep", "structure", "important", 1.0, "The page is 5 or more clicks away"),
+    ("structure.inlinks.none", "structure", "important", 1.5, "No page links to this page"),
+    ("structure.outlinks.none", "structure", "tip", 0.5, "The page links nowhere"),
+    ("structure.outlinks.many", "structure", "tip", 0.5, "The page has more than 100 links"),
+    ("structure.anchor.generic", "structure", "tip", 0.5, "A link text says nothing about its target"),
+    ("structure.anchor.ambiguous", "structure", "important", 1.0, "One link text leads to different targets"),
+    ("structure.canonical.cross_domain", "structure", "important", 1.5, "The canonical URL is on another site"),
+    ("structure.canonical.mismatch", "structure", "tip", 0.5, "The canonical URL is another page"),
+    ("structure.redirect.long_chain", "structure", "important", 1.0, "More than two redirects lead to the page"),
+    ("structure.redirect.loop", "structure", "critical", 2.0, "Redirects run in a circle"),
+    ("structure.external_link.broken", "structure", "important", 1.0, "An external link answers with an error"),
+    ("structure.external_link.unreachable", "structure", "important", 1.0, "An external link does not answer"),
+    ("structure.sitemap.in_sitemap_only", "structure", "important", 1.0, "A sitemap names a page that the crawl lacks"),
+    ("structure.sitemap.in_crawl_only", "structure", "tip", 0.5, "The crawl has a page that no sitemap names"),
+    ("content.thin", "content", "important", 1.5, "The main text has fewer than 100 words"),
+    ("content.duplicate.page", "content", "critical", 2.5, "Several pages share the main text"),
+    ("content.duplicate.near", "content", "important", 1.5, "The main text resembles another page's"),
+    ("content.block.repeated", "content", "tip", 0.5, "A block of text stands on more than 3 pages"),
+    ("content.keyword.title_not_in_body", "content", "important", 1.0, "The title's keyword is not in the text"),
+    ("content.keyword.h1_not_in_body", "content", "important", 1.0, "The heading's keyword is not in the text"),
+    ("content.keyword.cannibalization", "content", "important", 1.5, "Pages compete for a keyword"),
+    ("content.spelling.errors", "content", "tip", 0.5, "The text has spelling errors"),
+)
 RULES: dict[str, Rule] = {}
 
 
@@ -90,9 +90,8 @@ def register(rule: Rule) -> Rule:
     return rule
 
 
-for _line in _CATALOGUE.strip().splitlines():
-    _id, _category, _severity, _weight, _description = _line.split("|")
-    register(Rule(_id, _category, _severity, float(_weight), _description))
+for _row in _CATALOGUE:
+    register(Rule(*_row))
 
 #: Rules of others: functions from the crawled pages to rows (page_url, payload).
 EXTENSIONS: dict[str, Callable[[DataFrame], DataFrame]] = {}

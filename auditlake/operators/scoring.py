@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from auditlake.operators.registry import CATEGORIES, MULTIPLIER, rules_frame
 
 
-def category_scores(findings: DataFrame, pages: int) -> DataFrame:
-    """(category, load, capacity, score), a row for each category; findings without a registered rule weigh nothing."""
+def category_scores(findings: DataFrame, pages: DataFrame) -> DataFrame:
+    """(category, load, capacity, score), a row for each category; findings without a registered rule weigh nothing.
+
+    pages: the HTML pages that findings are weighed against, counted in the same plan.
+    """
     multiplier = F.create_map(*[F.lit(x) for kv in MULTIPLIER.items() for x in kv])
     rules = rules_frame(findings.sparkSession)
     weighed = rules.select("rule_id", F.col("category"), (F.col("weight") * multiplier[F.col("severity")]).alias("w"))
     counts = findings.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
     load = weighed.join(counts, "rule_id", "left").groupBy("category").agg(F.sum(F.coalesce(F.col("n"), F.lit(0)) * F.col("w")).alias("load"))
-    most = rules.filter(F.col("category").isin(*CATEGORIES)).groupBy("category").agg((F.sum("weight") * 1.5 * pages).alias("capacity"))
+    # one row, so that each category gets it by an equal key
+    evaluated = pages.agg(F.count(F.lit(1)).alias("pages")).withColumn("one", F.lit(1))
+    most = rules.filter(F.col("category").isin(*CATEGORIES)).groupBy("category").agg((F.sum("weight") * 1.5).alias("most")).withColumn("one", F.lit(1))
+    most = most.join(F.broadcast(evaluated), "one").select("category", (F.col("most") * F.col("pages")).alias("capacity"))
     score = F.when(F.col("capacity") > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(100 * (1 - F.col("load") / F.col("capacity")), 2)))).otherwise(100.0)
     return load.join(most, "category").select("category", "load", "capacity", score.alias("score"))
 

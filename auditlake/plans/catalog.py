@@ -14,7 +14,8 @@ from auditlake.operators import content, scoring, structure, tech
 from auditlake.operators.registry import RULES, rules_frame
 from auditlake.plans import audit, compare, issues, oracles, projects, store
 from auditlake.sources import fixtures, frontier, robots, sitemaps, spelling
-from auditlake.sources.fixtures import BASE_URL, crawl, document_pages, table
+from auditlake.sources.fixtures import BASE_URL, crawl, document_pages, stored_crawl, table
+from auditlake.storage import once
 
 Query = Callable[[SparkSession, str], DataFrame]
 NOW = datetime(2024, 1, 1)
@@ -29,38 +30,42 @@ def _texts(s: SparkSession, d: str) -> DataFrame:
     return content.with_text(document_pages(s, d))
 
 
-def _spelling_results(s: SparkSession, d: str) -> DataFrame:
-    """Made matches: doc_id % 9 of them, an error for each 13th document."""
-    i = F.col("doc_id")
+def _spelling_results(rows: DataFrame) -> DataFrame:
+    """Made matches of rows (i, url): i % 9 of them, an error for each 13th."""
+    i = F.col("i")
     one = lambda k: F.struct(F.concat(F.lit("R"), (k % 3).cast("string")).alias("rule_id"), F.concat(F.lit("m"), k.cast("string")).alias("message"), F.concat(F.lit("e"), i.cast("string")).alias("excerpt"), F.array(*map(F.lit, "abcde")).alias("suggestions"))
     matches = F.when(i % 9 == 0, F.array().cast("array<struct<rule_id:string,message:string,excerpt:string,suggestions:array<string>>>")).otherwise(F.transform(F.sequence(F.lit(0), (i % 9).cast("int") - 1), one))
-    return table(s, d, "documents").select(F.concat(F.lit("https://x.example/"), i.cast("string")).alias("url"), F.when(i % 13 == 0, "down").alias("error"), matches.alias("matches"))
+    return rows.select("url", F.when(i % 13 == 0, "down").alias("error"), matches.alias("matches"))
+
+
+def _spelled_documents(s: SparkSession, d: str) -> DataFrame:
+    return _spelling_results(table(s, d, "documents").select(F.col("doc_id").alias("i"), F.concat(F.lit("https://x.example/"), F.col("doc_id").cast("string")).alias("url")))
 
 
 def _group(rule_id: str) -> Query:
     """The findings of one rule."""
     if rule_id in oracles.PAGE_RULES:
-        f: Query = lambda s, d: tech.page_findings(crawl(s, d))
+        f: Query = lambda s, d: tech.page_findings(stored_crawl(s, d))
     elif rule_id.endswith("title.duplicate") or rule_id.endswith("description.duplicate"):
-        f = lambda s, d: tech.duplicate_findings(crawl(s, d))
+        f = lambda s, d: tech.duplicate_findings(stored_crawl(s, d))
     elif rule_id.startswith("tech.resource"):
-        f = lambda s, d: tech.resource_findings(p := crawl(s, d), fixtures.statuses(tech.resources(p)))
+        f = lambda s, d: tech.resource_findings(p := stored_crawl(s, d), fixtures.statuses(tech.resources(p)))
     elif rule_id.startswith("structure.depth"):
-        f = lambda s, d: structure.depth_findings(crawl(s, d))
+        f = lambda s, d: structure.depth_findings(stored_crawl(s, d))
     elif rule_id.startswith("structure.inlinks"):
-        f = lambda s, d: structure.orphan_findings(crawl(s, d))
+        f = lambda s, d: structure.orphan_findings(stored_crawl(s, d))
     elif rule_id.startswith("structure.outlinks"):
-        f = lambda s, d: structure.outlink_findings(crawl(s, d))
+        f = lambda s, d: structure.outlink_findings(stored_crawl(s, d))
     elif rule_id.startswith("structure.anchor"):
-        f = lambda s, d: structure.anchor_findings(crawl(s, d))
+        f = lambda s, d: structure.anchor_findings(stored_crawl(s, d))
     elif rule_id.startswith("structure.canonical"):
-        f = lambda s, d: structure.canonical_findings(crawl(s, d), BASE_URL)
+        f = lambda s, d: structure.canonical_findings(stored_crawl(s, d), BASE_URL)
     elif rule_id.startswith("structure.redirect"):
-        f = lambda s, d: structure.redirect_findings(crawl(s, d))
+        f = lambda s, d: structure.redirect_findings(stored_crawl(s, d))
     elif rule_id.startswith("structure.external"):
-        f = lambda s, d: structure.external_findings(p := crawl(s, d), fixtures.statuses(structure.edges(p).filter("not is_internal").select(F.col("target_url").alias("url"))))
+        f = lambda s, d: structure.external_findings(p := stored_crawl(s, d), fixtures.statuses(structure.edges(p).filter("not is_internal").select(F.col("target_url").alias("url"))))
     elif rule_id.startswith("structure.sitemap"):
-        f = lambda s, d: structure.sitemap_findings(p := crawl(s, d), _sitemap_urls(p), BASE_URL)
+        f = lambda s, d: structure.sitemap_findings(p := stored_crawl(s, d), _sitemap_urls(p), BASE_URL)
     else:
         f = {
             "content.thin": lambda s, d: content.thin_findings(_texts(s, d)),
@@ -70,23 +75,28 @@ def _group(rule_id: str) -> Query:
             "content.keyword.title_not_in_body": lambda s, d: content.keyword_findings(_texts(s, d)),
             "content.keyword.h1_not_in_body": lambda s, d: content.keyword_findings(_texts(s, d)),
             "content.keyword.cannibalization": lambda s, d: content.cannibalization_findings(_texts(s, d)),
-            "content.spelling.errors": lambda s, d: content.spelling_findings(_spelling_results(s, d)),
+            "content.spelling.errors": lambda s, d: content.spelling_findings(_spelled_documents(s, d)),
         }[rule_id]
     return lambda s, d: f(s, d).filter(F.col("rule_id") == rule_id)
 
 
-def _issues(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(crawled pages, stored issues): all findings of the audit, numbered."""
-    pages = frontier.settled(crawl(s, d))
+def _audited(s: SparkSession, d: str) -> DataFrame:
+    """The findings of all 52 rules on the crawled pages, with page ids, numbered."""
+    pages = stored_crawl(s, d)
     external = structure.edges(pages).filter("not is_internal").select(F.col("target_url").alias("url"))
-    found = audit.audit(pages, BASE_URL, fixtures.statuses(external), fixtures.statuses(tech.resources(pages)), _sitemap_urls(pages), _spelling_results(s, d))
-    rows = issues.numbered(frontier.settled(issues.with_page_ids(found, fixtures.fetched(s, d))))
-    return pages, rows
+    spelled = _spelling_results(pages.filter("is_html").select(F.col("page_id").alias("i"), "url"))
+    found = audit.audit(pages, BASE_URL, fixtures.statuses(external), fixtures.statuses(tech.resources(pages)), _sitemap_urls(pages), spelled)
+    return issues.numbered(issues.with_page_ids(found, pages))
+
+
+def _issues(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(crawled pages, stored issues): a session audits a crawl once, and its queries read what was stored."""
+    return stored_crawl(s, d), once(s, ("audit", d), lambda: _audited(s, d))
 
 
 def _scores(s: SparkSession, d: str) -> DataFrame:
     pages, rows = _issues(s, d)
-    return scoring.category_scores(rows, pages.filter("is_html").count())
+    return scoring.category_scores(rows, pages.filter("is_html"))
 
 
 def _projects(s: SparkSession, d: str) -> DataFrame:
@@ -101,31 +111,31 @@ def _crawls(s: SparkSession, d: str) -> DataFrame:
 
 
 def page_titles(s, d):
-    return crawl(s, d).filter("is_html").select("url", "title", F.length("title").cast("long").alias("n"))
+    return stored_crawl(s, d).filter("is_html").select("url", "title", F.length("title").cast("long").alias("n"))
 
 
 def page_headings(s, d):
-    return crawl(s, d).filter("is_html").select("url", "h1_count", F.array_join(F.array_sort(F.map_keys("headings")), ",").alias("levels"))
+    return stored_crawl(s, d).filter("is_html").select("url", "h1_count", F.array_join(F.array_sort(F.map_keys("headings")), ",").alias("levels"))
 
 
 def page_facts(s, d):
-    return crawl(s, d).filter("is_html").select("url", "language", "charset", "meta_description", "meta_robots", "canonical_url", "content_hash", F.col("html_size").cast("long").alias("html_size"), store.indexable().alias("is_indexable"))
+    return stored_crawl(s, d).filter("is_html").select("url", "language", "charset", "meta_description", "meta_robots", "canonical_url", "content_hash", F.col("html_size").cast("long").alias("html_size"), store.indexable().alias("is_indexable"))
 
 
 def page_links(s, d):
-    return structure.edges(crawl(s, d)).drop("rel")
+    return structure.edges(stored_crawl(s, d)).drop("rel")
 
 
 def page_images(s, d):
-    return store.images_table(crawl(s, d).filter("is_html")).select("page_id", "src", "has_alt")
+    return store.images_table(stored_crawl(s, d).filter("is_html")).select("page_id", "src", "has_alt")
 
 
 def page_resources(s, d):
-    return tech.resources(crawl(s, d)).select("page_url", "url", "resource_type")
+    return tech.resources(stored_crawl(s, d)).select("page_url", "url", "resource_type")
 
 
 def page_text_stats(s, d):
-    return crawl(s, d).filter("is_html").select("page_id", "word_count", "text_excerpt", "main_word_count", "strong_count", "bold_count")
+    return stored_crawl(s, d).filter("is_html").select("page_id", "word_count", "text_excerpt", "main_word_count", "strong_count", "bold_count")
 
 
 def main_content(s, d):
@@ -176,12 +186,12 @@ def issue_list(s, d):
 
 def page_list_with_issues(s, d):
     pages, rows = _issues(s, d)
-    return issues.list_pages(pages, rows.filter("rule_id like 'tech.response%'"), has_issues=True).select("page_id", "url", "depth")
+    return issues.list_pages(pages, rows, has_issues=True).select("page_id", "url", "depth")
 
 
 def page_list_without_issues(s, d):
     pages, rows = _issues(s, d)
-    return issues.list_pages(pages, rows.filter("rule_id like 'tech.response%'"), has_issues=False).select("page_id", "url", "depth")
+    return issues.list_pages(pages, issues.matching_issues(rows, severity="critical"), has_issues=False).select("page_id", "url", "depth")
 
 
 def page_list_not_in_nulls(s, d):
@@ -258,12 +268,13 @@ def crawl_bfs(s, d):
     place = lambda c: F.concat(F.lit("https://s.example/"), c.cast("string"))
     targets = F.array(*[x % n for x in (F.col("page_id") * 2 + 1, F.col("page_id") * 2 + 2, F.col("page_id") * 7)])
     edges = p.filter(F.col("page_id") < n).select(place(F.col("page_id")).alias("source_url"), F.posexplode(targets).alias("position", "t")).select("source_url", place(F.col("t")).alias("target_url"), "position")
-    return frontier.crawl_order(edges, "https://s.example/0", max_pages=1 << 30).select("url", "depth")
+    # the levels of these links grow with log2(n); the walk ends where a level is empty
+    return frontier.crawl_order(edges, "https://s.example/0", max_pages=1 << 40, max_depth=1 << 20).select("url", "depth")
 
 
 def crawl_totals(s, d):
     ok = F.col("fetch_error").isNull() & F.col("status_code").between(200, 399)
-    return fixtures.fetched(s, d).agg(F.count(F.lit(1)).alias("pages_seen"), F.count_if(ok).alias("pages_fetched"))
+    return stored_crawl(s, d).agg(F.count(F.lit(1)).alias("pages_seen"), F.count_if(ok).alias("pages_fetched"))
 
 
 def spelling_languages(s, d):

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.operators.registry import CATEGORIES, SEVERITIES, rules_frame
+from auditlake.storage import materialize
 
 CSV_HEADER = ("issue_id", "rule_id", "category", "severity", "page_url", "page_id", "payload", "created_at")
 
@@ -21,30 +22,45 @@ def with_page_ids(findings: DataFrame, pages: DataFrame) -> DataFrame:
     return findings.join(last, "page_url", "left")
 
 
+#: Bits that number a row inside its partition in monotonically_increasing_id.
+_INSIDE = (1 << 33) - 1
+
+
 def numbered(issues: DataFrame) -> DataFrame:
-    """issues with id: 1, 2, ... in order of rule, URL and payload, by ranges, not in one task."""
+    """issues with id: 1, 2, ... in order of rule, URL and payload, by ranges, not in one task.
+
+    Partition and place are written with the rows before anything counts them, so ids follow the
+    rows as written, however a later plan is partitioned and whatever is run again.
+    """
     ranged = issues.repartitionByRange("rule_id", "page_url", "payload").sortWithinPartitions("rule_id", "page_url", "payload")
-    rows = ranged.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
-    inside = Window.partitionBy("__part").orderBy("__at")
-    rows = rows.withColumn("__n", F.row_number().over(inside))
+    rows = materialize(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "issues")
     sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("size"))
+    # one row for each partition
     before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.join(before.drop("size"), "__part").select((F.col("before") + F.col("__n")).cast("long").alias("id"), *issues.columns)
+    return rows.join(before.drop("size"), "__part").select((F.col("before") + F.col("__at").bitwiseAND(F.lit(_INSIDE)) + 1).cast("long").alias("id"), *issues.columns)
 
 
-def list_issues(issues: DataFrame, severity: str | None = None, category: str | None = None, rule_id: str | None = None, page_id: int | None = None, q: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page of the issues, tips first, then by id; q is a pattern part for rule ids, with % and _ as in LIKE."""
+def matching_issues(issues: DataFrame, severity: str | None = None, category: str | None = None, rule_id: str | None = None, page_id: int | None = None, q: str | None = None) -> DataFrame:
+    """The issues that a list is of; q is a pattern part for rule ids, with % and _ as in LIKE."""
     x = issues
     for column, value in (("severity", severity), ("category", category), ("rule_id", rule_id), ("page_id", page_id)):
         if value is not None:
             x = x.filter(F.col(column) == value)
-    if q:
-        x = x.filter(F.lower("rule_id").like(f"%{q.lower()}%"))
-    return x.orderBy(F.desc("severity"), "id").offset(offset).limit(min(limit, 500))
+    return x.filter(F.lower("rule_id").like(f"%{q.lower()}%")) if q else x
+
+
+def list_issues(issues: DataFrame, limit: int = 50, offset: int = 0, **filters) -> DataFrame:
+    """A page of the matching issues, tips first, then by id."""
+    return matching_issues(issues, **filters).orderBy(F.desc("severity"), "id").offset(offset).limit(min(limit, 500))
 
 
-def list_pages(pages: DataFrame, issues: DataFrame, has_issues: bool | None = None, status_code: int | None = None, limit: int = 100, offset: int = 0, strict_null: bool = True) -> DataFrame:
-    """A page of the pages by depth and id. Without issues: with strict_null none is listed if an issue has no page, as NOT IN has it."""
+def total(rows: DataFrame) -> DataFrame:
+    """(total): how many rows a list has in all its pages."""
+    return rows.agg(F.count(F.lit(1)).alias("total"))
+
+
+def matching_pages(pages: DataFrame, issues: DataFrame, has_issues: bool | None = None, status_code: int | None = None, strict_null: bool = True) -> DataFrame:
+    """The pages that a list is of. Without issues: with strict_null none is if an issue has no page, as NOT IN has it."""
     x = pages
     known = issues.select("page_id").distinct()
     if has_issues:
@@ -53,9 +69,12 @@ def list_pages(pages: DataFrame, issues: DataFrame, has_issues: bool | None = No
         x = x.join(known.filter("page_id is not null"), "page_id", "left_anti")
         if strict_null:
             x = x.join(F.broadcast(issues.filter("page_id is null").select(F.lit(1).alias("__any")).limit(1)), F.lit(True), "left_anti")
-    if status_code is not None:
-        x = x.filter(F.col("status_code") == status_code)
-    return x.orderBy(F.asc_nulls_last("depth"), "page_id").offset(offset).limit(min(limit, 500))
+    return x if status_code is None else x.filter(F.col("status_code") == status_code)
+
+
+def list_pages(pages: DataFrame, issues: DataFrame, limit: int = 100, offset: int = 0, **filters) -> DataFrame:
+    """A page of the matching pages by depth and id."""
+    return matching_pages(pages, issues, **filters).orderBy(F.asc_nulls_last("depth"), "page_id").offset(offset).limit(min(limit, 500))
 
 
 def page_detail(pages: DataFrame, issues: DataFrame) -> DataFrame:

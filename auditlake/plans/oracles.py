@@ -30,14 +30,15 @@ h5 AS (SELECT * REPLACE (replace(replace(h, '</head>',
     || CASE WHEN p % 3 = 0 THEN '<a href="' || raw || '">self</a>' ELSE '' END
     || '<a rel="nofollow" href="https://extern.example.org/' || repeat('e', (p % 5)::INT) || (p % 30) || '">Partner</a>'
     || CASE WHEN p % 25 = 0 THEN repeat('<a href="/many">many</a>', 101) ELSE '' END) AS h) FROM h4),
-h6 AS (SELECT * REPLACE (CASE WHEN p % 21 = 0 THEN replace(h, '<a ', '<i ') ELSE h END AS h) FROM h5),
+h5b AS (SELECT * REPLACE (CASE WHEN p % 97 = 3 THEN h || '<!--' || repeat('x', 1000000) || '-->' ELSE h END AS h) FROM h5),
+h6 AS (SELECT * REPLACE (CASE WHEN p % 21 = 0 THEN replace(h, '<a ', '<i ') ELSE h END AS h) FROM h5b),
 facts AS (SELECT *,
     CASE p % 20 WHEN 5 THEN 404 WHEN 6 THEN 500 ELSE 200 END AS status_code, CASE WHEN p % 23 = 0 THEN 'timeout' END AS fetch_error, (p * 37 % 2000)::INT AS ms,
     CASE p % 4 WHEN 1 THEN 'gzip' WHEN 2 THEN 'identity' WHEN 3 THEN 'br, GZIP' END AS encoding, (p % 7)::INT AS depth,
     CASE WHEN p % 11 = 0 THEN [url || '?a', url || '?b', url || '?c'] WHEN p % 13 = 0 THEN [url, url || '?x'] ELSE []::VARCHAR[] END AS chain,
     regexp_extract(url, '^(https?://[^/]*)', 1) AS origin FROM h6),
 crawl AS (SELECT *, fetch_error IS NULL AND status_code < 400 AS is_html,
-    nullif(trim(replace(replace(replace(regexp_extract(h, '<title>(.*?)</title>', 1), '&quot;', '"'), '&amp;', '&'), '&amp', '&')), '') AS title,
+    CASE WHEN p % 29 = 2 THEN '  ' ELSE nullif(trim(replace(replace(replace(regexp_extract(h, '<title>(.*?)</title>', 1), '&quot;', '"'), '&amp;', '&'), '&amp', '&')), '') END AS title,
     CASE p % 5 WHEN 1 THEN 'Short ' || (p % 50) WHEN 2 THEN trim(repeat('Long words here ', 12)) WHEN 3 THEN repeat('Fitting ', 12) || p WHEN 4 THEN '' END AS description,
     CASE p % 9 WHEN 0 THEN 'NoIndex, nofollow' WHEN 1 THEN 'index,follow' END AS robots,
     CASE p % 6 WHEN 0 THEN url WHEN 1 THEN 'https://other.example.org/c' WHEN 2 THEN 'https://audit.example/c/' || p END AS canonical,
@@ -46,6 +47,36 @@ crawl AS (SELECT *, fetch_error IS NULL AND status_code < 400 AS is_html,
     CASE p % 8 WHEN 0 THEN ['/i/2.png'] WHEN 1 THEN ['https://cdn.example.net/p.png'] ELSE []::VARCHAR[] END AS no_alt,
     octet_length(encode(h)) AS bytes FROM facts)"""
 
+
+
+def _plain(c: str) -> str:
+    """The text c without references."""
+    for name, sign in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"), ("&amp", "&")):
+        c = f"replace({c}, '{name}', '{sign}')"
+    return c
+
+
+_INLINE_TAG, _BREAK_TAG = "</?(b|i|a|strong|em|span|code)( [^>]*)?>", "</?(p|br|div|li|ul|ol|h[1-6]|tr|table|section|blockquote|pre|hr|dt|dd)( [^>]*)?>"
+
+
+def _main_text(h: str) -> str:
+    """Lines of the article of a test page, white space collapsed."""
+    text = _plain(f"regexp_replace(regexp_replace(regexp_extract({h}, '<article>(.*?)</article>', 1, 's'), '{_BREAK_TAG}', chr(10), 'g'), '<[^>]*>', '', 'g')")
+    return rf"array_to_string(list_filter(list_transform(string_split({text}, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10))"
+
+
+def _visible(h: str) -> str:
+    """What a test page shows, white space collapsed."""
+    text = f"regexp_extract({h}, '</head>(.*)$', 1, 's')"
+    for pattern, by in (("<(script|style)[^>]*>.*?</(script|style)>", " "), ("<!--.*?-->", ""), (_INLINE_TAG, ""), ("<[^>]*>", " ")):
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'gs')"
+    return rf"trim(regexp_replace({_plain(text)}, '\s+', ' ', 'g'))"
+
+
+def _n_words(c: str) -> str:
+    return rf"len(list_filter(regexp_split_to_array({c}, '\s+'), lambda x: x <> ''))"
+
+
 _EDGES = r"""
 links AS (SELECT p, url, origin, unnest(regexp_extract_all(h, '<a ([^>]*)>(.*?)</a>', 1)) AS attributes, unnest(regexp_extract_all(h, '<a ([^>]*)>(.*?)</a>', 2)) AS inner_text FROM crawl WHERE is_html),
 refs AS (SELECT *, regexp_extract(attributes, 'href="([^"]*)"', 1) AS href FROM links),
@@ -81,7 +112,7 @@ PAGE_RULES = {
     "tech.response_time.medium": ("fetch_error IS NULL AND ms > 500 AND ms <= 1500", "{'ms': ms, 'threshold': 500}"),
     "meta.title.missing": (f"{_PAGE} AND title IS NULL", None),
     "meta.title.empty": (f"{_PAGE} AND trim(title) = ''", None),
-    "meta.title.too_short": (f"{_PAGE} AND length(title) < 30", "{'length': length(title), 'min': 30}"),
+    "meta.title.too_short": (f"{_PAGE} AND trim(title) <> '' AND length(title) < 30", "{'length': length(title), 'min': 30}"),
     "meta.title.too_long": (f"{_PAGE} AND length(title) > 65", "{'length': length(title), 'max': 65}"),
     "meta.description.missing": (f"{_PAGE} AND coalesce(description, '') = ''", None),
     "meta.description.too_short": (f"{_PAGE} AND description <> '' AND length(description) < 70", "{'length': length(description), 'min': 70}"),
@@ -157,6 +188,10 @@ _TOP = f"""t AS (SELECT url, w, min(i) AS place, count(*) AS n FROM (SELECT url,
 k AS (SELECT url, w FROM t QUALIFY row_number() OVER (PARTITION BY url ORDER BY n DESC, place) = 1)"""
 _TOP_H1 = _TOP.replace("t AS", "t2 AS", 1).replace("k AS", "k2 AS", 1).replace("FROM t ", "FROM t2 ")
 
+#: The crawled pages in the shape of _DOCS.
+_CRAWL_DOCS = rf"""main AS (SELECT url, coalesce(title, '') AS title, trim({_plain("regexp_extract(h, '<h1>(.*?)</h1>', 1)")}) AS h1, {_main_text("h")} AS text FROM crawl WHERE is_html),
+docs AS (SELECT *, {_n_words("text")} AS words, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS digest FROM main WHERE text <> '')"""
+
 _CONTENT = {
     "content.thin": f"WITH {_DOCS} " + _row("content.thin", "url", "{'word_count': words, 'min': 100}", "FROM docs WHERE words < 100 AND text <> ''"),
     "content.duplicate.page": f"WITH {_DOCS}, e AS (SELECT * FROM docs WHERE words >= 50), g AS (SELECT digest, count(*) AS n, list_sort(list(url)) AS urls FROM e GROUP BY digest HAVING count(*) > 1) "
@@ -179,10 +214,17 @@ j AS (SELECT a, b, common / (x.n + y.n - common) AS similarity FROM o JOIN c x O
 
 RULE_SQL = {i: page_rule(i) for i in PAGE_RULES} | _PAGE_SETS | _CONTENT
 
-#: Stored issues: findings of single pages and of the sitemap, numbered.
-_ISSUES = f"""{_CRAWL}, {_SITEMAP}, found AS ({PAGE_FINDINGS} UNION ALL {_row("structure.sitemap.in_sitemap_only", "url", None, f"FROM (SELECT DISTINCT url FROM named WHERE {_SITE.format('url')} AND url NOT IN (SELECT url FROM crawl WHERE is_html))")}),
+def _inner(sql: str) -> str:
+    """The statement inside another that has crawl; rules on documents read the crawled pages there."""
+    return "(" + sql.replace(f"WITH {_CRAWL} ", "").replace(f"WITH {_CRAWL}, ", "WITH ").replace(_DOCS, _CRAWL_DOCS) + ")"
+
+
+#: Spelling results of the crawled pages, made as those of documents are.
+_PAGE_SPELLING = _CONTENT["content.spelling.errors"].replace("'https://x.example/' || doc_id AS url, doc_id, doc_id % 9 AS n FROM documents WHERE doc_id % 13 <> 0", "url, p AS doc_id, p % 9 AS n FROM crawl WHERE is_html AND p % 13 <> 0")
+_FOUND = [PAGE_FINDINGS, *(_inner(q) for q in _PAGE_SETS.values()), *(_inner(_PAGE_SPELLING if i == "content.spelling.errors" else q) for i, q in _CONTENT.items())]
+#: Stored issues: the findings of all rules, numbered.
+_ISSUES = f"""{_CRAWL}, found AS ({" UNION ALL ".join(f"SELECT page_url, rule_id, category, severity, payload FROM {q}" if q.startswith("(") else q for q in _FOUND)}),
 issues AS (SELECT row_number() OVER (ORDER BY rule_id, found.page_url, payload) AS id, found.*, crawl.page_id FROM found LEFT JOIN crawl ON crawl.url = found.page_url)"""
-_CHAINED = _ISSUES.replace("issues AS", "issues AS", 1)
 _RANK = "CASE severity WHEN 'critical' THEN 1 WHEN 'important' THEN 2 ELSE 3 END"
 _MULTIPLIER = "CASE severity " + " ".join(f"WHEN '{s}' THEN {m}::DOUBLE" for s, m in MULTIPLIER.items()) + " END"
 _SCORES = f"""{_RULES}, loads AS (SELECT category, sum(coalesce(n, 0) * weight * {_MULTIPLIER}) AS load, sum(weight) * 1.5::DOUBLE * (SELECT count(*) FROM crawl WHERE is_html) AS capacity FROM rules LEFT JOIN (SELECT rule_id, count(*) AS n FROM issues GROUP BY rule_id) USING (rule_id) GROUP BY category),
@@ -200,6 +242,8 @@ SQL = {
     "page_links": f"WITH {_CRAWL}, {_EDGES} SELECT source_url, target_url, anchor_text, is_internal, is_followed FROM edges",
     "page_images": f"WITH {_CRAWL} SELECT page_id, unnest(CASE p % 8 WHEN 0 THEN ['/i/1.png', '/i/2.png'] ELSE ['https://cdn.example.net/p.png'] END) AS src, unnest(CASE p % 8 WHEN 0 THEN [true, false] ELSE [false] END) AS has_alt FROM crawl WHERE is_html AND p % 8 IN (0, 1)",
     "page_resources": f"WITH {_CRAWL}, {_RESOURCES} SELECT page_url, url, kind AS resource_type FROM res",
+    "page_text_stats": rf"WITH {_CRAWL}, t AS (SELECT *, {_visible('h')} AS seen, {_main_text('h')} AS main FROM crawl WHERE is_html) SELECT page_id, len(regexp_extract_all(seen, '[\p{{L}}\p{{N}}_]+'))::INT AS word_count, substr(seen, 1, 500) AS text_excerpt, {_n_words('main')}::INT AS main_word_count, len(regexp_extract_all(h, '<strong>'))::INT AS strong_count, len(regexp_extract_all(h, '<b>'))::INT AS bold_count FROM t",
+    "main_content": f"SELECT page_id, main AS main_text, {_n_words('main')}::INT AS main_word_count FROM (SELECT page_id, {_main_text('html')} AS main FROM pages)",
     "content_blocks": r"SELECT DISTINCT doc_id, block FROM (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g')) AS block FROM documents) WHERE len(string_split(block, ' ')) >= 5",
     "url_parts": rf"SELECT page_id, regexp_replace(url, '#.*$', '') AS normalized, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, regexp_replace(regexp_extract(url, '^https?://([^/?#]*)', 1), '^www\.', '') = 'audit.example' AS same_site, {_DEPTH.replace('url', 'u')} AS depth, {_SESSION.replace('(url,', '(u,')} AS has_session_id, {_url(3).replace('(url', '(u')} <> '' AS has_params FROM (SELECT *, regexp_replace(url, '#.*$', '') AS u FROM pages)",
     "rule_catalog": f"WITH {_RULES} SELECT ord, rule_id, category, severity, weight FROM rules",
@@ -210,8 +254,8 @@ SQL = {
     "rule_summary": f"WITH {_ISSUES}, {_RULES} SELECT rule_id, rules.category, rules.severity, count(*) AS count, array_to_string(list_sort(list(id))[1:5], ',') AS example_ids FROM issues JOIN rules USING (rule_id) GROUP BY ALL",
     "rules_passing": f"WITH {_ISSUES}, {_RULES} SELECT rule_id, category FROM rules WHERE rule_id NOT IN (SELECT rule_id FROM issues)",
     "issue_list": f"WITH {_ISSUES} SELECT id, rule_id, severity, page_url FROM issues WHERE category = 'tech_meta' AND lower(rule_id) LIKE '%title%' ORDER BY severity DESC, id LIMIT 50 OFFSET 10",
-    "page_list_with_issues": f"WITH {_ISSUES} SELECT page_id, url, depth FROM crawl WHERE page_id IN (SELECT page_id FROM issues WHERE rule_id LIKE 'tech.response%') ORDER BY depth, page_id LIMIT 100",
-    "page_list_without_issues": f"WITH {_ISSUES} SELECT page_id, url, depth FROM crawl WHERE page_id NOT IN (SELECT page_id FROM issues WHERE rule_id LIKE 'tech.response%') ORDER BY depth, page_id LIMIT 100",
+    "page_list_with_issues": f"WITH {_ISSUES} SELECT page_id, url, depth FROM crawl WHERE page_id IN (SELECT page_id FROM issues) ORDER BY depth, page_id LIMIT 100",
+    "page_list_without_issues": f"WITH {_ISSUES} SELECT page_id, url, depth FROM crawl WHERE page_id NOT IN (SELECT page_id FROM issues WHERE severity = 'critical') ORDER BY depth, page_id LIMIT 100",
     "page_list_not_in_nulls": f"WITH {_ISSUES} SELECT page_id, url, depth FROM crawl WHERE page_id NOT IN (SELECT page_id FROM issues) ORDER BY depth, page_id LIMIT 100",
     "page_detail": f"WITH {_ISSUES}, {_EDGES}, {_RESOURCES} SELECT page_id, url, (SELECT count(*) FROM edges WHERE edges.p = crawl.p) AS n_links, (SELECT count(*) FROM res WHERE res.page_url = crawl.url) AS n_resources, (SELECT count(*) FROM issues WHERE issues.page_id = crawl.page_id) AS n_issues FROM crawl",
     "crawl_compare": f"WITH {_ISSUES}, a AS ({_crawls_of('0')} UNION ALL SELECT * FROM issues WHERE page_id IS NULL AND id % 2 = 0), b AS ({_crawls_of('1')} UNION ALL SELECT * FROM issues WHERE page_id IS NULL AND id % 2 = 1), x AS (SELECT rule_id, CASE WHEN page_id IS NOT NULL THEN page_url END AS page_url, severity, payload FROM a QUALIFY row_number() OVER (PARTITION BY rule_id, CASE WHEN page_id IS NOT NULL THEN page_url END ORDER BY id) = 1), y AS (SELECT rule_id, CASE WHEN page_id IS NOT NULL THEN page_url END AS page_url, severity, payload FROM b QUALIFY row_number() OVER (PARTITION BY rule_id, CASE WHEN page_id IS NOT NULL THEN page_url END ORDER BY id) = 1) "
@@ -221,10 +265,10 @@ SQL = {
     "scheduler_tick": "WITH p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 <> 0 THEN 60 * (c_custkey % 5 + 1) END AS every, CASE WHEN c_custkey % 7 <> 0 THEN TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (c_custkey % 48 - 24)::INT END AS next FROM customer), d AS (SELECT id, every, id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AS busy FROM p WHERE every IS NOT NULL AND next <= TIMESTAMP '2024-01-01') SELECT id AS project_id, CASE WHEN busy THEN 'skip' ELSE 'enqueue' END AS action, strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * every::INT, '%Y-%m-%d %H:%M:%S') AS next_at FROM d",
     "scheduler_tick_counts": "WITH p AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 48 <= 24), d AS (SELECT id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AS busy FROM p) SELECT count(*) FILTER (NOT busy) AS enqueued, count(*) FILTER (busy) AS skipped_in_flight, count(*) AS advanced FROM d",
     "compare_candidates": "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' AND o_custkey = 7 AND o_orderkey <> 100",
-    "sitemap_parse": r"SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, regexp_extract(url, '^(https?://[^/]*)', 1) || '/rel/' || page_id FROM pages WHERE page_id % 2 = 0",
+    "sitemap_parse": r"SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM pages UNION ALL SELECT page_id, regexp_extract(url, '^(https?://[^/]*)', 1) || '/rel/' || page_id FROM pages",
     "sitemap_walk": "SELECT 'https://s.example/' || (page_id % 10) || '/' || page_id AS url FROM pages WHERE page_id % 10 < 5",
     "robots_allowed": "SELECT page_id, NOT (page_id % 2 = 0 AND regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) LIKE '/fr/%' AND regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) NOT LIKE '/fr/1%') AS allowed FROM pages",
-    "crawl_bfs": "WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), e AS (SELECT page_id AS a, unnest([page_id * 2 + 1, page_id * 2 + 2, page_id * 7]) % n AS b FROM pages, n WHERE page_id < n), r AS (SELECT 0::BIGINT AS id, 0 AS depth UNION SELECT b, depth + 1 FROM r JOIN e ON a = id WHERE depth < 5) SELECT 'https://s.example/' || id AS url, min(depth)::INT AS depth FROM r GROUP BY id",
+    "crawl_bfs": "WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), e AS (SELECT page_id AS a, unnest([page_id * 2 + 1, page_id * 2 + 2, page_id * 7]) % n AS b FROM pages, n WHERE page_id < n), r AS (SELECT 0::BIGINT AS id, 0 AS depth UNION SELECT b, depth + 1 FROM r JOIN e ON a = id WHERE depth < (SELECT 2 + ceil(log2(n + 1)) FROM n)) SELECT 'https://s.example/' || id AS url, min(depth)::INT AS depth FROM r GROUP BY id",
     "crawl_totals": f"WITH {_CRAWL} SELECT count(*) AS pages_seen, count(*) FILTER (fetch_error IS NULL AND status_code BETWEEN 200 AND 399) AS pages_fetched FROM crawl",
     "spelling_languages": "SELECT doc_id, CASE lang WHEN 'de' THEN 'de-DE' WHEN 'en' THEN 'en-US' WHEN 'fr' THEN 'fr' WHEN 'es' THEN 'es' ELSE 'auto' END AS language FROM documents",
     "score_formats": "WITH s AS (SELECT c_custkey, CASE WHEN c_custkey % 11 <> 0 THEN (c_custkey % 101)::DOUBLE END AS score, (c_custkey % 21 - 10)::DOUBLE AS delta FROM customer) SELECT c_custkey, CASE WHEN score IS NULL THEN '—' ELSE score::INT || '%' END AS score, CASE WHEN score IS NULL THEN 'score-na' WHEN score >= 80 THEN 'score-good' WHEN score >= 60 THEN 'score-mid' ELSE 'score-bad' END AS class, CASE WHEN delta = 0 THEN '±0' WHEN delta > 0 THEN '+' || delta::INT ELSE (delta::INT)::VARCHAR END AS delta FROM s",

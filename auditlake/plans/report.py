@@ -1,7 +1,11 @@
-"""HTML reports of a crawl and of a comparison. What is collected is bounded by the number of rules."""
+"""HTML reports of a crawl and of a comparison.
+
+What a crawl's report collects is bounded by the number of rules; a comparison is streamed.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html import escape
 
 from pyspark.sql import DataFrame
@@ -62,15 +66,27 @@ def render(data: dict, title: str) -> str:
     return _page(title, "".join(out))
 
 
-def render_comparison(compared: DataFrame, title: str, shown: int = 500) -> str:
-    """New and resolved issues and the first of the persistent ones; at most ``shown`` of each are collected."""
-    out = []
-    for bucket, label, limit in (("new", "Neu", shown), ("resolved", "Behoben", shown), ("persistent", "Unverändert", PERSISTENT_SHOWN)):
-        rows = compared.filter(F.col("bucket") == bucket)
-        n = rows.count()
-        found = rows.limit(limit).collect()
-        out.append(f"<section><h2>{label} ({n})</h2><ul>" + "".join(f"<li>{escape(r['rule_id'])}: {escape(r['page_url'] or '—')}</li>" for r in found) + (f"<li>… und {n - len(found)} weitere</li>" if n > len(found) else "") + "</ul></section>\n")
-    return _page(title, "".join(out))
+def comparison_parts(compared: DataFrame, title: str) -> Iterator[str]:
+    """The comparison page in pieces: all new and resolved issues, the first of the persistent ones.
+
+    Rows are streamed one partition at a time, so a page of any length can be written to a file.
+    """
+    counts = {r["bucket"]: r["count"] for r in compared.groupBy("bucket").count().collect()}  # three rows at most
+    head, tail = _page(title, "\0").split("\0")
+    yield head
+    for bucket, label, limit in (("new", "Neu", None), ("resolved", "Behoben", None), ("persistent", "Unverändert", PERSISTENT_SHOWN)):
+        rows, n = compared.filter(F.col("bucket") == bucket), counts.get(bucket, 0)
+        yield f"<section><h2>{label} ({n})</h2><ul>"
+        for r in (rows if limit is None else rows.limit(limit)).toLocalIterator():
+            yield f"<li>{escape(r['rule_id'])}: {escape(r['page_url'] or '—')}</li>"
+        if limit is not None and n > limit:
+            yield f"<li>… und {n - limit} weitere</li>"
+        yield "</ul></section>\n"
+    yield tail
+
+
+def render_comparison(compared: DataFrame, title: str) -> str:
+    return "".join(comparison_parts(compared, title))
 
 
 def render_pdf(html: str, renderer) -> bytes:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import html, urls
 from auditlake.functions.text import content_blocks, word_count
+from auditlake.storage import once
 
 BASE_URL = "https://www.audit.example/"
 
@@ -53,6 +54,7 @@ def furnished_html() -> Column:
     )
     h = F.replace(h, text("</head>"), F.concat(head, text("</head>")))
     h = F.replace(h, text("<article>"), F.concat(text("<article>"), body))
+    h = F.when(p % 97 == 3, F.concat(h, F.lit("<!--"), F.repeat(text("x"), 1_000_000), F.lit("-->"))).otherwise(h)
     return _swap(h, 21, 0, "<a ", "<i ")
 
 
@@ -78,7 +80,14 @@ def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The crawled pages with their facts; those that failed or answered with an error have none."""
     x = fetched(spark, sf_dir).withColumn("is_html", F.col("fetch_error").isNull() & (F.col("status_code") < 400))
-    return html.extract(x.withColumn("html", F.when(F.col("is_html"), F.col("html")).otherwise("")))
+    x = html.extract(x.withColumn("html", F.when(F.col("is_html"), F.col("html")).otherwise("")))
+    # a blank title, as other extractors than this one hand over
+    return x.withColumn("title", F.when(F.col("is_html") & (F.col("page_id") % 29 == 2), "  ").otherwise(F.col("title")))
+
+
+def stored_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``crawl``, extracted once in a session and written, so that each query reads its own columns only."""
+    return once(spark, ("crawl", sf_dir), lambda: crawl(spark, sf_dir))
 
 
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,28 +1,22 @@
 """Breadth-first crawl over a table of links, level by level.
 
 A page's depth is its true distance from the start; where the budget of pages ends inside a
-level, pages come by their first parent's order. Each level is written to the checkpoint folder.
+level, pages come by their first parent's order. Each level is written to the shared folder.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.urls import is_same_site
+from auditlake.storage import materialize
 
 MAX_PAGES, MAX_DEPTH = 200, 5
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that spark.checkpoint.dir names, or in one of its own where that is unset."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="auditlake-"))
-    return df.checkpoint()
+    return materialize(df, "frontier")
 
 
 def crawl_order(edges: DataFrame, start: str, max_pages: int = MAX_PAGES, max_depth: int = MAX_DEPTH) -> DataFrame:

@@ -116,18 +116,58 @@ def test_content(spark):
 
 
 def test_near_pairs_equal_brute_force(spark):
-    docs = catalog.document_pages(spark, SMALL)
-    texts = content.with_text(docs)
-    got = {(r["a"], r["b"]): round(r["similarity"], 9) for r in content.near_pairs(texts).collect()}
-    sets = {r["d"]: set(r["s"]) for r in texts.filter("main_word_count >= 50").select(content._digest().alias("d"), content.shingles(F.col("main_text")).alias("s")).collect()}
+    import re
+
+    texts = content.with_text(catalog.document_pages(spark, SMALL))
+    got = {(r["a"], r["b"]): round(r["similarity"], 9) for r in content.near_pairs(content.shingled(texts).checkpoint()).collect()}
+    sets = {}
+    for r in texts.filter("main_word_count >= 50").select(content._digest().alias("d"), "main_text").collect():
+        words = re.findall(r"\w+", r["main_text"].lower())
+        sets[r["d"]] = {tuple(words[i : i + 4]) for i in range(max(1, len(words) - 3))}
     want = {(a, b): round(j, 9) for a in sets for b in sets if a < b for j in [len(sets[a] & sets[b]) / len(sets[a] | sets[b])] if j >= 0.85}
     assert got == want and want
 
 
+def test_long_texts_are_shingled_in_linear_time(spark):
+    import time
+
+    def seconds(n):
+        rows = pages(spark, {"main_text": " ".join(f"w{i % 999}" for i in range(n)), "main_word_count": n})
+        content.shingled(content.with_text(rows)).collect()
+        began = time.perf_counter()
+        content.shingled(content.with_text(rows)).collect()
+        return time.perf_counter() - began
+
+    assert seconds(400_000) < 12
+
+
+@pytest.mark.parametrize("text", ["", "eins", "wort haus wort haus", "haus wort wort haus auch", "Abend Haus abend", "b" * 3])
+def test_top_keyword(spark, text):
+    import re
+    from collections import Counter
+
+    words = [w for w in re.findall(r"\w+", text.lower()) if len(w) >= 4 and w not in content.STOPWORDS]
+    want = next((w for w, _ in Counter(words).most_common(1)), None)
+    assert spark.createDataFrame([(text,)], "t string").select(content.top_keyword(F.col("t"))).first()[0] == want
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 17])
+def test_issue_ids_do_not_depend_on_partitions(spark, partitions):
+    rows = [(f"r{i % 5}", f"https://a.example/{i * 7919 % 400}", f"{i}") for i in range(400)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = issues.numbered(spark.createDataFrame(rows, "rule_id string, page_url string, payload string").repartition(partitions)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [(r["rule_id"], r["page_url"], r["payload"]) for r in sorted(got, key=lambda r: r["id"])] == sorted(rows)
+    assert sorted(r["id"] for r in got) == list(range(1, 401))
+
+
 def test_scores_are_monotone_and_clamped(spark):
     def score(*rules, n=1):
         rows = spark.createDataFrame([(r,) for r in rules], "rule_id string")
-        return {r["category"]: r["score"] for r in scoring.category_scores(rows, n).collect()}
+        return {r["category"]: r["score"] for r in scoring.category_scores(rows, spark.range(n)).collect()}
 
     assert score() == {"tech_meta": 100.0, "structure": 100.0, "content": 100.0} == score("x", n=0)
     one, tip = score("meta.title.missing")["tech_meta"], score("url.dynamic_params")["tech_meta"]
@@ -239,7 +279,8 @@ def test_streaming_audit_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(fetched(spark, SMALL).schema).parquet(str(tmp_path / "in"))
     got = []
     start(audit_stream(stream), lambda df, _: got.extend(df.collect()), str(tmp_path / "c")).awaitTermination(120)
-    want = tech.page_findings(catalog.crawl(spark, SMALL)).collect()
+    x = fetched(spark, SMALL).withColumn("is_html", F.expr("fetch_error is null and status_code < 400"))
+    want = tech.page_findings(html.extract(x.withColumn("html", F.expr("if(is_html, html, '')")))).collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and got
 
 
@@ -257,16 +298,19 @@ def test_queries_equal_their_sql(spark, duck, name):
 
 def test_stored_issues_hold_the_whole_audit(spark, duck):
     from auditlake.operators.registry import RULES
-    from auditlake.plans.oracles import RULE_SQL
+    from auditlake.plans.oracles import _ISSUES, RULE_SQL
 
     pages, rows = catalog._issues(spark, SMALL)
     got = rows.select("id", "rule_id", "category", "severity", "page_url", "payload").collect()
     assert sorted(r["id"] for r in got) == list(range(1, len(got) + 1))
     show = lambda rows: sorted("|".join(map(str, r)) for r in rows)
     for rule_id in RULES:
-        if rule_id in RULE_SQL and (not rule_id.startswith("content.") or rule_id == "content.spelling.errors"):
+        if rule_id in RULE_SQL and RULES[rule_id].category != "content":
             want = duck.execute(f"SELECT rule_id, page_url, payload FROM ({RULE_SQL[rule_id]})").fetchall()
             assert show((r["rule_id"], r["page_url"], r["payload"]) for r in got if r["rule_id"] == rule_id) == show(want), rule_id
+    want = duck.execute(f"WITH {_ISSUES} SELECT id, rule_id, category, severity, page_url, payload FROM issues").fetchall()
+    assert show(tuple(r) for r in got) == show(want)
+    assert {r["rule_id"] for r in got} >= {i for i in RULES if i.startswith("content.")} - {"content.duplicate.near", "content.duplicate.page"}
     thin = {r["page_url"] for r in got if r["rule_id"] == "content.thin"}
     assert thin == {p["url"] for p in pages.filter("is_html and main_text <> '' and main_word_count < 100").select("url").collect()} and thin
     passing = {r["rule_id"] for r in catalog.rules_passing(spark, SMALL).collect()}
