@@ -1,13 +1,14 @@
-"""What the operators share: session settings, shared-folder tables and small helpers."""
+"""What the operators share: session settings, tables in the shared folder, small helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.storage import discard, materialize, shared_folder
+
+__all__ = ["BATCH_ROWS", "SPACE", "bounded_batches", "discard", "fresh", "materialize", "no_nulls", "own_columns", "shared_folder", "table"]
+
 #: White space of the text contracts: U+0020 and U+0009 to U+000D, as a Java regular expression.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows of an Arrow batch for operators that hold whole texts in Python.
@@ -19,45 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches of texts small; never raises a lower setting."""
+    """Keep Arrow batches of texts small, for the rest of the session: plans run later than they are made. Never raises a lower setting."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        # one folder for each session, so that it is made once
-        folder = getattr(spark.sparkContext, "_auditlake_shared", None)
-        if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="auditlake-")
-            spark.sparkContext._auditlake_shared = folder
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again.
-
-    Cuts the lineage, survives lost executors and gives the planner true sizes, so that it
-    broadcasts a side only when the written table is under its threshold.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/auditlake/{name}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Remove the files of a materialized table that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/auditlake/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """A name for each stem that no column of df has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    names = []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        names.append(name)
+    return names
 
 
 def no_nulls(text: str = "text"):
