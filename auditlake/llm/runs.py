@@ -34,18 +34,39 @@ def bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.r_[starts[1:], len(key)]
 
 
+#: Keys with at least one in so many rows are heavy: there can't be more of them than that.
+HEAVY = 1000
+#: Keys that the sketch follows; any with one in HEAVY rows is sure to be among them.
+TRACKED = 20_000
+
+
+def heavy_keys(rows: DataFrame, large: int) -> DataFrame:
+    """(key, most) of the keys with over ``large`` rows and one in ``HEAVY`` of all: ``HEAVY`` rows at most.
+
+    One pass with a sketch in each task; most is at least the key's number of rows. The sketch
+    decides only how a key's rows are dealt, never what comes of them.
+    """
+    items, n = rows.agg(F.expr(f"approx_top_k(key, {HEAVY}, {TRACKED})"), F.count(F.lit(1))).first()
+    found = [(r["item"], r["count"]) for r in items if r["count"] > large and r["count"] * HEAVY >= n]
+    return rows.sparkSession.createDataFrame(found, "key long, most long")
+
+
 def bucketed(rows: DataFrame, member: str, large: int, keep=None, chunk: str | None = None) -> DataFrame:
     """Rows (key, ...) without buckets of one row, large buckets split; ``dealt`` brings them to tasks.
 
     A bucket of over ``large`` rows is cut into chunks by a hash of ``member``, and each pair of
     chunks is a bucket of its own, so that any two members still meet in some bucket, and no task
-    gets more than ``large`` rows of one bucket. keep: what else a bucket needs, from the window
-    over its rows. chunk: name of a column that tells the chunks apart.
+    gets more than about ``large`` rows of one bucket. Heavy buckets are known beforehand and are
+    split where their rows lie; only others are counted by a window, which sends a bucket to one
+    task. rows is read twice and should be a written table or cheap. keep: what else a bucket
+    needs, from the window over its rows. chunk: name of a column that tells the chunks apart.
     """
     w = Window.partitionBy("key")
     columns = rows.columns
-    x = rows.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__keep", F.lit(True) if keep is None else keep(w))
-    x = x.filter((F.col("__n") > 1) & F.col("__keep"))
+    heavy = F.broadcast(heavy_keys(rows, large))
+    light = rows.join(heavy, "key", "left_anti").withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__keep", F.lit(True) if keep is None else keep(w))
+    light = light.filter((F.col("__n") > 1) & F.col("__keep")).drop("__keep")
+    x = light.select(*columns, "__n").union(rows.join(heavy, "key").select(*columns, F.col("most").alias("__n")))
     chunks = F.ceil(F.col("__n") * 2 / large).cast("int")
     mine = F.pmod(F.xxhash64(F.lit("chunk"), member), chunks).cast("int")
     # the unit of a chunk with itself has chunk -1: only there do members of one chunk count

@@ -6,15 +6,16 @@ choice of three blocks; in each bucket the Hamming distance is verified. No clos
 
 Scale: equal fingerprints are one row before any join, so exact copies never meet as pairs. A
 bucket yields a spanning forest of its links (fewer edges than members), not its pairs; buckets
-of over ``LARGE`` members are split into pairs of chunks. Texts are read once and never shuffled;
+of over ``LARGE`` members are split into pairs of chunks, heavy ones before any exchange; rows of a
+heavy fingerprint find their component in a broadcast of at most ``HEAVY`` rows. Texts are read once and never shuffled;
 what is shuffled is 16 bytes for each fingerprint and choice of blocks. With three of seven
 blocks a bucket stands for about 27 bits, so chance company stays rare up to 10**8 fingerprints.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero, one with
 fewer words than a shingle hashes its whole sequence; repeated rows share a fingerprint and so a
 component; a null doc_id is no component's smallest unless all are null; an empty table gives an
-empty result; other columns pass through ``filter_near``. There a row goes by its doc_id and own
-fingerprint: unlike texts under the same or a null doc_id stay. Repeated rows of the smallest id
+empty result; other columns pass through ``filter_near``, whatever their names. There a row goes by
+its doc_id and own text: unlike texts under the same or a null doc_id stay. Repeated rows of the smallest id
 all stay, and so do rows of a component whose ids are all null.
 """
 
@@ -29,9 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import bounded_batches, materialize, own_columns
+from auditlake.llm.common import bounded_batches, fresh, materialize, no_nulls, own_columns
 from auditlake.llm.components import components
-from auditlake.llm.runs import bounds, bucketed, dealt, whole_runs
+from auditlake.llm.runs import HEAVY, bounds, bucketed, dealt, whole_runs
 
 WORDS = 4
 DISTANCE = 4
@@ -61,16 +62,20 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
+def _text_hash():
+    return F.xxhash64(no_nulls())
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp), fp as a signed long."""
+    """(doc_id, text_hash, fp), fp as a signed long; text_hash names a row's text."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py() or "", words, seed) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _masks(distance: int) -> list[int]:
@@ -125,15 +130,25 @@ def links(distinct: DataFrame, distance: int = DISTANCE, large: int = LARGE) ->
     return dealt(bucketed(rows, "fp", large)).mapInArrow(_link(distance), "a long, b long")
 
 
-def near_groups(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, seed: int = SEED, large: int = LARGE) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs."""
-    fps = materialize(fingerprints(docs, words, seed), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+def _grouped(fps: DataFrame, distance: int, large: int) -> DataFrame:
+    """fps (doc_id, fp, ...) with component_id."""
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "classes")
     found = components(links(classes.select("fp"), distance, large)).withColumnsRenamed({"node": "fp"})
     least = found.join(classes, "fp").groupBy("component").agg(F.min("least_id").alias("component_id"))
-    linked = materialize(found.join(least, "component").select("fp", "component_id"), "linked")
-    each = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return fps.join(each, "fp").select("doc_id", "fp", "component_id")
+    linked = found.join(least, "component").select("fp", "component_id")
+    each = classes.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least_id").alias("component_id"))
+    each = materialize(each, "components")
+    # fingerprints with one in HEAVY rows, so HEAVY of them at most, are looked up where their rows lie
+    rows = each.agg(F.sum("n")).first()[0] or 0
+    heavy = (F.col("n") * HEAVY >= rows) & (F.col("n") > 1)
+    own = fps.join(F.broadcast(each.filter(heavy).select("fp", F.col("component_id").alias("known"), F.lit(True).alias("heavy"))), "fp", "left")
+    light = own.filter("heavy is null").join(each.filter(~heavy).select("fp", "component_id"), "fp")
+    return own.filter("heavy").select(*fps.columns, F.col("known").alias("component_id")).union(light.select(*fps.columns, "component_id"))
+
+
+def near_groups(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, seed: int = SEED, large: int = LARGE) -> DataFrame:
+    """(doc_id, text_hash, fp, component_id) for each row of docs."""
+    return _grouped(materialize(fingerprints(docs, words, seed), "fingerprints"), distance, large)
 
 
 def simhash_dedup(docs: DataFrame, **options) -> DataFrame:
@@ -144,19 +159,10 @@ def simhash_dedup(docs: DataFrame, **options) -> DataFrame:
 
 def filter_near(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stay, with their columns: of each component those with the smallest doc_id."""
-    gone = near_groups(docs, **options).filter("not doc_id <=> component_id").select(F.col("doc_id").alias("__gone"), F.col("fp").alias("__of")).distinct()
+    gone_id, gone_hash, mine = fresh(docs, "__gone", "__of", "__mine")
+    gone = near_groups(docs, **options).filter("not doc_id <=> component_id").select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)).distinct()
     gone = materialize(gone, "gone")
-    words, seed = options.get("words", WORDS), options.get("seed", SEED)
-    x = docs.withColumn("__fp", _fingerprint_column(words, seed)(F.col("text").cast("string")))
+    x = docs.withColumn(mine, _text_hash())
     # a merge join at every size: what goes grows with the data
-    return x.join(gone.hint("merge"), x["doc_id"].eqNullSafe(gone["__gone"]) & (x["__fp"] == gone["__of"]), "left_anti").select(*own_columns(docs))
-
-
-def _fingerprint_column(words: int, seed: int):
-    import pandas as pd
-
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t or "", words, seed) for t in texts], np.uint64).view(np.int64))
-
-    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "long")
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & (F.col(mine) == F.col(gone_hash))
+    return x.join(gone.hint("merge"), own, "left_anti").select(*own_columns(docs))
