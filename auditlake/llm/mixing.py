@@ -12,11 +12,14 @@ nearest to the target.
 
 Scale: rows are shuffled once, without texts, by (source, bucket of the seeded order); a source
 that holds a third of all rows is spread over ``BUCKETS`` keys. The running sum of a source comes
-from prefix sums over the buckets and a window inside each bucket.
+from prefix sums over the buckets and a window inside each bucket. ``mix`` carries whole rows
+through the same one exchange.
 
 Defined cases: a null or empty text has size 0 and is taken 0 times its size; a null source is a
-source of its own, last in order; an empty table gives an empty result; rows with equal doc_id
-count once each; extra columns pass through ``mix`` and are ignored by ``allocation``.
+source of its own, last in order; an empty table gives an empty result; each row counts by itself,
+also those that share a doc_id or are wholly equal; equal levels of water are sources in order of
+their names; extra columns pass through ``mix``, whatever their names, and are ignored by
+``allocation``.
 """
 
 from __future__ import annotations
@@ -67,38 +70,34 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epoch
     return x.withColumn("target", F.coalesce(F.least(F.col("cap"), F.col("weight") * F.col("level")), F.col("cap"))).select("sn", "sk", "source_size", "target")
 
 
-def _keyed(docs: DataFrame, seed: str, buckets: int) -> DataFrame:
-    x = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), _order(seed).alias("h"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+def _keyed(docs: DataFrame, seed: str, buckets: int, rows: bool) -> DataFrame:
+    """What places a row; with rows also the row itself, as one struct, so that its names clash with none here."""
+    own = [F.struct(*[c.alias(f"c{i}") for i, c in enumerate(own_columns(docs))]).alias("row")] if rows else []
+    x = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), _order(seed).alias("h"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), *own)
     return x.select("*", F.col("source").isNull().alias("sn"), F.coalesce("source", F.lit("")).alias("sk"), (F.col("h") % buckets).cast("int").alias("bucket"))
 
 
-def allocation(docs: DataFrame, **options) -> DataFrame:
-    """Return (doc_id, source, size, source_size, target, times, taken), one row for each document."""
-    return _allocated(docs, **options).drop("text_hash")
-
-
-def _allocated(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, buckets: int = BUCKETS) -> DataFrame:
-    keyed = _keyed(docs, seed, buckets)
-    parts = keyed.groupBy("sn", "sk", "bucket").agg(F.sum("size").alias("part"))
+def _allocated(docs: DataFrame, rows: bool, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, buckets: int = BUCKETS) -> DataFrame:
+    parts = _keyed(docs, seed, buckets, False).groupBy("sn", "sk", "bucket").agg(F.sum("size").alias("part"))
     goal = targets(parts.groupBy("sn", "sk").agg(F.sum("part").alias("source_size")), weights, share, max_epochs)
     before = Window.partitionBy("sn", "sk").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("earlier", F.coalesce(F.sum("part").over(before), F.lit(0)))
     plan = parts.join(goal, ["sn", "sk"]).select("sn", "sk", "bucket", "earlier", "source_size", "target")
     inside = Window.partitionBy("sn", "sk", "bucket").orderBy("h", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
-    x = keyed.join(plan, ["sn", "sk", "bucket"])
+    x = _keyed(docs, seed, buckets, rows).join(plan, ["sn", "sk", "bucket"])
     start = F.col("earlier") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     x = x.withColumn("whole", whole.cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    x = x.withColumn("times", F.col("whole") + F.when((F.col("size") > 0) & (F.col("whole") < max_epochs) & (start + F.col("size") / 2.0 < F.col("rest")), 1).otherwise(0))
-    return x.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), "text_hash")
+    return x.withColumn("times", F.col("whole") + F.when((F.col("size") > 0) & (F.col("whole") < max_epochs) & (start + F.col("size") / 2.0 < F.col("rest")), 1).otherwise(0))
+
+
+def allocation(docs: DataFrame, **options) -> DataFrame:
+    """Return (doc_id, source, size, source_size, target, times, taken), one row for each document."""
+    return _allocated(docs, False, **options).select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed rows: each document as often as ``allocation`` says, with its own columns."""
-    # a name that can't clash with columns of docs
-    keys = (F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"))
-    times = _allocated(docs, **options).filter("times > 0").groupBy(*keys).agg(F.max("times").cast("int").alias("__times"))
-    # a merge join at every size: the documents taken grow with the data
-    own = docs["doc_id"].eqNullSafe(times["__id"]) & docs["source"].cast("string").eqNullSafe(times["__source"]) & (F.xxhash64(docs["text"].cast("string")) == times["__hash"])
-    kept = docs.join(times.hint("merge"), own, "inner")
-    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*own_columns(docs))
+    """The mixed rows: each row as often as ``allocation`` says, with its own columns; rows without words are not taken."""
+    x = _allocated(docs, True, **options).filter("times > 0 and size > 0")
+    x = x.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
+    return x.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
