@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import bounded_batches, own_columns
+from auditlake.llm.common import bounded_batches, fresh, own_columns
 
 #: Labelled rows of each class that are fitted on, at most, and what of a text goes to the dictionaries.
 SAMPLE = 1500
@@ -174,5 +174,6 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **
 
 def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The rows of docs that are predicted good, with their columns."""
-    x = _scored(docs, fit(docs, labels, **options), threshold, ("__score", "__predicted"))
-    return x.filter("__predicted = 1").select(*own_columns(docs))
+    names = fresh(docs, "__score", "__predicted")
+    x = _scored(docs, fit(docs, labels, **options), threshold, tuple(names))
+    return x.filter(F.col(names[1]) == 1).select(*own_columns(docs))

@@ -93,15 +93,38 @@ def test_counting_filters_merge_without_loss():
 
     r = np.random.default_rng(1)
     values = r.integers(-(2**63), 2**63 - 1, 5000)
-    values = np.concatenate([values, values[:700], values[:50], [0, -1, -1, 2**63 - 1]])
-    blocks = [b for part in np.array_split(values, 7) for out in exact_dedup._build(64)(iter([pa.RecordBatch.from_arrays([pa.array(part)], ["fp"])])) for b in out.to_pylist()]
+    values = np.concatenate([values, values[:700], values[:50], values[:9].repeat(1000), [0, -1, -1, 2**63 - 1]])
+    parts = np.array_split(r.permutation(values), 7)
+    blocks = [b for part in parts for out in exact_dedup._build(64, at_once=300)(iter([pa.RecordBatch.from_arrays([pa.array(x)], ["fp"]) for x in np.array_split(part, 5)])) for b in out.to_pylist()]
     blocks.sort(key=lambda b: b["block"])
-    batch = pa.RecordBatch.from_pylist(blocks, pa.schema([("block", pa.int32()), ("remainders", pa.binary()), ("counts", pa.binary())]))
+    batch = pa.RecordBatch.from_pylist(blocks, pa.schema([("block", pa.int32()), ("quotient_bits", pa.int32()), *((c, pa.binary()) for c in ("occupied", "run_ends", "slots"))]))
     got = {(x["fp"], x["n"]) for out in exact_dedup._merge_blocks(64)(iter([batch])) for x in out.to_pylist()}
     unique, n = np.unique(values, return_counts=True)
     assert got == {(int(v), int(c)) for v, c in zip(unique, n) if c > 1}
 
 
+@pytest.mark.parametrize("bits", [44, 58, 63])
+def test_quotient_filter_holds_fingerprints_and_counts(bits):
+    r = np.random.default_rng(bits)
+    top = (1 << bits) - 1
+    for n in (0, 1, 7, 300):
+        for few in range(11):
+            # small and zero remainders, and dense runs that push others from their homes
+            odd = np.array([0, 1, 2, 3, top, top - 1, 1 << 40, (1 << 40) + 1, 5, 6], np.uint64)[:few]
+            v = r.integers(0, top, n, dtype=np.uint64, endpoint=True)
+            v = np.unique(np.concatenate([v, odd, v[: n // 4] & ~np.uint64((1 << 39) - 1), v[: n // 4] + r.integers(0, 4, n // 4).astype(np.uint64)]))
+            v = v[v <= np.uint64(top)]
+            c = r.choice([1, 1, 2, 3, 4, 5, 6, 7, 1000, 10**9], len(v)).astype(np.int64)
+            values, counts = exact_dedup.QuotientFilter.unpacked(bits, *exact_dedup.QuotientFilter.of(v, c, bits).packed()).items()
+            assert values.tolist() == v.tolist() and counts.tolist() == c.tolist()
+
+
+def test_blocks_follow_the_number_of_rows():
+    assert exact_dedup.blocks_for(0) == exact_dedup.FEWEST and exact_dedup.blocks_for(10**11) * exact_dedup.PER_BLOCK >= 10**11
+    with pytest.raises(ValueError, match="power of two"):
+        exact_dedup._low_bits(6)
+
+
 def _fingerprint(text):
     words = _split("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
@@ -523,9 +546,32 @@ def test_empty_tables(spark, tokenizer, weights):
         assert df.collect() == []
 
 
+_CLASHING = ("fp", "kept", "score", "sha", "size", "a.b", "__sha", "__keep", "__mine", "__fp", "__gone", "__of", "__score", "__predicted", "__copy", "__times", "__id", "row", "copy", "times", "h", "bucket", "sn", "component_id", "text_hash", "N", "Key")
+
+
 def test_clashing_columns_pass_through(spark, odd_rows):
-    docs = _docs(spark, odd_rows[:30]).selectExpr("*", "'x' as fp", "1 as kept", "2 as score", "'y' as sha", "3 as size", "4 as `a.b`")
-    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    for out in (exact_dedup.filter_exact(docs), simhash.filter_near(docs), quality.filter_quality(docs, labels)):
-        assert out.columns == docs.columns and out.count() <= 30
+    import pyspark.sql.functions as F
+
+    docs = _docs(spark, odd_rows[:30]).select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in _CLASHING])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    for out in (exact_dedup.filter_exact(docs), simhash.filter_near(docs), quality.filter_quality(docs, labels), mixing.mix(docs)):
+        rows = out.collect()
+        assert out.columns == docs.columns and rows
+        for r in rows:
+            assert all(r[c] == f"{c}:{'-' if r['doc_id'] is None else r['doc_id']}" for c in _CLASHING)
     assert mixing.allocation(docs).count() == 30 and exact_dedup.exact_dedup(docs).count() == 30
+    assert substring_dedup.substring_dedup(docs).count() == 30 and licenses.license_scan(docs).count() == 30
+
+
+def test_mix_takes_each_row_as_allocated(spark):
+    r = random.Random(3)
+    rows = [(i % 3 if i % 5 else None, _words(r, r.choice((0, 3, 3, 9)), ["a", "b"]), ("s", "t", None)[i % 3]) for i in range(90)]
+    docs = _docs(spark, rows)
+    taken = defaultdict(int)
+    for x in mixing.allocation(docs, buckets=5).collect():
+        if x["size"]:
+            taken[(x["doc_id"], x["source"], x["size"])] += x["times"]
+    got = defaultdict(int)
+    for x in mixing.mix(docs, buckets=5).collect():
+        got[(x["doc_id"], x["source"], len(_split(x["text"])))] += 1
+    assert got == {k: n for k, n in taken.items() if n} and sum(got.values()) > 20
