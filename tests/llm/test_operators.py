@@ -218,18 +218,30 @@ def test_embedding_dedup(spark, large):
     assert {i: (r["n_links"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (n[i], c, c == i) for i, c in groups.items()}
 
 
-def test_embedding_recall_against_brute_force():
-    r = np.random.default_rng(5)
-    x = r.normal(size=(2000, 64))
+@pytest.mark.parametrize(("dim", "n"), [(64, 500), (64, 51_000), (64, 10**6), (64, 10**8), (64, 10**10), (4, 10**6), (16, 10**5), (384, 10**9), (1024, 10**9)])
+def test_planned_recall_holds_for_each_number_of_turns(dim, n):
+    """Pairs at the threshold, other ones than the plan measures, are found as often as RECALL says at every size."""
+    k, tables = embedding_dedup.plan(dim, n)
+    r = np.random.default_rng([5, dim])
+    m = 1500 if dim <= 64 else 400
+    x = r.normal(size=(m, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z = r.normal(size=x.shape)
     z -= (z * x).sum(axis=1, keepdims=True) * x
     y = 0.93 * x + np.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    labels = np.zeros(len(x), np.int64)
-    for k in (2, 3, 4):
-        (h1, p1), (h2, p2) = (embedding_dedup.buckets(v, labels, k) for v in (x, y))
-        met = (h1 == h2) | (h1[:, :, None] == p2).any(axis=2) | (h2[:, :, None] == p1).any(axis=2)
-        assert met.any(axis=1).mean() > 0.96
+    labels = np.zeros(m, np.int64)
+    met = embedding_dedup._together(*embedding_dedup.buckets(x, labels, k, tables), *embedding_dedup.buckets(y, labels, k, tables))
+    assert met.any(axis=1).mean() > 0.97, (k, tables)
+
+
+def test_embedding_ties_nulls_and_clashing_names(spark):
+    import pyspark.sql.functions as F
+
+    # cosine exactly at a threshold that doubles hold: 0.5 links, a hair less does not
+    rows = [(1, [1.0, 0.0, 0.0, 0.0], 1), (2, [0.5, 0.5, 0.5, 0.5], 1), (3, [0.5, 0.5, 0.5, 0.5000001], 1), (None, [0.0, 0.0, 1.0, 0.0], 2), (None, [0.0, 0.0, 2.0, 0.0], 2), (7, [0.0, 0.0, 1.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").select("*", *[F.lit("x").alias(c) for c in ("class", "key", "home", "probes", "dim", "weight", "__label", "least_id")])
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in embedding_dedup.embedding_dedup(df, cosine=0.5, recall=0.999999).collect())
+    assert got == [("1", 1, "1", True), ("2", 2, "1", False), ("3", 1, "1", False), ("7", 0, "7", True), ("None", 1, "None", True), ("None", 1, "None", True)]
 
 
 def test_hadamard_is_orthogonal():
