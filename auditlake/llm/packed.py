@@ -1,9 +1,10 @@
 """Places in documents that meet by hash, exchanged in packed form and read in sorted order.
 
 A row of the exchange holds all places of one bucket (the top bits of the hash) that a task has
-found among some hundred thousand: hashes, and differences of doc_ids and places, which
-compress well. After the exchange rows are unpacked and sorted by the JVM, which spills, and read as
-a stream: a hash that a third of all rows share needs no more memory than any other.
+found among some hundred thousand: hashes, and differences of doc_ids, text names and places,
+which compress well. Before the exchange a task decides what it can by itself, so that of a hash
+which a third of all rows share it sends a few rows: the rest are dealt by document. After the
+exchange rows are unpacked and sorted by the JVM, which spills, and read as a stream.
 """
 
 from __future__ import annotations
@@ -16,26 +17,60 @@ from pyspark.sql import DataFrame
 
 #: Places that a task gathers before it packs them.
 GATHER = 400_000
-_PACKED = "bucket int, h binary, g binary, docs binary, places binary"
-_PLAIN = "h long, g int, doc_id long, place int"
-_NAMES = ["h", "g", "doc_id", "place"]
-
-
-def _pack(parts: list[tuple[np.ndarray, ...]], bits: int) -> pa.RecordBatch:
-    h, g, docs, places = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    bucket = (h >> np.uint64(64 - bits)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    bucket, h, g, docs, places = bucket[order], h[order], g[order], docs[order], places[order]
-    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
-    ends = np.r_[starts[1:], len(bucket)]
-    pieces = list(zip(starts.tolist(), ends.tolist()))
+_PACKED = "bucket int, known boolean, h binary, g binary, docs binary, texts binary, places binary"
+_PLAIN = "known boolean, h long, g int, doc_id long, text_hash long, place int"
+_NAMES = ["known", "h", "g", "doc_id", "text_hash", "place"]
+
+
+def _pack(parts: list[tuple[np.ndarray, ...]], bits: int, settle) -> pa.RecordBatch:
+    h, g, docs, texts, places = (np.concatenate([p[i] for p in parts]) for i in range(5))
+    known = settle(h, g, docs)
+    top = np.uint64(64 - bits)
+    spread = docs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bucket = np.where(known, spread >> top, h >> top).astype(np.int32)
+    order = np.lexsort((known, bucket))
+    bucket, known, h, g, docs, texts, places = (x[order] for x in (bucket, known, h, g, docs, texts, places))
+    starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (known[1:] != known[:-1])]) if len(bucket) else np.empty(0, np.int64)
+    pieces = list(zip(starts.tolist(), np.r_[starts[1:], len(bucket)].astype(int).tolist()))
     step = lambda x: np.diff(x, prepend=x.dtype.type(0)).tobytes()
-    columns = [pa.array(bucket[starts]), *(pa.array([x[a:b].tobytes() for a, b in pieces], pa.binary()) for x in (h, g)), *(pa.array([step(x[a:b]) for a, b in pieces], pa.binary()) for x in (docs, places))]
-    return pa.RecordBatch.from_arrays(columns, ["bucket", "h", "g", "docs", "places"])
+    packed = [*(pa.array([x[a:b].tobytes() for a, b in pieces], pa.binary()) for x in (h, g)), *(pa.array([step(x[a:b]) for a, b in pieces], pa.binary()) for x in (docs, texts, places))]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(known[starts]), *packed], ["bucket", "known", "h", "g", "docs", "texts", "places"])
 
 
-def packing(find, bits: int):
-    """find: batch -> lists of (h uint64, g uint32, docs int64, places int32), equally long."""
+def _groups(h: np.ndarray, g: np.ndarray, docs: np.ndarray):
+    """(order by hash and document, starts of the hashes, number of each row's hash), in that order."""
+    order = np.lexsort((docs, g, h))
+    h, g = h[order], g[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])] if len(h) else np.empty(0, bool)
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def settle_later(h, g, docs) -> np.ndarray:
+    """A place is later for sure if the task itself has its hash in a smaller document."""
+    order, starts, run = _groups(h, g, docs)
+    known = np.zeros(len(h), bool)
+    known[order] = docs[order] > docs[order][starts][run]
+    return known
+
+
+def settle_shared(h, g, docs) -> np.ndarray:
+    """A place is shared for sure if the task itself has its hash in two documents.
+
+    One place of the least and one of the greatest document stay open, to tell other tasks' places.
+    """
+    order, starts, run = _groups(h, g, docs)
+    ends = np.r_[starts[1:], len(h)] - 1
+    d = docs[order]
+    many = d[starts] != d[ends]
+    known = many[run]
+    known[starts[many]] = known[ends[many]] = False
+    out = np.zeros(len(h), bool)
+    out[order] = known
+    return out
+
+
+def packing(find, bits: int, settle):
+    """find: batch -> lists of (h uint64, g uint32, docs int64, text_hashes int64, places int32), equally long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -44,10 +79,10 @@ def packing(find, bits: int):
                 parts.append(part)
                 held += len(part[0])
                 if held >= GATHER:
-                    yield _pack(parts, bits)
+                    yield _pack(parts, bits, settle)
                     parts, held = [], 0
         if held:
-            yield _pack(parts, bits)
+            yield _pack(parts, bits, settle)
 
     return run
 
@@ -57,42 +92,60 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 64):
             rows = batch.slice(at, 64)
             read = lambda i, kind: [np.frombuffer(x.as_py(), kind) for x in rows.column(i)]  # noqa: E731, B023
-            h, g, docs, places = read(1, np.int64), read(2, np.int32), read(3, np.int64), read(4, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (h, g, [np.cumsum(d) for d in docs], [np.cumsum(p, dtype=np.int32) for p in places])], _NAMES)
+            h, g, docs, texts, places = read(2, np.int64), read(3, np.int32), read(4, np.int64), read(5, np.int64), read(6, np.int32)
+            known = np.repeat(np.array(rows.column(1)), [len(x) for x in h])
+            summed = [[np.cumsum(x, dtype=x.dtype) for x in c] for c in (docs, texts, places)]
+            yield pa.RecordBatch.from_arrays([pa.array(known), *(pa.array(np.concatenate(x)) for x in (h, g, *summed))], _NAMES)
 
 
-def exchanged(rows: DataFrame, find, bits: int) -> DataFrame:
-    """(h, g, doc_id, place), the rows of a hash together and sorted, by doc_id last."""
-    packed = rows.mapInArrow(packing(find, bits), _PACKED).repartition("bucket")
-    return packed.mapInArrow(_unpack, _PLAIN).sortWithinPartitions("h", "g", "doc_id")
+def exchanged(rows: DataFrame, find, bits: int, settle) -> DataFrame:
+    """(known, h, g, doc_id, text_hash, place): first the open rows, those of a hash together and by doc_id, then the known ones."""
+    packed = rows.mapInArrow(packing(find, bits, settle), _PACKED).repartition("bucket")
+    return packed.mapInArrow(_unpack, _PLAIN).sortWithinPartitions("known", "h", "g", "doc_id")
+
+
+#: What the readers below hand on: (doc_id, text_hash, place).
+_PLACE = [3, 4, 5]
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """(rows, whether they are known), no batch of both."""
+    for batch in batches:
+        known = np.array(batch.column(0))
+        n = int(len(known) - known.sum())
+        if n:
+            yield batch.slice(0, n), False
+        if n < len(known):
+            yield batch.slice(n), True
 
 
 def _runs(batch: pa.RecordBatch):
-    h, g, docs = (batch.column(i).to_numpy() for i in range(3))
+    h, g, docs = (batch.column(i).to_numpy() for i in (1, 2, 3))
     new = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
     return (int(h[0]), int(g[0])), (int(h[-1]), int(g[-1])), np.flatnonzero(new), np.cumsum(new) - 1, docs
 
 
 def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, place) of the rows whose hash a smaller doc_id has too."""
+    """(doc_id, text_hash, place) of the rows whose hash a smaller doc_id has too."""
     key, least = None, 0
-    for batch in batches:
-        if not batch.num_rows:
+    for batch, known in _open(batches):
+        if known:
+            yield batch.select(_PLACE)
             continue
         first, last, starts, run, docs = _runs(batch)
         leasts = docs[starts].copy()
         if first == key:
             leasts[0] = least
         key, least = last, int(leasts[-1])
-        keep = pa.array(docs > leasts[run])
-        yield batch.select([2, 3]).filter(keep)
+        yield batch.select(_PLACE).filter(pa.array(docs > leasts[run]))
 
 
 def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, place) of the rows whose hash another doc_id has too."""
+    """(doc_id, text_hash, place) of the rows whose hash another doc_id has too."""
     key, least, open_, held = None, 0, False, []
-    for batch in batches:
-        if not batch.num_rows:
+    for batch, known in _open(batches):
+        if known:
+            yield batch.select(_PLACE)
             continue
         first, last, starts, run, docs = _runs(batch)
         leasts = docs[starts].copy()
@@ -107,6 +160,6 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not goes_on or many[0] or len(starts) > 1:
             held = []
         if not many[-1]:  # one doc_id so far
-            held.append(batch.select([2, 3]).slice(int(starts[-1])))
+            held.append(batch.select(_PLACE).slice(int(starts[-1])))
         key, least, open_ = last, int(leasts[-1]), bool(many[-1])
-        yield batch.select([2, 3]).filter(pa.array(many[run]))
+        yield batch.select(_PLACE).filter(pa.array(many[run]))

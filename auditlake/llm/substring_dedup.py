@@ -8,14 +8,17 @@ full windows around it, and these are compared by 96 bits of hash of all their w
 that starts in a document with a smaller doc_id too has its words removed.
 
 Scale: nothing pairs documents. Anchors and windows meet by hash, each needs the smallest doc_id
-of its hash only, so a passage in n documents makes n rows a window, not n * n, and they are
-read as a stream. Texts are shuffled once by doc_id (both joins reuse the exchange); anchors are
-about a fifth of the words.
+of its hash only, so a passage in n documents makes n rows a window, not n * n. A task settles
+what it can before the exchange: of a passage that a third of all documents share it sends the
+places of one or two of its documents to the passage's task, the others are dealt by document.
+Texts are shuffled once by row (both joins reuse the exchange); anchors are about a fifth of the
+words.
 
 Defined cases: a null or empty text has no words; texts shorter than a window lose nothing;
 repeats inside one document stay; a row with null doc_id neither loses words nor makes others
-lose any; rows with the same doc_id are taken as repeated rows of one document; an empty table
-gives an empty result; other columns are ignored.
+lose any; rows with the same doc_id are one document to others, whose windows no row of it makes
+repeats, and each keeps its own text and places; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import bounded_batches
-from auditlake.llm.packed import exchanged, later, shared
+from auditlake.llm.packed import exchanged, later, settle_later, settle_shared, shared
 
 WINDOW = 50
 #: A difference set: each number from 1 to 30 is one difference of two members modulo 31.
@@ -59,19 +62,19 @@ def _anchors(window: int, period: int, cover: tuple[int, ...]):
     length = window - period + 1
 
     def find(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for doc, name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             words = Words(text.as_py() or "")
             if words.n >= window:
                 at = (np.arange(0, words.n, period)[:, None] + np.array(cover)).reshape(-1)
                 at = at[at <= words.n - length]
-                yield words.hashes(at, length, 0), np.zeros(len(at), np.uint32), np.full(len(at), doc, np.int64), at.astype(np.int32)
+                yield words.hashes(at, length, 0), np.zeros(len(at), np.uint32), np.full(len(at), doc, np.int64), np.full(len(at), name, np.int64), at.astype(np.int32)
 
     return find
 
 
 def _windows(window: int, period: int):
     def find(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-        for doc, text, shared in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+        for doc, name, text, shared in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
             words = Words(text.as_py() or "")
             if words.n < window:
                 continue
@@ -82,7 +85,7 @@ def _windows(window: int, period: int):
             np.add.at(opens, np.maximum(at - period + 1, 0), 1)
             np.add.at(opens, at + 1, -1)
             at = np.flatnonzero(np.cumsum(opens)[: words.n - window + 1] > 0)
-            yield words.hashes(at, window, _SEEDS[0]), words.hashes(at, window, _SEEDS[1]).astype(np.uint32), np.full(len(at), doc, np.int64), at.astype(np.int32)
+            yield words.hashes(at, window, _SEEDS[0]), words.hashes(at, window, _SEEDS[1]).astype(np.uint32), np.full(len(at), doc, np.int64), np.full(len(at), name, np.int64), at.astype(np.int32)
 
     return find
 
@@ -122,15 +125,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     if {(a - b) % period for a in cover for b in cover} != set(range(period)) or window < period:
         raise ValueError("cover must have each difference modulo period, which is at most window")
     bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
     nameless = texts.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<int>").alias("places"))
     texts = texts.filter("doc_id is not null")  # in both joins, so that they read one exchange of the texts
     # buckets of the exchange: enough to spread evenly over the partitions
     bits = max(10, (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length())
-    anchors = exchanged(texts, _anchors(window, period, cover), bits)
-    places = anchors.mapInArrow(shared, "doc_id long, place int").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    windows = exchanged(texts.join(places, "doc_id").select("doc_id", "text", "places"), _windows(window, period), bits)
-    repeated = windows.mapInArrow(later, "doc_id long, place int").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    # a row is named by its doc_id and its text's hash
+    row = ["doc_id", "text_hash"]
+    gathered = lambda x, f: x.mapInArrow(f, "doc_id long, text_hash long, place int").groupBy(*row).agg(F.collect_list("place").alias("places"))
+    places = gathered(exchanged(texts, _anchors(window, period, cover), bits, settle_shared), shared)
+    windows = exchanged(texts.join(places, row).select("doc_id", "text_hash", "text", "places"), _windows(window, period), bits, settle_later)
+    repeated = gathered(windows, later)
     columns = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
-    cut = texts.join(repeated, "doc_id", "left").select("doc_id", "text", "places").mapInArrow(_cut(window, keep_text), columns)
+    cut = texts.join(repeated, row, "left").select("doc_id", "text", "places").mapInArrow(_cut(window, keep_text), columns)
     return cut.union(nameless.mapInArrow(_cut(window, keep_text), columns))

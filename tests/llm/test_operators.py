@@ -188,6 +188,32 @@ def test_substring_dedup(spark, odd_rows):
         substring_dedup.substring_dedup(_docs(spark, rows), cover=(0, 1, 2))
 
 
+def test_substring_dedup_of_shared_ids_and_hot_passages(spark, monkeypatch):
+    from auditlake.llm import packed
+
+    r = random.Random(18)
+    passage, other = _words(r, 80), _words(r, 60)
+    rows = [(5, f"{_words(r, 10)} {passage}"), (5, other), (5, f"{_words(r, 60)}"), (3, other), (8, passage), (8, f"{other} {passage} {_words(r, 9)}"), (9, "a " * 3000), (10, "a " * 3000)]
+    rows += [(i, f"{_words(r, 3)} {passage} {_words(r, i % 5)}") for i in range(20, 220)]
+    docs = _docs(spark, [(i, t, None) for i, t in rows]).repartition(6)
+    starts = {}
+    for i, t in sorted(rows, key=lambda x: x[0]):
+        w = _split(t)
+        for k in range(len(w) - 49):
+            starts.setdefault(tuple(w[k : k + 50]), i)
+    want = []
+    for i, t in rows:
+        w = _split(t)
+        gone = {x for k in range(len(w) - 49) if starts[tuple(w[k : k + 50])] < i for x in range(k, k + 50)}
+        want.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    got = [tuple(x[c] for c in ("doc_id", "n_words", "n_removed", "kept")) for x in substring_dedup.substring_dedup(docs).collect()]
+    assert sorted(got) == sorted(want) and sum(w[2] for w in want) > 10_000
+    # a task sends few rows of a hash that most of its documents share
+    h, docs_ = np.full(1000, 7, np.uint64), np.arange(1000)
+    for settle in (packed.settle_later, packed.settle_shared):
+        assert (~settle(h, np.zeros(1000, np.uint32), docs_)).sum() <= 2
+
+
 def _vectors(n=300, d=16, seed=3):
     r = np.random.default_rng(seed)
     x = r.normal(size=(n, d))
