@@ -4,21 +4,24 @@ The patterns of the contract find emails, IP addresses, card and phone numbers.
 writings that they miss (phone numbers without a plus sign, "name (at) host (dot) com", cards with
 dots): characters go through an LSTM in either direction, a linear layer scores the tags O, B-kind
 and I-kind of each, and a CRF's transitions make the best path a set of spans. It is trained in
-numpy from labelled spans, which ``labelled_spans`` makes from a seed. Long texts are cut into
-overlapping windows; each is decoded, and each character takes its tag from the window in whose
-middle it lies nearest, over the whole text, before spans are read. A span found so must also have
-the form of its kind (number of digits, check digit, parts up to 255) and not touch a pattern's.
-
-A span of these kinds holds a digit, an @ or the word "at", so windows are laid around these
+numpy from labelled spans, which ``labelled_spans`` makes from a seed. Long stretches are cut into
+overlapping windows. The scores that windows give a character are averaged, those from the
+windows' middles weighing most, and the CRF decodes each stretch once, from its start to its end:
+the path is the best one of the whole, not joined from pieces. A span found so must also be valid
+for its kind (number of digits, check digit, parts up to 255, a host's last part) and not touch a
+pattern's.
+
+A span of these kinds holds a digit, an @ or the word "at", so stretches are laid around these
 characters only, as far as the address they stand in reaches; all others are O by rule, not by
-sampling. An address found is read to the end of its host, however long.
+sampling. An address found is read from the start of its name to the end of its host, however long.
 
-Scale: one pass over the rows, no shuffle; the weights (under 100 KB) are broadcast. Windows go
-through the network in batches of bounded size.
+Scale: one pass over the rows, no shuffle, in time linear in the text; the weights (under 100 KB)
+are broadcast. Windows go through the network in batches of bounded size.
 
 Defined cases: a null text counts as empty and has no spans; overlapping spans of different kinds
-are all reported; matches that fail a kind's check are dropped without another try; repeated
-rows get equal results; an empty table gives an empty result; other columns are ignored.
+are all reported; matches that fail a kind's check are dropped without another try; numbers of any
+length are read; null doc_ids are kept; repeated rows get equal results; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,13 +40,14 @@ from pyspark.sql import functions as F
 from auditlake.llm.common import bounded_batches
 
 KINDS = ("email", "ip", "card", "phone")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The contract's patterns, so written that a run which begins no match is read once, not from each of its characters.
+_EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)?")
+_IP = re.compile(r"[0-9]++((?:\.[0-9]++){3})?")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TRIGGER = re.compile(r"[0-9@]|(?<![A-Za-z])(?:at|AT)(?![A-Za-z])(?=[)\] ])")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Characters of addresses, in both directions, and the words that join their parts.
 _ADDRESS = re.compile(r"[A-Za-z0-9._%+@()\[\]-]*")
 _NO_ADDRESS = re.compile(r"[^A-Za-z0-9._%+@()\[\]-]")
@@ -73,7 +77,7 @@ def luhn(number: str) -> bool:
 
 def _good(kind: str, text: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+        return all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in text.split(".")))
     if kind == "card":
         return 12 <= len(d := digits(text)) <= 19 and luhn(d)
     if kind == "phone":
@@ -85,9 +89,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the patterns' matches, leftmost and without overlap in each kind."""
     found = []
     if "@" in text:
-        found += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
+        found += [(*m.span(), "email") for m in _EMAIL.finditer(text) if m.group(1)]
     if _DIGIT.search(text):
-        for kind, pattern, needs in (("ip", _IP, "."), ("card", _CARD, ""), ("phone", _PHONE, "+")):
+        if "." in text:
+            found += [(*m.span(), "ip") for m in _IP.finditer(text) if m.group(1) and _good("ip", m.group())]
+        for kind, pattern, needs in (("card", _CARD, ""), ("phone", _PHONE, "+")):
             if needs in text:
                 found += [(*m.span(), kind) for m in pattern.finditer(text) if _good(kind, m.group())]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
@@ -237,7 +243,8 @@ def labelled_spans(n: int, seed: int, window: int = WINDOW) -> list[tuple[str, l
     """Made texts of one window each with the spans of personal data in them, and lookalikes that are none."""
     r = random.Random(seed)
     syllables = ("the", "in", "er", "th", "on", "re", "an", "ção", "é", "ö", "ung", "mi", "sel", "to", "que", "st")
-    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+    plain = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+    word = lambda: plain().capitalize() if r.random() < 0.15 else plain()
     name = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9)))
     num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
 
@@ -249,8 +256,8 @@ def labelled_spans(n: int, seed: int, window: int = WINDOW) -> list[tuple[str, l
 
     def phone() -> str:
         a, b, c = num(3), num(3), num(4)
-        form = r.choice(("+1 ({a}) {b}-{c}", "({a}) {b}-{c}", "{a}-{b}-{c}", "{a}.{b}.{c}", "+49 30 {b}{c}", "0049 30 {b} {c}", "+33 1 {b} {c}", "0{a}/{b}{c}", "0{a} {b} {c}", "1-{a}-{b}-{c}", "+44 20 {c} {c}"))
-        return form.format(a=a, b=b, c=c)
+        form = r.choice(("+1 ({a}) {b}-{c}", "({a}) {b}-{c}", "{a}-{b}-{c}", "{a}.{b}.{c}", "+49 30 {b}{c}", "0049 30 {b} {c}", "0049 {a} {c} {d}", "0{a} / {b}{c}", "+33 1 {b} {c}", "0{a}/{b}{c}", "0{a} {b} {c}", "1-{a}-{b}-{c}", "+44 20 {c} {c}"))
+        return form.format(a=a, b=b, c=c, d=num(4))
 
     def email() -> str:
         user, host, top = r.choice((name(), f"{name()}.{name()}", f"{name()}{num(2)}", f"{name()}.{num(2)}")), r.choice((name(), f"mail{num(1)}.{name()}", name(), "".join(name() + r.choice(".--") for _ in range(r.randint(1, 5))) + name())), r.choice(("com", "org", "net", "de", "fr", "example.com"))
@@ -272,7 +279,7 @@ def labelled_spans(n: int, seed: int, window: int = WINDOW) -> list[tuple[str, l
             if r.random() < 0.45:
                 kind = r.choice(KINDS)
                 item = make[kind]()
-                text += r.choice((" ", " ", "\n", ", ", " tel ", ": ")) if text else ""
+                text += r.choice((" ", " ", "\n", ", ", " tel ", ": ", f"{word()} ", " Fax ", " Mail ")) if text else ""
                 spans.append((len(text), len(text) + len(item), kind))
                 text += item + r.choice(("", "", ".", ","))
             elif r.random() < 0.6:
@@ -385,35 +392,65 @@ class Tagger:
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        places: list[tuple[int, int, int]] = []  # text, region, start of window
-        regions, codes = [], []
+        group: list[tuple[int, int, int]] = []  # text, start and end of a stretch
+        windows = 0
         for i, text in enumerate(texts):
             for a, b in self._regions(text):
-                regions.append((i, a, b, np.zeros(b - a, np.int8), np.full(b - a, 1 << 30, np.int32)))
-                region = classes(text[a:b])
-                for at in range(0, max(1, b - a - self.window + self.stride), self.stride):
-                    places.append((i, len(regions) - 1, at))
-                    part = region[at : at + self.window]
-                    codes.append(np.r_[part, np.full(self.window - len(part), NOTHING, np.int16)])
-                    if len(codes) >= self.at_once:
-                        self._decode(places, codes, regions)
-                        places, codes = [], []
-        if codes:
-            self._decode(places, codes, regions)
-        for i, a, b, tags, _ in regions:
-            out[i] += self._read(texts[i], a, tags)
+                group.append((i, a, b))
+                windows += self._windows(b - a)
+                if windows >= self.at_once:
+                    self._tag(texts, group, out)
+                    group, windows = [], 0
+        if group:
+            self._tag(texts, group, out)
         return out
 
-    def _decode(self, places, codes, regions) -> None:
-        e = _emissions(self.w, np.stack(codes, axis=1))[0]
-        tags = viterbi(e, self.w["t"])
-        for j, (_, region, at) in enumerate(places):
-            a, b, best, far = regions[region][1:]
-            n = min(self.window, b - a - at)
-            distance = np.abs(np.arange(n) * 2 - (self.window - 1)).astype(np.int32)
-            nearer = distance < far[at : at + n]
-            best[at : at + n][nearer] = tags[:n, j][nearer]
-            far[at : at + n][nearer] = distance[nearer]
+    def _windows(self, length: int) -> int:
+        return 1 + max(0, -(-(length - self.window) // self.stride))
+
+    def _tag(self, texts, group, out) -> None:
+        scores = self._scores([classes(texts[i][a:b]) for i, a, b in group])
+        for (i, a, _), tags in zip(group, self._paths(scores)):
+            out[i] += self._read(texts[i], a, tags)
+
+    def _scores(self, stretches: list[np.ndarray]) -> list[np.ndarray]:
+        """Tag scores [time, tags] of each stretch: the windows' averaged, the nearer to a window's middle the heavier."""
+        weight = np.minimum(np.arange(1, self.window + 1), np.arange(self.window, 0, -1)).astype(np.float32)[:, None]
+        total = [np.zeros((len(x), N_TAGS), np.float32) for x in stretches]
+        weights = [np.zeros((len(x), 1), np.float32) for x in stretches]
+        places = [(r, at * self.stride) for r, x in enumerate(stretches) for at in range(self._windows(len(x)))]
+        for first in range(0, len(places), self.at_once):
+            some = places[first : first + self.at_once]
+            codes = np.full((self.window, len(some)), NOTHING, np.int16)
+            for j, (r, at) in enumerate(some):
+                part = stretches[r][at : at + self.window]
+                codes[: len(part), j] = part
+            e = _emissions(self.w, codes)[0]
+            for j, (r, at) in enumerate(some):
+                n = min(self.window, len(stretches[r]) - at)
+                total[r][at : at + n] += e[:n, j] * weight[:n]
+                weights[r][at : at + n] += weight[:n]
+        return [t / w for t, w in zip(total, weights)]
+
+    def _paths(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        """The best path of each stretch; those of like lengths are decoded together, ended by O."""
+        out: list[np.ndarray] = [np.empty(0, np.int8)] * len(scores)
+        order = sorted(range(len(scores)), key=lambda r: len(scores[r]))
+        at = 0
+        while at < len(order):
+            steps = -(-len(scores[order[at]]) // 32) * 32
+            some = []
+            while at < len(order) and len(scores[order[at]]) <= steps:
+                some.append(order[at])
+                at += 1
+            e = np.full((steps, len(some), N_TAGS), -1e4, np.float32)
+            e[:, :, 0] = 0
+            for j, r in enumerate(some):
+                e[: len(scores[r]), j] = scores[r]
+            tags = viterbi(e, self.w["t"])
+            for j, r in enumerate(some):
+                out[r] = tags[: len(scores[r]), j]
+        return out
 
     def _read(self, text: str, offset: int, tags: np.ndarray) -> list[tuple[int, int, str]]:
         out, i, n = [], 0, len(tags)
@@ -431,7 +468,8 @@ class Tagger:
             while a < b and text[a] in " .,;:\n":
                 a += 1
             if KINDS[kind] == "email":
-                a -= len(_LOCAL.search(text[max(0, a - 64) : a]).group()) if a < b and text[a] not in "@(" else 0
+                while 0 < a < b and text[a] not in "@(" and text[a - 1] in _LOCAL:
+                    a -= 1
                 m = _HOST.match(text, a)
                 b = max(b, m.end()) if m else b
             if a < b and plausible(KINDS[kind], text[a:b]) and not _inside_word(text, a, b):
@@ -441,20 +479,22 @@ class Tagger:
         return out
 
 
-_OBFUSCATED = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[(\[]at[)\]]| at | AT ) ?[A-Za-z0-9.-]+(?: ?(?:\.|[(\[]dot[)\]]| dot | DOT ) ?[A-Za-z0-9-]+)*", re.S)
-_NUMBER = {"card": re.compile(r"[0-9][0-9 .-]*[0-9]"), "phone": re.compile(r"[+(]?[0-9][0-9 ()./-]*[0-9]"), "ip": re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")}
+_AT = re.compile(r"@|[(\[](?:at|AT)[)\]]| (?:at|AT) ")
+_LAST = re.compile(r"(?:\.|[(\[](?:dot|DOT)[)\]] ?| (?:dot|DOT) )[A-Za-z]{2,}\Z")
 
 
 def plausible(kind: str, text: str) -> bool:
-    """The form that a span of the network must have."""
+    """What is valid for its kind: the checks of the contract, and for an address a name, an "at" and a host with a last part."""
     if kind == "email":
-        m = _OBFUSCATED.fullmatch(text)
-        marked = "@" in text or re.search(r"[(\[]at[)\]]", text) or re.search(r" (?:dot|DOT) | ?[(\[]dot[)\]] ?", text)
-        return bool(m and marked and re.search(r"[A-Za-z0-9](?:\.|[(\[]dot[)\]] ?| dot | DOT | [(\[]dot[)\]] ?)[A-Za-z]{2,}\Z", text))
-    if not _NUMBER[kind].fullmatch(text) or not _good(kind, text):
+        at = _AT.search(text)
+        sure = at and (at.group() in "@" or at.group()[0] in "([" or re.search(r"dot|DOT", text[at.end() :]))
+        return bool(sure and at.start() > 0 and _LAST.search(text, at.end()))
+    if kind == "ip":
+        return text.count(".") == 3 and all(p.isascii() and p.isdigit() for p in text.split(".")) and _good(kind, text)
+    if not _good(kind, text):
         return False
-    # a phone number without a sign has groups; a bare run of digits may be anything
-    return kind != "phone" or text[0] in "+(" or bool(re.search(r"[ ()./-]", text)) and len(max(re.findall(r"[0-9]+", text), key=len)) <= 8 and len(re.findall(r"[0-9]+", text)) <= 6
+    # a bare run of digits may be anything
+    return kind != "phone" or text[0] in "+(" or len(digits(text)) < len(text) and len(max(re.findall(r"[0-9]+", text), key=len)) <= 8 and len(re.findall(r"[0-9]+", text)) <= 6
 
 
 def _inside_word(text: str, a: int, b: int) -> bool:
