@@ -38,23 +38,26 @@ def bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 HEAVY = 1000
 #: Keys that the sketch follows; any with one in HEAVY rows is sure to be among them.
 TRACKED = 20_000
+#: Rows of one bucket that are never too many for a task.
+FEW = 512
 
 
-def heavy_keys(rows: DataFrame, large: int) -> DataFrame:
-    """(key, most) of the keys with over ``large`` rows and one in ``HEAVY`` of all: ``HEAVY`` rows at most.
+def heavy_keys(rows: DataFrame, large: int) -> tuple[DataFrame, int]:
+    """((key, most) of the keys with over the second value and one in ``HEAVY`` of all rows, ``HEAVY`` at most; rows that a task may get of a key).
 
     One pass with a sketch in each task; most is at least the key's number of rows. The sketch
     decides only how a key's rows are dealt, never what comes of them.
     """
     items, n = rows.agg(F.expr(f"approx_top_k(key, {HEAVY}, {TRACKED})"), F.count(F.lit(1))).first()
+    large = min(large, max(FEW, 2 * n // HEAVY))
     found = [(r["item"], r["count"]) for r in items if r["count"] > large and r["count"] * HEAVY >= n]
-    return rows.sparkSession.createDataFrame(found, "key long, most long")
+    return rows.sparkSession.createDataFrame(found, "key long, most long"), large
 
 
 def bucketed(rows: DataFrame, member: str, large: int, keep=None, chunk: str | None = None) -> DataFrame:
     """Rows (key, ...) without buckets of one row, large buckets split; ``dealt`` brings them to tasks.
 
-    A bucket of over ``large`` rows is cut into chunks by a hash of ``member``, and each pair of
+    A bucket of over ``large`` rows, or of a small table over ``2 / HEAVY`` of them, is cut into chunks by a hash of ``member``, and each pair of
     chunks is a bucket of its own, so that any two members still meet in some bucket, and no task
     gets more than about ``large`` rows of one bucket. Heavy buckets are known beforehand and are
     split where their rows lie; only others are counted by a window, which sends a bucket to one
@@ -63,7 +66,8 @@ def bucketed(rows: DataFrame, member: str, large: int, keep=None, chunk: str | N
     """
     w = Window.partitionBy("key")
     columns = rows.columns
-    heavy = F.broadcast(heavy_keys(rows, large))
+    heavy, large = heavy_keys(rows, large)
+    heavy = F.broadcast(heavy)
     light = rows.join(heavy, "key", "left_anti").withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__keep", F.lit(True) if keep is None else keep(w))
     light = light.filter((F.col("__n") > 1) & F.col("__keep")).drop("__keep")
     x = light.select(*columns, "__n").union(rows.join(heavy, "key").select(*columns, F.col("most").alias("__n")))
