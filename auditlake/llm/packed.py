@@ -1,8 +1,8 @@
 """Places in documents that meet by hash, exchanged in packed form and read in sorted order.
 
 A row of the exchange holds all places of one bucket (the top bits of the hash) that a task has
-found among some hundred thousand: hashes, and differences of doc_ids, text names and places,
-which compress well. Before the exchange a task decides what it can by itself, so that of a hash
+found among some hundred thousand: hashes, and differences of doc_ids, rows and places, which
+compress well. Before the exchange a task decides what it can by itself, so that of a hash
 which a third of all rows share it sends a few rows: the rest are dealt by document. After the
 exchange rows are unpacked and sorted by the JVM, which spills, and read as a stream.
 """
@@ -13,43 +13,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Places that a task gathers before it packs them.
 GATHER = 400_000
-_PACKED = "bucket int, known boolean, h binary, g binary, docs binary, texts binary, places binary"
-_PLAIN = "known boolean, h long, g int, doc_id long, text_hash long, place int"
-_NAMES = ["known", "h", "g", "doc_id", "text_hash", "place"]
+_PACKED = "bucket int, known boolean, h binary, g binary, docs binary, rows binary, places binary"
+_PLAIN = "known boolean, h long, g int, doc_id long, row int, place int"
+_NAMES = ["known", "h", "g", "doc_id", "row", "place"]
 
 
 def _pack(parts: list[tuple[np.ndarray, ...]], bits: int, settle) -> pa.RecordBatch:
-    h, g, docs, texts, places = (np.concatenate([p[i] for p in parts]) for i in range(5))
+    h, g, docs, rows, places = (np.concatenate([p[i] for p in parts]) for i in range(5))
     known = settle(h, g, docs)
     top = np.uint64(64 - bits)
     spread = docs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    bucket = np.where(known, spread >> top, h >> top).astype(np.int32)
-    order = np.lexsort((known, bucket))
-    bucket, known, h, g, docs, texts, places = (x[order] for x in (bucket, known, h, g, docs, texts, places))
-    starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (known[1:] != known[:-1])]) if len(bucket) else np.empty(0, np.int64)
-    pieces = list(zip(starts.tolist(), np.r_[starts[1:], len(bucket)].astype(int).tolist()))
+    bucket = np.where(known, spread, h) >> top
+    h[known], g[known] = 0, 0  # nobody reads them any more
+    kind = bucket * np.uint64(2) + known
+    order = np.argsort(kind.astype(np.uint16) if bits < 15 else kind, kind="stable")
+    kind, h, g, docs, rows, places = (x[order] for x in (kind, h, g, docs, rows, places))
+    starts = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]]) if len(kind) else np.empty(0, np.int64)
+    pieces = list(zip(starts.tolist(), np.r_[starts[1:], len(kind)].astype(int).tolist()))
     step = lambda x: np.diff(x, prepend=x.dtype.type(0)).tobytes()
-    packed = [*(pa.array([x[a:b].tobytes() for a, b in pieces], pa.binary()) for x in (h, g)), *(pa.array([step(x[a:b]) for a, b in pieces], pa.binary()) for x in (docs, texts, places))]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(known[starts]), *packed], ["bucket", "known", "h", "g", "docs", "texts", "places"])
+    packed = [*(pa.array([x[a:b].tobytes() for a, b in pieces], pa.binary()) for x in (h, g)), *(pa.array([step(x[a:b]) for a, b in pieces], pa.binary()) for x in (docs, rows, places))]
+    kind = kind[starts].astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array((kind >> 1).astype(np.int32)), pa.array((kind & 1).astype(bool)), *packed], ["bucket", "known", "h", "g", "docs", "rows", "places"])
 
 
 def _groups(h: np.ndarray, g: np.ndarray, docs: np.ndarray):
-    """(order by hash and document, starts of the hashes, number of each row's hash), in that order."""
-    order = np.lexsort((docs, g, h))
+    """(order by hash, starts of the hashes, number of each row's hash, documents), in that order."""
+    order = np.argsort(h, kind="stable")
     h, g = h[order], g[order]
     new = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])] if len(h) else np.empty(0, bool)
-    return order, np.flatnonzero(new), np.cumsum(new) - 1
+    return order, np.flatnonzero(new), np.cumsum(new) - 1, docs[order]
 
 
 def settle_later(h, g, docs) -> np.ndarray:
     """A place is later for sure if the task itself has its hash in a smaller document."""
-    order, starts, run = _groups(h, g, docs)
+    order, starts, run, d = _groups(h, g, docs)
     known = np.zeros(len(h), bool)
-    known[order] = docs[order] > docs[order][starts][run]
+    if len(h):
+        known[order] = d > np.minimum.reduceat(d, starts)[run]
     return known
 
 
@@ -58,19 +63,20 @@ def settle_shared(h, g, docs) -> np.ndarray:
 
     One place of the least and one of the greatest document stay open, to tell other tasks' places.
     """
-    order, starts, run = _groups(h, g, docs)
-    ends = np.r_[starts[1:], len(h)] - 1
-    d = docs[order]
-    many = d[starts] != d[ends]
-    known = many[run]
-    known[starts[many]] = known[ends[many]] = False
+    order, starts, run, d = _groups(h, g, docs)
     out = np.zeros(len(h), bool)
-    out[order] = known
+    if len(h):
+        least, most = np.minimum.reduceat(d, starts), np.maximum.reduceat(d, starts)
+        known = (least != most)[run]
+        for end in (least, most):  # the first place of that document
+            at = np.flatnonzero(known & (d == end[run]))
+            known[at[np.r_[True, run[at][1:] != run[at][:-1]][: len(at)]]] = False
+        out[order] = known
     return out
 
 
 def packing(find, bits: int, settle):
-    """find: batch -> lists of (h uint64, g uint32, docs int64, text_hashes int64, places int32), equally long."""
+    """find: batch -> lists of (h uint64, g uint32, docs int64, rows int32, places int32), equally long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -92,31 +98,31 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 64):
             rows = batch.slice(at, 64)
             read = lambda i, kind: [np.frombuffer(x.as_py(), kind) for x in rows.column(i)]  # noqa: E731, B023
-            h, g, docs, texts, places = read(2, np.int64), read(3, np.int32), read(4, np.int64), read(5, np.int64), read(6, np.int32)
+            h, g, docs, own, places = read(2, np.int64), read(3, np.int32), read(4, np.int64), read(5, np.int32), read(6, np.int32)
             known = np.repeat(np.array(rows.column(1)), [len(x) for x in h])
-            summed = [[np.cumsum(x, dtype=x.dtype) for x in c] for c in (docs, texts, places)]
+            summed = [[np.cumsum(x, dtype=x.dtype) for x in c] for c in (docs, own, places)]
             yield pa.RecordBatch.from_arrays([pa.array(known), *(pa.array(np.concatenate(x)) for x in (h, g, *summed))], _NAMES)
 
 
 def exchanged(rows: DataFrame, find, bits: int, settle) -> DataFrame:
-    """(known, h, g, doc_id, text_hash, place): first the open rows, those of a hash together and by doc_id, then the known ones."""
+    """(known, h, g, doc_id, row, place), the open rows of a hash together and by doc_id."""
     packed = rows.mapInArrow(packing(find, bits, settle), _PACKED).repartition("bucket")
-    return packed.mapInArrow(_unpack, _PLAIN).sortWithinPartitions("known", "h", "g", "doc_id")
+    return packed.mapInArrow(_unpack, _PLAIN).sortWithinPartitions("h", "g", "doc_id")
 
 
-#: What the readers below hand on: (doc_id, text_hash, place).
+#: What the readers below hand on: (doc_id, row, place).
 _PLACE = [3, 4, 5]
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
     """(rows, whether they are known), no batch of both."""
     for batch in batches:
-        known = np.array(batch.column(0))
-        n = int(len(known) - known.sum())
+        known = batch.column(0)
+        n = known.true_count
         if n:
-            yield batch.slice(0, n), False
-        if n < len(known):
-            yield batch.slice(n), True
+            yield batch.filter(known), True
+        if n < batch.num_rows:
+            yield batch.filter(pc.invert(known)) if n else batch, False
 
 
 def _runs(batch: pa.RecordBatch):
@@ -126,7 +132,7 @@ def _runs(batch: pa.RecordBatch):
 
 
 def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text_hash, place) of the rows whose hash a smaller doc_id has too."""
+    """(doc_id, row, place) of the rows whose hash a smaller doc_id has too."""
     key, least = None, 0
     for batch, known in _open(batches):
         if known:
@@ -141,7 +147,7 @@ def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text_hash, place) of the rows whose hash another doc_id has too."""
+    """(doc_id, row, place) of the rows whose hash another doc_id has too."""
     key, least, open_, held = None, 0, False, []
     for batch, known in _open(batches):
         if known:
