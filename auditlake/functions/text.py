@@ -54,3 +54,20 @@ def score_class(c: Column) -> Column:
 
 def format_delta(c: Column) -> Column:
     return F.when(c.isNull(), "—").when(c == 0, "±0").when(c > 0, F.format_string("+%.0f", c)).otherwise(F.format_string("%.0f", c))
+
+
+def delta_class(c: Column) -> Column:
+    return F.when(c.isNull() | (c == 0), "delta-zero").when(c > 0, "delta-up").otherwise("delta-down")
+
+
+def format_bytes(c: Column) -> Column:
+    kb, mb = c / 1024, c / (1024 * 1024)
+    return F.when(c.isNull(), "—").when(c < 1024, F.format_string("%d B", c)).when(c < 1024 * 1024, F.format_string("%.1f KB", kb)).otherwise(F.format_string("%.1f MB", mb))
+
+
+def format_ms(c: Column) -> Column:
+    return F.when(c.isNull(), "—").otherwise(F.concat(c.cast("string"), F.lit(" ms")))
+
+
+def format_time(c: Column) -> Column:
+    return F.coalesce(F.date_format(c, "dd.MM.yyyy HH:mm"), F.lit("—"))

@@ -29,3 +29,14 @@ def category_scores(findings: DataFrame, pages: DataFrame) -> DataFrame:
 def overall_score(scores: DataFrame) -> DataFrame:
     """(score): the mean of the categories'; 100 without any."""
     return scores.agg(F.coalesce(F.round(F.avg("score"), 2), F.lit(100.0)).alias("score"))
+
+
+#: The column of a crawl that holds a category's score (fixed values).
+SCORE_COLUMNS = {"tech_meta": "score_tech", "structure": "score_struct", "content": "score_content"}
+
+
+def with_scores(crawls: DataFrame, scores: DataFrame) -> DataFrame:
+    """crawls (id, ...) with their scores from rows (crawl_id, category, score), and the mean of the categories' as score_overall."""
+    pick = [F.max(F.when(F.col("category") == c, F.col("score"))).cast("decimal(5,2)").alias(name) for c, name in SCORE_COLUMNS.items()]
+    wide = scores.groupBy(F.col("crawl_id").alias("id")).agg(*pick, F.round(F.avg("score"), 2).cast("decimal(5,2)").alias("score_overall"))
+    return crawls.drop(*SCORE_COLUMNS.values(), "score_overall").join(wide, "id", "left")

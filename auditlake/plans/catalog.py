@@ -231,7 +231,7 @@ def scheduler_tick_counts(s, d):
 
 
 def compare_candidates(s, d):
-    return projects.compare_candidates(_crawls(s, d).filter("project_id = 7"), 100).select("id")
+    return projects.compare_candidates(_crawls(s, d))
 
 
 def sitemap_parse(s, d):

@@ -264,7 +264,7 @@ SQL = {
     "scheduler_due": "WITH p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 <> 0 THEN 60 * (c_custkey % 5 + 1) END AS every, CASE WHEN c_custkey % 7 <> 0 THEN TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (c_custkey % 48 - 24)::INT END AS next FROM customer) SELECT id FROM p WHERE every IS NOT NULL AND next <= TIMESTAMP '2024-01-01'",
     "scheduler_tick": "WITH p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 <> 0 THEN 60 * (c_custkey % 5 + 1) END AS every, CASE WHEN c_custkey % 7 <> 0 THEN TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (c_custkey % 48 - 24)::INT END AS next FROM customer), d AS (SELECT id, every, id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AS busy FROM p WHERE every IS NOT NULL AND next <= TIMESTAMP '2024-01-01') SELECT id AS project_id, CASE WHEN busy THEN 'skip' ELSE 'enqueue' END AS action, strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * every::INT, '%Y-%m-%d %H:%M:%S') AS next_at FROM d",
     "scheduler_tick_counts": "WITH p AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 48 <= 24), d AS (SELECT id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AS busy FROM p) SELECT count(*) FILTER (NOT busy) AS enqueued, count(*) FILTER (busy) AS skipped_in_flight, count(*) AS advanced FROM d",
-    "compare_candidates": "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' AND o_custkey = 7 AND o_orderkey <> 100",
+    "compare_candidates": "SELECT o_custkey AS project_id, o_orderkey AS id FROM (SELECT *, max(o_orderkey) OVER (PARTITION BY o_custkey) AS latest FROM orders) WHERE o_orderstatus = 'F' AND o_orderkey <> latest",
     "sitemap_parse": r"SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM pages UNION ALL SELECT page_id, regexp_extract(url, '^(https?://[^/]*)', 1) || '/rel/' || page_id FROM pages",
     "sitemap_walk": "SELECT 'https://s.example/' || (page_id % 10) || '/' || page_id AS url FROM pages WHERE page_id % 10 < 5",
     "robots_allowed": "SELECT page_id, NOT (page_id % 2 = 0 AND regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) LIKE '/fr/%' AND regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) NOT LIKE '/fr/1%') AS allowed FROM pages",

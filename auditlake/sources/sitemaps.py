@@ -89,21 +89,32 @@ def parsed(sitemaps: DataFrame) -> DataFrame:
 
 
 def walk(seeds: DataFrame, sitemaps: DataFrame, max_depth: int = MAX_DEPTH, max_sitemaps: int = MAX_SITEMAPS) -> DataFrame:
-    """(url, depth, is_index, locs) of the sitemaps that seeds (url) lead to through indexes, each once."""
+    """(url, depth, is_index, locs) of the sitemaps that seeds (url, and position if given) lead to through indexes, each once.
+
+    First come, first served: a level's sitemaps in order of the one that names them and their
+    place in it. A sitemap that is named but not in sitemaps counts towards the bound, as one that
+    can't be fetched; it has no places.
+    """
     known = settled(parsed(sitemaps))
-    seen = known.join(seeds.distinct(), "url", "left_semi").select("url", F.lit(0).alias("depth")).orderBy("url").limit(max_sitemaps)
-    seen = settled(seen)
-    frontier = seen
+    order = F.col("position").cast("long") if "position" in seeds.columns else F.lit(0).cast("long")
+    first = seeds.groupBy("url").agg(F.min(order).alias("by"))
+    seen = frontier = _level(first, 0, 0, max_sitemaps)
     for depth in range(1, max_depth + 1):
         room = max_sitemaps - seen.count()
         if room <= 0:
             break
-        named = known.join(frontier.select("url"), "url", "left_semi").filter("is_index").select(F.explode("locs").alias("url")).distinct()
-        frontier = settled(named.join(known.select("url"), "url", "left_semi").join(seen, "url", "left_anti").select("url", F.lit(depth).alias("depth")).orderBy("url").limit(room))
+        named = known.filter("is_index").join(frontier.select("url", "ord"), "url").select("ord", F.posexplode("locs").alias("at", "url"))
+        first = named.groupBy("url").agg(F.min(F.struct("ord", "at")).alias("by")).join(seen, "url", "left_anti")
+        frontier = _level(first, depth, max_sitemaps * depth, room)
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
-    return seen.join(known, "url")
+    return seen.select("url", "depth").join(known, "url", "left").select("url", "depth", F.coalesce("is_index", F.lit(False)).alias("is_index"), F.coalesce("locs", F.array().cast("array<string>")).alias("locs"))
+
+
+def _level(first: DataFrame, depth: int, start: int, room: int) -> DataFrame:
+    """(url, depth, ord) of the first ``room`` rows in order of by."""
+    return settled(first.orderBy("by", "url").limit(room).select("url", F.lit(depth).alias("depth"), (F.monotonically_increasing_id() + start).alias("ord")))
 
 
 def sitemap_urls(walked: DataFrame) -> DataFrame:
