@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import bounded_batches, materialize
 from auditlake.llm.components import components
-from auditlake.llm.runs import bounds, bucketed, dealt, whole_runs
+from auditlake.llm.runs import bounds, bucketed, dealt, looked_up, whole_runs
 
 COSINE = 0.93
 #: Share of pairs at the threshold that the tables find, as planned; nearer pairs are found more often.
@@ -269,14 +269,16 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, recall: float =
     keys = keys.select("key", F.col("key").alias("bucket"), "class", "at_home")
     met = bucketed(keys, "class", large, keep=lambda w: F.max("at_home").over(w), chunk="chunk")
     met = met.join(classes.select("class", "weight", "label", "dim", "embedding").join(hashed, "class"), "class")
+    met = met.select("key", "bucket", "class", "at_home", "chunk", "weight", "label", "dim", "embedding", "home", "probes")
     found = dealt(met).mapInArrow(_verify(plans, cosine), "class long, links long, root long")
     found = materialize(found, "found")
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("class").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "class")
     least = parts.join(classes.select("class", "least_id"), "class").groupBy("component").agg(F.min("least_id").alias("component_id"))
     parts = parts.join(least, "component").select("class", "component_id")
-    known = classes.select("class", "label", "embedding", "least_id", "weight").join(links, "class", "left").join(parts, "class", "left")
-    known = known.select(F.col("label").alias("__label"), F.col("embedding").alias("__embedding"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "least_id").alias("component_id"))
-    linked = good.join(known, (good["label"] == known["__label"]) & (good["embedding"] == known["__embedding"])).select("vec_id", "n_links", "component_id")
+    known = classes.select("class", "least_id", "weight").join(links, "class", "left").join(parts, "class", "left")
+    known = materialize(known.select("class", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "least_id").alias("component_id")), "known")
+    named = good.select("vec_id", F.xxhash64("label", "embedding").alias("class"))
+    linked = looked_up(named, known, "class", "class", "weight", {"n_links": "n_links", "component_id": "component_id"}, [F.col("vec_id")]).drop("class")
     alone = rows.filter(~usable(rows)).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

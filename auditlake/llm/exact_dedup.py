@@ -13,7 +13,8 @@ a collision of fingerprints can't join different texts. All others are unique.
 Scale: filters are exchanged in blocks, one for each range of quotients; there are as many blocks
 as keep one under ``PER_BLOCK`` fingerprints, whatever the groups are like: a text that a third
 of the rows share is one remainder with a count. Texts of repeated fingerprints are grouped with
-partial aggregation, so copies meet as one row for each task.
+partial aggregation, so copies meet as one row for each task; rows of the largest groups find
+theirs in a broadcast of a thousand rows at most, so none are sent to one task.
 
 Defined cases: a null text counts as empty, and empty texts equal each other; a null doc_id is
 larger than any other; rows that repeat a doc_id and text are the same document and share its
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import SPACE, fresh, materialize, no_nulls, own_columns
+from auditlake.llm.runs import looked_up
 
 #: Fingerprints of a block, about, if all are distinct.
 PER_BLOCK = 1 << 19
@@ -258,16 +260,15 @@ def exact_dedup(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """Return (doc_id, keep_id, group_size, kept, text_sha256) for each row of docs."""
     groups = exact_groups(docs, blocks)
     rows = docs.select("doc_id", F.sha2(normalized().cast("binary"), 256).alias("sha"))
-    x = rows.join(groups.drop("fp"), "sha", "left")
+    x = looked_up(rows, groups, "sha", "sha", "group_size", {"keep_id": "keep_id", "group_size": "group_size"}, [F.col("doc_id")])
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return x.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def filter_exact(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """The rows of docs that stay, with their columns."""
-    mine, sha, keep = fresh(docs, "__mine", "__sha", "__keep")
-    groups = exact_groups(docs, blocks).select(F.col("sha").alias(sha), F.col("keep_id").alias(keep))
+    mine, keep, size = fresh(docs, "__mine", "__keep", "__size")
     x = docs.withColumn(mine, F.sha2(normalized().cast("binary"), 256))
     # a merge join at every size: the groups grow with the data
-    x = x.join(groups.hint("merge"), F.col(mine) == F.col(sha), "left")
-    return x.filter(F.col(sha).isNull() | F.col("doc_id").eqNullSafe(F.col(keep))).select(*own_columns(docs))
+    x = looked_up(x, exact_groups(docs, blocks), mine, "sha", "group_size", {"keep_id": keep, "group_size": size}, [F.col("doc_id")], merge=True)
+    return x.filter(F.col(size).isNull() | F.col("doc_id").eqNullSafe(F.col(keep))).select(*own_columns(docs))

@@ -9,16 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.llm.common import fresh, own_columns
+
 
 def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables whose first column holds only whole runs of equal keys; what may go on waits for the next batch."""
+    """Tables of whole runs of equal keys in column key, by which rows are sorted; what may go on waits for the next batch."""
     waiting: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = batch.column(0).to_numpy(zero_copy_only=False)
+        key = batch.column("key").to_numpy(zero_copy_only=False)
         last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
-        if waiting and waiting[0].column(0)[0].as_py() != key[0]:
+        if waiting and waiting[0].column("key")[0].as_py() != key[0]:
             yield pa.Table.from_batches(waiting)
             waiting = []
         if last:
@@ -81,5 +83,29 @@ def bucketed(rows: DataFrame, member: str, large: int, keep=None, chunk: str | N
     return x.select(F.col("__u.key").alias("key"), *[c for c in columns if c != "key"], *([F.col("__u.chunk").alias(chunk)] if chunk else []))
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, table_key: str, size: str, values: dict[str, str], spread: list, merge: bool = False) -> DataFrame:
+    """rows with columns of table (values: name there -> name here), null where the key isn't there.
+
+    table has one row for each key and in ``size`` how many rows have it. The keys with one in
+    ``HEAVY`` of those rows, so ``HEAVY`` at most, are broadcast; their rows need no other task and
+    are dealt by ``spread``, columns that tell rows apart. merge: a merge join for the rest at every
+    size, for tables that grow with the data. table is read three times and should be written.
+    """
+    names = fresh(rows, "__key", "__heavy", *(f"__heavy_{v}" for v in values), *(f"__light_{v}" for v in values), "__dealt")
+    own, flag, dealt_by = names[0], names[1], names[-1]
+    heavies, lights = names[2 : 2 + len(values)], names[2 + len(values) : -1]
+    total = table.agg(F.sum(size)).first()[0] or 0
+    heavy = (F.col(size) > 1) & (F.col(size) * HEAVY >= total)
+    few = table.filter(heavy).select(F.col(table_key).alias(own), F.lit(True).alias(flag), *[F.col(v).alias(h) for v, h in zip(values, heavies)])
+    x = rows.join(F.broadcast(few), F.col(key) == F.col(own), "left").drop(own)
+    kind = rows.schema[key].dataType.simpleString()
+    elsewhere = F.xxhash64(F.lit("elsewhere"), *spread)
+    x = x.withColumn(dealt_by, F.when(F.col(flag), elsewhere if kind == "bigint" else F.concat(F.lit("-"), elsewhere.cast("string"))).otherwise(F.col(key)))
+    rest = table.filter(~heavy).select(F.col(table_key).alias(own), *[F.col(v).alias(v_) for v, v_ in zip(values, lights)])
+    x = x.join(rest.hint("merge") if merge else rest, F.col(dealt_by) == F.col(own), "left")
+    found = [F.when(F.col(flag), F.col(h)).otherwise(F.col(v_)).alias(name) for h, v_, name in zip(heavies, lights, values.values())]
+    return x.select(*own_columns(rows), *found)
+
+
 def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key")

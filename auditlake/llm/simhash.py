@@ -7,7 +7,7 @@ choice of three blocks; in each bucket the Hamming distance is verified. No clos
 Scale: equal fingerprints are one row before any join, so exact copies never meet as pairs. A
 bucket yields a spanning forest of its links (fewer edges than members), not its pairs; buckets
 of over ``LARGE`` members are split into pairs of chunks, heavy ones before any exchange; rows of a
-heavy fingerprint find their component in a broadcast of at most ``HEAVY`` rows. Texts are read once and never shuffled;
+heavy fingerprint find their component in a broadcast of a thousand rows at most. Texts are read once and never shuffled;
 what is shuffled is 16 bytes for each fingerprint and choice of blocks. With three of seven
 blocks a bucket stands for about 27 bits, so chance company stays rare up to 10**8 fingerprints.
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import bounded_batches, fresh, materialize, no_nulls, own_columns
 from auditlake.llm.components import components
-from auditlake.llm.runs import HEAVY, bounds, bucketed, dealt, whole_runs
+from auditlake.llm.runs import bounds, bucketed, dealt, looked_up, whole_runs
 
 WORDS = 4
 DISTANCE = 4
@@ -138,12 +138,7 @@ def _grouped(fps: DataFrame, distance: int, large: int) -> DataFrame:
     linked = found.join(least, "component").select("fp", "component_id")
     each = classes.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least_id").alias("component_id"))
     each = materialize(each, "components")
-    # fingerprints with one in HEAVY rows, so HEAVY of them at most, are looked up where their rows lie
-    rows = each.agg(F.sum("n")).first()[0] or 0
-    heavy = (F.col("n") * HEAVY >= rows) & (F.col("n") > 1)
-    own = fps.join(F.broadcast(each.filter(heavy).select("fp", F.col("component_id").alias("known"), F.lit(True).alias("heavy"))), "fp", "left")
-    light = own.filter("heavy is null").join(each.filter(~heavy).select("fp", "component_id"), "fp")
-    return own.filter("heavy").select(*fps.columns, F.col("known").alias("component_id")).union(light.select(*fps.columns, "component_id"))
+    return looked_up(fps, each, "fp", "fp", "n", {"component_id": "component_id"}, [F.col("doc_id"), F.col("text_hash")])
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, seed: int = SEED, large: int = LARGE) -> DataFrame:

@@ -159,6 +159,22 @@ def test_simhash_links_of_dense_and_sparse_buckets(spark, large):
     assert _groups(signed, edges) == _groups(signed, want)
 
 
+def test_hot_groups_are_looked_up_like_others(spark):
+    """Half of all rows in one group: the same results, and no task gets all of the group's rows."""
+    r = random.Random(31)
+    hot = _words(r, 60)
+    rows = [(i, hot if i % 2 else _words(r, 40), "s") for i in range(600)] + [(1000 + i, _words(r, 30), "s") for i in range(5)] * 2
+    docs = _docs(spark, rows)
+    groups = defaultdict(list)
+    for i, t, _ in rows:
+        groups[_space(t)].append(i)
+    want = {(i, min(ids), len(ids)) for ids in groups.values() for i in ids}
+    assert {(x["doc_id"], x["keep_id"], x["group_size"]) for x in exact_dedup.exact_dedup(docs).collect()} == want
+    assert sorted(x["doc_id"] for x in exact_dedup.filter_exact(docs).collect()) == sorted(i for ids in groups.values() for i in ids if i == min(ids))
+    near = _by_id(simhash.simhash_dedup(docs).collect())
+    assert {near[i]["component_id"] for i in range(1, 600, 2)} == {1}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (5, 5), (200, 300), (300, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -773,3 +789,22 @@ def test_mix_takes_each_row_as_allocated(spark):
     for x in mixing.mix(docs, buckets=5).collect():
         got[(x["doc_id"], x["source"], len(_split(x["text"])))] += 1
     assert got == {k: n for k, n in taken.items() if n} and sum(got.values()) > 20
+
+
+def test_buckets_are_whole_whatever_the_batches():
+    import pyarrow as pa
+
+    from auditlake.llm.runs import whole_runs
+
+    r = random.Random(2)
+    keys = sorted(r.choice(range(40)) for _ in range(500))
+    whole = pa.RecordBatch.from_pydict({"other": [r.random() for _ in keys], "key": keys})
+    for sizes in ([1], [7], [100, 3], [500], [0, 13]):
+        batches, at, k = [], 0, 0
+        while at < 500:
+            n = sizes[k % len(sizes)]
+            batches.append(whole.slice(at, n))
+            at, k = at + n, k + 1
+        parts = [t.column("key").to_pylist() for t in whole_runs(iter(batches))]
+        assert [x for p in parts for x in p] == keys
+        assert sum(len(set(p)) for p in parts) == len(set(keys))
