@@ -97,10 +97,15 @@ def severity_histogram(issues: DataFrame) -> DataFrame:
     return every.join(counts, "severity", "left").select("severity", F.coalesce("n", F.lit(0)).alias("count"))
 
 
+def examples(issues: DataFrame, shown: int = 5) -> DataFrame:
+    """(rule_id, place, id, page_url, payload): the first issues of each rule."""
+    place = F.row_number().over(Window.partitionBy("rule_id").orderBy("id"))
+    return issues.select("rule_id", place.alias("place"), "id", "page_url", "payload").filter(F.col("place") <= shown)
+
+
 def rule_summary(issues: DataFrame, shown: int = 5) -> DataFrame:
     """(rule_id, category, severity, count, example_ids): rules with findings, in the report's order."""
-    few = issues.withColumn("n", F.row_number().over(Window.partitionBy("rule_id").orderBy("id"))).filter(F.col("n") <= shown)
-    few = few.groupBy("rule_id").agg(F.array_sort(F.collect_list("id")).alias("example_ids"))
+    few = examples(issues, shown).groupBy("rule_id").agg(F.array_sort(F.collect_list("id")).alias("example_ids"))
     counts = issues.groupBy("rule_id").agg(F.count(F.lit(1)).alias("count"))
     rules = rules_frame(issues.sparkSession)
     rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))

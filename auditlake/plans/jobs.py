@@ -7,12 +7,14 @@ and ids, and the same in the SQL.
 from __future__ import annotations
 
 import gzip
+import uuid
 from collections.abc import Callable
 from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake import storage
 from auditlake.functions import text
 from auditlake.operators import scoring, structure, tech
 from auditlake.plans import catalog, compare, issues, oracles, projects, store
@@ -214,8 +216,31 @@ def value_formats(s, d):
     return table(s, d, "pages").select("page_id", text.format_bytes(F.when(p % 9 != 0, F.when(p % 10 == 1, p).otherwise(n))).alias("size"), text.delta_class(F.when(p % 8 != 0, delta)).alias("delta"), text.format_ms(F.when(p % 6 != 0, p)).alias("took"), text.format_time(F.when(p % 5 != 0, at)).alias("at"))
 
 
+def report_examples(s, d):
+    return issues.examples(catalog._issues(s, d)[1])
+
+
+def stored_scan(s, d):
+    """Links of two crawls in one table, of which one crawl's partition is read."""
+    folder, links = f"{storage.application_folder(s)}/{uuid.uuid4().hex}", store.links_table(stored_crawl(s, d).filter("is_html"))
+    store.write(links, folder, "links", 1)
+    store.write(links.filter("is_internal"), folder, "links", 2)
+    store.write(links.filter("not is_internal"), folder, "links", 1)
+    return store.read(s, folder, "links", 1).select("crawl_id", "source_page_id", "target_url")
+
+
+def sitemaps_replaced(s, d):
+    """Sitemaps of two projects; those of the first are replaced, and an empty set of new ones changes nothing."""
+    folder = f"{storage.application_folder(s)}/{uuid.uuid4().hex}"
+    url = F.col("url")
+    rows = table(s, d, "pages").select("page_id", url, (F.col("page_id") % 4 == 0).alias("is_index"), F.array(url, url, F.concat(url, F.lit("2"))).alias("locs"), F.when(F.col("page_id") % 7 == 0, "HTTP 404").alias("error"))
+    for project, kept in ((1, "page_id >= 0"), (2, "page_id % 2 = 1"), (1, "page_id % 3 = 0"), (2, "page_id < 0")):
+        store.replace_sitemaps(rows.filter(kept), folder, project)
+    return s.read.parquet(f"{folder}/sitemaps").select(F.col("project_id").cast("long").alias("project_id"), "url", "urls_count", F.array_join("urls", " ").alias("urls"), "fetch_error")
+
+
 _QUERIES = (
-    crawl_fetch, crawl_site, probe_external, probe_resources, spelling_probe, sitemap_seeds, sitemap_files, pages_stored, links_stored, resources_stored, blocks_stored, crawl_scores, score_deltas, issues_json, issue_list_total,
+    report_examples, stored_scan, sitemaps_replaced, crawl_fetch, crawl_site, probe_external, probe_resources, spelling_probe, sitemap_seeds, sitemap_files, pages_stored, links_stored, resources_stored, blocks_stored, crawl_scores, score_deltas, issues_json, issue_list_total,
     page_list_total, project_list, project_get, project_create, project_patch, project_delete, crawl_list, crawl_get, crawl_trigger, crawl_page_counts, sitemap_list, value_formats,
 )
 
@@ -233,6 +258,9 @@ def _half(k: int) -> str:
 
 
 SQL = {
+    "report_examples": f"WITH {oracles._ISSUES} SELECT rule_id, (row_number() OVER (PARTITION BY rule_id ORDER BY id))::INT AS place, id, page_url, payload FROM issues QUALIFY place <= 5",
+    "stored_scan": f"WITH {_C}, {_E} SELECT 1::INT AS crawl_id, p AS source_page_id, target_url FROM edges WHERE NOT is_internal",
+    "sitemaps_replaced": "SELECT project_id, url, CASE WHEN page_id % 4 = 0 THEN 0 ELSE 3 END::INT AS urls_count, CASE WHEN page_id % 4 <> 0 THEN url || ' ' || url || ' ' || url || '2' END AS urls, CASE WHEN page_id % 7 = 0 THEN 'HTTP 404' END AS fetch_error FROM pages JOIN (VALUES (1::BIGINT), (2)) p(project_id) ON CASE project_id WHEN 1 THEN page_id % 3 = 0 ELSE page_id % 2 = 1 END",
     "crawl_fetch": r"""WITH u AS (SELECT page_id, 'https://h' || page_id || '.example' || regexp_replace(url, '^https?://[^/?#]*', '') AS url, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 a AS (SELECT *, length(url) AS n, NOT (page_id % 2 = 0 AND path LIKE '/fr/%' AND path NOT LIKE '/fr/1%') AS allowed FROM u), f AS (SELECT *, allowed AND n % 7 <> 3 AS answered FROM a)
 SELECT url AS requested_url, CASE WHEN answered AND n % 5 = 1 THEN url || '/moved' ELSE url END AS url, CASE WHEN answered THEN CASE WHEN n % 11 = 2 THEN 404 ELSE 200 END END::INT AS status_code,

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.operators.registry import CATEGORIES, SEVERITIES
-from auditlake.plans.issues import rule_summary, rules_passing, severity_histogram
+from auditlake.plans.issues import examples, rule_summary, rules_passing, severity_histogram
 
 LABELS = {"tech_meta": "Technik & Meta", "structure": "Struktur", "content": "Inhalt"}
 SHOWN, PERSISTENT_SHOWN = 5, 20
@@ -21,8 +21,7 @@ SHOWN, PERSISTENT_SHOWN = 5, 20
 def context(issues: DataFrame, pages: int, scores: dict[str, float | None]) -> dict:
     """What a report tells: pages, counts by severity, and by category its rules with up to five examples."""
     rules = rule_summary(issues, SHOWN)
-    ids = rules.select(F.explode("example_ids").alias("id"))  # at most five for each rule
-    examples = {r["id"]: r for r in issues.join(ids, "id").select("id", "page_url", "payload").collect()}
+    found = {r["id"]: r for r in examples(issues, SHOWN).collect()}  # at most five for each rule
     rows, passing = rules.collect(), rules_passing(issues).collect()
     return {
         "pages": pages,
@@ -32,7 +31,7 @@ def context(issues: DataFrame, pages: int, scores: dict[str, float | None]) -> d
                 "category": c,
                 "label": LABELS[c],
                 "score": scores.get(c),
-                "rules": [{"rule_id": r["rule_id"], "severity": r["severity"], "count": r["count"], "examples": [examples[i] for i in r["example_ids"]]} for r in rows if r["category"] == c],
+                "rules": [{"rule_id": r["rule_id"], "severity": r["severity"], "count": r["count"], "examples": [found[i] for i in r["example_ids"]]} for r in rows if r["category"] == c],
                 "passing": [r["rule_id"] for r in passing if r["category"] == c],
             }
             for c in CATEGORIES

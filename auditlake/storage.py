@@ -29,7 +29,7 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def _root(spark: SparkSession) -> str:
+def application_folder(spark: SparkSession) -> str:
     """This application's own folder in the shared one."""
     context = spark.sparkContext
     root = f"{shared_folder(spark)}/auditlake/{context.applicationId}"
@@ -46,7 +46,7 @@ def _root(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df``, written to the shared folder and read again."""
     spark = df.sparkSession
-    path = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
