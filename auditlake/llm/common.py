@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from auditlake.storage import discard, materialize, shared_folder
 
-__all__ = ["BATCH_ROWS", "SPACE", "bounded_batches", "discard", "fresh", "materialize", "no_nulls", "own_columns", "shared_folder", "table"]
+__all__ = ["BATCH_ROWS", "SPACE", "bounded_batches", "discard", "fresh", "materialize", "no_nulls", "own_columns",
+    "shared_folder", "table"]
 
 #: White space of the text contracts: U+0020 and U+0009 to U+000D, as a Java regular expression.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -19,7 +19,8 @@ def _state(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of edges (a, b), longs; component is the smallest node reachable."""
-    now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"),
+            F.least("a", "b").alias("v")).distinct(), "edges")
     state = _state(now)
     while True:
         both = now.union(now.select("v", "u"))

@@ -112,7 +112,8 @@ def _together(h1, p1, h2, p2) -> np.ndarray:
 
 
 @lru_cache(maxsize=None)
-def meeting_rate(dim: int, k: int, cosine: float = COSINE, seed: int = SEED, pairs: int = 4000, tables: int = 4) -> float:
+def meeting_rate(dim: int, k: int, cosine: float = COSINE, seed: int = SEED, pairs: int = 4000,
+        tables: int = 4) -> float:
     """How often one table brings two vectors of that cosine together, measured on random pairs."""
     if dim < 2:
         return 1.0
@@ -154,7 +155,8 @@ def _hash(plans: dict[int, tuple[int, int]], seed: int):
                 k, tables = plans[int(dim)]
                 home, probes = buckets(_matrix(part.column(2)), part.column(1).to_numpy(), k, tables, seed)
                 n = part.num_rows
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.size // n), pa.int32()), pa.array(x.reshape(-1).view(np.int64))) for x in (home, probes)]
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.size // n), pa.int32()),
+                        pa.array(x.reshape(-1).view(np.int64))) for x in (home, probes)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["class", "home", "probes"])
 
     return run
@@ -196,7 +198,8 @@ SMALL = 24
 AT_ONCE = 200_000
 
 
-def _pairs(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(x: np.ndarray, starts: np.ndarray, ends: np.ndarray,
+        cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(i, j), i < j, of the rows of one bucket with at least that cosine, in pieces of bounded size."""
     size = ends - starts
     small = np.repeat(size <= SMALL, size)
@@ -226,8 +229,10 @@ def _verify(plans: dict[int, tuple[int, int]], cosine: float):
                 n = part.num_rows
                 starts, ends = bounds(part.column("key").to_numpy())
                 own = part.column("bucket").to_numpy().view(np.uint64)  # the bucket, which a split bucket's key isn't
-                ids, at_home, chunk, weight, labels = (part.column(c).to_numpy() for c in ("class", "at_home", "chunk", "weight", "label"))
-                codes = [np.asarray(part.column(c).combine_chunks().flatten()).view(np.uint64).reshape(shape) for c, shape in (("home", (n, tables)), ("probes", (n, tables, k)))]
+                ids, at_home, chunk, weight, labels = (part.column(c).to_numpy()
+                    for c in ("class", "at_home", "chunk", "weight", "label"))
+                codes = [np.asarray(part.column(c).combine_chunks().flatten()).view(np.uint64).reshape(shape) for c,
+                    shape in (("home", (n, tables)), ("probes", (n, tables, k)))]
                 counts, root = np.zeros(n, np.int64), np.arange(n)
                 for i, j in _pairs(_matrix(part.column("embedding")), starts, ends, cosine):
                     fit = (at_home[i] | at_home[j]) & (labels[i] == labels[j])
@@ -242,7 +247,8 @@ def _verify(plans: dict[int, tuple[int, int]], cosine: float):
                     np.add.at(counts, j[first], weight[i[first]])
                 linked = (counts > 0) | (root != np.arange(n))
                 if linked.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(counts[linked]), pa.array(ids[root[linked]])], ["class", "links", "root"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(counts[linked]),
+                            pa.array(ids[root[linked]])], ["class", "links", "root"])
 
     return run
 
@@ -254,31 +260,45 @@ def usable(docs: DataFrame):
     return F.coalesce(F.col("label").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, large: int = LARGE, seed: int = SEED) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, large: int = LARGE,
+        seed: int = SEED) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding, label)."""
     bounded_batches(vectors.sparkSession, 10_000)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"),
+        F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     good = rows.filter(usable(rows))
-    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("weight"))
+    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least_id"),
+        F.count(F.lit(1)).alias("weight"))
     # a class is named by its content, so that a name is the same whenever it is made
-    classes = materialize(classes.select(F.xxhash64("label", "embedding").alias("class"), "label", "embedding", "least_id", "weight", F.size("embedding").alias("dim")), "classes")
+    classes = materialize(classes.select(F.xxhash64("label", "embedding").alias("class"), "label", "embedding",
+            "least_id", "weight", F.size("embedding").alias("dim")), "classes")
     # as many rows as there are lengths of vectors
     plans = {r["dim"]: plan(r["dim"], r["count"], cosine, recall) for r in classes.groupBy("dim").count().collect()}
-    hashed = materialize(classes.select("class", "label", "embedding", "dim").mapInArrow(_hash(plans, seed), "class long, home array<long>, probes array<long>"), "hashed")
-    keys = hashed.select("class", F.explode("home").alias("key"), F.lit(True).alias("at_home")).union(hashed.select("class", F.explode("probes").alias("key"), F.lit(False).alias("at_home")))
+    hashed = materialize(classes.select("class", "label", "embedding", "dim").mapInArrow(_hash(plans, seed),
+            "class long, home array<long>, probes array<long>"), "hashed")
+    keys = hashed.select("class", F.explode("home").alias("key"),
+        F.lit(True).alias("at_home")).union(hashed.select("class", F.explode("probes").alias("key"),
+            F.lit(False).alias("at_home")))
     keys = keys.select("key", F.col("key").alias("bucket"), "class", "at_home")
     met = bucketed(keys, "class", large, keep=lambda w: F.max("at_home").over(w), chunk="chunk")
     met = met.join(classes.select("class", "weight", "label", "dim", "embedding").join(hashed, "class"), "class")
-    met = met.select("key", "bucket", "class", "at_home", "chunk", "weight", "label", "dim", "embedding", "home", "probes")
+    met = met.select("key", "bucket", "class", "at_home", "chunk", "weight", "label", "dim", "embedding", "home",
+        "probes")
     found = dealt(met).mapInArrow(_verify(plans, cosine), "class long, links long, root long")
     found = materialize(found, "found")
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
-    parts = components(found.select(F.col("class").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "class")
-    least = parts.join(classes.select("class", "least_id"), "class").groupBy("component").agg(F.min("least_id").alias("component_id"))
+    parts = components(found.select(F.col("class").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node",
+        "class")
+    least = parts.join(classes.select("class", "least_id"),
+        "class").groupBy("component").agg(F.min("least_id").alias("component_id"))
     parts = parts.join(least, "component").select("class", "component_id")
     known = classes.select("class", "least_id", "weight").join(links, "class", "left").join(parts, "class", "left")
-    known = materialize(known.select("class", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "least_id").alias("component_id")), "known")
+    known = materialize(known.select("class", "weight",
+            (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+            F.coalesce("component_id", "least_id").alias("component_id")), "known")
     named = good.select("vec_id", F.xxhash64("label", "embedding").alias("class"))
-    linked = looked_up(named, known, "class", "class", "weight", {"n_links": "n_links", "component_id": "component_id"}, [F.col("vec_id")]).drop("class")
-    alone = rows.filter(~usable(rows)).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    linked = looked_up(named, known, "class", "class", "weight", {"n_links": "n_links", "component_id": "component_id"},
+        [F.col("vec_id")]).drop("class")
+    alone = rows.filter(~usable(rows)).select("vec_id", F.lit(0).cast("long").alias("n_links"),
+        F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -111,7 +111,8 @@ class QuotientFilter:
         head = ~np.r_[False, twice[:-1]] & ~odd
         values, counts, runs = x[head], 1 + twice[head].astype(np.int64), run[head]
         if odd.any():
-            read = [(v, n, r) for r in np.flatnonzero(odd_runs) for v, n in self._counted(self.slots[start[r] : end[r] + 1].tolist())]
+            read = [(v, n, r) for r in np.flatnonzero(odd_runs) for v,
+                n in self._counted(self.slots[start[r] : end[r] + 1].tolist())]
             values = np.concatenate([values, np.array([i[0] for i in read], np.uint64)])
             counts = np.concatenate([counts, np.array([i[1] for i in read], np.int64)])
             runs = np.concatenate([runs, np.array([i[2] for i in read], np.int64)])
@@ -146,7 +147,8 @@ class QuotientFilter:
         """(quotient bits, occupied, run ends, slots), a slot in as many bytes as a remainder needs."""
         width = (self.bits - self.quotient_bits + 7) // 8
         slots = self.slots.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-        return self.quotient_bits, np.packbits(self.occupied).tobytes(), np.packbits(self.run_ends).tobytes(), slots.tobytes()
+        return self.quotient_bits, np.packbits(self.occupied).tobytes(), np.packbits(
+            self.run_ends).tobytes(), slots.tobytes()
 
     @classmethod
     def unpacked(cls, bits: int, quotient_bits: int, occupied: bytes, run_ends: bytes, slots: bytes) -> QuotientFilter:
@@ -155,7 +157,8 @@ class QuotientFilter:
         whole = np.zeros((n, 8), np.uint8)
         whole[:, :width] = np.frombuffer(slots, np.uint8).reshape(n, width)
         bit = lambda b, k: np.unpackbits(np.frombuffer(b, np.uint8), count=k).astype(bool)
-        return cls(bits, quotient_bits, bit(occupied, 1 << quotient_bits), bit(run_ends, n), whole.reshape(-1).view("<u8").astype(np.uint64))
+        return cls(bits, quotient_bits, bit(occupied, 1 << quotient_bits), bit(run_ends, n),
+            whole.reshape(-1).view("<u8").astype(np.uint64))
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -197,10 +200,12 @@ def _build(blocks: int, at_once: int = 1_000_000):
         values, counts = known
         block = (values >> np.uint64(bits)).astype(np.int64)
         starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(values) else []
-        rows = [(int(block[a]), *QuotientFilter.of(values[a:b] & low, counts[a:b], bits).packed()) for a, b in zip(starts, np.r_[starts[1:], len(values)].astype(int))]
+        rows = [(int(block[a]), *QuotientFilter.of(values[a:b] & low, counts[a:b], bits).packed()) for a,
+            b in zip(starts, np.r_[starts[1:], len(values)].astype(int))]
         for at in range(0, len(rows), 1024):
             part = list(zip(*rows[at : at + 1024]))
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.int32()), *(pa.array(c, pa.binary()) for c in part[2:])], _FIELDS)
+            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.int32()),
+                    *(pa.array(c, pa.binary()) for c in part[2:])], _FIELDS)
 
     return build
 
@@ -252,17 +257,22 @@ def exact_groups(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     repeated = materialize(repeated_fingerprints(docs.select(F.xxhash64(text).alias("fp")), blocks), "repeated")
     routed = docs.select("doc_id", text.alias("body")).withColumn("fp", F.xxhash64("body"))
     same = routed.join(repeated.select("fp"), "fp", "left_semi")
-    groups = same.groupBy("body").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
-    return materialize(groups.select(F.xxhash64("body").alias("fp"), F.sha2(F.col("body").cast("binary"), 256).alias("sha"), "keep_id", "group_size"), "groups")
+    groups = same.groupBy("body").agg(F.min("doc_id").alias("keep_id"),
+        F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
+    return materialize(groups.select(F.xxhash64("body").alias("fp"),
+            F.sha2(F.col("body").cast("binary"), 256).alias("sha"), "keep_id", "group_size"), "groups")
 
 
 def exact_dedup(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """Return (doc_id, keep_id, group_size, kept, text_sha256) for each row of docs."""
     groups = exact_groups(docs, blocks)
     rows = docs.select("doc_id", F.sha2(normalized().cast("binary"), 256).alias("sha"))
-    x = looked_up(rows, groups, "sha", "sha", "group_size", {"keep_id": "keep_id", "group_size": "group_size"}, [F.col("doc_id")])
+    x = looked_up(rows, groups, "sha", "sha", "group_size", {"keep_id": "keep_id", "group_size": "group_size"},
+        [F.col("doc_id")])
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return x.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
+    return x.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size",
+            F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"),
+            F.col("sha").alias("text_sha256"))
 
 
 def filter_exact(docs: DataFrame, blocks: int | None = None) -> DataFrame:
@@ -270,5 +280,6 @@ def filter_exact(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     mine, keep, size = fresh(docs, "__mine", "__keep", "__size")
     x = docs.withColumn(mine, F.sha2(normalized().cast("binary"), 256))
     # a merge join at every size: the groups grow with the data
-    x = looked_up(x, exact_groups(docs, blocks), mine, "sha", "group_size", {"keep_id": keep, "group_size": size}, [F.col("doc_id")], merge=True)
+    x = looked_up(x, exact_groups(docs, blocks), mine, "sha", "group_size", {"keep_id": keep, "group_size": size},
+        [F.col("doc_id")], merge=True)
     return x.filter(F.col(size).isNull() | F.col("doc_id").eqNullSafe(F.col(keep))).select(*own_columns(docs))

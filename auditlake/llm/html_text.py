@@ -50,13 +50,17 @@ RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "i
 #: Elements without content.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that don't end a word or block.
-INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd",
+    "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
+    "wbr"}
 #: Elements that are page furniture as such.
 FURNITURE = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "fieldset", "head"}
 #: Stems of the words that names are made of; what begins with one counts as it.
 _STEMS = (
-    "advert", "adsense", "adbox", "sponsor", "promo", "banner", "cookie", "consent", "gdpr", "notice", "alert", "popup", "modal", "newsletter", "subscri", "signup", "nav", "menu", "breadcrumb", "header", "footer", "masthead",
-    "sidebar", "aside", "widget", "relat", "recommend", "shar", "social", "comment", "disqus", "respond", "repl", "login", "search", "pagin", "pager", "toolbar", "contentinfo", "complementary",
+    "advert", "adsense", "adbox", "sponsor", "promo", "banner", "cookie", "consent", "gdpr", "notice", "alert", "popup",
+    "modal", "newsletter", "subscri", "signup", "nav", "menu", "breadcrumb", "header", "footer", "masthead",
+    "sidebar", "aside", "widget", "relat", "recommend", "shar", "social", "comment", "disqus", "respond", "repl",
+    "login", "search", "pagin", "pager", "toolbar", "contentinfo", "complementary",
 )
 _WHOLE_STEMS = {"ad": "advert", "ads": "advert", "foot": "footer"}
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -69,7 +73,8 @@ def _stem(word: str) -> str | None:
 def _name_words(attributes: dict[str, str]) -> list[tuple[str, bool]]:
     """(stem, whether it is the whole name) of the words of class, id and role."""
     out = []
-    for name in (x for k in ("class", "id", "role") for x in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", attributes.get(k, "")).lower().split()):
+    for name in (x for k in ("class", "id", "role") for x in re.sub(r"(?<=[a-z])(?=[A-Z])", "-",
+            attributes.get(k, "")).lower().split()):
         parts = [p for p in _SPLIT.split(name) if p]
         out += [(stem, len(parts) == 1) for p in parts if (stem := _stem(p))]
     return out
@@ -89,7 +94,8 @@ PROSE = 2.0
 #: Elements that running text begins with.
 _RUNNING = {"p", "h1", "h2", "h3", "article", "main", "section", "blockquote"}
 #: Elements that a page may leave open; an outer end tag closes them.
-_OPEN_ENDED = {"p", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "option", "b", "i", "em", "strong", "u", "span", "a", "font"}
+_OPEN_ENDED = {"p", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "option", "b", "i", "em", "strong", "u",
+    "span", "a", "font"}
 
 
 #: Elements that marks say nothing about: text, and what names an article.
@@ -108,7 +114,8 @@ def _attributes(text: str) -> dict[str, str]:
 def _hidden(attributes: dict[str, str]) -> bool:
     if "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true":
         return True
-    style = [[x.strip() for x in d.split("!")[0].lower().partition(":")[::2]] for d in attributes.get("style", "").split(";")]
+    style = [[x.strip() for x in d.split("!")[0].lower().partition(":")[::2]]
+        for d in attributes.get("style", "").split(";")]
     return ["display", "none"] in style or ["visibility", "hidden"] in style
 
 
@@ -143,7 +150,8 @@ def _parse(page: str) -> tuple[list[tuple[str, str, _Element | None]], list[_Ele
         link = any(e.name == "a" for e in stack[-3:])
         k = 0 if any(e.name == "head" for e in stack[:2]) else len(t.split())
         words, links = words + k, links + k * link
-        found.append(("link", t, next((e for e in reversed(stack) if e.name not in INLINE), None)) if link else ("word", t, None))
+        found.append(("link", t, next((e for e in reversed(stack) if e.name not in INLINE), None)) if link
+            else ("word", t, None))
 
     def close(gone: list[_Element]) -> None:
         for e in gone:
@@ -171,7 +179,8 @@ def _parse(page: str) -> tuple[list[tuple[str, str, _Element | None]], list[_Ele
         if m.group(1):
             where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), None)
             # an inline end tag without its start, or across a block, closes nothing
-            if where is not None and (name not in INLINE or all(s.name in _OPEN_ENDED or s.name in INLINE for s in stack[where:])):
+            if where is not None and (name not in INLINE
+                    or all(s.name in _OPEN_ENDED or s.name in INLINE for s in stack[where:])):
                 stack[where].closed = True
                 close(stack[where:])
                 del stack[where:]
@@ -204,10 +213,12 @@ Names = dict[tuple[str, bool, bool], float]
 
 def _name_score(e: _Element, inside: bool, names: Names) -> float:
     """What the element's name says: its most telling word's weight."""
-    return min((names.get((stem, whole, inside), names.get((stem, False, inside), 0.0)) for stem, whole in e.names), default=0.0)
+    return min((names.get((stem, whole, inside), names.get((stem, False, inside), 0.0)) for stem, whole in e.names),
+        default=0.0)
 
 
-def events(page: str, scores: dict[str, float], names: Names, bounds: list[int] | None = None) -> Iterator[tuple[str, str, int]]:
+def events(page: str, scores: dict[str, float], names: Names, bounds: list[int]
+        | None = None) -> Iterator[tuple[str, str, int]]:
     """(kind, text, furniture): kind is 'word' or in links 'link' for text, else the tag with its slash; furniture is 0 outside page furniture, 1 in it, 2 in such inside an article. bounds gets the main article's first and last event."""
     found, elements, words = _parse(page)
     # comments and teasers may be articles, but such with names or shorter ones
@@ -266,51 +277,73 @@ def _kind(kind: str, furniture: int) -> str:
 
 
 #: Block tags of running text.
-_CONTENT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol", "li", "table", "tr", "td", "th", "tbody", "thead", "dl", "dt", "dd", "figure", "figcaption", "br", "hr", "section", "article", "main", "div", "img"}
+_CONTENT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol", "li", "table", "tr", "td", "th",
+    "tbody", "thead", "dl", "dt", "dd", "figure", "figcaption", "br", "hr", "section", "article", "main", "div", "img"}
 
 
 #: Names of blocks beside the text, of blocks inside an article that are none of its text, and of such that are.
 _BESIDE = (
-    "ad", "ads", "ad-slot", "advert", "advertisement", "adsense", "adbox", "sponsor", "sponsored", "sponsor-box", "promo", "promo-box", "promotion", "banner", "top-banner", "cookie-notice", "cookie-bar", "cookies", "consent", "consent-dialog", "gdpr",
-    "notice", "site-notice", "alert", "alert-bar", "popup", "modal", "modal-dialog", "newsletter", "newsletter-signup", "subscribe", "signup", "nav", "main-nav", "navbar", "navigation", "menu", "menu-main", "breadcrumb", "breadcrumbs", "header", "site-header",
-    "page-header", "footer", "site-footer", "foot", "masthead", "sidebar", "left-sidebar", "aside", "aside-box", "widget", "widget-area", "related", "related-posts", "recommended", "recommend-box", "share", "share-buttons", "social", "social-links", "comments", "comment-list",
-    "disqus", "respond", "reply-form", "replies", "login", "login-box", "search", "search-form", "pagination", "page-pagination", "pager", "toolbar", "contentinfo", "complementary",
+    "ad", "ads", "ad-slot", "advert", "advertisement", "adsense", "adbox", "sponsor", "sponsored", "sponsor-box",
+    "promo", "promo-box", "promotion", "banner", "top-banner", "cookie-notice", "cookie-bar", "cookies", "consent",
+    "consent-dialog", "gdpr",
+    "notice", "site-notice", "alert", "alert-bar", "popup", "modal", "modal-dialog", "newsletter", "newsletter-signup",
+    "subscribe", "signup", "nav", "main-nav", "navbar", "navigation", "menu", "menu-main", "breadcrumb", "breadcrumbs",
+    "header", "site-header",
+    "page-header", "footer", "site-footer", "foot", "masthead", "sidebar", "left-sidebar", "aside", "aside-box",
+    "widget", "widget-area", "related", "related-posts", "recommended", "recommend-box", "share", "share-buttons",
+    "social", "social-links", "comments", "comment-list",
+    "disqus", "respond", "reply-form", "replies", "login", "login-box", "search", "search-form", "pagination",
+    "page-pagination", "pager", "toolbar", "contentinfo", "complementary",
 )
 _INSIDE_NONE = (
-    "ad", "ads", "ad-slot", "advert", "advertisement", "adbox", "sponsor", "sponsored", "sponsor-note", "promo", "promo-box", "banner", "banner-box", "cookie-notice", "cookies", "consent", "consent-note", "gdpr", "notice", "notice", "notice-bar", "alert", "popup", "modal", "newsletter",
-    "newsletter-box", "subscribe", "subscribe-box", "signup", "nav", "nav-links", "menu", "menu-box", "breadcrumbs", "footer-links", "foot", "sidebar", "sidebar-box", "aside", "aside-box", "widget", "widget-box", "related", "related-posts", "recommended", "recommended-posts", "share", "social",
-    "social-links", "comments", "comment-list", "disqus", "respond", "replies", "reply", "login", "login-box", "search", "pagination", "pagination-links", "pager", "toolbar",
+    "ad", "ads", "ad-slot", "advert", "advertisement", "adbox", "sponsor", "sponsored", "sponsor-note", "promo",
+    "promo-box", "banner", "banner-box", "cookie-notice", "cookies", "consent", "consent-note", "gdpr", "notice",
+    "notice", "notice-bar", "alert", "popup", "modal", "newsletter",
+    "newsletter-box", "subscribe", "subscribe-box", "signup", "nav", "nav-links", "menu", "menu-box", "breadcrumbs",
+    "footer-links", "foot", "sidebar", "sidebar-box", "aside", "aside-box", "widget", "widget-box", "related",
+    "related-posts", "recommended", "recommended-posts", "share", "social",
+    "social-links", "comments", "comment-list", "disqus", "respond", "replies", "reply", "login", "login-box", "search",
+    "pagination", "pagination-links", "pager", "toolbar",
 )
 _INSIDE_TEXT = (
-    "header", "header", "post-header", "entry-header", "article-header", "story-header", "header-title", "share-price", "market-share", "share-count-table", "notice-board", "notice-period", "search-results", "search-method", "alert-level", "alert-example", "reply-text", "reply-text",
+    "header", "header", "post-header", "entry-header", "article-header", "story-header", "header-title", "share-price",
+    "market-share", "share-count-table", "notice-board", "notice-period", "search-results", "search-method",
+    "alert-level", "alert-example", "reply-text", "reply-text",
 )
 
 
 def labelled_pages(n: int = 300, seed: int = 5) -> list[tuple[str, list[tuple[str, bool]]]]:
     """Made pages of several layouts as parts (html, whether it is main text): the labels the scores are learned from."""
     r = random.Random(seed)
-    words = lambda a, b: " ".join("".join(r.choice(("ra", "to", "mi", "sel", "en", "du", "ko")) for _ in range(r.randint(1, 4))) for _ in range(r.randint(a, b)))
+    words = lambda a, b: " ".join("".join(r.choice(("ra", "to", "mi", "sel", "en", "du", "ko"))
+            for _ in range(r.randint(1, 4))) for _ in range(r.randint(a, b)))
     pages = []
     for k in range(n):
         links = lambda: "".join(f'<li><a href="/{words(1, 1)}">{words(1, 3)}</a></li>' for _ in range(r.randint(2, 9)))
-        filling = lambda: r.choice((f"<ul>{links()}</ul>", words(3, 20), f"<p>{words(5, 25)}</p>", f"{words(2, 8)} <button>{words(1, 2)}</button>"))
+        filling = lambda: r.choice((f"<ul>{links()}</ul>", words(3, 20), f"<p>{words(5, 25)}</p>",
+                f"{words(2, 8)} <button>{words(1, 2)}</button>"))
         named = lambda names: f'<div {r.choice(("class", "class", "id"))}="{r.choice(names)}">{filling()}</div>'
         parts = [(f"<html><head><title>{words(3, 8)}</title></head><body>", False)]
         furniture = [
-            lambda: f"<nav><ul>{links()}</ul></nav>", lambda: f"<header><div>{words(1, 5)}</div></header>", lambda: named(_BESIDE), lambda: named(_BESIDE), lambda: named(_BESIDE), lambda: f"<ul>{links()}</ul>", lambda: f"<form>{words(1, 4)}<input></form>",
+            lambda: f"<nav><ul>{links()}</ul></nav>", lambda: f"<header><div>{words(1, 5)}</div></header>",
+            lambda: named(_BESIDE), lambda: named(_BESIDE), lambda: named(_BESIDE), lambda: f"<ul>{links()}</ul>",
+            lambda: f"<form>{words(1, 4)}<input></form>",
         ]
         parts += [(r.choice(furniture)(), False) for _ in range(r.randint(1, 4))]
-        opening, closing = r.choice((("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ("<div><div>", "</div></div>")))
+        opening, closing = r.choice((("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"),
+                ('<div class="content">', "</div>"), ("<div><div>", "</div></div>")))
         parts.append((f"{opening}<h1>{words(3, 9)}</h1>", True))
         for _ in range(r.randint(1, 12)):
-            parts.append((f"<p>{words(8, 90)} <b>{words(1, 5)}</b> {words(2, 30)}" + (f' <a href="/x">{words(1, 3)}</a>' if r.random() < 0.2 else "") + "</p>" + ("<br>" if r.random() < 0.2 else ""), True))
+            parts.append((f"<p>{words(8, 90)} <b>{words(1, 5)}</b> {words(2, 30)}" + (f' <a href="/x">{words(1, 3)}</a>'
+                        if r.random() < 0.2 else "") + "</p>" + ("<br>" if r.random() < 0.2 else ""), True))
             if "article" in opening or "main" in opening:
                 if r.random() < 0.25:
                     parts.append((named(_INSIDE_NONE), False))
                 if r.random() < 0.2:
                     parts.append((f'<div class="{r.choice(_INSIDE_TEXT)}"><p>{words(6, 40)}</p></div>', True))
         parts.append((closing, True))
-        parts += [(r.choice([*furniture, lambda: named(("comments", "comment-list", "related-posts"))])(), False) for _ in range(r.randint(0, 3))]
+        parts += [(r.choice([*furniture, lambda: named(("comments", "comment-list", "related-posts"))])(), False)
+            for _ in range(r.randint(0, 3))]
         parts.append((f"<footer>{words(3, 15)}</footer></body></html>", False))
         pages.append((f"page {k}", parts))
     return pages
@@ -407,7 +440,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [extract(t.as_py() or "", model) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()),
+                    pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
-    return pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, schema)
+    return pages.select("page_id", F.col("url").cast("string").alias("url"),
+        F.col("html").cast("string").alias("html")).mapInArrow(run, schema)

@@ -37,9 +37,11 @@ from auditlake.llm.common import bounded_batches
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Phrases that the method adds: words of notices, titles and short names, by label.
 NOTICES = {
-    "mit": ("permission is hereby granted free of charge to any person", "expat license", "the above copyright notice and this permission notice shall be included in all copies"),
+    "mit": ("permission is hereby granted free of charge to any person", "expat license",
+        "the above copyright notice and this permission notice shall be included in all copies"),
     "apache": ("licensed under the apache license", "apache software license", "apache 2 0"),
-    "bsd": ("redistribution and use in source and binary forms", "bsd license", "bsd 2 clause", "bsd 3 clause", "bsd 4 clause", "new bsd", "simplified bsd", "neither the name of the copyright holder"),
+    "bsd": ("redistribution and use in source and binary forms", "bsd license", "bsd 2 clause", "bsd 3 clause",
+        "bsd 4 clause", "new bsd", "simplified bsd", "neither the name of the copyright holder"),
     "gpl": ("gnu gpl", "gplv2", "gplv3", "gnu public license", "free software foundation either version"),
     "lgpl": ("lesser general public license", "library general public license", "gnu lgpl", "lgplv2", "lgplv3"),
     "agpl": ("affero general public license", "gnu agpl", "agplv3"),
@@ -65,11 +67,17 @@ NOTICES = {
     "cc0": ("cc0", "creative commons zero"),
     "cc-by": ("cc by", "creative commons attribution"),
     "cc-by-sa": ("cc by sa", "creative commons attribution sharealike", "creative commons attribution share alike"),
-    "cc-by-nc": ("cc by nc", "creative commons attribution noncommercial", "creative commons attribution non commercial"),
-    "cc-by-nd": ("cc by nd", "creative commons attribution noderivatives", "creative commons attribution noderivs", "creative commons attribution no derivatives"),
-    "cc-by-nc-sa": ("cc by nc sa", "creative commons attribution noncommercial sharealike", "creative commons attribution non commercial share alike"),
-    "cc-by-nc-nd": ("cc by nc nd", "creative commons attribution noncommercial noderivatives", "creative commons attribution noncommercial noderivs", "creative commons attribution non commercial no derivatives"),
-    "public-domain": ("released into the public domain", "dedicated to the public domain", "placed in the public domain"),
+    "cc-by-nc": ("cc by nc", "creative commons attribution noncommercial",
+        "creative commons attribution non commercial"),
+    "cc-by-nd": ("cc by nd", "creative commons attribution noderivatives", "creative commons attribution noderivs",
+        "creative commons attribution no derivatives"),
+    "cc-by-nc-sa": ("cc by nc sa", "creative commons attribution noncommercial sharealike",
+        "creative commons attribution non commercial share alike"),
+    "cc-by-nc-nd": ("cc by nc nd", "creative commons attribution noncommercial noderivatives",
+        "creative commons attribution noncommercial noderivs",
+        "creative commons attribution non commercial no derivatives"),
+    "public-domain": ("released into the public domain", "dedicated to the public domain",
+        "placed in the public domain"),
     "all-rights-reserved": ("all rights reserved",),
 }
 TAG = "spdx license identifier"
@@ -77,17 +85,21 @@ TAG = "spdx license identifier"
 CERTAINTY = {"base": 0.9, "notice": 0.7, "tag": 0.99}
 #: Families: identifiers that are the name, or the name and a version or variant after a hyphen.
 FAMILIES = (
-    "agpl", "lgpl", "gpl", "mit", "apache", "bsd", "mpl", "epl", "isc", "cddl", "cpl", "eupl", "zlib", "bsl", "busl", "sspl", "artistic", "unlicense", "wtfpl", "python", "postgresql", "ofl", "gfdl", "odbl", "upl", "cc0",
+    "agpl", "lgpl", "gpl", "mit", "apache", "bsd", "mpl", "epl", "isc", "cddl", "cpl", "eupl", "zlib", "bsl", "busl",
+    "sspl", "artistic", "unlicense", "wtfpl", "python", "postgresql", "ofl", "gfdl", "odbl", "upl", "cc0",
     "cc-by-nc-nd", "cc-by-nc-sa", "cc-by-nc", "cc-by-nd", "cc-by-sa", "cc-by",
 )
 #: Identifiers with another name than their family's.
 ALIASES = {"psf-2.0": "python", "cnri-python": "python", "0bsd": "bsd", "expat": "mit", "x11": "mit", "gpl": "gpl"}
 #: What using a work asks: 0 that all of the whole is given away alike, 0.5 that its own files are, 1 no more than notices.
-STRONG, WEAK = ("gpl", "agpl", "sspl", "eupl", "gfdl", "cc-by-sa", "cc-by-nc-sa", "odbl"), ("lgpl", "mpl", "epl", "cddl", "cpl")
+STRONG, WEAK = ("gpl", "agpl", "sspl", "eupl", "gfdl", "cc-by-sa", "cc-by-nc-sa", "odbl"), ("lgpl", "mpl", "epl",
+    "cddl", "cpl")
 #: Words of exceptions that let a work be linked or combined under other terms.
-LINKING = ("classpath", "linking", "gcc", "runtime", "bootloader", "bison", "autoconf", "font", "libtool", "openssl", "llvm", "swift", "universal-foss")
+LINKING = ("classpath", "linking", "gcc", "runtime", "bootloader", "bison", "autoconf", "font", "libtool", "openssl",
+    "llvm", "swift", "universal-foss")
 _RANK = {"or": 1, "and": 2, "with": 3}
-_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
+    for c in range(256))
 _AFTER_TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.I)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 
@@ -156,7 +168,8 @@ def evaluate(postfix: list[str]) -> tuple[set[str], float]:
 class Scanner:
     def __init__(self):
         self.automaton = ahocorasick.Automaton()
-        phrases = {TAG: ("tag", "")} | {p: ("notice", label) for label, ps in NOTICES.items() for p in ps} | {p: ("base", label) for p, label in BASE.items()}
+        phrases = {TAG: ("tag", "")} | {p: ("notice", label) for label, ps in NOTICES.items()
+            for p in ps} | {p: ("base", label) for p, label in BASE.items()}
         for phrase, what in phrases.items():
             self.automaton.add_word(f" {phrase} ", (len(phrase) + 2, *what))
         self.automaton.make_automaton()
@@ -165,7 +178,8 @@ class Scanner:
         """(n_words, n_base, first_word, last_word, base_labels, labels, score, freedom)."""
         words = text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
         joined = b" " + b" ".join(words) + b" "
-        found = [(end - length + 1, end, kind, label) for end, (length, kind, label) in self.automaton.iter(joined.decode("latin-1"))]
+        found = [(end - length + 1, end, kind, label) for end,
+            (length, kind, label) in self.automaton.iter(joined.decode("latin-1"))]
         base = [(start, label) for start, _, kind, label in found if kind == "base"]
         labels = {label: CERTAINTY["base"] for _, label in base}
         # of phrases by start, the longest first: one that ends inside an earlier one is part of it
@@ -189,7 +203,8 @@ class Scanner:
         blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32) if base else None
         places = np.searchsorted(blanks, [start for start, _ in base]) if base else []
         first, last = (int(min(places)), int(max(places))) if base else (None, None)
-        return len(words), len(base), first, last, ",".join(sorted({b for _, b in base})), ",".join(sorted(labels)), 1 - doubt if labels else 0.0, freedom
+        return len(words), len(base), first, last, ",".join(sorted({b for _,
+                    b in base})), ",".join(sorted(labels)), 1 - doubt if labels else 0.0, freedom
 
 
 _scanner: list[Scanner] = []
@@ -210,7 +225,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
             _scanner.append(Scanner())
         for batch in batches:
             rows = [_scanner[0].scan(t.as_py() or "") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0),
+                    *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], ["doc_id", *names])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, freedom double"
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

@@ -56,7 +56,8 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epoch
     """
     everything = Window.partitionBy(F.lit(0))
     ordered = everything.orderBy("sn", "sk")
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(ordered) - 1) % len(weights) + 1).cast("int"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]),
+        ((F.row_number().over(ordered) - 1) % len(weights) + 1).cast("int"))
     x = sources.withColumn("weight", weight).withColumn("cap", F.col("source_size").cast("double") * max_epochs)
     x = x.withColumn("words", F.sum("source_size").over(everything).cast("double") * share)
     # sources in order of the level at which they are full; before: those that are full earlier
@@ -66,34 +67,44 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epoch
     x = x.withColumn("open", F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing)))
     # the level if exactly the earlier ones are full; the first that stays below its cap sets it
     x = x.withColumn("level", (F.col("words") - F.col("full")) / F.col("open"))
-    x = x.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("sn"), F.col("sk"), F.col("level")))).over(everything)["level"])
-    return x.withColumn("target", F.coalesce(F.least(F.col("cap"), F.col("weight") * F.col("level")), F.col("cap"))).select("sn", "sk", "source_size", "target")
+    x = x.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"),
+                F.struct(F.col("cap") / F.col("weight"), F.col("sn"), F.col("sk"),
+                    F.col("level")))).over(everything)["level"])
+    return x.withColumn("target", F.coalesce(F.least(F.col("cap"), F.col("weight") * F.col("level")),
+            F.col("cap"))).select("sn", "sk", "source_size", "target")
 
 
 def _keyed(docs: DataFrame, seed: str, buckets: int, rows: bool) -> DataFrame:
     """What places a row; with rows also the row itself, as one struct, so that its names clash with none here."""
     own = [F.struct(*[c.alias(f"c{i}") for i, c in enumerate(own_columns(docs))]).alias("row")] if rows else []
-    x = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), _order(seed).alias("h"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), *own)
-    return x.select("*", F.col("source").isNull().alias("sn"), F.coalesce("source", F.lit("")).alias("sk"), (F.col("h") % buckets).cast("int").alias("bucket"))
+    x = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
+        _order(seed).alias("h"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), *own)
+    return x.select("*", F.col("source").isNull().alias("sn"), F.coalesce("source", F.lit("")).alias("sk"),
+        (F.col("h") % buckets).cast("int").alias("bucket"))
 
 
-def _allocated(docs: DataFrame, rows: bool, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, buckets: int = BUCKETS) -> DataFrame:
+def _allocated(docs: DataFrame, rows: bool, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS,
+        seed: str = SEED, buckets: int = BUCKETS) -> DataFrame:
     parts = _keyed(docs, seed, buckets, False).groupBy("sn", "sk", "bucket").agg(F.sum("size").alias("part"))
     goal = targets(parts.groupBy("sn", "sk").agg(F.sum("part").alias("source_size")), weights, share, max_epochs)
     before = Window.partitionBy("sn", "sk").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("earlier", F.coalesce(F.sum("part").over(before), F.lit(0)))
     plan = parts.join(goal, ["sn", "sk"]).select("sn", "sk", "bucket", "earlier", "source_size", "target")
-    inside = Window.partitionBy("sn", "sk", "bucket").orderBy("h", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sn", "sk", "bucket").orderBy("h", "doc_id", "size",
+        "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     x = _keyed(docs, seed, buckets, rows).join(plan, ["sn", "sk", "bucket"])
     start = F.col("earlier") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    x = x.withColumn("whole", whole.cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    return x.withColumn("times", F.col("whole") + F.when((F.col("size") > 0) & (F.col("whole") < max_epochs) & (start + F.col("size") / 2.0 < F.col("rest")), 1).otherwise(0))
+    x = x.withColumn("whole", whole.cast("long")).withColumn("rest",
+        F.col("target") - F.col("whole") * F.col("source_size"))
+    return x.withColumn("times", F.col("whole") + F.when((F.col("size") > 0) & (F.col("whole") < max_epochs)
+            & (start + F.col("size") / 2.0 < F.col("rest")), 1).otherwise(0))
 
 
 def allocation(docs: DataFrame, **options) -> DataFrame:
     """Return (doc_id, source, size, source_size, target, times, taken), one row for each document."""
-    return _allocated(docs, False, **options).select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+    return _allocated(docs, False, **options).select("doc_id", "source", "size", "source_size", "target", "times",
+        (F.col("times") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -36,9 +36,11 @@ def _pack(parts: list[tuple[np.ndarray, ...]], bits: int, settle) -> pa.RecordBa
     starts = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]]) if len(kind) else np.empty(0, np.int64)
     pieces = list(zip(starts.tolist(), np.r_[starts[1:], len(kind)].astype(int).tolist()))
     step = lambda x: np.diff(x, prepend=x.dtype.type(0)).tobytes()
-    packed = [*(pa.array([x[a:b].tobytes() for a, b in pieces], pa.binary()) for x in (h, g)), *(pa.array([step(x[a:b]) for a, b in pieces], pa.binary()) for x in (docs, rows, places))]
+    packed = [*(pa.array([x[a:b].tobytes() for a, b in pieces], pa.binary()) for x in (h, g)),
+        *(pa.array([step(x[a:b]) for a, b in pieces], pa.binary()) for x in (docs, rows, places))]
     kind = kind[starts].astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array((kind >> 1).astype(np.int32)), pa.array((kind & 1).astype(bool)), *packed], ["bucket", "known", "h", "g", "docs", "rows", "places"])
+    return pa.RecordBatch.from_arrays([pa.array((kind >> 1).astype(np.int32)), pa.array((kind & 1).astype(bool)),
+            *packed], ["bucket", "known", "h", "g", "docs", "rows", "places"])
 
 
 def _groups(h: np.ndarray, g: np.ndarray, docs: np.ndarray):
@@ -98,10 +100,12 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 64):
             rows = batch.slice(at, 64)
             read = lambda i, kind: [np.frombuffer(x.as_py(), kind) for x in rows.column(i)]  # noqa: E731, B023
-            h, g, docs, own, places = read(2, np.int64), read(3, np.int32), read(4, np.int64), read(5, np.int32), read(6, np.int32)
+            h, g, docs, own, places = read(2, np.int64), read(3, np.int32), read(4, np.int64), read(5,
+                np.int32), read(6, np.int32)
             known = np.repeat(np.array(rows.column(1)), [len(x) for x in h])
             summed = [[np.cumsum(x, dtype=x.dtype) for x in c] for c in (docs, own, places)]
-            yield pa.RecordBatch.from_arrays([pa.array(known), *(pa.array(np.concatenate(x)) for x in (h, g, *summed))], _NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(known), *(pa.array(np.concatenate(x)) for x in (h, g, *summed))],
+                _NAMES)
 
 
 def exchanged(rows: DataFrame, find, bits: int, settle) -> DataFrame:

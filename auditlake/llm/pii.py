@@ -116,7 +116,8 @@ N_CLASSES = NOTHING + 1
 def classes(text: str) -> np.ndarray:
     """Classes of characters: of ASCII by the table, then letters and what follows them, others; the last stands for no character."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(codes < 128, _CLASS[np.minimum(codes, 127)], np.where(codes >= 0xAA, LETTER, OTHER)).astype(np.int16)
+    return np.where(codes < 128, _CLASS[np.minimum(codes, 127)],
+        np.where(codes >= 0xAA, LETTER, OTHER)).astype(np.int16)
 
 
 def _sigmoid(x):
@@ -126,7 +127,8 @@ def _sigmoid(x):
 def _start(seed: int, hidden: int) -> dict[str, np.ndarray]:
     """x: by direction and class what goes into the gates; h: recurrent; o: output layer; t: transitions."""
     r = np.random.default_rng(seed)
-    w = {"x": r.normal(0, 0.3, (2, N_CLASSES, 4 * hidden)), "h": r.normal(0, hidden**-0.5, (2, hidden, 4 * hidden)), "o": r.normal(0, 0.2, (2 * hidden + 1, N_TAGS)), "t": np.zeros((N_TAGS, N_TAGS))}
+    w = {"x": r.normal(0, 0.3, (2, N_CLASSES, 4 * hidden)), "h": r.normal(0, hidden**-0.5, (2, hidden, 4 * hidden)),
+        "o": r.normal(0, 0.2, (2 * hidden + 1, N_TAGS)), "t": np.zeros((N_TAGS, N_TAGS))}
     w["x"][:, :, hidden : 2 * hidden] += 1  # remember at first
     return {k: x.astype(np.float32) for k, x in w.items()}
 
@@ -206,7 +208,8 @@ def _crf(e, transitions, tags):
         b[t] = _logsum(transitions[None] + (e[t + 1] + b[t + 1])[:, None, :], 2)
     z = _logsum(a[-1], 1)
     de = np.exp(a + b - z[None, :, None])
-    dt = np.exp(a[:-1, :, :, None] + transitions + (e[1:] + b[1:])[:, :, None, :] - z[None, :, None, None]).sum(axis=(0, 1))
+    dt = np.exp(a[:-1, :, :, None] + transitions + (e[1:] + b[1:])[:, :, None, :] - z[None, :, None, None]).sum(axis=(0,
+            1))
     time, rows = np.arange(steps)[:, None], np.arange(batch)[None]
     de[time, rows, tags] -= 1
     np.add.at(dt, (tags[:-1], tags[1:]), -1)
@@ -256,20 +259,31 @@ def labelled_spans(n: int, seed: int, window: int = WINDOW) -> list[tuple[str, l
 
     def phone() -> str:
         a, b, c = num(3), num(3), num(4)
-        form = r.choice(("+1 ({a}) {b}-{c}", "({a}) {b}-{c}", "{a}-{b}-{c}", "{a}.{b}.{c}", "+49 30 {b}{c}", "0049 30 {b} {c}", "0049 {a} {c} {d}", "0{a} / {b}{c}", "+33 1 {b} {c}", "0{a}/{b}{c}", "0{a} {b} {c}", "1-{a}-{b}-{c}", "+44 20 {c} {c}"))
+        form = r.choice(("+1 ({a}) {b}-{c}", "({a}) {b}-{c}", "{a}-{b}-{c}", "{a}.{b}.{c}", "+49 30 {b}{c}",
+                "0049 30 {b} {c}", "0049 {a} {c} {d}", "0{a} / {b}{c}", "+33 1 {b} {c}", "0{a}/{b}{c}", "0{a} {b} {c}",
+                "1-{a}-{b}-{c}", "+44 20 {c} {c}"))
         return form.format(a=a, b=b, c=c, d=num(4))
 
     def email() -> str:
-        user, host, top = r.choice((name(), f"{name()}.{name()}", f"{name()}{num(2)}", f"{name()}.{num(2)}")), r.choice((name(), f"mail{num(1)}.{name()}", name(), "".join(name() + r.choice(".--") for _ in range(r.randint(1, 5))) + name())), r.choice(("com", "org", "net", "de", "fr", "example.com"))
+        user, host, top = r.choice((name(), f"{name()}.{name()}", f"{name()}{num(2)}",
+                f"{name()}.{num(2)}")), r.choice((name(), f"mail{num(1)}.{name()}", name(),
+                "".join(name() + r.choice(".--") for _ in range(r.randint(1, 5))) + name())), r.choice(("com", "org",
+                "net", "de", "fr", "example.com"))
         at = r.choice(("@", "@", " (at) ", " [at] ", " at ", "(at)", " AT "))
         dot = "." if at == "@" else r.choice((".", " (dot) ", " [dot] ", " dot "))
         return f"{user}{at}{host}{dot}{top}"
 
-    make = {"email": email, "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)), "card": card, "phone": phone}
+    make = {"email": email, "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)), "card": card,
+        "phone": phone}
     none = (
-        lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice((8, 32, 40)))), lambda: f"{r.randint(0, 9)}.{r.randint(0, 99)}", lambda: f"{r.randint(0, 9)}.{r.randint(0, 9)}.{r.randint(0, 99)}",
-        lambda: f"20{num(2)}-{num(2)}-{num(2)}", lambda: f"{num(2)}:{num(2)}", lambda: f"{num(r.randint(1, 4))}", lambda: f"{num(r.randint(1, 3))},{num(3)}.{num(2)}", lambda: f"@{name()}", lambda: f"{word()} at {word()}",
-        lambda: f"version {num(1)}.{num(1)}", lambda: f"{num(r.randint(5, 20))}", lambda: f"({num(4)})", lambda: f"{num(2)}-{num(2)}", lambda: f"{word()} at {num(2)}.", lambda: f"CC BY-NC {num(1)}.0", lambda: " ".join(num(2) for _ in range(r.randint(2, 7))),
+        lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice((8, 32, 40)))),
+        lambda: f"{r.randint(0, 9)}.{r.randint(0, 99)}",
+        lambda: f"{r.randint(0, 9)}.{r.randint(0, 9)}.{r.randint(0, 99)}",
+        lambda: f"20{num(2)}-{num(2)}-{num(2)}", lambda: f"{num(2)}:{num(2)}", lambda: f"{num(r.randint(1, 4))}",
+        lambda: f"{num(r.randint(1, 3))},{num(3)}.{num(2)}", lambda: f"@{name()}", lambda: f"{word()} at {word()}",
+        lambda: f"version {num(1)}.{num(1)}", lambda: f"{num(r.randint(5, 20))}", lambda: f"({num(4)})",
+        lambda: f"{num(2)}-{num(2)}", lambda: f"{word()} at {num(2)}.", lambda: f"CC BY-NC {num(1)}.0",
+        lambda: " ".join(num(2) for _ in range(r.randint(2, 7))),
     )
     out = []
     for _ in range(n):
@@ -300,7 +314,8 @@ def _examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return codes, tags
 
 
-def train(n: int = 3200, epochs: int = 8, batch: int = 64, rate: float = 0.015, seed: int = 3, hidden: int = HIDDEN) -> dict[str, np.ndarray]:
+def train(n: int = 3200, epochs: int = 8, batch: int = 64, rate: float = 0.015, seed: int = 3,
+        hidden: int = HIDDEN) -> dict[str, np.ndarray]:
     """Weights trained with Adam on ``n`` labelled windows."""
     codes, tags = _examples(n, seed)
     w = _start(seed, hidden)
@@ -317,7 +332,8 @@ def train(n: int = 3200, epochs: int = 8, batch: int = 64, rate: float = 0.015,
             _, de, dt = _crf(e, w["t"] + barred, y)
             g = {"o": both.reshape(-1, both.shape[2]).T @ de.reshape(-1, N_TAGS), "t": dt}
             back = de @ w["o"].T
-            g["x"], g["h"] = _lstm_back(w, two, tape, np.stack([back[:, :, :hidden], back[::-1, :, hidden : 2 * hidden]], axis=1))
+            g["x"], g["h"] = _lstm_back(w, two, tape, np.stack([back[:, :, :hidden],
+                        back[::-1, :, hidden : 2 * hidden]], axis=1))
             step += 1
             lr = rate * min(1, 2 * (1 - step / (total + 1)))
             for k in w:
@@ -494,7 +510,8 @@ def plausible(kind: str, text: str) -> bool:
     if not _good(kind, text):
         return False
     # a bare run of digits may be anything
-    return kind != "phone" or text[0] in "+(" or len(digits(text)) < len(text) and len(max(re.findall(r"[0-9]+", text), key=len)) <= 8 and len(re.findall(r"[0-9]+", text)) <= 6
+    return kind != "phone" or text[0] in "+(" or len(digits(text)) < len(text) and len(max(re.findall(r"[0-9]+", text),
+            key=len)) <= 8 and len(re.findall(r"[0-9]+", text)) <= 6
 
 
 def _inside_word(text: str, a: int, b: int) -> bool:
@@ -527,10 +544,13 @@ def find_pii(docs: DataFrame, weights: dict[str, np.ndarray] | None = None) -> D
             texts = [t.as_py() or "" for t in batch.column(1)]
             base = [base_spans(t) for t in texts]
             whole = [merge(b, m) for b, m in zip(base, tagger.spans(texts))]
-            columns = [batch.column(0), pa.array([[{"kind": k, "start": a, "end": b, "base": (a, b, k) in own} for a, b, k in w] for w, own in zip(whole, base)], pa.list_(span))]
+            columns = [batch.column(0), pa.array([[{"kind": k, "start": a, "end": b, "base": (a, b, k) in own} for a, b,
+                        k in w] for w, own in zip(whole, base)], pa.list_(span))]
             columns += [pa.array([sum(s[2] == k for s in b) for b in base], pa.int64()) for k in KINDS]
-            columns += [pa.array([hashlib.sha256(join(b).encode()).hexdigest() for b in base], pa.string()), pa.array([join(w) for w in whole], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "found", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            columns += [pa.array([hashlib.sha256(join(b).encode()).hexdigest() for b in base], pa.string()),
+                pa.array([join(w) for w in whole], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "found", *(f"n_{k}" for k in KINDS), "base_sha256",
+                    "spans"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, found array<struct<kind:string,start:long,end:long,base:boolean>>, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

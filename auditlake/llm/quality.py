@@ -60,7 +60,9 @@ class Scorer:
     def __init__(self, model: Model):
         self.weights = np.array(model.weights)
         raw = zstandard.DICT_TYPE_AUTO
-        self.tools = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=raw), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (model.good, model.bad)] if model.good and model.bad else []
+        self.tools = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=raw),
+                write_content_size=False, write_checksum=False, write_dict_id=False)
+                for d in (model.good, model.bad)] if model.good and model.bad else []
 
     def features(self, text: str) -> tuple[float, float, float]:
         data = text.encode("utf-8", "surrogatepass")
@@ -76,7 +78,8 @@ class Scorer:
 
 
 def _dictionary(texts: list[str]) -> bytes:
-    segments = [d[i : i + SEGMENT] for t in texts for d in [t.encode("utf-8", "surrogatepass")] for i in range(0, len(d), SEGMENT)]
+    segments = [d[i : i + SEGMENT] for t in texts for d in [t.encode("utf-8", "surrogatepass")]
+        for i in range(0, len(d), SEGMENT)]
     random.Random(1).shuffle(segments)
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, segments[:4000], k=64, d=8).as_bytes()
@@ -122,7 +125,8 @@ def held_out(doc_id: str = "doc_id"):
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Fit on labelled rows that aren't held out."""
-    known = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
+    known = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id"),
+        F.col("quality").cast("int").alias("quality")).distinct()
     there = docs.filter(~held_out() & F.col("text").isNotNull()).select("doc_id")
     near = known.join(there, "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
     picked = {q: near.filter(F.col("quality") == q).orderBy("h", "doc_id").limit(sample).collect() for q in (1, 0)}
@@ -132,15 +136,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars:
 
     def rows_of(some: list, value) -> list:
         # at most 2 * sample ids, so the broadcast is bounded
-        ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["quality"], r["h"]) for r in some], "doc_id long, quality int, h long")
-        texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
-        return sorted(texts.select("doc_id", "quality", "h", value("text").alias("value")).dropDuplicates(["doc_id", "quality"]).collect(), key=lambda r: (r["h"], r["doc_id"]))
+        ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["quality"], r["h"]) for r in some],
+            "doc_id long, quality int, h long")
+        texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(
+            F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
+        return sorted(texts.select("doc_id", "quality", "h",
+                value("text").alias("value")).dropDuplicates(["doc_id", "quality"]).collect(),
+                key=lambda r: (r["h"], r["doc_id"]))
 
     bounded_batches(docs.sparkSession)
-    seen = rows_of([r for q in (1, 0) for r in picked[q][: cut[q]]], _column(lambda: lambda t: _spread(t, sample_chars), "string"))
+    seen = rows_of([r for q in (1, 0) for r in picked[q][: cut[q]]],
+        _column(lambda: lambda t: _spread(t, sample_chars), "string"))
     model = Model(*(_dictionary([r["value"] for r in seen if r["quality"] == q]) for q in (1, 0)), (0.0, 1.0, 0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rest = rows_of([r for q in (1, 0) for r in picked[q][cut[q] :] or picked[q]], _column(lambda: shared.value.scorer().features, "array<double>"))
+    rest = rows_of([r for q in (1, 0) for r in picked[q][cut[q] :] or picked[q]],
+        _column(lambda: shared.value.scorer().features, "array<double>"))
     model.weights = _logistic(np.array([r["value"] for r in rest]), np.array([r["quality"] for r in rest], float))
     return model
 

@@ -70,20 +70,24 @@ def bucketed(rows: DataFrame, member: str, large: int, keep=None, chunk: str | N
     columns = rows.columns
     heavy, large = heavy_keys(rows, large)
     heavy = F.broadcast(heavy)
-    light = rows.join(heavy, "key", "left_anti").withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__keep", F.lit(True) if keep is None else keep(w))
+    light = rows.join(heavy, "key", "left_anti").withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__keep",
+        F.lit(True) if keep is None else keep(w))
     light = light.filter((F.col("__n") > 1) & F.col("__keep")).drop("__keep")
     x = light.select(*columns, "__n").union(rows.join(heavy, "key").select(*columns, F.col("most").alias("__n")))
     chunks = F.ceil(F.col("__n") * 2 / large).cast("int")
     mine = F.pmod(F.xxhash64(F.lit("chunk"), member), chunks).cast("int")
     # the unit of a chunk with itself has chunk -1: only there do members of one chunk count
-    unit = lambda j: F.struct(F.xxhash64(F.col("key"), F.least("__c", j), F.greatest("__c", j)).alias("key"), F.when(F.col("__c") == j, -1).otherwise(F.col("__c")).alias("chunk"))
+    unit = lambda j: F.struct(F.xxhash64(F.col("key"), F.least("__c", j), F.greatest("__c", j)).alias("key"),
+        F.when(F.col("__c") == j, -1).otherwise(F.col("__c")).alias("chunk"))
     whole = F.array(F.struct(F.col("key").alias("key"), F.lit(-1).alias("chunk")))
     units = F.when(F.col("__n") <= large, whole).otherwise(F.transform(F.sequence(F.lit(0), chunks - 1), unit))
     x = x.withColumn("__c", mine).withColumn("__u", F.explode(units))
-    return x.select(F.col("__u.key").alias("key"), *[c for c in columns if c != "key"], *([F.col("__u.chunk").alias(chunk)] if chunk else []))
+    return x.select(F.col("__u.key").alias("key"), *[c for c in columns if c != "key"],
+        *([F.col("__u.chunk").alias(chunk)] if chunk else []))
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str, table_key: str, size: str, values: dict[str, str], spread: list, merge: bool = False) -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, key: str, table_key: str, size: str, values: dict[str, str],
+        spread: list, merge: bool = False) -> DataFrame:
     """rows with columns of table (values: name there -> name here), null where the key isn't there.
 
     table has one row for each key and in ``size`` how many rows have it. The keys with one in
@@ -91,19 +95,24 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, table_key: str, size:
     are dealt by ``spread``, columns that tell rows apart. merge: a merge join for the rest at every
     size, for tables that grow with the data. table is read three times and should be written.
     """
-    names = fresh(rows, "__key", "__heavy", *(f"__heavy_{v}" for v in values), *(f"__light_{v}" for v in values), "__dealt")
+    names = fresh(rows, "__key", "__heavy", *(f"__heavy_{v}" for v in values), *(f"__light_{v}" for v in values),
+        "__dealt")
     own, flag, dealt_by = names[0], names[1], names[-1]
     heavies, lights = names[2 : 2 + len(values)], names[2 + len(values) : -1]
     total = table.agg(F.sum(size)).first()[0] or 0
     heavy = (F.col(size) > 1) & (F.col(size) * HEAVY >= total)
-    few = table.filter(heavy).select(F.col(table_key).alias(own), F.lit(True).alias(flag), *[F.col(v).alias(h) for v, h in zip(values, heavies)])
+    few = table.filter(heavy).select(F.col(table_key).alias(own), F.lit(True).alias(flag),
+        *[F.col(v).alias(h) for v, h in zip(values, heavies)])
     x = rows.join(F.broadcast(few), F.col(key) == F.col(own), "left").drop(own)
     kind = rows.schema[key].dataType.simpleString()
     elsewhere = F.xxhash64(F.lit("elsewhere"), *spread)
-    x = x.withColumn(dealt_by, F.when(F.col(flag), elsewhere if kind == "bigint" else F.concat(F.lit("-"), elsewhere.cast("string"))).otherwise(F.col(key)))
-    rest = table.filter(~heavy).select(F.col(table_key).alias(own), *[F.col(v).alias(v_) for v, v_ in zip(values, lights)])
+    x = x.withColumn(dealt_by, F.when(F.col(flag), elsewhere if kind == "bigint"
+            else F.concat(F.lit("-"), elsewhere.cast("string"))).otherwise(F.col(key)))
+    rest = table.filter(~heavy).select(F.col(table_key).alias(own),
+        *[F.col(v).alias(v_) for v, v_ in zip(values, lights)])
     x = x.join(rest.hint("merge") if merge else rest, F.col(dealt_by) == F.col(own), "left")
-    found = [F.when(F.col(flag), F.col(h)).otherwise(F.col(v_)).alias(name) for h, v_, name in zip(heavies, lights, values.values())]
+    found = [F.when(F.col(flag), F.col(h)).otherwise(F.col(v_)).alias(name) for h, v_,
+        name in zip(heavies, lights, values.values())]
     return x.select(*own_columns(rows), *found)
 
 

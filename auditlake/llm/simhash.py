@@ -54,7 +54,8 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
     starts = np.r_[0, ends[:-1] + 1]
     n = len(found) - words + 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter([digest(whole[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist())], np.uint64, n)
+    hashes = np.fromiter([digest(whole[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist())],
+        np.uint64, n)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, _PIECE):
         part = hashes[at : at + _PIECE]
@@ -73,9 +74,11 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py() or "", words, seed) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))],
+                ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        _text_hash().alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _masks(distance: int) -> list[int]:
@@ -132,16 +135,20 @@ def links(distinct: DataFrame, distance: int = DISTANCE, large: int = LARGE) ->
 
 def _grouped(fps: DataFrame, distance: int, large: int) -> DataFrame:
     """fps (doc_id, fp, ...) with component_id."""
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "classes")
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")),
+        "classes")
     found = components(links(classes.select("fp"), distance, large)).withColumnsRenamed({"node": "fp"})
     least = found.join(classes, "fp").groupBy("component").agg(F.min("least_id").alias("component_id"))
     linked = found.join(least, "component").select("fp", "component_id")
-    each = classes.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least_id").alias("component_id"))
+    each = classes.join(linked, "fp", "left").select("fp", "n",
+        F.coalesce("component_id", "least_id").alias("component_id"))
     each = materialize(each, "components")
-    return looked_up(fps, each, "fp", "fp", "n", {"component_id": "component_id"}, [F.col("doc_id"), F.col("text_hash")])
+    return looked_up(fps, each, "fp", "fp", "n", {"component_id": "component_id"},
+        [F.col("doc_id"), F.col("text_hash")])
 
 
-def near_groups(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, seed: int = SEED, large: int = LARGE) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, seed: int = SEED,
+        large: int = LARGE) -> DataFrame:
     """(doc_id, text_hash, fp, component_id) for each row of docs."""
     return _grouped(materialize(fingerprints(docs, words, seed), "fingerprints"), distance, large)
 
@@ -155,7 +162,8 @@ def simhash_dedup(docs: DataFrame, **options) -> DataFrame:
 def filter_near(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stay, with their columns: of each component those with the smallest doc_id."""
     gone_id, gone_hash, mine = fresh(docs, "__gone", "__of", "__mine")
-    gone = near_groups(docs, **options).filter("not doc_id <=> component_id").select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)).distinct()
+    gone = near_groups(docs, **options).filter("not doc_id <=> component_id").select(F.col("doc_id").alias(gone_id),
+        F.col("text_hash").alias(gone_hash)).distinct()
     gone = materialize(gone, "gone")
     x = docs.withColumn(mine, _text_hash())
     # a merge join at every size: what goes grows with the data

@@ -67,14 +67,16 @@ def _anchors(window: int, period: int, cover: tuple[int, ...]):
             if words.n >= window:
                 at = (np.arange(0, words.n, period)[:, None] + np.array(cover)).reshape(-1)
                 at = at[at <= words.n - length]
-                yield words.hashes(at, length, 0), np.zeros(len(at), np.uint32), np.full(len(at), doc, np.int64), np.full(len(at), row, np.int32), at.astype(np.int32)
+                yield words.hashes(at, length, 0), np.zeros(len(at), np.uint32), np.full(len(at), doc,
+                    np.int64), np.full(len(at), row, np.int32), at.astype(np.int32)
 
     return find
 
 
 def _windows(window: int, period: int):
     def find(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-        for doc, row, text, shared in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+        for doc, row, text, shared in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2),
+                batch.column(3)):
             words = Words(text.as_py() or "")
             if words.n < window:
                 continue
@@ -85,7 +87,9 @@ def _windows(window: int, period: int):
             np.add.at(opens, np.maximum(at - period + 1, 0), 1)
             np.add.at(opens, at + 1, -1)
             at = np.flatnonzero(np.cumsum(opens)[: words.n - window + 1] > 0)
-            yield words.hashes(at, window, _SEEDS[0]), words.hashes(at, window, _SEEDS[1]).astype(np.uint32), np.full(len(at), doc, np.int64), np.full(len(at), row, np.int32), at.astype(np.int32)
+            yield words.hashes(at, window, _SEEDS[0]), words.hashes(at, window,
+                _SEEDS[1]).astype(np.uint32), np.full(len(at), doc, np.int64), np.full(len(at), row,
+                np.int32), at.astype(np.int32)
 
     return find
 
@@ -111,7 +115,8 @@ def _cut(window: int, keep_text: bool):
                 digests.append(hashlib.sha256(kept).hexdigest())
                 if keep_text:
                     texts.append(kept.decode("utf-8", "surrogatepass"))
-            columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
+            columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+                pa.array(digests, pa.string())]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if keep_text:
                 columns, names = [*columns, pa.array(texts, pa.string())], [*names, "kept"]
@@ -122,15 +127,19 @@ def _cut(window: int, keep_text: bool):
 
 def _numbered(texts: DataFrame) -> DataFrame:
     """(doc_id, row, text): row tells unlike texts of one doc_id apart; it is 0 where a doc_id has one row."""
-    twice = materialize(texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "repeated-ids")
+    twice = materialize(texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"),
+        "repeated-ids")
     name = F.xxhash64("text")
     unlike = texts.join(twice, "doc_id", "left_semi").select("doc_id", name.alias("name")).distinct()
-    unlike = materialize(unlike.withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy("name"))), "unlike-texts")
+    unlike = materialize(unlike.withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy("name"))),
+        "unlike-texts")
     unlike = unlike.select(F.col("doc_id").alias("__id"), "name", "row")
-    return texts.join(unlike, (F.col("doc_id") == F.col("__id")) & (name == F.col("name")), "left").select("doc_id", F.coalesce("row", F.lit(0)).alias("row"), "text")
+    return texts.join(unlike, (F.col("doc_id") == F.col("__id")) & (name == F.col("name")), "left").select("doc_id",
+        F.coalesce("row", F.lit(0)).alias("row"), "text")
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER, keep_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER,
+        keep_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) and with ``keep_text`` the text that is left, as kept."""
     if {(a - b) % period for a in cover for b in cover} != set(range(period)) or window < period:
         raise ValueError("cover must have each difference modulo period, which is at most window")
@@ -141,10 +150,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     # buckets of the exchange: enough to spread evenly over the partitions
     bits = max(10, (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length())
     own = ["doc_id", "row"]
-    gathered = lambda x, f: x.mapInArrow(f, "doc_id long, row int, place int").groupBy(*own).agg(F.collect_list("place").alias("places"))
+    gathered = lambda x, f: x.mapInArrow(f,
+        "doc_id long, row int, place int").groupBy(*own).agg(F.collect_list("place").alias("places"))
     places = gathered(exchanged(texts, _anchors(window, period, cover), bits, settle_shared), shared)
-    windows = exchanged(texts.join(places, own).select("doc_id", "row", "text", "places"), _windows(window, period), bits, settle_later)
+    windows = exchanged(texts.join(places, own).select("doc_id", "row", "text", "places"), _windows(window, period),
+        bits, settle_later)
     repeated = gathered(windows, later)
     columns = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
-    cut = texts.join(repeated, own, "left").select("doc_id", "text", "places").mapInArrow(_cut(window, keep_text), columns)
+    cut = texts.join(repeated, own, "left").select("doc_id", "text", "places").mapInArrow(_cut(window, keep_text),
+        columns)
     return cut.union(nameless.mapInArrow(_cut(window, keep_text), columns))

@@ -25,14 +25,17 @@ def _docs(spark, rows):
 
 
 def _words(r, n, vocabulary=None):
-    return " ".join(r.choice(vocabulary) if vocabulary else "".join(r.choice("abcdeö") for _ in range(r.randint(1, 6))) for _ in range(n))
+    return " ".join(r.choice(vocabulary) if vocabulary else "".join(r.choice("abcdeö") for _ in range(r.randint(1, 6)))
+        for _ in range(n))
 
 
 @pytest.fixture(scope="module")
 def odd_rows():
     r = random.Random(4)
     long = _words(r, 3000)
-    rows = [(0, None, "a"), (1, "", "a"), (2, " \t\n", None), (3, "one", "b"), (4, "one ", "b"), (5, long, "a"), (6, long + " tail", "a"), (7, long.replace(" ", "\n"), "a"), (None, "no id here", "c"), (9, "ünïcode — 中文 😀 text", "c")]
+    rows = [(0, None, "a"), (1, "", "a"), (2, " \t\n", None), (3, "one", "b"), (4, "one ", "b"), (5, long, "a"),
+        (6, long + " tail", "a"), (7, long.replace(" ", "\n"), "a"), (None, "no id here", "c"),
+        (9, "ünïcode — 中文 😀 text", "c")]
     base = _words(r, 120)
     for i in range(10, 60):
         words = base.split()
@@ -96,9 +99,12 @@ def test_counting_filters_merge_without_loss():
     values = r.integers(-(2**63), 2**63 - 1, 5000)
     values = np.concatenate([values, values[:700], values[:50], values[:9].repeat(1000), [0, -1, -1, 2**63 - 1]])
     parts = np.array_split(r.permutation(values), 7)
-    blocks = [b for part in parts for out in exact_dedup._build(64, at_once=300)(iter([pa.RecordBatch.from_arrays([pa.array(x)], ["fp"]) for x in np.array_split(part, 5)])) for b in out.to_pylist()]
+    blocks = [b for part in parts for out in exact_dedup._build(64,
+            at_once=300)(iter([pa.RecordBatch.from_arrays([pa.array(x)], ["fp"]) for x in np.array_split(part, 5)]))
+            for b in out.to_pylist()]
     blocks.sort(key=lambda b: b["block"])
-    batch = pa.RecordBatch.from_pylist(blocks, pa.schema([("block", pa.int32()), ("quotient_bits", pa.int32()), *((c, pa.binary()) for c in ("occupied", "run_ends", "slots"))]))
+    batch = pa.RecordBatch.from_pylist(blocks, pa.schema([("block", pa.int32()), ("quotient_bits", pa.int32()),
+                *((c, pa.binary()) for c in ("occupied", "run_ends", "slots"))]))
     got = {(x["fp"], x["n"]) for out in exact_dedup._merge_blocks(64)(iter([batch])) for x in out.to_pylist()}
     unique, n = np.unique(values, return_counts=True)
     assert got == {(int(v), int(c)) for v, c in zip(unique, n) if c > 1}
@@ -113,15 +119,18 @@ def test_quotient_filter_holds_fingerprints_and_counts(bits):
             # small and zero remainders, and dense runs that push others from their homes
             odd = np.array([0, 1, 2, 3, top, top - 1, 1 << 40, (1 << 40) + 1, 5, 6], np.uint64)[:few]
             v = r.integers(0, top, n, dtype=np.uint64, endpoint=True)
-            v = np.unique(np.concatenate([v, odd, v[: n // 4] & ~np.uint64((1 << 39) - 1), v[: n // 4] + r.integers(0, 4, n // 4).astype(np.uint64)]))
+            v = np.unique(np.concatenate([v, odd, v[: n // 4] & ~np.uint64((1 << 39) - 1),
+                        v[: n // 4] + r.integers(0, 4, n // 4).astype(np.uint64)]))
             v = v[v <= np.uint64(top)]
             c = r.choice([1, 1, 2, 3, 4, 5, 6, 7, 1000, 10**9], len(v)).astype(np.int64)
-            values, counts = exact_dedup.QuotientFilter.unpacked(bits, *exact_dedup.QuotientFilter.of(v, c, bits).packed()).items()
+            values, counts = exact_dedup.QuotientFilter.unpacked(bits,
+                *exact_dedup.QuotientFilter.of(v, c, bits).packed()).items()
             assert values.tolist() == v.tolist() and counts.tolist() == c.tolist()
 
 
 def test_blocks_follow_the_number_of_rows():
-    assert exact_dedup.blocks_for(0) == exact_dedup.FEWEST and exact_dedup.blocks_for(10**11) * exact_dedup.PER_BLOCK >= 10**11
+    assert exact_dedup.blocks_for(0) == exact_dedup.FEWEST and exact_dedup.blocks_for(
+        10**11) * exact_dedup.PER_BLOCK >= 10**11
     with pytest.raises(ValueError, match="power of two"):
         exact_dedup._low_bits(6)
 
@@ -140,7 +149,8 @@ def test_simhash(spark, odd_rows):
     got = _by_id(simhash.simhash_dedup(_docs(spark, rows)).collect())
     fps = {i: _fingerprint(t) for i, t, _ in rows}
     want = _groups(fps, [(a, b) for a, b in itertools.combinations(fps, 2) if (fps[a] ^ fps[b]).bit_count() <= 4])
-    assert {i: (r["fingerprint"], r["component_id"]) for i, r in got.items()} == {i: (f"{fps[i]:016x}", want[i]) for i in fps}
+    assert {i: (r["fingerprint"], r["component_id"]) for i, r in got.items()} == {i: (f"{fps[i]:016x}", want[i])
+        for i in fps}
     assert len(set(want.values())) < len(fps) - 20
     assert sorted(r["doc_id"] for r in simhash.filter_near(_docs(spark, rows)).collect()) == sorted(set(want.values()))
 
@@ -149,13 +159,15 @@ def test_simhash(spark, odd_rows):
 def test_simhash_links_of_dense_and_sparse_buckets(spark, large):
     r = np.random.default_rng(2)
     seeds = r.integers(0, 2**63, 60, dtype=np.uint64)
-    near = [s ^ np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, 3).astype(np.uint64)) for s in seeds[:8] for _ in range(40)]
+    near = [s ^ np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, 3).astype(np.uint64)) for s in seeds[:8]
+        for _ in range(40)]
     values = np.unique(np.concatenate([seeds, np.array(near, np.uint64)]))
     distinct = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
     edges = [tuple(x) for x in simhash.links(distinct, large=large).collect()]
     signed = [int(v) for v in values.view(np.int64)]
     assert all((a & (2**64 - 1) ^ b & (2**64 - 1)).bit_count() <= 4 for a, b in edges)
-    want = [(a, b) for a, b in itertools.combinations(signed, 2) if (a & (2**64 - 1) ^ b & (2**64 - 1)).bit_count() <= 4]
+    want = [(a, b) for a, b in itertools.combinations(signed, 2)
+        if (a & (2**64 - 1) ^ b & (2**64 - 1)).bit_count() <= 4]
     assert _groups(signed, edges) == _groups(signed, want)
 
 
@@ -163,14 +175,16 @@ def test_hot_groups_are_looked_up_like_others(spark):
     """Half of all rows in one group: the same results, and no task gets all of the group's rows."""
     r = random.Random(31)
     hot = _words(r, 60)
-    rows = [(i, hot if i % 2 else _words(r, 40), "s") for i in range(600)] + [(1000 + i, _words(r, 30), "s") for i in range(5)] * 2
+    rows = [(i, hot if i % 2 else _words(r, 40), "s") for i in range(600)] + [(1000 + i, _words(r, 30), "s")
+        for i in range(5)] * 2
     docs = _docs(spark, rows)
     groups = defaultdict(list)
     for i, t, _ in rows:
         groups[_space(t)].append(i)
     want = {(i, min(ids), len(ids)) for ids in groups.values() for i in ids}
     assert {(x["doc_id"], x["keep_id"], x["group_size"]) for x in exact_dedup.exact_dedup(docs).collect()} == want
-    assert sorted(x["doc_id"] for x in exact_dedup.filter_exact(docs).collect()) == sorted(i for ids in groups.values() for i in ids if i == min(ids))
+    assert sorted(x["doc_id"] for x in exact_dedup.filter_exact(docs).collect()) == sorted(i for ids in groups.values()
+        for i in ids if i == min(ids))
     near = _by_id(simhash.simhash_dedup(docs).collect())
     assert {near[i]["component_id"] for i in range(1, 600, 2)} == {1}
 
@@ -185,7 +199,9 @@ def test_components(spark):
 def test_substring_dedup(spark, odd_rows):
     r = random.Random(8)
     passage, pieces = _words(r, 70), [_words(r, 49), _words(r, 50)]
-    rows = [*odd_rows, *((i, f"{_words(r, i % 37)} {passage} {_words(r, 20)}", None) for i in range(200, 230)), *((i, f"{_words(r, 5)} {pieces[i % 2]} {_words(r, 3)}", None) for i in range(300, 306)), (400, f"{passage} {passage}", None)]
+    rows = [*odd_rows, *((i, f"{_words(r, i % 37)} {passage} {_words(r, 20)}", None) for i in range(200, 230)),
+        *((i, f"{_words(r, 5)} {pieces[i % 2]} {_words(r, 3)}", None) for i in range(300, 306)),
+        (400, f"{passage} {passage}", None)]
     got = _by_id(substring_dedup.substring_dedup(_docs(spark, rows)).collect())
     starts = {}
     for i, t, _ in sorted((x for x in rows if x[0] is not None), key=lambda x: x[0]):
@@ -199,7 +215,8 @@ def test_substring_dedup(spark, odd_rows):
             if starts[tuple(w[k : k + 50])] < i:
                 gone |= set(range(k, k + 50))
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
-        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"], got[i]["kept"]) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept)
+        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"], got[i]["kept"]) == (len(w), len(gone),
+            hashlib.sha256(kept.encode()).hexdigest(), kept)
     assert got[301]["n_removed"] == 0 and got[303]["n_removed"] == 50 and got[302]["n_removed"] == 0
     with pytest.raises(ValueError, match="cover"):
         substring_dedup.substring_dedup(_docs(spark, rows), cover=(0, 1, 2))
@@ -210,7 +227,8 @@ def test_substring_dedup_of_shared_ids_and_hot_passages(spark, monkeypatch):
 
     r = random.Random(18)
     passage, other = _words(r, 80), _words(r, 60)
-    rows = [(5, f"{_words(r, 10)} {passage}"), (5, other), (5, f"{_words(r, 60)}"), (3, other), (8, passage), (8, f"{other} {passage} {_words(r, 9)}"), (9, "a " * 3000), (10, "a " * 3000)]
+    rows = [(5, f"{_words(r, 10)} {passage}"), (5, other), (5, f"{_words(r, 60)}"), (3, other), (8, passage),
+        (8, f"{other} {passage} {_words(r, 9)}"), (9, "a " * 3000), (10, "a " * 3000)]
     rows += [(i, f"{_words(r, 3)} {passage} {_words(r, i % 5)}") for i in range(20, 220)]
     docs = _docs(spark, [(i, t, None) for i, t in rows]).repartition(6)
     starts = {}
@@ -223,7 +241,8 @@ def test_substring_dedup_of_shared_ids_and_hot_passages(spark, monkeypatch):
         w = _split(t)
         gone = {x for k in range(len(w) - 49) if starts[tuple(w[k : k + 50])] < i for x in range(k, k + 50)}
         want.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
-    got = [tuple(x[c] for c in ("doc_id", "n_words", "n_removed", "kept")) for x in substring_dedup.substring_dedup(docs).collect()]
+    got = [tuple(x[c] for c in ("doc_id", "n_words", "n_removed", "kept"))
+        for x in substring_dedup.substring_dedup(docs).collect()]
     assert sorted(got) == sorted(want) and sum(w[2] for w in want) > 10_000
     # a task sends few rows of a hash that most of its documents share
     h, docs_ = np.full(1000, 7, np.uint64), np.arange(1000)
@@ -243,8 +262,11 @@ def _vectors(n=300, d=16, seed=3):
 @pytest.mark.parametrize("large", [8, 4096])
 def test_embedding_dedup(spark, large):
     rows = _vectors()
-    odd = [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [None] * 16, 1), (904, [1.0] * 16, None), (905, [1.0] * 16, None), (906, [1.0] * 3, 1), (907, [1.0] * 3, 1), (908, [], 1), (909, [float("inf")] * 16, 0)]
-    got = _by_id(embedding_dedup.embedding_dedup(spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int"), large=large).collect(), "vec_id")
+    odd = [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [None] * 16, 1),
+        (904, [1.0] * 16, None), (905, [1.0] * 16, None), (906, [1.0] * 3, 1), (907, [1.0] * 3, 1), (908, [], 1),
+        (909, [float("inf")] * 16, 0)]
+    got = _by_id(embedding_dedup.embedding_dedup(spark.createDataFrame(rows + odd,
+                "vec_id long, embedding array<float>, label int"), large=large).collect(), "vec_id")
     good = [r for r in rows] + [odd[6], odd[7]]
     links = []
     for (i, a, la), (j, b, lb) in itertools.combinations(good, 2):
@@ -258,10 +280,12 @@ def test_embedding_dedup(spark, large):
         n[a] += 1
         n[b] += 1
     assert len(links) > 60
-    assert {i: (r["n_links"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (n[i], c, c == i) for i, c in groups.items()}
+    assert {i: (r["n_links"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (n[i], c, c == i) for i,
+        c in groups.items()}
 
 
-@pytest.mark.parametrize(("dim", "n"), [(64, 500), (64, 51_000), (64, 10**6), (64, 10**8), (64, 10**10), (4, 10**6), (16, 10**5), (384, 10**9), (1024, 10**9)])
+@pytest.mark.parametrize(("dim", "n"), [(64, 500), (64, 51_000), (64, 10**6), (64, 10**8), (64, 10**10), (4, 10**6),
+        (16, 10**5), (384, 10**9), (1024, 10**9)])
 def test_planned_recall_holds_for_each_number_of_turns(dim, n):
     """Pairs at the threshold, other ones than the plan measures, are found as often as RECALL says at every size."""
     k, tables = embedding_dedup.plan(dim, n)
@@ -273,7 +297,8 @@ def test_planned_recall_holds_for_each_number_of_turns(dim, n):
     z -= (z * x).sum(axis=1, keepdims=True) * x
     y = 0.93 * x + np.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
     labels = np.zeros(m, np.int64)
-    met = embedding_dedup._together(*embedding_dedup.buckets(x, labels, k, tables), *embedding_dedup.buckets(y, labels, k, tables))
+    met = embedding_dedup._together(*embedding_dedup.buckets(x, labels, k, tables),
+        *embedding_dedup.buckets(y, labels, k, tables))
     assert met.any(axis=1).mean() > 0.97, (k, tables)
 
 
@@ -281,10 +306,14 @@ def test_embedding_ties_nulls_and_clashing_names(spark):
     import pyspark.sql.functions as F
 
     # cosine exactly at a threshold that doubles hold: 0.5 links, a hair less does not
-    rows = [(1, [1.0, 0.0, 0.0, 0.0], 1), (2, [0.5, 0.5, 0.5, 0.5], 1), (3, [0.5, 0.5, 0.5, 0.5000001], 1), (None, [0.0, 0.0, 1.0, 0.0], 2), (None, [0.0, 0.0, 2.0, 0.0], 2), (7, [0.0, 0.0, 1.0, 0.0], None)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").select("*", *[F.lit("x").alias(c) for c in ("class", "key", "home", "probes", "dim", "weight", "__label", "least_id")])
-    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in embedding_dedup.embedding_dedup(df, cosine=0.5, recall=0.999999).collect())
-    assert got == [("1", 1, "1", True), ("2", 2, "1", False), ("3", 1, "1", False), ("7", 0, "7", True), ("None", 1, "None", True), ("None", 1, "None", True)]
+    rows = [(1, [1.0, 0.0, 0.0, 0.0], 1), (2, [0.5, 0.5, 0.5, 0.5], 1), (3, [0.5, 0.5, 0.5, 0.5000001], 1),
+        (None, [0.0, 0.0, 1.0, 0.0], 2), (None, [0.0, 0.0, 2.0, 0.0], 2), (7, [0.0, 0.0, 1.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").select("*",
+        *[F.lit("x").alias(c) for c in ("class", "key", "home", "probes", "dim", "weight", "__label", "least_id")])
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"])
+        for r in embedding_dedup.embedding_dedup(df, cosine=0.5, recall=0.999999).collect())
+    assert got == [("1", 1, "1", True), ("2", 2, "1", False), ("3", 1, "1", False), ("7", 0, "7", True),
+        ("None", 1, "None", True), ("None", 1, "None", True)]
 
 
 def test_hadamard_is_orthogonal():
@@ -340,7 +369,8 @@ def test_prefix_tables_append_and_edit(tokenizer):
 def test_html_text(spark):
     page = '<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>t</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">menu</a></li></ul></nav><!-- ad --><div class="ad">buy this now and here</div><article><h1>Head &amp; line</h1><p><b>First bold.<br><p>Second   part &lt;x&gt;.</p><div class="ad">an advert in the middle that goes on and on and on</div><p>Third with <i>in</i>line.</p></article><div id="comments"><p>a reader says so</p></div><footer>&copy; foot</footer>'
     assert html_text.extract(page) == "Head & line First bold. Second part <x>. Third with inline."
-    assert html_text.extract("") == "" and html_text.extract("just words") == "just words" and html_text.extract("<nav>only</nav>") == ""
+    assert html_text.extract("") == "" and html_text.extract("just words") == "just words" and html_text.extract(
+        "<nav>only</nav>") == ""
     assert html_text.extract("<article>open <b>end <!-- never closed") == "open end"
     assert html_text.extract("<p>" + "word " * 50_000) == ("word " * 50_000).strip()
     rows = [(1, "u", page), (2, None, None), (1, "u", page), (None, "u", "<p>text</p>")]
@@ -348,7 +378,8 @@ def test_html_text(spark):
     assert sorted((str(r["page_id"]), r["n_chars"]) for r in got) == [("1", 59), ("1", 59), ("2", 0), ("None", 4)]
     right = 0
     for _, parts in html_text.labelled_pages(200, seed=77):
-        truth = re.sub(r"<[^>]*>", " ", re.sub(r"</?[ab]\b[^>]*>", "", " ".join(p for p, main in parts if main))).split()
+        truth = re.sub(r"<[^>]*>", " ", re.sub(r"</?[ab]\b[^>]*>", "",
+                " ".join(p for p, main in parts if main))).split()
         right += html_text.extract("".join(p for p, _ in parts)).split() == truth
     assert right >= 185
 
@@ -356,14 +387,23 @@ def test_html_text(spark):
 #: Written by hand: a page's head, its text with what must go in brackets, and its foot.
 _HAND = [
     ('<body><div id="header"><a href="/">Site</a> The best of news</div><ul class="nav"><li><a href="/1">One</a></li></ul><div id="content">', '<h1>Rain in May</h1><p>It rained for a week and the river rose.</p><p>See <a href="/x">the map</a></p>', '</div><div id="footer">About us and terms</div></body>'),
-    ('<body><nav><a href="/a">A</a><a href="/b">B</a><article>', '<h1>Unclosed menu</h1><p>The menu before this text was never closed by the page.</p>', "</article></body>"),
-    ('<body><form action="/s"><input><main>', '<h2>Unclosed form</h2><p>A search box that stays open must not swallow the whole page.</p>', "</main>"),
-    ('<body><nav><ul><li><a href="/a">A</a></li></ul>', '<h1>No article at all</h1><p>Text that follows an open menu on a page without an article, long enough to be one.</p><p>And a second paragraph of it.</p>', ""),
-    ('<article><div class="post-header">', "<h1>Head of the post</h1>", '</div><p>Short text follows here.</p><div class="share-price"><p>The price of a share rose by two percent.</p></div><div class="share"><a href="/t">Tell a friend</a></div><div class="notice">We use your data.</div><div class="notice-board"><p>The board of notices in the hall was full.</p></div></article>'),
-    ('<main><div class="search-results"><p>', "The search found three more wrecks in the bay this year.", '</p></div><div class="search"><input> Search this site</div><section class="comments"><p>First!</p></section></main>'),
-    ('<div class="wrapper has-sidebar"><div class="entry"><p>', "One paragraph of some twenty words that stands in a wrapper with a telling name, as many blogs have it today.", '</p></div><div class="sidebar"><p>Popular posts</p></div></div>'),
-    ("<article><p>", 'Words before. <a href="/only">A last line that is a link</a>', "</p></article><footer>foot</footer>"),
-    ('<article><h1>T</h1><p>', "Long enough a text for the scan to find it here.", '</p><p><a href="/next">Source of the quote</a></p></article>'),
+    ('<body><nav><a href="/a">A</a><a href="/b">B</a><article>',
+        '<h1>Unclosed menu</h1><p>The menu before this text was never closed by the page.</p>', "</article></body>"),
+    ('<body><form action="/s"><input><main>',
+        '<h2>Unclosed form</h2><p>A search box that stays open must not swallow the whole page.</p>', "</main>"),
+    ('<body><nav><ul><li><a href="/a">A</a></li></ul>',
+        '<h1>No article at all</h1><p>Text that follows an open menu on a page without an article, long enough to be one.</p><p>And a second paragraph of it.</p>', ""),
+    ('<article><div class="post-header">', "<h1>Head of the post</h1>",
+        '</div><p>Short text follows here.</p><div class="share-price"><p>The price of a share rose by two percent.</p></div><div class="share"><a href="/t">Tell a friend</a></div><div class="notice">We use your data.</div><div class="notice-board"><p>The board of notices in the hall was full.</p></div></article>'),
+    ('<main><div class="search-results"><p>', "The search found three more wrecks in the bay this year.",
+        '</p></div><div class="search"><input> Search this site</div><section class="comments"><p>First!</p></section></main>'),
+    ('<div class="wrapper has-sidebar"><div class="entry"><p>',
+        "One paragraph of some twenty words that stands in a wrapper with a telling name, as many blogs have it today.",
+        '</p></div><div class="sidebar"><p>Popular posts</p></div></div>'),
+    ("<article><p>", 'Words before. <a href="/only">A last line that is a link</a>',
+        "</p></article><footer>foot</footer>"),
+    ('<article><h1>T</h1><p>', "Long enough a text for the scan to find it here.",
+        '</p><p><a href="/next">Source of the quote</a></p></article>'),
 ]
 _HAND_TEXT = [
     "Rain in May It rained for a week and the river rose. See the map",
@@ -386,14 +426,20 @@ def test_html_text_of_hand_written_pages(i):
 def test_html_text_keeps_articles_in_marked_wrappers():
     story = "<p>The first words of a story that is long enough.</p><p>More words of it follow here.</p>"
     text = "The first words of a story that is long enough. More words of it follow here."
-    whole = lambda start, end="": html_text.extract(f"<html><head><title>t</title></head><body>{start}{story}{end}</body></html>")
-    wrappers = ('<div class="content-sidebar-wrap"><article>', '<div class="layout has-sidebar"><main>', '<div class="layout has-sidebar"><div>', '<div style="overflow:hidden"><article>', '<article style="overflow-x: hidden">', '<main class="md:hidden">', '<form id="aspnetForm"><div>', '<svg viewBox="0 0 1 1"/><article>', "<div><select>")
+    whole = lambda start, end="": html_text.extract(
+        f"<html><head><title>t</title></head><body>{start}{story}{end}</body></html>")
+    wrappers = ('<div class="content-sidebar-wrap"><article>', '<div class="layout has-sidebar"><main>',
+        '<div class="layout has-sidebar"><div>', '<div style="overflow:hidden"><article>',
+        '<article style="overflow-x: hidden">', '<main class="md:hidden">', '<form id="aspnetForm"><div>',
+        '<svg viewBox="0 0 1 1"/><article>', "<div><select>")
     assert {w: whole(w) for w in wrappers} == dict.fromkeys(wrappers, text)
     assert html_text.extract(f'<body style="overflow-x:hidden">{story}') == text
     assert whole('<article><div class="entry-header"><h1>Head</h1></div>') == "Head " + text
     assert whole("<article>", '<h2 id="related-work">Related work</h2><p>Some <span class="share">of</span> it.</p></article>') == text + " Related work Some of it."
     # what is hidden or marked stays out
-    for part in ('<div hidden>', '<div style="color:red; DISPLAY : none !important">', '<div style="visibility:hidden">', '<div class="sidebar">', '<div id="comments"><article class="comment-body">', '<div class="related-posts">'):
+    for part in ('<div hidden>', '<div style="color:red; DISPLAY : none !important">',
+            '<div style="visibility:hidden">', '<div class="sidebar">',
+            '<div id="comments"><article class="comment-body">', '<div class="related-posts">'):
         assert whole("<article>", f"</article>{part}<p>{'other words ' * 30}</p></div>") == text, part
         assert whole("<article>", f"{part}<p>other words</p></div></article>") == text, part
 
@@ -439,11 +485,15 @@ def test_license_expressions():
     assert post("GPL-2.0 WITH E AND MIT") == ["gpl-2.0", "e", "with", "mit", "and"]
     assert [post(x) for x in ("", "and", "(MIT", "MIT and", "()")] == [None] * 5
     assert licenses.evaluate(post("GPL-3.0 and MIT")) == ({"gpl", "mit"}, 0.0)
-    assert licenses.evaluate(post("GPL-2.0-only WITH Classpath-exception-2.0")) == ({"gpl", "classpath-exception-2.0"}, 0.5)
-    assert licenses.evaluate(post("GPL-3.0-or-later WITH Unknown-exception AND Apache-2.0")) == ({"gpl", "unknown-exception", "apache"}, 0.0)
+    assert licenses.evaluate(post("GPL-2.0-only WITH Classpath-exception-2.0")) == ({"gpl", "classpath-exception-2.0"},
+        0.5)
+    assert licenses.evaluate(post("GPL-3.0-or-later WITH Unknown-exception AND Apache-2.0")) == ({"gpl",
+            "unknown-exception", "apache"}, 0.0)
     assert licenses.evaluate(post("LGPL-2.1+ OR AGPL-3.0")) == ({"lgpl", "agpl"}, 0.5)
     # one label for a licence, whether a tag or a notice names it
-    for tag, notice in (("CC-BY-4.0", "under CC BY 4.0"), ("CC0-1.0", "CC0 1.0"), ("BSL-1.0", "Boost Software License"), ("CC-BY-NC-SA-3.0", "Creative Commons Attribution-NonCommercial-ShareAlike 3.0"), ("MPL-2.0", "Mozilla Public License"), ("Zlib", "zlib license"), ("0BSD", "BSD license")):
+    for tag, notice in (("CC-BY-4.0", "under CC BY 4.0"), ("CC0-1.0", "CC0 1.0"), ("BSL-1.0", "Boost Software License"),
+            ("CC-BY-NC-SA-3.0", "Creative Commons Attribution-NonCommercial-ShareAlike 3.0"),
+            ("MPL-2.0", "Mozilla Public License"), ("Zlib", "zlib license"), ("0BSD", "BSD license")):
         scan = licenses.Scanner().scan
         assert scan(f"SPDX-License-Identifier: {tag}")[5] == scan(notice)[5] != "", tag
 
@@ -470,10 +520,13 @@ def test_base_licences_against_brute_force(spark, odd_rows):
     import re
 
     for d in docs.collect():
-        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in d["text"]))
-        places = [(k, label) for phrase, label in licenses.BASE.items() for p in [phrase.split()] for k in range(len(words)) if words[k : k + len(p)] == p]
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+",
+            "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in d["text"]))
+        places = [(k, label) for phrase, label in licenses.BASE.items() for p in [phrase.split()]
+            for k in range(len(words)) if words[k : k + len(p)] == p]
         r = got[d["doc_id"]]
-        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(places), min((k for k, _ in places), default=None), max((k for k, _ in places), default=None))
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(places),
+            min((k for k, _ in places), default=None), max((k for k, _ in places), default=None))
         assert set(r["labels"].split(",")) >= {label for _, label in places}
 
 
@@ -485,16 +538,21 @@ def weights(spark):
 def test_pii_base(spark, weights):
     text = "mail a.b@c-d.example.com, ip 10.0.0.256 and 1.2.3.4, card 4111 1111 1111 1111 or 4111-1111-1111-1112, tel +1 (504) 555-2652 é +49 30 12"
     found = pii.base_spans(text)
-    assert [(text[a:b], k) for a, b, k in found] == [("a.b@c-d.example.com", "email"), ("1.2.3.4", "ip"), ("4111 1111 1111 1111", "card"), ("+1 (504) 555-2652", "phone")]
-    got = pii.find_pii(_docs(spark, [(1, text, None), (2, None, None), (1, text, None), (3, "é" * 5000 + text, None)]), weights).collect()
+    assert [(text[a:b], k) for a, b, k in found] == [("a.b@c-d.example.com", "email"), ("1.2.3.4", "ip"),
+        ("4111 1111 1111 1111", "card"), ("+1 (504) 555-2652", "phone")]
+    got = pii.find_pii(_docs(spark, [(1, text, None), (2, None, None), (1, text, None), (3, "é" * 5000 + text, None)]),
+        weights).collect()
     assert [r["n_email"] for r in got] == [1, 0, 1, 1]
     joined = ",".join(f"{k}:{a}:{b}" for a, b, k in found)
     assert got[0]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest() and got[1]["spans"] == ""
     assert set(joined.split(",")) <= set(got[0]["spans"].split(","))
-    assert got[3]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a + 5000}:{b + 5000}" for a, b, k in found).encode()).hexdigest()
+    assert got[3]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a + 5000}:{b + 5000}" for a, b,
+            k in found).encode()).hexdigest()
 
 
-_CONTRACT = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+_CONTRACT = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
 def _contract_spans(text):
@@ -506,9 +564,11 @@ def _contract_spans(text):
         for m in regex.finditer(pattern, text):
             d = [int(c) for c in m.group() if c in "0123456789"]
             double = [x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d[::-1])]
-            if kind == "ip" and any(len(p.lstrip("0")) > 3 or int(p.lstrip("0") or "0") > 255 for p in m.group().split(".")):
+            if kind == "ip" and any(len(p.lstrip("0")) > 3 or int(p.lstrip("0") or "0") > 255
+                    for p in m.group().split(".")):
                 continue
-            if kind == "card" and (not 12 <= len(d) <= 19 or sum(double) % 10) or kind == "phone" and not 9 <= len(d) <= 15:
+            if kind == "card" and (not 12 <= len(d) <= 19
+                    or sum(double) % 10) or kind == "phone" and not 9 <= len(d) <= 15:
                 continue
             out.append((m.start(), m.end(), kind))
     return sorted(out, key=lambda s: (s[0], list(_CONTRACT).index(s[2])))
@@ -534,7 +594,8 @@ def test_pii_of_long_runs(spark, weights):
     import time
 
     tagger = pii.Tagger(weights)
-    for text in ("1.2.3." + "0" * 5000 + "1", "1.2.3." + "9" * 5000, "a" * 200_000 + " b@c.de", "1" * 200_000 + ".2", "+" + " " * 200_000, "@" * 100_000, "a." * 100_000 + "@", ("x" * 300 + "@") * 300):
+    for text in ("1.2.3." + "0" * 5000 + "1", "1.2.3." + "9" * 5000, "a" * 200_000 + " b@c.de", "1" * 200_000 + ".2",
+            "+" + " " * 200_000, "@" * 100_000, "a." * 100_000 + "@", ("x" * 300 + "@") * 300):
         began = time.perf_counter()
         assert pii.base_spans(text) == _contract_spans(text) if len(text) < 10_000 else pii.base_spans(text) is not None
         assert time.perf_counter() - began < 2
@@ -542,7 +603,9 @@ def test_pii_of_long_runs(spark, weights):
     text = f"the in {name} (at) host (dot) com. er"
     assert [text[a:b] for a, b, _ in tagger.spans([text])[0]] == [f"{name} (at) host (dot) com"]
     rows = [(None, "x@y.de", None), (1, None, None), (2, "1" * 30_000, None), (2, "1.2.3." + "0" * 5000 + "1", None)]
-    assert sorted((str(x["doc_id"]), x["n_email"], x["n_ip"]) for x in pii.find_pii(_docs(spark, rows), weights).collect()) == [("1", 0, 0), ("2", 0, 0), ("2", 0, 1), ("None", 1, 0)]
+    assert sorted((str(x["doc_id"]), x["n_email"], x["n_ip"])
+        for x in pii.find_pii(_docs(spark, rows), weights).collect()) == [("1", 0, 0), ("2", 0, 0), ("2", 0, 1),
+        ("None", 1, 0)]
 
 
 def test_pii_stretches_are_decoded_as_one(weights):
@@ -562,10 +625,14 @@ def test_pii_network_adds_what_the_patterns_miss(weights):
     """Written by hand, not by the generator; and lookalikes with the digits of a phone number or card are left alone."""
     tagger = pii.Tagger(weights)
     found = {
-        "Call our office at (617) 555-0143 after nine.": "(617) 555-0143", "Tel: 0221/4710815, Zimmer 4": "0221/4710815", "reach me under 415.555.2671 or by post": "415.555.2671",
-        "write to maria.gomez (at) example (dot) org please": "maria.gomez (at) example (dot) org", "contact: info [at] museum-bern [dot] ch": "info [at] museum-bern [dot] ch",
-        "Fax 212-555-0187.": "212-555-0187", "My number is 0049 30 1234 5678": "0049 30 1234 5678", "phone 030 / 1234567": "030 / 1234567", "Mobile: 0171 2345678, evenings only": "0171 2345678",
-        "You can e-mail bob at widgets dot com any time": "bob at widgets dot com", "card number 4111.1111.1111.1111 exp 12/27": "4111.1111.1111.1111", "Ring 1-800-555-0199 now": "1-800-555-0199",
+        "Call our office at (617) 555-0143 after nine.": "(617) 555-0143",
+        "Tel: 0221/4710815, Zimmer 4": "0221/4710815", "reach me under 415.555.2671 or by post": "415.555.2671",
+        "write to maria.gomez (at) example (dot) org please": "maria.gomez (at) example (dot) org",
+        "contact: info [at] museum-bern [dot] ch": "info [at] museum-bern [dot] ch",
+        "Fax 212-555-0187.": "212-555-0187", "My number is 0049 30 1234 5678": "0049 30 1234 5678",
+        "phone 030 / 1234567": "030 / 1234567", "Mobile: 0171 2345678, evenings only": "0171 2345678",
+        "You can e-mail bob at widgets dot com any time": "bob at widgets dot com",
+        "card number 4111.1111.1111.1111 exp 12/27": "4111.1111.1111.1111", "Ring 1-800-555-0199 now": "1-800-555-0199",
     }
     hits = 0
     for text, span in found.items():
@@ -573,7 +640,9 @@ def test_pii_network_adds_what_the_patterns_miss(weights):
         hits += span in [text[a:b] for a, b, _ in tagger.spans([text])[0]]
     # of these twelve the patterns find none, the network eight when this was written
     assert hits >= 8
-    none = ["Between 2010-2011 and 2015-2016 sales rose by 12.5 percent.", "See pages 101-104, 212-215 and 330-333.", "The commit 3f2a9c8e7d6b5a4f3e2d1c0b was reverted.", "ISBN 978-3-16-148410-0", "We meet at noon at the old bridge.", "Version 2.10.4 of 2023-05-17 fixes 1,204 bugs."]
+    none = ["Between 2010-2011 and 2015-2016 sales rose by 12.5 percent.", "See pages 101-104, 212-215 and 330-333.",
+        "The commit 3f2a9c8e7d6b5a4f3e2d1c0b was reverted.", "ISBN 978-3-16-148410-0",
+        "We meet at noon at the old bridge.", "Version 2.10.4 of 2023-05-17 fixes 1,204 bugs."]
     false = [s for t in none for s in tagger.spans([t])[0]]
     assert len(false) <= 1, false
 
@@ -615,7 +684,9 @@ def test_crf_gradient():
 
 def test_pii_reads_long_addresses_whole(weights):
     tagger = pii.Tagger(weights)
-    hosts = ["informatik.uni-freiburg-sued (dot) de", "department.of.computer.science.university (dot) example (dot) org", "mail-server-number-of-the-university-of-somewhere (dot) net", "-".join(["host"] * 40) + " (dot) com"]
+    hosts = ["informatik.uni-freiburg-sued (dot) de",
+        "department.of.computer.science.university (dot) example (dot) org",
+        "mail-server-number-of-the-university-of-somewhere (dot) net", "-".join(["host"] * 40) + " (dot) com"]
     for host in hosts:
         address = f"jane.doe (at) {host}"
         for text in (address, f"write to {address} today please. the erin onst", f"the in {address}. Then go on"):
@@ -631,8 +702,10 @@ def test_rows_without_or_with_shared_ids_are_decided_by_their_own_text(spark):
     r = random.Random(12)
     a, b, c = (_words(r, 200) for _ in range(3))
     docs = _docs(spark, [(1, a, "s"), (None, a, "s"), (None, b, "s"), (5, a, "s"), (5, c, "s")])
-    assert sorted((str(x["doc_id"]), x["text"]) for x in simhash.filter_near(docs).collect()) == sorted([("1", a), ("None", b), ("5", c)])
-    rows = [(None, _words(r, 20 + i), "s" if i % 2 else "t") for i in range(40)] + [(7, _words(r, 30 + i), "s") for i in range(20)]
+    assert sorted((str(x["doc_id"]), x["text"]) for x in simhash.filter_near(docs).collect()) == sorted([("1", a),
+            ("None", b), ("5", c)])
+    rows = [(None, _words(r, 20 + i), "s" if i % 2 else "t") for i in range(40)] + [(7, _words(r, 30 + i), "s")
+        for i in range(20)]
     docs = _docs(spark, rows)
     want = sum(x["times"] for x in mixing.allocation(docs).collect())
     assert mixing.mix(docs).count() == want > 0
@@ -643,7 +716,8 @@ def test_quality(spark):
     got = _by_id(quality.quality(docs, labels).collect())
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
     assert all(r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in got.values())
-    held = [(r["quality"], got[r["doc_id"]]) for r in labels.filter("quality is not null").collect() if got[r["doc_id"]]["held_out"]]
+    held = [(r["quality"], got[r["doc_id"]]) for r in labels.filter("quality is not null").collect()
+        if got[r["doc_id"]]["held_out"]]
     good, bad = (np.array([r["score"] for q, r in held if q == k]) for k in (1, 0))
     assert (good >= 0.3).mean() > 0.99 and (bad >= 0.3).mean() < 0.12
     assert (good[:, None] > bad[None]).mean() > 0.99
@@ -659,7 +733,8 @@ def test_quality_scores_against_plain_compression(spark):
     model = quality.fit(docs, labels)
     got = _by_id(quality.quality(docs, labels).collect())
     for d in docs.collect():
-        tools = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(x), write_content_size=False, write_checksum=False, write_dict_id=False) for x in (model.good, model.bad)]
+        tools = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(x), write_content_size=False,
+                write_checksum=False, write_dict_id=False) for x in (model.good, model.bad)]
         data = (d["text"] or "").encode()
         cut = [data[i : i + 2048] for i in range(0, max(1, len(data)), 2048)]
         good, bad = (sum(len(t.compress(c)) for c in cut) for t in tools)
@@ -682,7 +757,8 @@ def test_quality_reads_long_texts_whole(spark):
 
 def test_quality_learns_from_long_texts(spark):
     r = random.Random(8)
-    good, bad = (["".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(400)] for letters in ("abcdefgh", "stuvwxyz"))
+    good, bad = (["".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(400)]
+        for letters in ("abcdefgh", "stuvwxyz"))
     text = lambda words: " ".join(r.choice(words) for _ in range(4500))
     docs = _docs(spark, [(i, text(good if i % 2 else bad), None) for i in range(60)])
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
@@ -696,7 +772,8 @@ def test_quality_of_odd_rows(spark, odd_rows):
     docs = _docs(spark, odd_rows)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality.quality(docs, none).collect()} == {0.5}
-    some = spark.createDataFrame([(i, i % 2 if i % 7 else None, 0) for i in range(10, 120)] * 2, "doc_id long, quality int, toxic int")
+    some = spark.createDataFrame([(i, i % 2 if i % 7 else None, 0) for i in range(10, 120)] * 2,
+        "doc_id long, quality int, toxic int")
     rows = quality.quality(docs, some).collect()
     assert len(rows) == len(odd_rows) and all(np.isfinite(r["score"]) for r in rows)
     kept = quality.filter_quality(docs, some)
@@ -754,21 +831,28 @@ def test_empty_tables(spark, tokenizer, weights):
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     for df in (
-        exact_dedup.exact_dedup(docs), exact_dedup.filter_exact(docs), simhash.simhash_dedup(docs), simhash.filter_near(docs), substring_dedup.substring_dedup(docs), embedding_dedup.embedding_dedup(vectors), bpe.encode(docs, tokenizer[0], tokenizer[2]),
-        html_text.main_text(pages), licenses.license_scan(docs), pii.find_pii(docs, weights), quality.quality(docs, labels), quality.filter_quality(docs, labels), mixing.allocation(docs), mixing.mix(docs),
+        exact_dedup.exact_dedup(docs), exact_dedup.filter_exact(docs), simhash.simhash_dedup(docs),
+        simhash.filter_near(docs), substring_dedup.substring_dedup(docs), embedding_dedup.embedding_dedup(vectors),
+        bpe.encode(docs, tokenizer[0], tokenizer[2]),
+        html_text.main_text(pages), licenses.license_scan(docs), pii.find_pii(docs, weights),
+        quality.quality(docs, labels), quality.filter_quality(docs, labels), mixing.allocation(docs), mixing.mix(docs),
     ):
         assert df.collect() == []
 
 
-_CLASHING = ("fp", "kept", "score", "sha", "size", "a.b", "__sha", "__keep", "__mine", "__fp", "__gone", "__of", "__score", "__predicted", "__copy", "__times", "__id", "row", "copy", "times", "h", "bucket", "sn", "component_id", "text_hash", "N", "Key")
+_CLASHING = ("fp", "kept", "score", "sha", "size", "a.b", "__sha", "__keep", "__mine", "__fp", "__gone", "__of",
+    "__score", "__predicted", "__copy", "__times", "__id", "row", "copy", "times", "h", "bucket", "sn", "component_id",
+    "text_hash", "N", "Key")
 
 
 def test_clashing_columns_pass_through(spark, odd_rows):
     import pyspark.sql.functions as F
 
-    docs = _docs(spark, odd_rows[:30]).select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in _CLASHING])
+    docs = _docs(spark, odd_rows[:30]).select("*", *[F.concat(F.lit(f"{c}:"),
+                F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in _CLASHING])
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
-    for out in (exact_dedup.filter_exact(docs), simhash.filter_near(docs), quality.filter_quality(docs, labels), mixing.mix(docs)):
+    for out in (exact_dedup.filter_exact(docs), simhash.filter_near(docs), quality.filter_quality(docs, labels),
+            mixing.mix(docs)):
         rows = out.collect()
         assert out.columns == docs.columns and rows
         for r in rows:
@@ -779,7 +863,8 @@ def test_clashing_columns_pass_through(spark, odd_rows):
 
 def test_mix_takes_each_row_as_allocated(spark):
     r = random.Random(3)
-    rows = [(i % 3 if i % 5 else None, _words(r, r.choice((0, 3, 3, 9)), ["a", "b"]), ("s", "t", None)[i % 3]) for i in range(90)]
+    rows = [(i % 3 if i % 5 else None, _words(r, r.choice((0, 3, 3, 9)), ["a", "b"]), ("s", "t", None)[i % 3])
+        for i in range(90)]
     docs = _docs(spark, rows)
     taken = defaultdict(int)
     for x in mixing.allocation(docs, buckets=5).collect():
