@@ -22,7 +22,8 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 _RAW = ("script", "style", "noscript", "template", "textarea")
 _HIDDEN = {"script", "style", "noscript", "template"}
 _ASIDE = {"nav", "header", "footer", "aside", "form"}
-_BREAK = {"p", "br", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "section", "article", "main", "blockquote", "pre", "hr", "dt", "dd"}
+_BREAK = {"p", "br", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "section", "article",
+    "main", "blockquote", "pre", "hr", "dt", "dd"}
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _CAUGHT = {"title", "a", *_HEADINGS}
 _END = {n: re.compile(rf"</{n}\b[^>]*>", re.I) for n in _RAW}
@@ -37,12 +38,17 @@ PAGE = (
     "strong_count int, bold_count int, word_count int, text_excerpt string, charset string, main_text string, main_word_count int, content_blocks array<string>, "
     f"images array<{IMAGE}>, links array<{LINK}>, resources array<{RESOURCE}>"
 )
-_link = pa.struct([("target_url", pa.string()), ("anchor_text", pa.string()), ("rel", pa.string()), ("is_internal", pa.bool_()), ("is_followed", pa.bool_())])
+_link = pa.struct([("target_url", pa.string()), ("anchor_text", pa.string()), ("rel", pa.string()),
+        ("is_internal", pa.bool_()), ("is_followed", pa.bool_())])
 _image = pa.struct([("src", pa.string()), ("alt", pa.string()), ("has_alt", pa.bool_())])
 _resource = pa.struct([("url", pa.string()), ("resource_type", pa.string()), ("is_internal", pa.bool_())])
 _ARROW = {
-    "title": pa.string(), "meta_description": pa.string(), "meta_robots": pa.string(), "canonical_url": pa.string(), "language": pa.string(), "h1": pa.string(), "headings": pa.map_(pa.string(), pa.list_(pa.string())), "h1_count": pa.int32(),
-    "strong_count": pa.int32(), "bold_count": pa.int32(), "word_count": pa.int32(), "text_excerpt": pa.string(), "charset": pa.string(), "main_text": pa.string(), "main_word_count": pa.int32(), "content_blocks": pa.list_(pa.string()),
+    "title": pa.string(), "meta_description": pa.string(), "meta_robots": pa.string(), "canonical_url": pa.string(),
+    "language": pa.string(), "h1": pa.string(), "headings": pa.map_(pa.string(), pa.list_(pa.string())),
+    "h1_count": pa.int32(),
+    "strong_count": pa.int32(), "bold_count": pa.int32(), "word_count": pa.int32(), "text_excerpt": pa.string(),
+    "charset": pa.string(), "main_text": pa.string(), "main_word_count": pa.int32(),
+    "content_blocks": pa.list_(pa.string()),
     "images": pa.list_(_image), "links": pa.list_(_link), "resources": pa.list_(_resource),
 }
 
@@ -183,7 +189,9 @@ class _Scan:
         target = normalize(a["href"], self.url) if a.get("href") is not None else None
         if target:
             rel = a.get("rel")
-            self.links.append({"target_url": target, "anchor_text": text[:1024], "rel": rel, "is_internal": same_site(target, self.url), "is_followed": "nofollow" not in (rel or "").lower().split()})
+            self.links.append({"target_url": target, "anchor_text": text[:1024], "rel": rel,
+                    "is_internal": same_site(target, self.url),
+                    "is_followed": "nofollow" not in (rel or "").lower().split()})
 
     def row(self) -> dict:
         canonical = next((href for rel, href in self.rels if "canonical" in rel and href), None)
@@ -198,10 +206,17 @@ class _Scan:
                 resources.append((url, kind))
         h1 = self.headings.get("h1", [])
         return {
-            "title": self.title, "meta_description": self.metas.get("description"), "meta_robots": self.metas.get("robots"), "canonical_url": (normalize(canonical, self.url) or canonical) if canonical else None,
-            "language": self.language, "h1": h1[0] if h1 else None, "headings": sorted(self.headings.items()), "h1_count": len(h1), "strong_count": self.counts["strong"], "bold_count": self.counts["b"],
-            "word_count": len(_WORD.findall(body)), "text_excerpt": body[:500], "charset": self.charset or self.metas.get("\0charset"), "main_text": main, "main_word_count": len((main or "").split()), "content_blocks": blocks,
-            "images": self.images, "links": self.links, "resources": [{"url": u, "resource_type": k, "is_internal": same_site(u, self.url)} for u, k in dict.fromkeys(resources)],
+            "title": self.title, "meta_description": self.metas.get("description"),
+            "meta_robots": self.metas.get("robots"), "canonical_url": (normalize(canonical, self.url) or canonical)
+            if canonical else None,
+            "language": self.language, "h1": h1[0] if h1 else None, "headings": sorted(self.headings.items()),
+            "h1_count": len(h1), "strong_count": self.counts["strong"], "bold_count": self.counts["b"],
+            "word_count": len(_WORD.findall(body)), "text_excerpt": body[:500], "charset": self.charset
+            or self.metas.get("\0charset"), "main_text": main, "main_word_count": len((main or "").split()),
+            "content_blocks": blocks,
+            "images": self.images, "links": self.links,
+            "resources": [{"url": u, "resource_type": k, "is_internal": same_site(u, self.url)} for u,
+                k in dict.fromkeys(resources)],
         }
 
 
@@ -213,7 +228,8 @@ def scan(url: str | None, page: str | None) -> dict:
 def extract(pages: DataFrame, url: str = "url", body: str = "html") -> DataFrame:
     """pages with the facts of ``PAGE``, content_hash and html_size; columns other than body are kept."""
     kept = [c for c in pages.columns if c != body]
-    rows = pages.select(*kept, F.sha2(F.col(body).cast("binary"), 256).alias("content_hash"), F.octet_length(body).alias("html_size"), F.col(url).alias("__url"), F.col(body).alias("__body"))
+    rows = pages.select(*kept, F.sha2(F.col(body).cast("binary"), 256).alias("content_hash"),
+        F.octet_length(body).alias("html_size"), F.col(url).alias("__url"), F.col(body).alias("__body"))
     whole = [*kept, "content_hash", "html_size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,7 +53,8 @@ def score_class(c: Column) -> Column:
 
 
 def format_delta(c: Column) -> Column:
-    return F.when(c.isNull(), "—").when(c == 0, "±0").when(c > 0, F.format_string("+%.0f", c)).otherwise(F.format_string("%.0f", c))
+    return F.when(c.isNull(), "—").when(c == 0, "±0").when(c > 0,
+        F.format_string("+%.0f", c)).otherwise(F.format_string("%.0f", c))
 
 
 def delta_class(c: Column) -> Column:
@@ -62,7 +63,8 @@ def delta_class(c: Column) -> Column:
 
 def format_bytes(c: Column) -> Column:
     kb, mb = c / 1024, c / (1024 * 1024)
-    return F.when(c.isNull(), "—").when(c < 1024, F.format_string("%d B", c)).when(c < 1024 * 1024, F.format_string("%.1f KB", kb)).otherwise(F.format_string("%.1f MB", mb))
+    return F.when(c.isNull(), "—").when(c < 1024, F.format_string("%d B", c)).when(c < 1024 * 1024,
+        F.format_string("%.1f KB", kb)).otherwise(F.format_string("%.1f MB", mb))
 
 
 def format_ms(c: Column) -> Column:

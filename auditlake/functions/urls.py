@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Query keys that carry a session (fixed values).
-SESSION_KEYS = ("sid", "sessid", "sessionid", "session_id", "phpsessid", "jsessionid", "aspsessionid", "cfid", "cftoken")
+SESSION_KEYS = ("sid", "sessid", "sessionid", "session_id", "phpsessid", "jsessionid", "aspsessionid", "cfid",
+    "cftoken")
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 _DEFAULT_PORTS = {"http": ":80", "https": ":443"}
 
@@ -47,8 +48,10 @@ def normalized(url: Column) -> Column:
     """``normalize`` of an absolute URL; null for others."""
     u = F.trim(url)
     scheme, netloc, path, query = F.lower(_part(u, 1)), F.lower(_part(u, 2)), _part(u, 3), _part(u, 4)
-    netloc = F.when(scheme == "http", F.regexp_replace(netloc, ":80$", "")).otherwise(F.regexp_replace(netloc, ":443$", ""))
-    whole = F.concat(scheme, F.lit("://"), netloc, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    netloc = F.when(scheme == "http", F.regexp_replace(netloc, ":80$", "")).otherwise(F.regexp_replace(netloc, ":443$",
+            ""))
+    whole = F.concat(scheme, F.lit("://"), netloc, F.when(path == "", "/").otherwise(path),
+        F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
     return F.when(scheme.isin("http", "https") & (netloc != ""), whole)
 
 

@@ -19,23 +19,31 @@ THIN, DUPLICATE_WORDS, SIMILAR, SHINGLE, BLOCK_PAGES, KEYWORD_LENGTH, TOP, SHOWN
 #: Words that are no keywords (fixed values).
 STOPWORDS = (
     "der", "die", "das", "den", "dem", "des", "ein", "eine", "einen", "einem", "einer", "eines", "und", "oder", "aber",
-    "sondern", "denn", "weil", "wenn", "dann", "ist", "sind", "war", "waren", "wird", "werden", "wurde", "wurden", "hat",
-    "haben", "hatte", "hatten", "auf", "für", "mit", "von", "zu", "im", "in", "an", "bei", "aus", "über", "unter", "vor", "nach",
-    "ohne", "gegen", "durch", "um", "auch", "noch", "nur", "schon", "wieder", "sehr", "mehr", "alle", "sich", "sie", "es", "er",
-    "wir", "ihr", "sein", "seine", "ihre", "als", "wie", "was", "wer", "wo", "warum", "wann", "welche", "diese", "dieser",
-    "dieses", "diesen", "diesem", "uns", "ihnen", "mir", "mich", "dich", "dir", "the", "and", "for", "with", "from", "this",
-    "that", "these", "those", "have", "has", "had", "are", "were", "will", "would", "could", "should", "you", "your", "our",
+    "sondern", "denn", "weil", "wenn", "dann", "ist", "sind", "war", "waren", "wird", "werden", "wurde", "wurden",
+    "hat",
+    "haben", "hatte", "hatten", "auf", "für", "mit", "von", "zu", "im", "in", "an", "bei", "aus", "über", "unter",
+    "vor", "nach",
+    "ohne", "gegen", "durch", "um", "auch", "noch", "nur", "schon", "wieder", "sehr", "mehr", "alle", "sich", "sie",
+    "es", "er",
+    "wir", "ihr", "sein", "seine", "ihre", "als", "wie", "was", "wer", "wo", "warum", "wann", "welche", "diese",
+    "dieser",
+    "dieses", "diesen", "diesem", "uns", "ihnen", "mir", "mich", "dich", "dir", "the", "and", "for", "with", "from",
+    "this",
+    "that", "these", "those", "have", "has", "had", "are", "were", "will", "would", "could", "should", "you", "your",
+    "our",
     "their", "his", "her", "but", "not", "all", "any", "more", "less", "than", "into", "onto",
 )
 
 
 def with_text(pages: DataFrame) -> DataFrame:
     """(page_url, title, h1, main_text, main_word_count, content_blocks) of HTML pages that have a main text."""
-    return pages.filter("is_html and main_text <> ''").select(F.col("url").alias("page_url"), "title", "h1", "main_text", "main_word_count", "content_blocks")
+    return pages.filter("is_html and main_text <> ''").select(F.col("url").alias("page_url"), "title", "h1",
+        "main_text", "main_word_count", "content_blocks")
 
 
 def thin_findings(texts: DataFrame) -> DataFrame:
-    return as_findings(texts.filter(F.col("main_word_count") < THIN), "content.thin", payload(word_count=F.col("main_word_count"), min=F.lit(THIN)))
+    return as_findings(texts.filter(F.col("main_word_count") < THIN), "content.thin",
+        payload(word_count=F.col("main_word_count"), min=F.lit(THIN)))
 
 
 def _digest() -> Column:
@@ -48,11 +56,13 @@ def _eligible(texts: DataFrame) -> DataFrame:
 
 def duplicate_findings(texts: DataFrame) -> DataFrame:
     rows = _eligible(texts).select("page_url", _digest().alias("digest"))
-    few = rows.distinct().withColumn("n", F.row_number().over(Window.partitionBy("digest").orderBy("page_url"))).filter(F.col("n") <= SHOWN + 1)
+    few = rows.distinct().withColumn("n",
+        F.row_number().over(Window.partitionBy("digest").orderBy("page_url"))).filter(F.col("n") <= SHOWN + 1)
     few = few.groupBy("digest").agg(F.array_sort(F.collect_list("page_url")).alias("few"))
     many = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("count")).filter("count > 1").join(few, "digest")
     others = F.slice(F.array_remove("few", F.col("page_url")), 1, SHOWN)
-    return as_findings(rows.join(many, "digest"), "content.duplicate.page", payload(duplicate_of=others, count=F.col("count")))
+    return as_findings(rows.join(many, "digest"), "content.duplicate.page",
+        payload(duplicate_of=others, count=F.col("count")))
 
 
 def _word_hashes(c: Column) -> Column:
@@ -62,8 +72,10 @@ def _word_hashes(c: Column) -> Column:
 def _shingles(hashes: str, k: int) -> Column:
     """Distinct hashes of the runs of k in the column of word hashes; a shorter text is one run."""
     words = F.col(hashes)
-    several = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
-    return F.array_distinct(F.when(F.size(words) >= k, several).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>")))
+    several = F.transform(F.sequence(F.lit(0), F.size(words) - k),
+        lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
+    return F.array_distinct(F.when(F.size(words) >= k, several).when(F.size(words) > 0,
+            F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>")))
 
 
 def shingled(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -72,7 +84,8 @@ def shingled(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
     The words are bound to a column before the runs are made: inside the lambda the text would be
     cut into words again for each run.
     """
-    words = _eligible(texts).select("page_url", _digest().alias("doc"), _word_hashes(F.col("main_text")).alias("__words"))
+    words = _eligible(texts).select("page_url", _digest().alias("doc"),
+        _word_hashes(F.col("main_text")).alias("__words"))
     return words.select("page_url", "doc", _shingles("__words", k).alias("set"))
 
 
@@ -88,10 +101,14 @@ def near_pairs(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
     # shingles of one text only can't be shared, but have their place in the order: they come first
     known = each.join(often, "shingle")
     shared = Window.partitionBy("doc").orderBy("df", "shingle")
-    known = known.withColumn("rank", F.row_number().over(shared)).withColumn("alone", F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("doc")))
-    prefix = known.filter(F.col("rank") + F.col("alone") <= F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1).select("shingle", "doc", "n")
-    a, b = prefix.select("shingle", F.col("doc").alias("a"), F.col("n").alias("na")), prefix.select("shingle", F.col("doc").alias("b"), F.col("n").alias("nb"))
-    candidates = a.join(b, "shingle").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * similar - 1e-9)).select("a", "b").distinct()
+    known = known.withColumn("rank", F.row_number().over(shared)).withColumn("alone",
+        F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("doc")))
+    prefix = known.filter(F.col("rank") + F.col("alone") <= F.col("n") - F.ceil(
+            F.col("n") * similar - 1e-9) + 1).select("shingle", "doc", "n")
+    a, b = prefix.select("shingle", F.col("doc").alias("a"), F.col("n").alias("na")), prefix.select("shingle",
+        F.col("doc").alias("b"), F.col("n").alias("nb"))
+    candidates = a.join(b, "shingle").filter((F.col("a") < F.col("b"))
+        & (F.least("na", "nb") >= F.greatest("na", "nb") * similar - 1e-9)).select("a", "b").distinct()
     left = sets.select(F.col("doc").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("doc").alias("b"), F.col("set").alias("sb"))
     both = candidates.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
@@ -105,14 +122,17 @@ def near_findings(texts: DataFrame) -> DataFrame:
     pairs = near_pairs(sets)
     both = pairs.union(pairs.select("b", "a", "similarity"))
     members = sets.select("page_url", "doc").distinct()
-    rows = both.join(members.withColumnRenamed("doc", "a"), "a").join(members.select(F.col("doc").alias("b"), F.col("page_url").alias("other")), "b")
-    return as_findings(rows, "content.duplicate.near", payload(similar_to=F.col("other"), similarity=F.round("similarity", 3)))
+    rows = both.join(members.withColumnRenamed("doc", "a"),
+        "a").join(members.select(F.col("doc").alias("b"), F.col("page_url").alias("other")), "b")
+    return as_findings(rows, "content.duplicate.near",
+        payload(similar_to=F.col("other"), similarity=F.round("similarity", 3)))
 
 
 def block_findings(texts: DataFrame) -> DataFrame:
     rows = texts.select("page_url", F.explode("content_blocks").alias("block")).distinct()
     many = rows.groupBy("block").agg(F.count(F.lit(1)).alias("page_count")).filter(F.col("page_count") > BLOCK_PAGES)
-    return as_findings(rows.join(many, "block"), "content.block.repeated", payload(excerpt=F.substring("block", 1, 200), page_count=F.col("page_count"), threshold=F.lit(BLOCK_PAGES)))
+    return as_findings(rows.join(many, "block"), "content.block.repeated",
+        payload(excerpt=F.substring("block", 1, 200), page_count=F.col("page_count"), threshold=F.lit(BLOCK_PAGES)))
 
 
 def _keywords(c: Column) -> Column:
@@ -122,14 +142,16 @@ def _keywords(c: Column) -> Column:
 def _most_frequent(words: Column) -> Column:
     """The most frequent of an array of words, the first among equals; null without one. One pass over the sorted words."""
     at = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("at"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("w"), F.lit(0).alias("c"), F.lit(0).alias("f"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("at"), F.lit(None).cast("string").alias("word"),
+        F.lit(None).cast("string").alias("w"), F.lit(0).alias("c"), F.lit(0).alias("f"))
 
     def step(s: Column, x: Column) -> Column:
         same = s["w"].eqNullSafe(x["w"])
         run, first = F.when(same, s["c"] + 1).otherwise(F.lit(1)), F.when(same, s["f"]).otherwise(x["i"])
         better = (run > s["n"]) | (run == s["n"]) & (first < s["at"])
         pick = lambda a, b: F.when(better, a).otherwise(b)
-        return F.struct(pick(run, s["n"]).alias("n"), pick(first, s["at"]).alias("at"), pick(x["w"], s["word"]).alias("word"), x["w"].alias("w"), run.alias("c"), first.alias("f"))
+        return F.struct(pick(run, s["n"]).alias("n"), pick(first, s["at"]).alias("at"),
+            pick(x["w"], s["word"]).alias("word"), x["w"].alias("w"), run.alias("c"), first.alias("f"))
 
     return F.aggregate(at, start, step, lambda s: s["word"])
 
@@ -140,11 +162,14 @@ def top_keyword(c: Column) -> Column:
 
 
 def keyword_findings(texts: DataFrame) -> DataFrame:
-    rows = texts.select("page_url", top_keyword(F.coalesce("title", F.lit(""))).alias("title"), top_keyword(F.coalesce("h1", F.lit(""))).alias("h1"), tokens(F.col("main_text")).alias("words"))
+    rows = texts.select("page_url", top_keyword(F.coalesce("title", F.lit(""))).alias("title"),
+        top_keyword(F.coalesce("h1", F.lit(""))).alias("h1"), tokens(F.col("main_text")).alias("words"))
     lacks = lambda c: F.col(c).isNotNull() & ~F.array_contains("words", F.col(c))
-    title = as_findings(rows.filter(lacks("title")), "content.keyword.title_not_in_body", payload(keyword=F.col("title"), source=F.lit("title")))
+    title = as_findings(rows.filter(lacks("title")), "content.keyword.title_not_in_body",
+        payload(keyword=F.col("title"), source=F.lit("title")))
     h1 = rows.filter(lacks("h1") & ~F.col("h1").eqNullSafe(F.col("title")))
-    return title.union(as_findings(h1, "content.keyword.h1_not_in_body", payload(keyword=F.col("h1"), source=F.lit("h1"))))
+    return title.union(as_findings(h1, "content.keyword.h1_not_in_body",
+            payload(keyword=F.col("h1"), source=F.lit("h1"))))
 
 
 def page_keywords(texts: DataFrame, top: int = TOP) -> DataFrame:
@@ -157,10 +182,12 @@ def page_keywords(texts: DataFrame, top: int = TOP) -> DataFrame:
 
 def cannibalization_findings(texts: DataFrame) -> DataFrame:
     rows = page_keywords(texts).select("page_url", "keyword")
-    few = rows.withColumn("n", F.row_number().over(Window.partitionBy("keyword").orderBy("page_url"))).filter(F.col("n") <= SHOWN + 1)
+    few = rows.withColumn("n", F.row_number().over(Window.partitionBy("keyword").orderBy("page_url"))).filter(
+        F.col("n") <= SHOWN + 1)
     few = few.groupBy("keyword").agg(F.array_sort(F.collect_list("page_url")).alias("few")).filter(F.size("few") > 1)
     others = F.slice(F.array_remove("few", F.col("page_url")), 1, SHOWN)
-    return as_findings(rows.join(few, "keyword"), "content.keyword.cannibalization", payload(keyword=F.col("keyword"), competing_with=others))
+    return as_findings(rows.join(few, "keyword"), "content.keyword.cannibalization",
+        payload(keyword=F.col("keyword"), competing_with=others))
 
 
 def spelling_findings(results: DataFrame, least: int = SPELLING_ERRORS) -> DataFrame:
@@ -168,13 +195,18 @@ def spelling_findings(results: DataFrame, least: int = SPELLING_ERRORS) -> DataF
     rows = results.filter((F.col("error").isNull() | (F.col("error") == "")) & (F.size("matches") >= least))
     ids = F.transform("matches", lambda m: m["rule_id"])
     # rules times matches: a service is sent a few thousand characters of a page and names some dozen rules
-    counted = F.transform(F.array_distinct(ids), lambda r: F.struct((-F.size(F.filter(ids, lambda x: x == r))).alias("n"), F.array_position(ids, r).alias("at"), r.alias("id")))
-    examples = F.transform(F.slice("matches", 1, SHOWN), lambda m: F.struct(m["rule_id"].alias("rule_id"), m["message"].alias("message"), m["excerpt"].alias("excerpt"), F.slice(m["suggestions"], 1, 3).alias("suggestions")))
-    data = payload(count=F.size("matches"), min_errors=F.lit(least), top_rules=F.transform(F.slice(F.array_sort(counted), 1, SHOWN), lambda x: x["id"]), examples=examples)
+    counted = F.transform(F.array_distinct(ids), lambda r: F.struct((-F.size(F.filter(ids,
+                lambda x: x == r))).alias("n"), F.array_position(ids, r).alias("at"), r.alias("id")))
+    examples = F.transform(F.slice("matches", 1, SHOWN),
+        lambda m: F.struct(m["rule_id"].alias("rule_id"), m["message"].alias("message"), m["excerpt"].alias("excerpt"),
+            F.slice(m["suggestions"], 1, 3).alias("suggestions")))
+    data = payload(count=F.size("matches"), min_errors=F.lit(least),
+        top_rules=F.transform(F.slice(F.array_sort(counted), 1, SHOWN), lambda x: x["id"]), examples=examples)
     return as_findings(rows.withColumnRenamed("url", "page_url"), "content.spelling.errors", data)
 
 
 def content_findings(pages: DataFrame, spelling: DataFrame | None = None) -> DataFrame:
     texts = with_text(pages)
-    out = thin_findings(texts).union(duplicate_findings(texts)).union(near_findings(texts)).union(block_findings(texts)).union(keyword_findings(texts)).union(cannibalization_findings(texts))
+    out = thin_findings(texts).union(duplicate_findings(texts)).union(near_findings(texts)).union(
+        block_findings(texts)).union(keyword_findings(texts)).union(cannibalization_findings(texts))
     return (out if spelling is None else out.union(spelling_findings(spelling))).select(*FINDING)

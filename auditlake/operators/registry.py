@@ -111,7 +111,8 @@ def rule(rule_id: str, category: str, severity: str, weight: float = 1.0, descri
 def rules_frame(spark: SparkSession) -> DataFrame:
     """(ord, rule_id, category, severity, weight, description): a few dozen rows, fit to broadcast."""
     rows = [(i, r.rule_id, r.category, r.severity, r.weight, r.description) for i, r in enumerate(RULES.values())]
-    return spark.createDataFrame(rows, "ord int, rule_id string, category string, severity string, weight double, description string")
+    return spark.createDataFrame(rows,
+        "ord int, rule_id string, category string, severity string, weight double, description string")
 
 
 def payload(**columns: Column) -> Column:
@@ -122,7 +123,8 @@ def payload(**columns: Column) -> Column:
 def finding(rule_id: str, data: Column, url: Column | None = None) -> Column:
     """Struct of a finding of the rule."""
     r = RULES[rule_id]
-    fields = [F.lit(r.rule_id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), data.cast("string").alias("payload")]
+    fields = [F.lit(r.rule_id).alias("rule_id"), F.lit(r.category).alias("category"),
+        F.lit(r.severity).alias("severity"), data.cast("string").alias("payload")]
     return F.struct(*([url.alias("page_url")] if url is not None else []), *fields)
 
 

@@ -29,7 +29,9 @@ def _page_rules() -> list[tuple[str, Column, Column]]:
     url, title, description = c("url"), c("title"), c("meta_description")
     page = answered & html
     levels = F.array_sort(F.transform(F.map_keys("headings"), lambda k: F.substring(k, 2, 1).cast("int")))
-    gaps = F.filter(F.zip_with(F.slice(levels, 1, F.greatest(F.size(levels) - 1, F.lit(0))), F.slice(levels, 2, F.greatest(F.size(levels), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda g: g["b"] - g["a"] > 1)
+    gaps = F.filter(F.zip_with(F.slice(levels, 1, F.greatest(F.size(levels) - 1, F.lit(0))),
+            F.slice(levels, 2, F.greatest(F.size(levels), F.lit(1))), lambda a,
+            b: F.struct(a.alias("a"), b.alias("b"))), lambda g: g["b"] - g["a"] > 1)
     gap = F.try_element_at(gaps, F.lit(1))
     no_alt = F.filter("images", lambda i: ~i["has_alt"])
     robots = F.array_sort(F.array_distinct(_tokens(c("meta_robots"))))
@@ -39,27 +41,39 @@ def _page_rules() -> list[tuple[str, Column, Column]]:
         ("tech.fetch.failed", ~answered, payload(error=c("fetch_error"))),
         ("tech.fetch.http_error", answered & (c("status_code") >= 400), payload(status_code=c("status_code"))),
         ("url.too_long", answered & (F.length(url) > URL_MAX), payload(length=F.length(url), max=F.lit(URL_MAX))),
-        ("url.too_deep", answered & (urls.depth(url) > URL_DEPTH_MAX), payload(depth=urls.depth(url), max=F.lit(URL_DEPTH_MAX))),
+        ("url.too_deep", answered & (urls.depth(url) > URL_DEPTH_MAX),
+            payload(depth=urls.depth(url), max=F.lit(URL_DEPTH_MAX))),
         ("url.session_id", answered & urls.has_session_id(url), none),
         ("url.dynamic_params", answered & urls.has_params(url) & ~urls.has_session_id(url), none),
-        ("tech.response_time.slow", answered & (c("response_time_ms") > MEDIUM_MS), payload(ms=c("response_time_ms"), threshold=F.lit(MEDIUM_MS))),
-        ("tech.response_time.medium", answered & (c("response_time_ms") > FAST_MS) & (c("response_time_ms") <= MEDIUM_MS), payload(ms=c("response_time_ms"), threshold=F.lit(FAST_MS))),
+        ("tech.response_time.slow", answered & (c("response_time_ms") > MEDIUM_MS),
+            payload(ms=c("response_time_ms"), threshold=F.lit(MEDIUM_MS))),
+        ("tech.response_time.medium", answered & (c("response_time_ms") > FAST_MS)
+            & (c("response_time_ms") <= MEDIUM_MS), payload(ms=c("response_time_ms"), threshold=F.lit(FAST_MS))),
         ("meta.title.missing", page & title.isNull(), none),
         ("meta.title.empty", page & title.isNotNull() & blank(title), none),
-        ("meta.title.too_short", page & ~blank(title) & (F.length(title) < TITLE_MIN), payload(length=F.length(title), min=F.lit(TITLE_MIN))),
-        ("meta.title.too_long", page & ~blank(title) & (F.length(title) > TITLE_MAX), payload(length=F.length(title), max=F.lit(TITLE_MAX))),
+        ("meta.title.too_short", page & ~blank(title) & (F.length(title) < TITLE_MIN),
+            payload(length=F.length(title), min=F.lit(TITLE_MIN))),
+        ("meta.title.too_long", page & ~blank(title) & (F.length(title) > TITLE_MAX),
+            payload(length=F.length(title), max=F.lit(TITLE_MAX))),
         ("meta.description.missing", page & blank(description), none),
-        ("meta.description.too_short", page & ~blank(description) & (F.length(description) < DESCRIPTION_MIN), payload(length=F.length(description), min=F.lit(DESCRIPTION_MIN))),
-        ("meta.description.too_long", page & ~blank(description) & (F.length(description) > DESCRIPTION_MAX), payload(length=F.length(description), max=F.lit(DESCRIPTION_MAX))),
+        ("meta.description.too_short", page & ~blank(description) & (F.length(description) < DESCRIPTION_MIN),
+            payload(length=F.length(description), min=F.lit(DESCRIPTION_MIN))),
+        ("meta.description.too_long", page & ~blank(description) & (F.length(description) > DESCRIPTION_MAX),
+            payload(length=F.length(description), max=F.lit(DESCRIPTION_MAX))),
         ("heading.h1.missing", page & (c("h1_count") == 0), none),
         ("heading.h1.multiple", page & (c("h1_count") > 1), payload(count=c("h1_count"))),
-        ("content.image.alt_missing", page & (F.size(no_alt) > 0), payload(count=F.size(no_alt), examples=F.slice(F.transform(no_alt, lambda i: i["src"]), 1, EXAMPLES))),
+        ("content.image.alt_missing", page & (F.size(no_alt) > 0),
+            payload(count=F.size(no_alt), examples=F.slice(F.transform(no_alt, lambda i: i["src"]), 1, EXAMPLES))),
         ("tech.language.missing", page & blank(c("language")), none),
         ("tech.html.too_large", page & (c("html_size") > HTML_MAX), payload(bytes=c("html_size"), max=F.lit(HTML_MAX))),
         ("tech.charset.missing", page & blank(c("charset")), none),
-        ("tech.compression.missing", page & ~F.coalesce(packed, F.lit(False)), payload(content_encoding=F.nullif("content_encoding", F.lit("")))),
-        ("heading.hierarchy.skipped", page & gap.isNotNull(), payload(before=level(gap["a"]), after=level(gap["b"]), skipped=F.transform(F.sequence(gap["a"] + 1, gap["b"] - 1), level))),
-        ("meta.robots.noindex", page & (c("meta_robots") != "") & F.arrays_overlap(robots, F.array(F.lit("noindex"), F.lit("none"))), payload(directives=robots)),
+        ("tech.compression.missing", page & ~F.coalesce(packed, F.lit(False)),
+            payload(content_encoding=F.nullif("content_encoding", F.lit("")))),
+        ("heading.hierarchy.skipped", page & gap.isNotNull(),
+            payload(before=level(gap["a"]), after=level(gap["b"]),
+                skipped=F.transform(F.sequence(gap["a"] + 1, gap["b"] - 1), level))),
+        ("meta.robots.noindex", page & (c("meta_robots") != "")
+            & F.arrays_overlap(robots, F.array(F.lit("noindex"), F.lit("none"))), payload(directives=robots)),
     ]
 
 
@@ -70,19 +84,23 @@ def page_findings(pages: DataFrame) -> DataFrame:
 
 
 def _shared(pages: DataFrame, column: str, rule_id: str, shown: Column, name: str) -> DataFrame:
-    rows = pages.filter("is_html").select(F.col("url").alias("page_url"), F.nullif(F.col(column), F.lit("")).alias("raw")).filter("raw is not null")
+    rows = pages.filter("is_html").select(F.col("url").alias("page_url"),
+        F.nullif(F.col(column), F.lit("")).alias("raw")).filter("raw is not null")
     rows = rows.select("page_url", strip(F.col("raw")).alias("value"))
-    few = rows.distinct().withColumn("n", F.row_number().over(Window.partitionBy("value").orderBy("page_url"))).filter(F.col("n") <= EXAMPLES + 1)
+    few = rows.distinct().withColumn("n",
+        F.row_number().over(Window.partitionBy("value").orderBy("page_url"))).filter(F.col("n") <= EXAMPLES + 1)
     few = few.groupBy("value").agg(F.array_sort(F.collect_list("page_url")).alias("few"))
     many = rows.groupBy("value").agg(F.count(F.lit(1)).alias("count")).filter("count > 1").join(few, "value")
     others = F.slice(F.array_remove("few", F.col("page_url")), 1, EXAMPLES)
-    return as_findings(rows.join(many, "value"), rule_id, payload(**{name: shown, "count": F.col("count"), "other_urls": others}))
+    return as_findings(rows.join(many, "value"), rule_id,
+        payload(**{name: shown, "count": F.col("count"), "other_urls": others}))
 
 
 def duplicate_findings(pages: DataFrame) -> DataFrame:
     """Titles and descriptions that several pages share."""
     titles = _shared(pages, "title", "meta.title.duplicate", F.col("value"), "title")
-    return titles.union(_shared(pages, "meta_description", "meta.description.duplicate", F.substring("value", 1, 200), "description"))
+    return titles.union(_shared(pages, "meta_description", "meta.description.duplicate", F.substring("value", 1, 200),
+            "description"))
 
 
 def resources(pages: DataFrame) -> DataFrame:
@@ -98,10 +116,13 @@ def resource_findings(pages: DataFrame, statuses: DataFrame | None = None) -> Da
     if statuses is None:
         return out
     probed = found.join(statuses.select("url", "status_code"), "url")
-    broken = as_findings(probed.filter("status_code >= 400"), "tech.resource.broken", payload(resource=F.col("url"), type=F.col("resource_type"), status_code=F.col("status_code")))
-    silent = as_findings(probed.filter("status_code is null"), "tech.resource.unreachable", payload(resource=F.col("url"), type=F.col("resource_type")))
+    broken = as_findings(probed.filter("status_code >= 400"), "tech.resource.broken",
+        payload(resource=F.col("url"), type=F.col("resource_type"), status_code=F.col("status_code")))
+    silent = as_findings(probed.filter("status_code is null"), "tech.resource.unreachable",
+        payload(resource=F.col("url"), type=F.col("resource_type")))
     return out.union(broken).union(silent)
 
 
 def tech_findings(pages: DataFrame, resource_statuses: DataFrame | None = None) -> DataFrame:
-    return page_findings(pages).union(duplicate_findings(pages)).union(resource_findings(pages, resource_statuses)).select(*FINDING)
+    return page_findings(pages).union(duplicate_findings(pages)).union(resource_findings(pages,
+            resource_statuses)).select(*FINDING)

@@ -22,7 +22,8 @@ NOW = datetime(2024, 1, 1)
 
 
 def _sitemap_urls(pages: DataFrame) -> DataFrame:
-    only = pages.filter("page_id % 10 = 0").select(F.concat(F.lit("https://www.audit.example/only/"), F.col("page_id").cast("string")).alias("url"))
+    only = pages.filter("page_id % 10 = 0").select(F.concat(F.lit("https://www.audit.example/only/"),
+            F.col("page_id").cast("string")).alias("url"))
     return pages.filter("page_id % 2 = 0").select("url").union(only)
 
 
@@ -33,13 +34,18 @@ def _texts(s: SparkSession, d: str) -> DataFrame:
 def _spelling_results(rows: DataFrame) -> DataFrame:
     """Made matches of rows (i, url): i % 9 of them, an error for each 13th."""
     i = F.col("i")
-    one = lambda k: F.struct(F.concat(F.lit("R"), (k % 3).cast("string")).alias("rule_id"), F.concat(F.lit("m"), k.cast("string")).alias("message"), F.concat(F.lit("e"), i.cast("string")).alias("excerpt"), F.array(*map(F.lit, "abcde")).alias("suggestions"))
-    matches = F.when(i % 9 == 0, F.array().cast("array<struct<rule_id:string,message:string,excerpt:string,suggestions:array<string>>>")).otherwise(F.transform(F.sequence(F.lit(0), (i % 9).cast("int") - 1), one))
+    one = lambda k: F.struct(F.concat(F.lit("R"), (k % 3).cast("string")).alias("rule_id"),
+        F.concat(F.lit("m"), k.cast("string")).alias("message"),
+        F.concat(F.lit("e"), i.cast("string")).alias("excerpt"), F.array(*map(F.lit, "abcde")).alias("suggestions"))
+    matches = F.when(i % 9 == 0, F.array().cast(
+            "array<struct<rule_id:string,message:string,excerpt:string,suggestions:array<string>>>")).otherwise(
+            F.transform(F.sequence(F.lit(0), (i % 9).cast("int") - 1), one))
     return rows.select("url", F.when(i % 13 == 0, "down").alias("error"), matches.alias("matches"))
 
 
 def _spelled_documents(s: SparkSession, d: str) -> DataFrame:
-    return _spelling_results(table(s, d, "documents").select(F.col("doc_id").alias("i"), F.concat(F.lit("https://x.example/"), F.col("doc_id").cast("string")).alias("url")))
+    return _spelling_results(table(s, d, "documents").select(F.col("doc_id").alias("i"),
+            F.concat(F.lit("https://x.example/"), F.col("doc_id").cast("string")).alias("url")))
 
 
 def _group(rule_id: str) -> Query:
@@ -63,7 +69,8 @@ def _group(rule_id: str) -> Query:
     elif rule_id.startswith("structure.redirect"):
         f = lambda s, d: structure.redirect_findings(stored_crawl(s, d))
     elif rule_id.startswith("structure.external"):
-        f = lambda s, d: structure.external_findings(p := stored_crawl(s, d), fixtures.statuses(structure.edges(p).filter("not is_internal").select(F.col("target_url").alias("url"))))
+        f = lambda s, d: structure.external_findings(p := stored_crawl(s, d),
+            fixtures.statuses(structure.edges(p).filter("not is_internal").select(F.col("target_url").alias("url"))))
     elif rule_id.startswith("structure.sitemap"):
         f = lambda s, d: structure.sitemap_findings(p := stored_crawl(s, d), _sitemap_urls(p), BASE_URL)
     else:
@@ -85,7 +92,8 @@ def _audited(s: SparkSession, d: str) -> DataFrame:
     pages = stored_crawl(s, d)
     external = structure.edges(pages).filter("not is_internal").select(F.col("target_url").alias("url"))
     spelled = _spelling_results(pages.filter("is_html").select(F.col("page_id").alias("i"), "url"))
-    found = audit.audit(pages, BASE_URL, fixtures.statuses(external), fixtures.statuses(tech.resources(pages)), _sitemap_urls(pages), spelled)
+    found = audit.audit(pages, BASE_URL, fixtures.statuses(external), fixtures.statuses(tech.resources(pages)),
+        _sitemap_urls(pages), spelled)
     return issues.numbered(issues.with_page_ids(found, pages))
 
 
@@ -102,12 +110,16 @@ def _scores(s: SparkSession, d: str) -> DataFrame:
 def _projects(s: SparkSession, d: str) -> DataFrame:
     i = F.col("c_custkey")
     next_ = F.lit(NOW) + F.make_dt_interval(hours=(i % 48 - 24).cast("int"))
-    return table(s, d, "customer").select(i.alias("id"), F.col("c_name").alias("name"), F.col("c_name").alias("domain"), F.when(i % 4 != 0, (60 * (i % 5 + 1)).cast("int")).alias("schedule_interval_minutes"), F.when(i % 7 != 0, next_).alias("next_scheduled_at"))
+    return table(s, d, "customer").select(i.alias("id"), F.col("c_name").alias("name"), F.col("c_name").alias("domain"),
+        F.when(i % 4 != 0, (60 * (i % 5 + 1)).cast("int")).alias("schedule_interval_minutes"),
+        F.when(i % 7 != 0, next_).alias("next_scheduled_at"))
 
 
 def _crawls(s: SparkSession, d: str) -> DataFrame:
-    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "running").otherwise("failed")
-    return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("project_id"), status.alias("status"), (F.floor("o_totalprice") % 1000 / 10.0).alias("score"))
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P",
+        "running").otherwise("failed")
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("project_id"),
+        status.alias("status"), (F.floor("o_totalprice") % 1000 / 10.0).alias("score"))
 
 
 def page_titles(s, d):
@@ -115,11 +127,14 @@ def page_titles(s, d):
 
 
 def page_headings(s, d):
-    return stored_crawl(s, d).filter("is_html").select("url", "h1_count", F.array_join(F.array_sort(F.map_keys("headings")), ",").alias("levels"))
+    return stored_crawl(s, d).filter("is_html").select("url", "h1_count",
+        F.array_join(F.array_sort(F.map_keys("headings")), ",").alias("levels"))
 
 
 def page_facts(s, d):
-    return stored_crawl(s, d).filter("is_html").select("url", "language", "charset", "meta_description", "meta_robots", "canonical_url", "content_hash", F.col("html_size").cast("long").alias("html_size"), store.indexable().alias("is_indexable"))
+    return stored_crawl(s, d).filter("is_html").select("url", "language", "charset", "meta_description", "meta_robots",
+        "canonical_url", "content_hash", F.col("html_size").cast("long").alias("html_size"),
+        store.indexable().alias("is_indexable"))
 
 
 def page_links(s, d):
@@ -135,7 +150,8 @@ def page_resources(s, d):
 
 
 def page_text_stats(s, d):
-    return stored_crawl(s, d).filter("is_html").select("page_id", "word_count", "text_excerpt", "main_word_count", "strong_count", "bold_count")
+    return stored_crawl(s, d).filter("is_html").select("page_id", "word_count", "text_excerpt", "main_word_count",
+        "strong_count", "bold_count")
 
 
 def main_content(s, d):
@@ -149,7 +165,9 @@ def content_blocks(s, d):
 def url_parts(s, d):
     raw = F.col("url")
     u = urls.normalized(raw)
-    return table(s, d, "pages").select("page_id", u.alias("normalized"), urls.host_of(raw).alias("host"), urls.is_same_site(raw, F.lit(BASE_URL)).alias("same_site"), urls.depth(raw).cast("long").alias("depth"), urls.has_session_id(raw).alias("has_session_id"), urls.has_params(raw).alias("has_params"))
+    return table(s, d, "pages").select("page_id", u.alias("normalized"), urls.host_of(raw).alias("host"),
+        urls.is_same_site(raw, F.lit(BASE_URL)).alias("same_site"), urls.depth(raw).cast("long").alias("depth"),
+        urls.has_session_id(raw).alias("has_session_id"), urls.has_params(raw).alias("has_params"))
 
 
 def rule_catalog(s, d):
@@ -181,7 +199,8 @@ def rules_passing(s, d):
 
 
 def issue_list(s, d):
-    return issues.list_issues(_issues(s, d)[1], category="tech_meta", q="TITLE", offset=10).select("id", "rule_id", "severity", "page_url")
+    return issues.list_issues(_issues(s, d)[1], category="tech_meta", q="TITLE", offset=10).select("id", "rule_id",
+        "severity", "page_url")
 
 
 def page_list_with_issues(s, d):
@@ -191,7 +210,8 @@ def page_list_with_issues(s, d):
 
 def page_list_without_issues(s, d):
     pages, rows = _issues(s, d)
-    return issues.list_pages(pages, issues.matching_issues(rows, severity="critical"), has_issues=False).select("page_id", "url", "depth")
+    return issues.list_pages(pages, issues.matching_issues(rows, severity="critical"),
+        has_issues=False).select("page_id", "url", "depth")
 
 
 def page_list_not_in_nulls(s, d):
@@ -202,7 +222,10 @@ def page_list_not_in_nulls(s, d):
 def page_detail(s, d):
     pages, rows = _issues(s, d)
     x = issues.page_detail(pages, rows)
-    return x.select("page_id", "url", F.when(F.col("is_html"), F.size("links")).otherwise(0).cast("long").alias("n_links"), F.when(F.col("is_html"), F.size("resources")).otherwise(0).cast("long").alias("n_resources"), F.size("issues").cast("long").alias("n_issues"))
+    return x.select("page_id", "url", F.when(F.col("is_html"),
+            F.size("links")).otherwise(0).cast("long").alias("n_links"),
+            F.when(F.col("is_html"), F.size("resources")).otherwise(0).cast("long").alias("n_resources"),
+            F.size("issues").cast("long").alias("n_issues"))
 
 
 def crawl_compare(s, d):
@@ -236,7 +259,8 @@ def compare_candidates(s, d):
 
 def sitemap_parse(s, d):
     p = table(s, d, "pages")
-    xml = F.concat(F.lit("<urlset><url><LOC> "), F.col("url"), F.lit(" </LOC></url><url><loc>/rel/"), F.col("page_id").cast("string"), F.lit("</loc></url></urlset>"))
+    xml = F.concat(F.lit("<urlset><url><LOC> "), F.col("url"), F.lit(" </LOC></url><url><loc>/rel/"),
+        F.col("page_id").cast("string"), F.lit("</loc></url></urlset>"))
     x = sitemaps.parsed(p.select("url", xml.alias("xml")))
     return p.join(x, "url").select("page_id", F.explode("locs").alias("url"))
 
@@ -245,9 +269,13 @@ def sitemap_walk(s, d):
     """Ten sitemaps, of which an index names the first five."""
     k = F.col("page_id")
     loc = lambda c: F.concat(F.lit("<loc>"), c, F.lit("</loc>"))
-    named = table(s, d, "pages").groupBy((k % 10).alias("k")).agg(F.array_join(F.collect_list(loc(F.concat(F.lit("https://s.example/"), (k % 10).cast("string"), F.lit("/"), k.cast("string")))), "").alias("x"))
-    leaves = named.select(F.concat(F.lit("https://s.example/sitemap"), F.col("k").cast("string"), F.lit(".xml")).alias("url"), F.concat(F.lit("<urlset>"), F.col("x"), F.lit("</urlset>")).alias("xml"))
-    index = "<sitemapindex>" + "".join(f"<loc>/sitemap{i}.xml</loc>" for i in range(5)) + "<loc>/sitemap.xml</loc></sitemapindex>"
+    named = table(s, d, "pages").groupBy((k % 10).alias("k")).agg(
+        F.array_join(F.collect_list(loc(F.concat(F.lit("https://s.example/"), (k % 10).cast("string"), F.lit("/"),
+                    k.cast("string")))), "").alias("x"))
+    leaves = named.select(F.concat(F.lit("https://s.example/sitemap"), F.col("k").cast("string"),
+            F.lit(".xml")).alias("url"), F.concat(F.lit("<urlset>"), F.col("x"), F.lit("</urlset>")).alias("xml"))
+    index = "<sitemapindex>" + "".join(f"<loc>/sitemap{i}.xml</loc>"
+        for i in range(5)) + "<loc>/sitemap.xml</loc></sitemapindex>"
     seeds = s.createDataFrame([("https://s.example/sitemap.xml", index)], "url string, xml string")
     return sitemaps.sitemap_urls(sitemaps.walk(seeds.select("url"), seeds.union(leaves)))
 
@@ -256,9 +284,11 @@ def robots_allowed(s, d):
     """Hosts of even pages have a robots.txt; each page is its own host here."""
     p = table(s, d, "pages")
     path = F.regexp_replace("url", r"^https?://[^/?#]*", "")
-    own = p.select("page_id", F.concat(F.lit("https://h"), F.col("page_id").cast("string"), F.lit(".example"), path).alias("url"))
+    own = p.select("page_id", F.concat(F.lit("https://h"), F.col("page_id").cast("string"), F.lit(".example"),
+            path).alias("url"))
     rules = "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /fr/ # part\nAllow: /fr/1"
-    files = p.filter("page_id % 2 = 0").select(F.concat(F.lit("h"), F.col("page_id").cast("string"), F.lit(".example")).alias("host"), F.lit(rules).alias("robots_txt"))
+    files = p.filter("page_id % 2 = 0").select(F.concat(F.lit("h"), F.col("page_id").cast("string"),
+            F.lit(".example")).alias("host"), F.lit(rules).alias("robots_txt"))
     return robots.with_permission(own, files, "auditlake").select("page_id", "allowed")
 
 
@@ -267,9 +297,12 @@ def crawl_bfs(s, d):
     n = p.count()
     place = lambda c: F.concat(F.lit("https://s.example/"), c.cast("string"))
     targets = F.array(*[x % n for x in (F.col("page_id") * 2 + 1, F.col("page_id") * 2 + 2, F.col("page_id") * 7)])
-    edges = p.filter(F.col("page_id") < n).select(place(F.col("page_id")).alias("source_url"), F.posexplode(targets).alias("position", "t")).select("source_url", place(F.col("t")).alias("target_url"), "position")
+    edges = p.filter(F.col("page_id") < n).select(place(F.col("page_id")).alias("source_url"),
+        F.posexplode(targets).alias("position", "t")).select("source_url", place(F.col("t")).alias("target_url"),
+        "position")
     # the levels of these links grow with log2(n); the walk ends where a level is empty
-    return frontier.crawl_order(edges, "https://s.example/0", max_pages=1 << 40, max_depth=1 << 20).select("url", "depth")
+    return frontier.crawl_order(edges, "https://s.example/0", max_pages=1 << 40, max_depth=1 << 20).select("url",
+        "depth")
 
 
 def crawl_totals(s, d):
@@ -284,7 +317,8 @@ def spelling_languages(s, d):
 def score_formats(s, d):
     i = F.col("c_custkey")
     score, delta = F.when(i % 11 != 0, (i % 101).cast("double")), (i % 21 - 10).cast("double")
-    return table(s, d, "customer").select(i, text.format_score(score).alias("score"), text.score_class(score).alias("class"), text.format_delta(delta).alias("delta"))
+    return table(s, d, "customer").select(i, text.format_score(score).alias("score"),
+        text.score_class(score).alias("class"), text.format_delta(delta).alias("delta"))
 
 
 def issues_csv(s, d):
@@ -293,8 +327,12 @@ def issues_csv(s, d):
 
 
 _PLAIN = (
-    page_titles, page_headings, page_facts, page_links, page_images, page_resources, page_text_stats, main_content, content_blocks, url_parts, rule_catalog, category_scores, overall_score, crawl_summary, severity_histogram, rule_summary,
-    rules_passing, issue_list, page_list_with_issues, page_list_without_issues, page_list_not_in_nulls, page_detail, crawl_compare, dashboard_latest_two, scheduler_due, scheduler_tick, scheduler_tick_counts, compare_candidates, sitemap_parse,
+    page_titles, page_headings, page_facts, page_links, page_images, page_resources, page_text_stats, main_content,
+    content_blocks, url_parts, rule_catalog, category_scores, overall_score, crawl_summary, severity_histogram,
+    rule_summary,
+    rules_passing, issue_list, page_list_with_issues, page_list_without_issues, page_list_not_in_nulls, page_detail,
+    crawl_compare, dashboard_latest_two, scheduler_due, scheduler_tick, scheduler_tick_counts, compare_candidates,
+    sitemap_parse,
     sitemap_walk, robots_allowed, crawl_bfs, crawl_totals, spelling_languages, score_formats, issues_csv,
 )
 

@@ -32,15 +32,21 @@ def numbered(issues: DataFrame) -> DataFrame:
     Partition and place are written with the rows before anything counts them, so ids follow the
     rows as written, however a later plan is partitioned and whatever is run again.
     """
-    ranged = issues.repartitionByRange("rule_id", "page_url", "payload").sortWithinPartitions("rule_id", "page_url", "payload")
-    rows = materialize(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "issues")
+    ranged = issues.repartitionByRange("rule_id", "page_url", "payload").sortWithinPartitions("rule_id", "page_url",
+        "payload")
+    rows = materialize(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__at",
+            F.monotonically_increasing_id()), "issues")
     sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("size"))
     # one row for each partition
-    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.join(before.drop("size"), "__part").select((F.col("before") + F.col("__at").bitwiseAND(F.lit(_INSIDE)) + 1).cast("long").alias("id"), *issues.columns)
+    before = sizes.withColumn("before",
+        F.coalesce(F.sum("size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return rows.join(before.drop("size"),
+        "__part").select((F.col("before") + F.col("__at").bitwiseAND(F.lit(_INSIDE)) + 1).cast("long").alias("id"),
+        *issues.columns)
 
 
-def matching_issues(issues: DataFrame, severity: str | None = None, category: str | None = None, rule_id: str | None = None, page_id: int | None = None, q: str | None = None) -> DataFrame:
+def matching_issues(issues: DataFrame, severity: str | None = None, category: str | None = None, rule_id: str
+        | None = None, page_id: int | None = None, q: str | None = None) -> DataFrame:
     """The issues that a list is of; q is a pattern part for rule ids, with % and _ as in LIKE."""
     x = issues
     for column, value in (("severity", severity), ("category", category), ("rule_id", rule_id), ("page_id", page_id)):
@@ -59,7 +65,8 @@ def total(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"))
 
 
-def matching_pages(pages: DataFrame, issues: DataFrame, has_issues: bool | None = None, status_code: int | None = None, strict_null: bool = True) -> DataFrame:
+def matching_pages(pages: DataFrame, issues: DataFrame, has_issues: bool | None = None, status_code: int | None = None,
+        strict_null: bool = True) -> DataFrame:
     """The pages that a list is of. Without issues: with strict_null none is if an issue has no page, as NOT IN has it."""
     x = pages
     known = issues.select("page_id").distinct()
@@ -68,26 +75,33 @@ def matching_pages(pages: DataFrame, issues: DataFrame, has_issues: bool | None
     elif has_issues is not None:
         x = x.join(known.filter("page_id is not null"), "page_id", "left_anti")
         if strict_null:
-            x = x.join(F.broadcast(issues.filter("page_id is null").select(F.lit(1).alias("__any")).limit(1)), F.lit(True), "left_anti")
+            x = x.join(F.broadcast(issues.filter("page_id is null").select(F.lit(1).alias("__any")).limit(1)),
+                F.lit(True), "left_anti")
     return x if status_code is None else x.filter(F.col("status_code") == status_code)
 
 
 def list_pages(pages: DataFrame, issues: DataFrame, limit: int = 100, offset: int = 0, **filters) -> DataFrame:
     """A page of the matching pages by depth and id."""
-    return matching_pages(pages, issues, **filters).orderBy(F.asc_nulls_last("depth"), "page_id").offset(offset).limit(min(limit, 500))
+    return matching_pages(pages, issues, **filters).orderBy(F.asc_nulls_last("depth"),
+        "page_id").offset(offset).limit(min(limit, 500))
 
 
 def page_detail(pages: DataFrame, issues: DataFrame) -> DataFrame:
     """Each page with its images, links, resources and issues; filter on page_id for one, which reaches both scans."""
-    own = issues.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("id", "rule_id", "severity", "payload"))).alias("issues"))
-    return pages.join(own, "page_id", "left").withColumn("issues", F.coalesce("issues", F.array().cast("array<struct<id:bigint,rule_id:string,severity:string,payload:string>>")))
+    own = issues.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("id", "rule_id", "severity",
+                "payload"))).alias("issues"))
+    return pages.join(own, "page_id", "left").withColumn("issues",
+        F.coalesce("issues", F.array().cast("array<struct<id:bigint,rule_id:string,severity:string,payload:string>>")))
 
 
 def summary(issues: DataFrame) -> DataFrame:
     """(level, rule_id, category, severity, count) by rule, by category, by severity and in all, in one pass."""
-    rows = issues.groupingSets([["rule_id", "category", "severity"], ["category"], ["severity"], []], "rule_id", "category", "severity").agg(F.count(F.lit(1)).alias("count"), F.grouping_id().alias("g"))
-    level = F.when(F.col("g") == 0, "rule").when(F.col("g") == 5, "category").when(F.col("g") == 6, "severity").otherwise("total")
-    return rows.select(level.alias("level"), "rule_id", "category", "severity", "count").orderBy("level", F.desc("count"), "rule_id", "category", "severity")
+    rows = issues.groupingSets([["rule_id", "category", "severity"], ["category"], ["severity"], []], "rule_id",
+        "category", "severity").agg(F.count(F.lit(1)).alias("count"), F.grouping_id().alias("g"))
+    level = F.when(F.col("g") == 0, "rule").when(F.col("g") == 5, "category").when(F.col("g") == 6,
+        "severity").otherwise("total")
+    return rows.select(level.alias("level"), "rule_id", "category", "severity", "count").orderBy("level",
+        F.desc("count"), "rule_id", "category", "severity")
 
 
 def severity_histogram(issues: DataFrame) -> DataFrame:
@@ -109,12 +123,14 @@ def rule_summary(issues: DataFrame, shown: int = 5) -> DataFrame:
     counts = issues.groupBy("rule_id").agg(F.count(F.lit(1)).alias("count"))
     rules = rules_frame(issues.sparkSession)
     rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
-    return rules.join(counts, "rule_id").join(few, "rule_id").orderBy(rank, F.desc("count"), "ord").select("rule_id", "category", "severity", "count", "example_ids")
+    return rules.join(counts, "rule_id").join(few, "rule_id").orderBy(rank, F.desc("count"), "ord").select("rule_id",
+        "category", "severity", "count", "example_ids")
 
 
 def rules_passing(issues: DataFrame) -> DataFrame:
     """(rule_id, category): rules without a finding."""
-    return rules_frame(issues.sparkSession).join(issues.select("rule_id").distinct(), "rule_id", "left_anti").filter(F.col("category").isin(*CATEGORIES)).orderBy("ord").select("rule_id", "category")
+    return rules_frame(issues.sparkSession).join(issues.select("rule_id").distinct(), "rule_id",
+        "left_anti").filter(F.col("category").isin(*CATEGORIES)).orderBy("ord").select("rule_id", "category")
 
 
 def csv_rows(issues: DataFrame) -> DataFrame:
@@ -123,7 +139,9 @@ def csv_rows(issues: DataFrame) -> DataFrame:
     rows = issues.orderBy(F.desc("severity"), "id")
     payload = F.when(F.coalesce("payload", F.lit("{}")) == "{}", "").otherwise(F.col("payload"))
     created = F.coalesce(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ssXXX"), F.lit(""))
-    return rows.select(F.col("id").alias("issue_id"), "rule_id", "category", "severity", text("page_url").alias("page_url"), text("page_id").alias("page_id"), payload.alias("payload"), created.alias("created_at"))
+    return rows.select(F.col("id").alias("issue_id"), "rule_id", "category", "severity",
+        text("page_url").alias("page_url"), text("page_id").alias("page_id"), payload.alias("payload"),
+        created.alias("created_at"))
 
 
 def stream_csv(issues: DataFrame) -> Iterator[bytes]:

@@ -34,14 +34,16 @@ def _made_answer(method: str, url: str) -> SimpleNamespace:
     kind = "application/pdf" if n % 13 == 4 else "Text/HTML; charset=utf-8"
     moved = n % 5 == 1
     status = 405 if method == "HEAD" and n % 3 == 0 else 404 if n % 11 == 2 else 200
-    return SimpleNamespace(status_code=status, url=url + "/moved" if moved else url, history=[url] if moved else [], headers={"Content-Type": kind, "content-encoding": "br"}, content=body, encoding="utf-8")
+    return SimpleNamespace(status_code=status, url=url + "/moved" if moved else url, history=[url] if moved else [],
+        headers={"Content-Type": kind, "content-encoding": "br"}, content=body, encoding="utf-8")
 
 
 def _made_site(method: str, url: str) -> SimpleNamespace:
     """A site of pages 0, 1, 2, ..., of which each links to two more, one with nofollow, and to another site."""
     i = int(url.rsplit("/", 1)[1])
     links = f'<a href="/{2 * i + 1}#x">a</a><a rel="nofollow" href="{2 * i + 2}">b</a><a href="https://other.example/{i}">c</a><a href="/{i}">self</a>'
-    return SimpleNamespace(status_code=200, url=url, history=[], headers={"content-type": "text/html"}, content=f"<html><body>{links}</body></html>".encode(), encoding=None)
+    return SimpleNamespace(status_code=200, url=url, history=[], headers={"content-type": "text/html"},
+        content=f"<html><body>{links}</body></html>".encode(), encoding=None)
 
 
 def _made_spelling(text: str, language: str) -> SimpleNamespace:
@@ -50,7 +52,8 @@ def _made_spelling(text: str, language: str) -> SimpleNamespace:
         raise TimeoutError("slow")
     if n % 17 == 1:
         return SimpleNamespace(status_code=500, text="busy")
-    matches = [{"offset": 30 * k, "length": 5, "rule": {"id": f"R{k}"} if k else {}, "message": "m" * (299 + k), "shortMessage": "s", "replacements": [{"value": v} for v in ("a", "", *"bcdefg")]} for k in range(n % 4)]
+    matches = [{"offset": 30 * k, "length": 5, "rule": {"id": f"R{k}"} if k else {}, "message": "m" * (299 + k),
+            "shortMessage": "s", "replacements": [{"value": v} for v in ("a", "", *"bcdefg")]} for k in range(n % 4)]
     return SimpleNamespace(status_code=200, text="", json=lambda: {"matches": matches})
 
 
@@ -58,20 +61,24 @@ def crawl_fetch(s, d):
     """Each page on a host of its own: robots gate, fetch, extraction."""
     p = table(s, d, "pages")
     host = F.concat(F.lit("h"), F.col("page_id").cast("string"), F.lit(".example"))
-    found = p.select(F.concat(F.lit("https://"), host, F.regexp_replace("url", r"^https?://[^/?#]*", "")).alias("url"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("discovered_from"))
+    found = p.select(F.concat(F.lit("https://"), host, F.regexp_replace("url", r"^https?://[^/?#]*", "")).alias("url"),
+        F.lit(0).alias("depth"), F.lit(None).cast("string").alias("discovered_from"))
     files = p.filter("page_id % 2 = 0").select(host.alias("host"), F.lit(ROBOTS).alias("robots_txt"))
     x = fetcher.process(found, files, _made_answer, "auditlake")
-    return x.select("requested_url", "url", "status_code", "fetch_error", "content_encoding", F.size("redirect_chain").alias("hops"), "blocked_by_robots", "is_html", "title")
+    return x.select("requested_url", "url", "status_code", "fetch_error", "content_encoding",
+        F.size("redirect_chain").alias("hops"), "blocked_by_robots", "is_html", "title")
 
 
 def crawl_site(s, d):
     """A crawl of a made site within the usual bounds; its robots.txt forbids one page."""
     files = s.createDataFrame([("s.example", "User-agent: *\nDisallow: /13$")], "host string, robots_txt string")
-    return fetcher.crawl_site(s, "https://s.example/0", files, _made_site, "auditlake").select("url", "depth", "discovered_from", "fetch_error")
+    return fetcher.crawl_site(s, "https://s.example/0", files, _made_site, "auditlake").select("url", "depth",
+        "discovered_from", "fetch_error")
 
 
 def probe_external(s, d):
-    return probes.probe(probes.external_targets(structure.edges(stored_crawl(s, d))), _made_answer).select("url", "status_code", "error")
+    return probes.probe(probes.external_targets(structure.edges(stored_crawl(s, d))), _made_answer).select("url",
+        "status_code", "error")
 
 
 def probe_resources(s, d):
@@ -79,16 +86,21 @@ def probe_resources(s, d):
 
 
 def spelling_probe(s, d):
-    rows = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("url"), F.col("text").alias("main_text"), F.col("lang").alias("language"))
+    rows = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("url"),
+        F.col("text").alias("main_text"), F.col("lang").alias("language"))
     x = spelling.check(rows, _made_spelling)
-    shown = F.transform("matches", lambda m: F.concat_ws("/", m["rule_id"], F.length(m["message"]).cast("string"), m["short_message"], m["excerpt"], F.array_join(m["suggestions"], "")))
+    shown = F.transform("matches", lambda m: F.concat_ws("/", m["rule_id"], F.length(m["message"]).cast("string"),
+            m["short_message"], m["excerpt"], F.array_join(m["suggestions"], "")))
     return x.select(F.col("url").cast("long").alias("doc_id"), "error", F.array_join(shown, "|").alias("matches"))
 
 
 def sitemap_seeds(s, d):
     k = F.col("page_id")
-    named = F.when(k % 3 == 0, F.concat(F.lit("User-agent: *\nSITEMAP: https://h.example/a"), k.cast("string"), F.lit(".xml\nsitemap:https://h.example/b.xml\nSitemap: https://h.example/b.xml\n"))).when(k % 3 == 1, "Disallow: /x")
-    files = table(s, d, "pages").select(F.concat(F.lit("h"), k.cast("string"), F.lit(".example")).alias("host"), named.alias("robots_txt"))
+    named = F.when(k % 3 == 0, F.concat(F.lit("User-agent: *\nSITEMAP: https://h.example/a"), k.cast("string"),
+            F.lit(".xml\nsitemap:https://h.example/b.xml\nSitemap: https://h.example/b.xml\n"))).when(k % 3 == 1,
+            "Disallow: /x")
+    files = table(s, d, "pages").select(F.concat(F.lit("h"), k.cast("string"), F.lit(".example")).alias("host"),
+        named.alias("robots_txt"))
     return robots.sitemap_seeds(files)
 
 
@@ -97,12 +109,17 @@ def sitemap_files(s, d):
 
     def body(parts):
         for part in parts:
-            part["body"] = [None if i % 5 == 4 else b"\x1f\x8bbroken" if i % 5 == 3 else (gzip.compress if i % 5 else bytes)(f"<urlset><loc>/{i}</loc></urlset>".encode()) for i in part["page_id"]]
+            part["body"] = [None if i % 5 == 4 else b"\x1f\x8bbroken" if i % 5 == 3
+                else (gzip.compress if i % 5 else bytes)(f"<urlset><loc>/{i}</loc></urlset>".encode())
+                for i in part["page_id"]]
             yield part[["url", "body"]]
 
     k = F.col("page_id")
-    rows = table(s, d, "pages").select("page_id", F.concat(F.lit("https://s.example/"), k.cast("string"), F.when(k % 5 == 1, ".xml.gz").otherwise(".xml")).alias("url"))
-    return sitemaps.decoded(rows.mapInPandas(body, "url string, body binary")).select("url", "xml", F.when(F.col("error").isNotNull(), F.when(F.col("error") == "no response", "no response").otherwise("broken")).alias("error"))
+    rows = table(s, d, "pages").select("page_id", F.concat(F.lit("https://s.example/"), k.cast("string"),
+            F.when(k % 5 == 1, ".xml.gz").otherwise(".xml")).alias("url"))
+    return sitemaps.decoded(rows.mapInPandas(body, "url string, body binary")).select("url", "xml",
+        F.when(F.col("error").isNotNull(), F.when(F.col("error") == "no response",
+                "no response").otherwise("broken")).alias("error"))
 
 
 def _external_statuses(pages: DataFrame) -> DataFrame:
@@ -111,17 +128,22 @@ def _external_statuses(pages: DataFrame) -> DataFrame:
 
 def pages_stored(s, d):
     x = store.pages_table(stored_crawl(s, d).filter("is_html"))
-    return x.select("page_id", "url", "status_code", "response_time_ms", "title", "meta_description", "meta_robots", "canonical_url", "language", "depth", "is_indexable", F.array_join("redirect_chain", " ").alias("redirect_chain"), "fetch_error")
+    return x.select("page_id", "url", "status_code", "response_time_ms", "title", "meta_description", "meta_robots",
+        "canonical_url", "language", "depth", "is_indexable",
+        F.array_join("redirect_chain", " ").alias("redirect_chain"), "fetch_error")
 
 
 def links_stored(s, d):
     pages = stored_crawl(s, d)
-    return store.links_table(pages.filter("is_html"), _external_statuses(pages)).select("source_page_id", "target_url", "anchor_text", "is_internal", "is_followed", "target_status_code")
+    return store.links_table(pages.filter("is_html"), _external_statuses(pages)).select("source_page_id", "target_url",
+        "anchor_text", "is_internal", "is_followed", "target_status_code")
 
 
 def resources_stored(s, d):
     pages = stored_crawl(s, d)
-    return store.resources_table(pages.filter("is_html"), fixtures.statuses(tech.resources(pages))).select("source_page_id", "url", "resource_type", "is_mixed_content", "status_code")
+    return store.resources_table(pages.filter("is_html"),
+        fixtures.statuses(tech.resources(pages))).select("source_page_id", "url", "resource_type", "is_mixed_content",
+        "status_code")
 
 
 def blocks_stored(s, d):
@@ -130,7 +152,8 @@ def blocks_stored(s, d):
 
 def crawl_scores(s, d):
     crawls = s.createDataFrame([(1, "completed"), (2, "failed")], "id long, status string")
-    return scoring.with_scores(crawls, catalog._scores(s, d).withColumn("crawl_id", F.lit(1).cast("long"))).select("id", *[F.col(c).cast("double").alias(c) for c in (*scoring.SCORE_COLUMNS.values(), "score_overall")])
+    return scoring.with_scores(crawls, catalog._scores(s, d).withColumn("crawl_id", F.lit(1).cast("long"))).select("id",
+        *[F.col(c).cast("double").alias(c) for c in (*scoring.SCORE_COLUMNS.values(), "score_overall")])
 
 
 def score_deltas(s, d):
@@ -164,23 +187,31 @@ def project_get(s, d):
 def project_create(s, d):
     """Suppliers ask for projects: some under the names of customers, some twice, some with a short interval."""
     k = F.col("s_suppkey")
-    name = F.when(k % 4 == 0, F.format_string("Customer#%09d", k)).when(k % 4 == 1, F.concat(F.lit("twice"), F.floor(k / 8).cast("string"))).otherwise(F.col("s_name"))
-    new = table(s, d, "supplier").select(F.when(k % 9 == 0, "").otherwise(F.concat(F.lit("n"), F.lpad(k.cast("string"), 9, "0"))).alias("name"), name.alias("domain"), F.when(k % 5 != 0, (k % 30).cast("int")).alias("schedule_interval_minutes"))
+    name = F.when(k % 4 == 0, F.format_string("Customer#%09d", k)).when(k % 4 == 1,
+        F.concat(F.lit("twice"), F.floor(k / 8).cast("string"))).otherwise(F.col("s_name"))
+    new = table(s, d, "supplier").select(F.when(k % 9 == 0,
+            "").otherwise(F.concat(F.lit("n"), F.lpad(k.cast("string"), 9, "0"))).alias("name"), name.alias("domain"),
+            F.when(k % 5 != 0, (k % 30).cast("int")).alias("schedule_interval_minutes"))
     x = projects.created(catalog._projects(s, d), new, catalog.NOW)
-    return x.select("name", "domain", "id", F.date_format("next_scheduled_at", "yyyy-MM-dd HH:mm:ss").alias("next_at"), "problem")
+    return x.select("name", "domain", "id", F.date_format("next_scheduled_at", "yyyy-MM-dd HH:mm:ss").alias("next_at"),
+        "problem")
 
 
 def project_patch(s, d):
     k = F.col("c_custkey")
-    sent = F.when(k % 5 == 0, F.array(F.lit("name"))).when(k % 5 < 3, F.array(F.lit("schedule_interval_minutes"))).otherwise(F.array().cast("array<string>"))
-    patches = table(s, d, "customer").filter("c_custkey % 5 <> 4").select(k.alias("id"), sent.alias("sent"), F.lit("new name").alias("name"), F.when(k % 5 == 2, 120).cast("int").alias("schedule_interval_minutes"))
+    sent = F.when(k % 5 == 0, F.array(F.lit("name"))).when(k % 5 < 3,
+        F.array(F.lit("schedule_interval_minutes"))).otherwise(F.array().cast("array<string>"))
+    patches = table(s, d, "customer").filter("c_custkey % 5 <> 4").select(k.alias("id"), sent.alias("sent"),
+        F.lit("new name").alias("name"), F.when(k % 5 == 2, 120).cast("int").alias("schedule_interval_minutes"))
     x = projects.patched(catalog._projects(s, d), patches, catalog.NOW)
-    return x.select("id", "name", "schedule_interval_minutes", F.date_format("next_scheduled_at", "yyyy-MM-dd HH:mm:ss").alias("next_at"))
+    return x.select("id", "name", "schedule_interval_minutes",
+        F.date_format("next_scheduled_at", "yyyy-MM-dd HH:mm:ss").alias("next_at"))
 
 
 def project_delete(s, d):
     """What is left of each table once every tenth project is gone with its crawls and their pages."""
-    pages = table(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("crawl_id"))
+    pages = table(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+        F.col("l_orderkey").alias("crawl_id"))
     tables = {"projects": catalog._projects(s, d), "crawls": catalog._crawls(s, d), "pages": pages}
     left = projects.deleted(tables, tables["projects"].filter("id % 10 = 3"))
     counts = [x.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name, x in left.items()]
@@ -193,7 +224,8 @@ def crawl_list(s, d):
 
 def crawl_get(s, d):
     first = catalog._crawls(s, d).agg(F.min(F.struct("id", "project_id")).alias("x")).first()["x"]
-    return projects.get_crawl(catalog._projects(s, d), catalog._crawls(s, d), first["project_id"], first["id"]).select("id", "project_id", "status")
+    return projects.get_crawl(catalog._projects(s, d), catalog._crawls(s, d), first["project_id"],
+        first["id"]).select("id", "project_id", "status")
 
 
 def crawl_trigger(s, d):
@@ -205,7 +237,8 @@ def crawl_page_counts(s, d):
 
 
 def sitemap_list(s, d):
-    rows = table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 10).alias("project_id"), F.col("s_name").alias("url"))
+    rows = table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 10).alias("project_id"),
+        F.col("s_name").alias("url"))
     return projects.list_sitemaps(catalog._projects(s, d), rows, 7)
 
 
@@ -213,7 +246,11 @@ def value_formats(s, d):
     n, p = F.octet_length("html") * (1 + F.col("page_id") % 300), F.col("page_id")
     delta = (p % 7 - 3).cast("double")
     at = F.lit(catalog.NOW) + F.make_dt_interval(mins=p.cast("int"))
-    return table(s, d, "pages").select("page_id", text.format_bytes(F.when(p % 9 != 0, F.when(p % 10 == 1, p).otherwise(n))).alias("size"), text.delta_class(F.when(p % 8 != 0, delta)).alias("delta"), text.format_ms(F.when(p % 6 != 0, p)).alias("took"), text.format_time(F.when(p % 5 != 0, at)).alias("at"))
+    return table(s, d, "pages").select("page_id", text.format_bytes(F.when(p % 9 != 0,
+                F.when(p % 10 == 1, p).otherwise(n))).alias("size"),
+                text.delta_class(F.when(p % 8 != 0, delta)).alias("delta"),
+                text.format_ms(F.when(p % 6 != 0, p)).alias("took"),
+                text.format_time(F.when(p % 5 != 0, at)).alias("at"))
 
 
 def report_examples(s, d):
@@ -222,7 +259,8 @@ def report_examples(s, d):
 
 def stored_scan(s, d):
     """Links of two crawls in one table, of which one crawl's partition is read."""
-    folder, links = f"{storage.application_folder(s)}/{uuid.uuid4().hex}", store.links_table(stored_crawl(s, d).filter("is_html"))
+    folder, links = f"{storage.application_folder(s)}/{uuid.uuid4().hex}", store.links_table(stored_crawl(s,
+            d).filter("is_html"))
     store.write(links, folder, "links", 1)
     store.write(links.filter("is_internal"), folder, "links", 2)
     store.write(links.filter("not is_internal"), folder, "links", 1)
@@ -233,15 +271,21 @@ def sitemaps_replaced(s, d):
     """Sitemaps of two projects; those of the first are replaced, and an empty set of new ones changes nothing."""
     folder = f"{storage.application_folder(s)}/{uuid.uuid4().hex}"
     url = F.col("url")
-    rows = table(s, d, "pages").select("page_id", url, (F.col("page_id") % 4 == 0).alias("is_index"), F.array(url, url, F.concat(url, F.lit("2"))).alias("locs"), F.when(F.col("page_id") % 7 == 0, "HTTP 404").alias("error"))
+    rows = table(s, d, "pages").select("page_id", url, (F.col("page_id") % 4 == 0).alias("is_index"),
+        F.array(url, url, F.concat(url, F.lit("2"))).alias("locs"),
+        F.when(F.col("page_id") % 7 == 0, "HTTP 404").alias("error"))
     for project, kept in ((1, "page_id >= 0"), (2, "page_id % 2 = 1"), (1, "page_id % 3 = 0"), (2, "page_id < 0")):
         store.replace_sitemaps(rows.filter(kept), folder, project)
-    return s.read.parquet(f"{folder}/sitemaps").select(F.col("project_id").cast("long").alias("project_id"), "url", "urls_count", F.array_join("urls", " ").alias("urls"), "fetch_error")
+    return s.read.parquet(f"{folder}/sitemaps").select(F.col("project_id").cast("long").alias("project_id"), "url",
+        "urls_count", F.array_join("urls", " ").alias("urls"), "fetch_error")
 
 
 _QUERIES = (
-    report_examples, stored_scan, sitemaps_replaced, crawl_fetch, crawl_site, probe_external, probe_resources, spelling_probe, sitemap_seeds, sitemap_files, pages_stored, links_stored, resources_stored, blocks_stored, crawl_scores, score_deltas, issues_json, issue_list_total,
-    page_list_total, project_list, project_get, project_create, project_patch, project_delete, crawl_list, crawl_get, crawl_trigger, crawl_page_counts, sitemap_list, value_formats,
+    report_examples, stored_scan, sitemaps_replaced, crawl_fetch, crawl_site, probe_external, probe_resources,
+    spelling_probe, sitemap_seeds, sitemap_files, pages_stored, links_stored, resources_stored, blocks_stored,
+    crawl_scores, score_deltas, issues_json, issue_list_total,
+    page_list_total, project_list, project_get, project_create, project_patch, project_delete, crawl_list, crawl_get,
+    crawl_trigger, crawl_page_counts, sitemap_list, value_formats,
 )
 
 _C, _E, _R = oracles._CRAWL, oracles._EDGES, oracles._RESOURCES

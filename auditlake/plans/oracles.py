@@ -6,7 +6,9 @@ from auditlake.operators.content import STOPWORDS
 from auditlake.operators.registry import MULTIPLIER, RULES
 from auditlake.operators.structure import GENERIC
 
-_RULES = "rules(ord, rule_id, category, severity, weight) AS (VALUES " + ", ".join(f"({i}, '{r.rule_id}', '{r.category}', '{r.severity}', {r.weight}::DOUBLE)" for i, r in enumerate(RULES.values())) + ")"
+_RULES = "rules(ord, rule_id, category, severity, weight) AS (VALUES " + ", ".join(
+    f"({i}, '{r.rule_id}', '{r.category}', '{r.severity}', {r.weight}::DOUBLE)" for i,
+    r in enumerate(RULES.values())) + ")"
 
 #: pages with the tags and fetch facts that follow page_id, and what their tags tell.
 _CRAWL = r"""
@@ -68,7 +70,8 @@ def _main_text(h: str) -> str:
 def _visible(h: str) -> str:
     """What a test page shows, white space collapsed."""
     text = f"regexp_extract({h}, '</head>(.*)$', 1, 's')"
-    for pattern, by in (("<(script|style)[^>]*>.*?</(script|style)>", " "), ("<!--.*?-->", ""), (_INLINE_TAG, ""), ("<[^>]*>", " ")):
+    for pattern, by in (("<(script|style)[^>]*>.*?</(script|style)>", " "), ("<!--.*?-->", ""), (_INLINE_TAG, ""),
+            ("<[^>]*>", " ")):
         text = f"regexp_replace({text}, '{pattern}', '{by}', 'gs')"
     return rf"trim(regexp_replace({_plain(text)}, '\s+', ' ', 'g'))"
 
@@ -112,20 +115,26 @@ PAGE_RULES = {
     "tech.response_time.medium": ("fetch_error IS NULL AND ms > 500 AND ms <= 1500", "{'ms': ms, 'threshold': 500}"),
     "meta.title.missing": (f"{_PAGE} AND title IS NULL", None),
     "meta.title.empty": (f"{_PAGE} AND trim(title) = ''", None),
-    "meta.title.too_short": (f"{_PAGE} AND trim(title) <> '' AND length(title) < 30", "{'length': length(title), 'min': 30}"),
+    "meta.title.too_short": (f"{_PAGE} AND trim(title) <> '' AND length(title) < 30",
+        "{'length': length(title), 'min': 30}"),
     "meta.title.too_long": (f"{_PAGE} AND length(title) > 65", "{'length': length(title), 'max': 65}"),
     "meta.description.missing": (f"{_PAGE} AND coalesce(description, '') = ''", None),
-    "meta.description.too_short": (f"{_PAGE} AND description <> '' AND length(description) < 70", "{'length': length(description), 'min': 70}"),
-    "meta.description.too_long": (f"{_PAGE} AND length(description) > 160", "{'length': length(description), 'max': 160}"),
+    "meta.description.too_short": (f"{_PAGE} AND description <> '' AND length(description) < 70",
+        "{'length': length(description), 'min': 70}"),
+    "meta.description.too_long": (f"{_PAGE} AND length(description) > 160",
+        "{'length': length(description), 'max': 160}"),
     "heading.h1.missing": (f"{_PAGE} AND h1_count = 0", None),
     "heading.h1.multiple": (f"{_PAGE} AND h1_count > 1", "{'count': h1_count}"),
     "content.image.alt_missing": (f"{_PAGE} AND len(no_alt) > 0", "{'count': len(no_alt), 'examples': no_alt}"),
     "tech.language.missing": (f"{_PAGE} AND lang IS NULL", None),
     "tech.html.too_large": (f"{_PAGE} AND bytes > 1000000", "{'bytes': bytes, 'max': 1000000}"),
     "tech.charset.missing": (f"{_PAGE} AND charset IS NULL", None),
-    "tech.compression.missing": (f"{_PAGE} AND coalesce(encoding, 'identity') = 'identity'", "CASE WHEN encoding IS NULL THEN '{}' ELSE to_json({'content_encoding': encoding})::VARCHAR END"),
-    "heading.hierarchy.skipped": (f"{_PAGE} AND {_GAP} IS NOT NULL", f"{{'before': 'h' || {_GAP}[1], 'after': 'h' || {_GAP}[2], 'skipped': list_transform(range({_GAP}[1] + 1, {_GAP}[2]), lambda x: 'h' || x)}}"),
-    "meta.robots.noindex": (f"{_PAGE} AND list_has_any({_ROBOTS}, ['noindex', 'none'])", f"{{'directives': {_ROBOTS}}}"),
+    "tech.compression.missing": (f"{_PAGE} AND coalesce(encoding, 'identity') = 'identity'",
+        "CASE WHEN encoding IS NULL THEN '{}' ELSE to_json({'content_encoding': encoding})::VARCHAR END"),
+    "heading.hierarchy.skipped": (f"{_PAGE} AND {_GAP} IS NOT NULL",
+        f"{{'before': 'h' || {_GAP}[1], 'after': 'h' || {_GAP}[2], 'skipped': list_transform(range({_GAP}[1] + 1, {_GAP}[2]), lambda x: 'h' || x)}}"),
+    "meta.robots.noindex": (f"{_PAGE} AND list_has_any({_ROBOTS}, ['noindex', 'none'])",
+        f"{{'directives': {_ROBOTS}}}"),
 }
 
 
@@ -135,7 +144,8 @@ def _row(rule_id: str, url: str, payload: str | None, rest: str) -> str:
     return f"SELECT {url} AS page_url, '{rule_id}' AS rule_id, '{r.category}' AS category, '{r.severity}' AS severity, {data} AS payload {rest}"
 
 
-PAGE_FINDINGS = " UNION ALL ".join(_row(i, "url", data, f"FROM crawl WHERE {when}") for i, (when, data) in PAGE_RULES.items())
+PAGE_FINDINGS = " UNION ALL ".join(_row(i, "url", data, f"FROM crawl WHERE {when}") for i,
+    (when, data) in PAGE_RULES.items())
 
 
 def _shared(column: str, shown: str, name: str, rule_id: str) -> str:
@@ -158,26 +168,51 @@ _SITEMAP = "named AS (SELECT url FROM crawl WHERE p % 2 = 0 UNION ALL SELECT 'ht
 
 _PAGE_SETS = {
     "meta.title.duplicate": _shared("title", "v.value", "title", "meta.title.duplicate"),
-    "meta.description.duplicate": _shared("description", "substr(v.value, 1, 200)", "description", "meta.description.duplicate"),
-    "tech.resource.mixed_content": f"WITH {_CRAWL}, {_RESOURCES} " + _row("tech.resource.mixed_content", "page_url", "{'resource': url, 'type': kind}", "FROM res WHERE page_url LIKE 'https://%' AND url LIKE 'http://%'"),
-    "tech.resource.broken": f"WITH {_CRAWL}, {_RESOURCES}, {_RES_STATUS} " + _row("tech.resource.broken", "page_url", "{'resource': res.url, 'type': kind, 'status_code': status_code}", "FROM res JOIN status USING (url) WHERE status_code >= 400"),
-    "tech.resource.unreachable": f"WITH {_CRAWL}, {_RESOURCES}, {_RES_STATUS} " + _row("tech.resource.unreachable", "page_url", "{'resource': res.url, 'type': kind}", "FROM res JOIN status USING (url) WHERE status_code IS NULL"),
-    "structure.depth.deep": f"WITH {_CRAWL} " + _row("structure.depth.deep", "url", "{'depth': depth, 'threshold': 3}", "FROM crawl WHERE is_html AND depth IN (3, 4)"),
-    "structure.depth.very_deep": f"WITH {_CRAWL} " + _row("structure.depth.very_deep", "url", "{'depth': depth, 'threshold': 5}", "FROM crawl WHERE is_html AND depth >= 5"),
-    "structure.inlinks.none": f"WITH {_CRAWL}, {_EDGES} " + _row("structure.inlinks.none", "url", None, "FROM crawl WHERE is_html AND depth <> 0 AND url NOT IN (SELECT target_url FROM edges WHERE is_internal)"),
-    "structure.outlinks.none": f"WITH {_CRAWL}, {_EDGES} " + _row("structure.outlinks.none", "url", None, "FROM crawl WHERE is_html AND url NOT IN (SELECT source_url FROM edges)"),
-    "structure.outlinks.many": f"WITH {_CRAWL}, {_EDGES} " + _row("structure.outlinks.many", "source_url", "{'count': count(*), 'threshold': 100}", "FROM edges GROUP BY source_url HAVING count(*) > 100"),
-    "structure.anchor.generic": f"WITH {_CRAWL}, {_EDGES} " + _row("structure.anchor.generic", "source_url", "{'anchor': anchor_text, 'target': target_url}", f"FROM edges WHERE lower(anchor_text) IN {_GENERIC}"),
+    "meta.description.duplicate": _shared("description", "substr(v.value, 1, 200)", "description",
+        "meta.description.duplicate"),
+    "tech.resource.mixed_content": f"WITH {_CRAWL}, {_RESOURCES} " + _row("tech.resource.mixed_content", "page_url",
+        "{'resource': url, 'type': kind}", "FROM res WHERE page_url LIKE 'https://%' AND url LIKE 'http://%'"),
+    "tech.resource.broken": f"WITH {_CRAWL}, {_RESOURCES}, {_RES_STATUS} " + _row("tech.resource.broken", "page_url",
+        "{'resource': res.url, 'type': kind, 'status_code': status_code}",
+        "FROM res JOIN status USING (url) WHERE status_code >= 400"),
+    "tech.resource.unreachable": f"WITH {_CRAWL}, {_RESOURCES}, {_RES_STATUS} " + _row("tech.resource.unreachable",
+        "page_url", "{'resource': res.url, 'type': kind}",
+        "FROM res JOIN status USING (url) WHERE status_code IS NULL"),
+    "structure.depth.deep": f"WITH {_CRAWL} " + _row("structure.depth.deep", "url", "{'depth': depth, 'threshold': 3}",
+        "FROM crawl WHERE is_html AND depth IN (3, 4)"),
+    "structure.depth.very_deep": f"WITH {_CRAWL} " + _row("structure.depth.very_deep", "url",
+        "{'depth': depth, 'threshold': 5}", "FROM crawl WHERE is_html AND depth >= 5"),
+    "structure.inlinks.none": f"WITH {_CRAWL}, {_EDGES} " + _row("structure.inlinks.none", "url", None,
+        "FROM crawl WHERE is_html AND depth <> 0 AND url NOT IN (SELECT target_url FROM edges WHERE is_internal)"),
+    "structure.outlinks.none": f"WITH {_CRAWL}, {_EDGES} " + _row("structure.outlinks.none", "url", None,
+        "FROM crawl WHERE is_html AND url NOT IN (SELECT source_url FROM edges)"),
+    "structure.outlinks.many": f"WITH {_CRAWL}, {_EDGES} " + _row("structure.outlinks.many", "source_url",
+        "{'count': count(*), 'threshold': 100}", "FROM edges GROUP BY source_url HAVING count(*) > 100"),
+    "structure.anchor.generic": f"WITH {_CRAWL}, {_EDGES} " + _row("structure.anchor.generic", "source_url",
+        "{'anchor': anchor_text, 'target': target_url}", f"FROM edges WHERE lower(anchor_text) IN {_GENERIC}"),
     "structure.anchor.ambiguous": f"WITH {_CRAWL}, {_EDGES}, a AS (SELECT lower(anchor_text) AS anchor, list_sort(list(DISTINCT target_url)) AS targets, list(DISTINCT source_url) AS sources FROM edges WHERE anchor_text <> '' GROUP BY 1 HAVING count(DISTINCT target_url) > 1) "
     + _row("structure.anchor.ambiguous", "unnest(sources)", "{'anchor': anchor, 'targets': targets[1:5]}", "FROM a"),
-    "structure.canonical.cross_domain": f"WITH {_CRAWL} " + _row("structure.canonical.cross_domain", "url", "{'canonical': canonical, 'canonical_host': regexp_extract(canonical, '^https?://([^/:]*)', 1)}", f"FROM crawl WHERE is_html AND canonical <> url AND NOT ({_SITE.format('canonical')})"),
-    "structure.canonical.mismatch": f"WITH {_CRAWL} " + _row("structure.canonical.mismatch", "url", "{'canonical': canonical}", f"FROM crawl WHERE is_html AND canonical <> url AND {_SITE.format('canonical')}"),
-    "structure.redirect.loop": f"WITH {_CRAWL} " + _row("structure.redirect.loop", "url", "{'chain': list_append(chain, url)}", "FROM crawl WHERE len(chain) > 0 AND len(list_distinct(list_append(chain, url))) < len(chain) + 1"),
-    "structure.redirect.long_chain": f"WITH {_CRAWL} " + _row("structure.redirect.long_chain", "url", "{'hops': len(chain), 'chain': chain}", "FROM crawl WHERE len(chain) > 2 AND len(list_distinct(list_append(chain, url))) = len(chain) + 1"),
-    "structure.external_link.broken": f"WITH {_CRAWL}, {_EDGES}, {_LINK_STATUS} " + _row("structure.external_link.broken", "source_url", "{'target': url, 'status_code': status_code}", "FROM edges JOIN status ON target_url = url WHERE status_code >= 400"),
-    "structure.external_link.unreachable": f"WITH {_CRAWL}, {_EDGES}, {_LINK_STATUS} " + _row("structure.external_link.unreachable", "source_url", "{'target': url}", "FROM edges JOIN status ON target_url = url WHERE status_code IS NULL"),
-    "structure.sitemap.in_sitemap_only": f"WITH {_CRAWL}, {_SITEMAP} " + _row("structure.sitemap.in_sitemap_only", "url", None, f"FROM (SELECT DISTINCT url FROM named WHERE {_SITE.format('url')} AND url NOT IN (SELECT url FROM crawl WHERE is_html))"),
-    "structure.sitemap.in_crawl_only": f"WITH {_CRAWL}, {_SITEMAP} " + _row("structure.sitemap.in_crawl_only", "url", None, f"FROM crawl WHERE is_html AND url NOT IN (SELECT url FROM named WHERE {_SITE.format('url')})"),
+    "structure.canonical.cross_domain": f"WITH {_CRAWL} " + _row("structure.canonical.cross_domain", "url",
+        "{'canonical': canonical, 'canonical_host': regexp_extract(canonical, '^https?://([^/:]*)', 1)}",
+        f"FROM crawl WHERE is_html AND canonical <> url AND NOT ({_SITE.format('canonical')})"),
+    "structure.canonical.mismatch": f"WITH {_CRAWL} " + _row("structure.canonical.mismatch", "url",
+        "{'canonical': canonical}", f"FROM crawl WHERE is_html AND canonical <> url AND {_SITE.format('canonical')}"),
+    "structure.redirect.loop": f"WITH {_CRAWL} " + _row("structure.redirect.loop", "url",
+        "{'chain': list_append(chain, url)}",
+        "FROM crawl WHERE len(chain) > 0 AND len(list_distinct(list_append(chain, url))) < len(chain) + 1"),
+    "structure.redirect.long_chain": f"WITH {_CRAWL} " + _row("structure.redirect.long_chain", "url",
+        "{'hops': len(chain), 'chain': chain}",
+        "FROM crawl WHERE len(chain) > 2 AND len(list_distinct(list_append(chain, url))) = len(chain) + 1"),
+    "structure.external_link.broken": f"WITH {_CRAWL}, {_EDGES}, {_LINK_STATUS} " + _row(
+        "structure.external_link.broken", "source_url", "{'target': url, 'status_code': status_code}",
+        "FROM edges JOIN status ON target_url = url WHERE status_code >= 400"),
+    "structure.external_link.unreachable": f"WITH {_CRAWL}, {_EDGES}, {_LINK_STATUS} " + _row(
+        "structure.external_link.unreachable", "source_url", "{'target': url}",
+        "FROM edges JOIN status ON target_url = url WHERE status_code IS NULL"),
+    "structure.sitemap.in_sitemap_only": f"WITH {_CRAWL}, {_SITEMAP} " + _row("structure.sitemap.in_sitemap_only",
+        "url", None, f"FROM (SELECT DISTINCT url FROM named WHERE {_SITE.format('url')} AND url NOT IN (SELECT url FROM crawl WHERE is_html))"),
+    "structure.sitemap.in_crawl_only": f"WITH {_CRAWL}, {_SITEMAP} " + _row("structure.sitemap.in_crawl_only", "url",
+        None, f"FROM crawl WHERE is_html AND url NOT IN (SELECT url FROM named WHERE {_SITE.format('url')})"),
 }
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in STOPWORDS) + ")"
@@ -193,35 +228,49 @@ _CRAWL_DOCS = rf"""main AS (SELECT url, coalesce(title, '') AS title, trim({_pla
 docs AS (SELECT *, {_n_words("text")} AS words, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS digest FROM main WHERE text <> '')"""
 
 _CONTENT = {
-    "content.thin": f"WITH {_DOCS} " + _row("content.thin", "url", "{'word_count': words, 'min': 100}", "FROM docs WHERE words < 100 AND text <> ''"),
+    "content.thin": f"WITH {_DOCS} " + _row("content.thin", "url", "{'word_count': words, 'min': 100}",
+        "FROM docs WHERE words < 100 AND text <> ''"),
     "content.duplicate.page": f"WITH {_DOCS}, e AS (SELECT * FROM docs WHERE words >= 50), g AS (SELECT digest, count(*) AS n, list_sort(list(url)) AS urls FROM e GROUP BY digest HAVING count(*) > 1) "
-    + _row("content.duplicate.page", "e.url", "{'duplicate_of': list_filter(urls, lambda x: x <> e.url)[1:5], 'count': n}", "FROM e JOIN g USING (digest)"),
+    + _row("content.duplicate.page", "e.url",
+        "{'duplicate_of': list_filter(urls, lambda x: x <> e.url)[1:5], 'count': n}", "FROM e JOIN g USING (digest)"),
     "content.duplicate.near": f"""WITH {_DOCS}, e AS (SELECT DISTINCT ON (digest) digest, {_WORDS.format("text")} AS w FROM docs WHERE words >= 50),
 s AS (SELECT DISTINCT digest, unnest(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM e),
 c AS (SELECT digest, count(*) AS n FROM s GROUP BY digest), o AS (SELECT a.digest AS a, b.digest AS b, count(*) AS common FROM s a JOIN s b ON a.s = b.s AND a.digest <> b.digest GROUP BY 1, 2),
 j AS (SELECT a, b, common / (x.n + y.n - common) AS similarity FROM o JOIN c x ON x.digest = a JOIN c y ON y.digest = b WHERE common >= 0.85::DOUBLE * (x.n + y.n - common)) """
-    + _row("content.duplicate.near", "d.url", "{'similar_to': f.url, 'similarity': round(similarity, 3)}", "FROM j JOIN docs d ON d.digest = a JOIN docs f ON f.digest = b WHERE d.words >= 50 AND f.words >= 50"),
+    + _row("content.duplicate.near", "d.url", "{'similar_to': f.url, 'similarity': round(similarity, 3)}",
+        "FROM j JOIN docs d ON d.digest = a JOIN docs f ON f.digest = b WHERE d.words >= 50 AND f.words >= 50"),
     "content.block.repeated": f"""WITH {_DOCS}, b AS (SELECT DISTINCT url, trim(regexp_replace(unnest(string_split(text, chr(10))), '\\s+', ' ', 'g')) AS block FROM docs), g AS (SELECT block, count(*) AS n FROM b WHERE len(string_split(block, ' ')) >= 5 GROUP BY block HAVING count(*) > 3) """
-    + _row("content.block.repeated", "url", "{'excerpt': substr(block, 1, 200), 'page_count': n, 'threshold': 3}", "FROM b JOIN g USING (block)"),
-    "content.keyword.title_not_in_body": f"WITH {_DOCS}, {_TOP.replace('{c}', 'title')} " + _row("content.keyword.title_not_in_body", "url", "{'keyword': w, 'source': 'title'}", f"FROM k JOIN docs USING (url) WHERE NOT list_contains({_WORDS.format('text')}, w)"),
+    + _row("content.block.repeated", "url", "{'excerpt': substr(block, 1, 200), 'page_count': n, 'threshold': 3}",
+        "FROM b JOIN g USING (block)"),
+    "content.keyword.title_not_in_body": f"WITH {_DOCS}, {_TOP.replace('{c}', 'title')} " + _row(
+        "content.keyword.title_not_in_body", "url", "{'keyword': w, 'source': 'title'}",
+        f"FROM k JOIN docs USING (url) WHERE NOT list_contains({_WORDS.format('text')}, w)"),
     "content.keyword.h1_not_in_body": f"WITH {_DOCS}, {_TOP.replace('{c}', 'title')}, {_TOP_H1.replace('{c}', 'h1')} "
-    + _row("content.keyword.h1_not_in_body", "docs.url", "{'keyword': k2.w, 'source': 'h1'}", f"FROM k2 JOIN docs USING (url) LEFT JOIN k USING (url) WHERE k2.w IS DISTINCT FROM k.w AND NOT list_contains({_WORDS.format('text')}, k2.w)"),
+    + _row("content.keyword.h1_not_in_body", "docs.url", "{'keyword': k2.w, 'source': 'h1'}",
+        f"FROM k2 JOIN docs USING (url) LEFT JOIN k USING (url) WHERE k2.w IS DISTINCT FROM k.w AND NOT list_contains({_WORDS.format('text')}, k2.w)"),
     "content.keyword.cannibalization": f"""WITH {_DOCS}, {_TOP.replace("{c}", "text")}, top AS (SELECT url, w FROM t QUALIFY row_number() OVER (PARTITION BY url ORDER BY n DESC, place) <= 3), g AS (SELECT w, list_sort(list(url)) AS urls FROM top GROUP BY w HAVING count(*) > 1) """
-    + _row("content.keyword.cannibalization", "top.url", "{'keyword': w, 'competing_with': list_filter(urls, lambda x: x <> top.url)[1:5]}", "FROM top JOIN g USING (w)"),
+    + _row("content.keyword.cannibalization", "top.url",
+        "{'keyword': w, 'competing_with': list_filter(urls, lambda x: x <> top.url)[1:5]}",
+        "FROM top JOIN g USING (w)"),
     "content.spelling.errors": "WITH s AS (SELECT 'https://x.example/' || doc_id AS url, doc_id, doc_id % 9 AS n FROM documents WHERE doc_id % 13 <> 0) "
-    + _row("content.spelling.errors", "url", "{'count': n, 'min_errors': 5, 'top_rules': ['R0', 'R1', 'R2'], 'examples': list_transform(range(5), lambda i: {'rule_id': 'R' || (i % 3), 'message': 'm' || i, 'excerpt': 'e' || doc_id, 'suggestions': ['a', 'b', 'c']})}", "FROM s WHERE n >= 5"),
+    + _row("content.spelling.errors", "url",
+        "{'count': n, 'min_errors': 5, 'top_rules': ['R0', 'R1', 'R2'], 'examples': list_transform(range(5), lambda i: {'rule_id': 'R' || (i % 3), 'message': 'm' || i, 'excerpt': 'e' || doc_id, 'suggestions': ['a', 'b', 'c']})}", "FROM s WHERE n >= 5"),
 }
 
 RULE_SQL = {i: page_rule(i) for i in PAGE_RULES} | _PAGE_SETS | _CONTENT
 
 def _inner(sql: str) -> str:
     """The statement inside another that has crawl; rules on documents read the crawled pages there."""
-    return "(" + sql.replace(f"WITH {_CRAWL} ", "").replace(f"WITH {_CRAWL}, ", "WITH ").replace(_DOCS, _CRAWL_DOCS) + ")"
+    return "(" + sql.replace(f"WITH {_CRAWL} ", "").replace(f"WITH {_CRAWL}, ", "WITH ").replace(_DOCS,
+        _CRAWL_DOCS) + ")"
 
 
 #: Spelling results of the crawled pages, made as those of documents are.
-_PAGE_SPELLING = _CONTENT["content.spelling.errors"].replace("'https://x.example/' || doc_id AS url, doc_id, doc_id % 9 AS n FROM documents WHERE doc_id % 13 <> 0", "url, p AS doc_id, p % 9 AS n FROM crawl WHERE is_html AND p % 13 <> 0")
-_FOUND = [PAGE_FINDINGS, *(_inner(q) for q in _PAGE_SETS.values()), *(_inner(_PAGE_SPELLING if i == "content.spelling.errors" else q) for i, q in _CONTENT.items())]
+_PAGE_SPELLING = _CONTENT["content.spelling.errors"].replace(
+    "'https://x.example/' || doc_id AS url, doc_id, doc_id % 9 AS n FROM documents WHERE doc_id % 13 <> 0",
+    "url, p AS doc_id, p % 9 AS n FROM crawl WHERE is_html AND p % 13 <> 0")
+_FOUND = [PAGE_FINDINGS, *(_inner(q) for q in _PAGE_SETS.values()),
+    *(_inner(_PAGE_SPELLING if i == "content.spelling.errors" else q) for i, q in _CONTENT.items())]
 #: Stored issues: the findings of all rules, numbered.
 _ISSUES = f"""{_CRAWL}, found AS ({" UNION ALL ".join(f"SELECT page_url, rule_id, category, severity, payload FROM {q}" if q.startswith("(") else q for q in _FOUND)}),
 issues AS (SELECT row_number() OVER (ORDER BY rule_id, found.page_url, payload) AS id, found.*, crawl.page_id FROM found LEFT JOIN crawl ON crawl.url = found.page_url)"""

@@ -15,10 +15,12 @@ def dashboard(projects: DataFrame, crawls: DataFrame) -> DataFrame:
     order = Window.partitionBy("project_id").orderBy(F.desc("id"))
     two = crawls.filter("status = 'completed'").withColumn("n", F.row_number().over(order)).filter("n <= 2")
     pick = lambda n, c: F.max(F.when(F.col("n") == n, F.col(c)))
-    two = two.groupBy("project_id").agg(pick(1, "id").alias("latest_id"), pick(1, "score").alias("latest_score"), pick(2, "id").alias("previous_id"), pick(2, "score").alias("previous_score"))
+    two = two.groupBy("project_id").agg(pick(1, "id").alias("latest_id"), pick(1, "score").alias("latest_score"),
+        pick(2, "id").alias("previous_id"), pick(2, "score").alias("previous_score"))
     x = projects.join(two, projects["id"] == two["project_id"], "left")
     delta = F.floor((F.col("latest_score") - F.col("previous_score")) * 10 + 0.5) / 10
-    return x.select(projects["id"].alias("project_id"), "latest_id", "latest_score", "previous_id", "previous_score", delta.alias("delta")).orderBy("project_id")
+    return x.select(projects["id"].alias("project_id"), "latest_id", "latest_score", "previous_id", "previous_score",
+        delta.alias("delta")).orderBy("project_id")
 
 
 def invalid(projects: DataFrame) -> DataFrame:
@@ -26,11 +28,13 @@ def invalid(projects: DataFrame) -> DataFrame:
     problems = F.array(
         F.when(~F.coalesce(F.length("name").between(1, 255), F.lit(False)), "name"),
         F.when(~F.coalesce(F.length("domain").between(1, 255), F.lit(False)), "domain"),
-        F.when(F.col("schedule_interval_minutes").isNotNull() & ~F.col("schedule_interval_minutes").between(INTERVAL_MIN, INTERVAL_MAX), "schedule_interval_minutes"),
+        F.when(F.col("schedule_interval_minutes").isNotNull()
+            & ~F.col("schedule_interval_minutes").between(INTERVAL_MIN, INTERVAL_MAX), "schedule_interval_minutes"),
     )
     twice = projects.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and domain is not null")
     wrong = projects.select("id", F.explode(F.filter(problems, lambda p: p.isNotNull())).alias("problem"))
-    return wrong.union(projects.join(twice, "domain", "left_semi").select("id", F.lit("domain is taken").alias("problem")))
+    return wrong.union(projects.join(twice, "domain", "left_semi").select("id",
+            F.lit("domain is taken").alias("problem")))
 
 
 def _clock(now: datetime | Column | None) -> Column:
@@ -44,13 +48,16 @@ def due(projects: DataFrame, now: datetime | Column | None = None) -> DataFrame:
 
 def tick(projects: DataFrame, crawls: DataFrame, now: datetime | Column | None = None) -> DataFrame:
     """Due projects with action enqueue, or skip where a crawl is active, and the next time, counted from now."""
-    active = crawls.filter(F.col("status").isin("queued", "running")).select(F.col("project_id").alias("id"), F.lit(True).alias("busy")).distinct()
+    active = crawls.filter(F.col("status").isin("queued", "running")).select(F.col("project_id").alias("id"),
+        F.lit(True).alias("busy")).distinct()
     next_ = _clock(now) + F.make_dt_interval(mins=F.col("schedule_interval_minutes"))
-    return due(projects, now).join(active, "id", "left").select(F.col("id").alias("project_id"), F.when(F.col("busy"), "skip").otherwise("enqueue").alias("action"), next_.alias("next_scheduled_at"))
+    return due(projects, now).join(active, "id", "left").select(F.col("id").alias("project_id"),
+        F.when(F.col("busy"), "skip").otherwise("enqueue").alias("action"), next_.alias("next_scheduled_at"))
 
 
 def tick_counts(ticked: DataFrame) -> DataFrame:
-    return ticked.agg(F.count_if(F.col("action") == "enqueue").alias("enqueued"), F.count_if(F.col("action") == "skip").alias("skipped_in_flight"), F.count(F.lit(1)).alias("advanced"))
+    return ticked.agg(F.count_if(F.col("action") == "enqueue").alias("enqueued"),
+        F.count_if(F.col("action") == "skip").alias("skipped_in_flight"), F.count(F.lit(1)).alias("advanced"))
 
 
 def compare_candidates(crawls: DataFrame, current: DataFrame | None = None) -> DataFrame:
@@ -107,15 +114,19 @@ def created(projects: DataFrame, new: DataFrame, now: datetime | Column | None =
     domain, and of those whose domain is taken, only the first is taken.
     """
     last = projects.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    numbered = new.withColumn("id", F.row_number().over(Window.orderBy("domain", "name")).cast("long"))  # a batch of requests
+    numbered = new.withColumn("id", F.row_number().over(Window.orderBy("domain",
+                "name")).cast("long"))  # a batch of requests
     bad = invalid(numbered).filter("problem <> 'domain is taken'").groupBy("id").agg(F.min("problem").alias("problem"))
     taken = projects.select("domain").distinct().withColumn("taken", F.lit(True))
     first = F.row_number().over(Window.partitionBy("domain").orderBy("id")) == 1
     x = numbered.join(bad, "id", "left").join(taken, "domain", "left").withColumn("first", first)
     problem = F.coalesce("problem", F.when(F.col("taken") | ~F.col("first"), "domain is taken"))
     x = x.withColumn("problem", problem).withColumn("ok", F.when(F.col("problem").isNull(), 1).otherwise(0))
-    x = x.withColumn("n", F.sum("ok").over(Window.orderBy("id"))).withColumn("one", F.lit(1)).join(F.broadcast(last.withColumn("one", F.lit(1))), "one")
-    return x.select(*new.columns, F.when(F.col("ok") == 1, F.col("last") + F.col("n")).alias("id"), F.when(F.col("ok") == 1, next_time(F.col("schedule_interval_minutes"), now)).alias("next_scheduled_at"), "problem")
+    x = x.withColumn("n", F.sum("ok").over(Window.orderBy("id"))).withColumn("one",
+        F.lit(1)).join(F.broadcast(last.withColumn("one", F.lit(1))), "one")
+    return x.select(*new.columns, F.when(F.col("ok") == 1, F.col("last") + F.col("n")).alias("id"),
+        F.when(F.col("ok") == 1, next_time(F.col("schedule_interval_minutes"), now)).alias("next_scheduled_at"),
+        "problem")
 
 
 def patched(projects: DataFrame, patches: DataFrame, now: datetime | Column | None = None) -> DataFrame:
@@ -130,12 +141,15 @@ def patched(projects: DataFrame, patches: DataFrame, now: datetime | Column | No
     out = {c: F.when(was_sent(c), F.col(f"__new_{c}")).otherwise(F.col(c)) for c in fields}
     interval = "schedule_interval_minutes"
     if interval in fields:
-        out["next_scheduled_at"] = F.when(was_sent(interval), next_time(F.col(f"__new_{interval}"), now)).otherwise(F.col("next_scheduled_at"))
+        out["next_scheduled_at"] = F.when(was_sent(interval),
+            next_time(F.col(f"__new_{interval}"), now)).otherwise(F.col("next_scheduled_at"))
     return x.select(*[out.get(c, F.col(c)).alias(c) for c in projects.columns])
 
 
 #: The column of each table that names its owner, and the owner's table: what goes with a project.
-OWNERS = {"crawls": ("project_id", "projects"), "sitemaps": ("project_id", "projects"), "pages": ("crawl_id", "crawls"), "issues": ("crawl_id", "crawls"), "links": ("crawl_id", "crawls"), "resources": ("crawl_id", "crawls"), "images": ("page_id", "pages"), "content_blocks": ("page_id", "pages")}
+OWNERS = {"crawls": ("project_id", "projects"), "sitemaps": ("project_id", "projects"), "pages": ("crawl_id", "crawls"),
+    "issues": ("crawl_id", "crawls"), "links": ("crawl_id", "crawls"), "resources": ("crawl_id", "crawls"),
+    "images": ("page_id", "pages"), "content_blocks": ("page_id", "pages")}
 
 
 def deleted(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
@@ -156,4 +170,5 @@ def triggered(projects: DataFrame, crawls: DataFrame, project_id: int) -> DataFr
     """(id, project_id, status, job_id) of the queued crawl that a request for the project makes."""
     get_project(projects, project_id)
     new = crawls.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id"))
-    return new.select("id", F.lit(project_id).cast("long").alias("project_id"), F.lit("queued").alias("status"), F.concat(F.lit("crawl-"), F.col("id").cast("string")).alias("job_id"))
+    return new.select("id", F.lit(project_id).cast("long").alias("project_id"), F.lit("queued").alias("status"),
+        F.concat(F.lit("crawl-"), F.col("id").cast("string")).alias("job_id"))

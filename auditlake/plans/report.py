@@ -31,7 +31,8 @@ def context(issues: DataFrame, pages: int, scores: dict[str, float | None]) -> d
                 "category": c,
                 "label": LABELS[c],
                 "score": scores.get(c),
-                "rules": [{"rule_id": r["rule_id"], "severity": r["severity"], "count": r["count"], "examples": [found[i] for i in r["example_ids"]]} for r in rows if r["category"] == c],
+                "rules": [{"rule_id": r["rule_id"], "severity": r["severity"], "count": r["count"],
+                        "examples": [found[i] for i in r["example_ids"]]} for r in rows if r["category"] == c],
                 "passing": [r["rule_id"] for r in passing if r["category"] == c],
             }
             for c in CATEGORIES
@@ -51,7 +52,8 @@ def _page(title: str, body: str) -> str:
 
 
 def render(data: dict, title: str) -> str:
-    out = [f"<p>{data['pages']} Seiten</p>\n<ul>", *(f"<li>{s}: {data['by_severity'].get(s, 0)}</li>" for s in SEVERITIES), "</ul>\n"]
+    out = [f"<p>{data['pages']} Seiten</p>\n<ul>", *(f"<li>{s}: {data['by_severity'].get(s, 0)}</li>"
+            for s in SEVERITIES), "</ul>\n"]
     for c in data["categories"]:
         text, kind = score_text(c["score"])
         out.append(f'<section><h2>{escape(c["label"])} <span class="{kind}">{text}</span></h2>\n')
@@ -73,7 +75,8 @@ def comparison_parts(compared: DataFrame, title: str) -> Iterator[str]:
     counts = {r["bucket"]: r["count"] for r in compared.groupBy("bucket").count().collect()}  # three rows at most
     head, tail = _page(title, "\0").split("\0")
     yield head
-    for bucket, label, limit in (("new", "Neu", None), ("resolved", "Behoben", None), ("persistent", "Unverändert", PERSISTENT_SHOWN)):
+    for bucket, label, limit in (("new", "Neu", None), ("resolved", "Behoben", None),
+            ("persistent", "Unverändert", PERSISTENT_SHOWN)):
         rows, n = compared.filter(F.col("bucket") == bucket), counts.get(bucket, 0)
         yield f"<section><h2>{label} ({n})</h2><ul>"
         for r in (rows if limit is None else rows.limit(limit)).toLocalIterator():

@@ -31,25 +31,33 @@ def furnished_html() -> Column:
     h = _swap(h, 12, 0, "<html lang=", "<html data-lang=")
     h = _swap(h, 14, 0, "<meta charset=", "<meta data-charset=")
     head = F.concat(
-        F.when(p % 5 == 1, F.concat(text('<meta name="description" content="Short '), (p % 50).cast("string"), text('">')))
-        .when(p % 5 == 2, F.concat(text('<meta name="Description" content="'), F.repeat(text("Long words here "), 12), text('">')))
-        .when(p % 5 == 3, F.concat(text('<meta name="description" content="'), F.repeat(text("Fitting "), 12), p.cast("string"), text('">')))
+        F.when(p % 5 == 1, F.concat(text('<meta name="description" content="Short '), (p % 50).cast("string"),
+                text('">')))
+        .when(p % 5 == 2, F.concat(text('<meta name="Description" content="'), F.repeat(text("Long words here "), 12),
+                text('">')))
+        .when(p % 5 == 3, F.concat(text('<meta name="description" content="'), F.repeat(text("Fitting "), 12),
+                p.cast("string"), text('">')))
         .when(p % 5 == 4, '<meta name="description" content="">')
         .otherwise(""),
-        F.when(p % 9 == 0, '<meta name="robots" content="NoIndex, nofollow">').when(p % 9 == 1, '<meta name="robots" content="index,follow">').otherwise(""),
+        F.when(p % 9 == 0, '<meta name="robots" content="NoIndex, nofollow">').when(p % 9 == 1,
+            '<meta name="robots" content="index,follow">').otherwise(""),
         F.when(p % 6 == 0, F.concat(text('<link rel="canonical" href="'), F.col("url"), text('">')))
         .when(p % 6 == 1, '<link rel="canonical" href="https://other.example.org/c">')
-        .when(p % 6 == 2, F.concat(text('<link rel="canonical" href="https://audit.example/c/'), p.cast("string"), text('">')))
+        .when(p % 6 == 2, F.concat(text('<link rel="canonical" href="https://audit.example/c/'), p.cast("string"),
+                text('">')))
         .otherwise(""),
         F.concat(text('<link rel="stylesheet" href="/s'), (p % 3).cast("string"), text('.css">')),
         F.concat(text('<script src="http://cdn.example.net/a'), (p % 4).cast("string"), text('.js"></script>')),
     )
     body = F.concat(
-        F.when(p % 8 == 0, '<img src="/i/1.png" alt="one"><img src="/i/2.png">').when(p % 8 == 1, '<img src="https://cdn.example.net/p.png" alt=" ">').otherwise(""),
-        F.when(p % 10 == 0, "<h3>Part</h3>").when(p % 10 == 1, "<h2>Part</h2><h3>Detail</h3>").when(p % 10 == 2, "<h1>Second</h1>").otherwise(""),
+        F.when(p % 8 == 0, '<img src="/i/1.png" alt="one"><img src="/i/2.png">').when(p % 8 == 1,
+            '<img src="https://cdn.example.net/p.png" alt=" ">').otherwise(""),
+        F.when(p % 10 == 0, "<h3>Part</h3>").when(p % 10 == 1, "<h2>Part</h2><h3>Detail</h3>").when(p % 10 == 2,
+            "<h1>Second</h1>").otherwise(""),
         F.when(p % 7 == 0, F.concat(text('<a href="/w/'), p.cast("string"), text('"> Weiter </a>'))).otherwise(""),
         F.when(p % 3 == 0, F.concat(text('<a href="'), F.col("url"), text('">self</a>'))).otherwise(""),
-        F.concat(text('<a rel="nofollow" href="https://extern.example.org/'), F.expr("repeat('e', cast(page_id % 5 as int))"), (p % 30).cast("string"), text('">Partner</a>')),
+        F.concat(text('<a rel="nofollow" href="https://extern.example.org/'),
+            F.expr("repeat('e', cast(page_id % 5 as int))"), (p % 30).cast("string"), text('">Partner</a>')),
         F.when(p % 25 == 0, F.repeat(text('<a href="/many">many</a>'), 101)).otherwise(""),
     )
     h = F.replace(h, text("</head>"), F.concat(head, text("</head>")))
@@ -62,7 +70,8 @@ def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, url, html and fetch facts) of pages: what a fetcher would hand over."""
     p = F.col("page_id")
     plain = F.regexp_replace("url", r"[?#].*$", "")
-    odd = F.when(p % 16 == 3, F.concat(plain, F.lit("/a/b/c/d/e/" + "x" * 90))).when(p % 16 == 5, F.concat(plain, F.lit("?PHPSESSID=1&a=2"))).otherwise(F.col("url"))
+    odd = F.when(p % 16 == 3, F.concat(plain, F.lit("/a/b/c/d/e/" + "x" * 90))).when(p % 16 == 5,
+        F.concat(plain, F.lit("?PHPSESSID=1&a=2"))).otherwise(F.col("url"))
     url = urls.normalized(F.col("url"))
     return table(spark, sf_dir, "pages").withColumn("url", odd).select(
         "page_id",
@@ -73,7 +82,10 @@ def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
         (p * 37 % 2000).cast("int").alias("response_time_ms"),
         F.when(p % 4 == 1, "gzip").when(p % 4 == 2, "identity").when(p % 4 == 3, "br, GZIP").alias("content_encoding"),
         (p % 7).cast("int").alias("depth"),
-        F.when(p % 11 == 0, F.array(F.concat(url, F.lit("?a")), F.concat(url, F.lit("?b")), F.concat(url, F.lit("?c")))).when(p % 13 == 0, F.array(url, F.concat(url, F.lit("?x")))).otherwise(F.array().cast("array<string>")).alias("redirect_chain"),
+        F.when(p % 11 == 0, F.array(F.concat(url, F.lit("?a")), F.concat(url, F.lit("?b")),
+                F.concat(url, F.lit("?c")))).when(p % 13 == 0,
+                F.array(url, F.concat(url, F.lit("?x")))).otherwise(F.array().cast("array<string>")).alias(
+                "redirect_chain"),
     )
 
 
@@ -82,7 +94,8 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = fetched(spark, sf_dir).withColumn("is_html", F.col("fetch_error").isNull() & (F.col("status_code") < 400))
     x = html.extract(x.withColumn("html", F.when(F.col("is_html"), F.col("html")).otherwise("")))
     # a blank title, as other extractors than this one hand over
-    return x.withColumn("title", F.when(F.col("is_html") & (F.col("page_id") % 29 == 2), "  ").otherwise(F.col("title")))
+    return x.withColumn("title", F.when(F.col("is_html") & (F.col("page_id") % 29 == 2),
+            "  ").otherwise(F.col("title")))
 
 
 def stored_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,10 +107,13 @@ def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as crawled pages: the text is the main text, its first line the title, its last the heading."""
     lines = F.split("text", "\n")
     return table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/"), F.col("doc_id").cast("string")).alias("url"),
+        F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/"),
+            F.col("doc_id").cast("string")).alias("url"),
         F.lit(True).alias("is_html"),
-        F.concat(F.when(F.col("doc_id") % 3 == 0, "Angebot für Angebot ").otherwise(""), F.substring(F.element_at(lines, 1), 1, 80)).alias("title"),
-        F.concat(F.when(F.col("doc_id") % 4 == 0, "Rabatt, Rabatt ").otherwise(""), F.substring(F.element_at(lines, -1), 1, 80)).alias("h1"),
+        F.concat(F.when(F.col("doc_id") % 3 == 0, "Angebot für Angebot ").otherwise(""),
+            F.substring(F.element_at(lines, 1), 1, 80)).alias("title"),
+        F.concat(F.when(F.col("doc_id") % 4 == 0, "Rabatt, Rabatt ").otherwise(""),
+            F.substring(F.element_at(lines, -1), 1, 80)).alias("h1"),
         F.col("text").alias("main_text"),
         word_count(F.col("text")).alias("main_word_count"),
         content_blocks(F.col("text")).alias("content_blocks"),

@@ -26,18 +26,22 @@ def crawl_order(edges: DataFrame, start: str, max_pages: int = MAX_PAGES, max_de
     """
     spark = edges.sparkSession
     links = edges.filter(is_same_site(F.col("target_url"), F.lit(start))).select("source_url", "target_url", "position")
-    seen = frontier = settled(spark.createDataFrame([(start, 0, None, 0)], "url string, depth int, discovered_from string, ord long"))
+    seen = frontier = settled(spark.createDataFrame([(start, 0, None, 0)],
+            "url string, depth int, discovered_from string, ord long"))
     reached = 1
     for depth in range(1, max_depth + 1):
         if reached >= max_pages:
             break
-        first = links.join(frontier.select(F.col("url").alias("source_url"), "ord"), "source_url").groupBy(F.col("target_url").alias("url")).agg(F.min(F.struct("ord", "position", "source_url")).alias("by"))
+        first = links.join(frontier.select(F.col("url").alias("source_url"), "ord"),
+            "source_url").groupBy(F.col("target_url").alias("url")).agg(F.min(F.struct("ord", "position",
+                    "source_url")).alias("by"))
         new = settled(first.join(seen.select("url"), "url", "left_anti"))
         n, room = new.count(), max_pages - reached
         new = new.orderBy("by", "url")
         if n > room:
             new = new.limit(room)
-        found = new.select("url", F.lit(depth).alias("depth"), F.col("by.source_url").alias("discovered_from"), (F.monotonically_increasing_id() + reached).alias("ord"))
+        found = new.select("url", F.lit(depth).alias("depth"), F.col("by.source_url").alias("discovered_from"),
+            (F.monotonically_increasing_id() + reached).alias("ord"))
         frontier = settled(found)
         if not n:
             break

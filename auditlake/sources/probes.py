@@ -30,9 +30,11 @@ def probe(found: DataFrame, client: Callable, partitions: int = 8) -> DataFrame:
                 except Exception as e:  # noqa: BLE001 - what a client raises is the result
                     status, error = None, f"{type(e).__name__}: {e}"[:500]
                 rows.append((url, status, error, int((time.monotonic() - began) * 1000)))
-            yield pd.DataFrame(rows, columns=["url", "status_code", "error", "response_time_ms"]).astype({"status_code": "Int32", "response_time_ms": "int32"})
+            yield pd.DataFrame(rows, columns=["url", "status_code", "error",
+                    "response_time_ms"]).astype({"status_code": "Int32", "response_time_ms": "int32"})
 
-    return found.select("url").filter(F.col("url").isNotNull()).distinct().repartition(partitions, "url").mapInPandas(run, "url string, status_code int, error string, response_time_ms int")
+    return found.select("url").filter(F.col("url").isNotNull()).distinct().repartition(partitions,
+        "url").mapInPandas(run, "url string, status_code int, error string, response_time_ms int")
 
 
 def external_targets(edges: DataFrame) -> DataFrame:

@@ -66,8 +66,10 @@ def with_permission(pages: DataFrame, robots: DataFrame, agent: str, respect: bo
             yield pd.Series([allowed(known.get(t) or parse(t, agent), u) for t, u in zip(texts, links)], dtype=bool)
 
     check.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-    x = pages.withColumn("__host", host_of(F.col("url"))).join(robots.select(F.col("host").alias("__host"), "robots_txt"), "__host", "left")
-    return x.withColumn("allowed", F.pandas_udf(check, "boolean")("robots_txt", "url")).select(*pages.columns, "allowed")
+    x = pages.withColumn("__host", host_of(F.col("url"))).join(robots.select(F.col("host").alias("__host"),
+            "robots_txt"), "__host", "left")
+    return x.withColumn("allowed", F.pandas_udf(check, "boolean")("robots_txt", "url")).select(*pages.columns,
+        "allowed")
 
 
 def sitemap_seeds(robots: DataFrame) -> DataFrame:

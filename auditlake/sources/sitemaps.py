@@ -26,7 +26,8 @@ def decoded(bodies: DataFrame) -> DataFrame:
             xml, error = [], []
             for u, b in zip(links, data):
                 try:
-                    raw = gzip.decompress(b) if b is not None and (u.lower().endswith(".gz") or b[:2] == b"\x1f\x8b") else b
+                    raw = gzip.decompress(b) if b is not None and (u.lower().endswith(".gz")
+                        or b[:2] == b"\x1f\x8b") else b
                     xml.append(raw.decode("utf-8", "replace") if raw is not None else None)
                     error.append("no response" if raw is None else None)
                 except (OSError, EOFError, zlib.error) as e:
@@ -35,7 +36,8 @@ def decoded(bodies: DataFrame) -> DataFrame:
             yield pd.DataFrame({"xml": xml, "error": error}, dtype=object)
 
     gunzip.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
-    return bodies.select("url", F.pandas_udf(gunzip, "xml string, error string")("url", "body").alias("x")).select("url", "x.*")
+    return bodies.select("url", F.pandas_udf(gunzip, "xml string, error string")("url",
+            "body").alias("x")).select("url", "x.*")
 
 
 class _Locs(HTMLParser):
@@ -85,10 +87,12 @@ def parsed(sitemaps: DataFrame) -> DataFrame:
     resolve.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
     locs = F.regexp_extract_all("xml", F.lit(_LOC), F.lit(1))
     odd = F.when((F.size(locs) == 0) & F.lower("xml").contains("<loc"), F.col("xml"))
-    return sitemaps.select("url", F.coalesce(F.lower("xml").contains("<sitemapindex"), F.lit(False)).alias("is_index"), F.pandas_udf(resolve, "array<string>")("url", locs, odd).alias("locs"))
+    return sitemaps.select("url", F.coalesce(F.lower("xml").contains("<sitemapindex"), F.lit(False)).alias("is_index"),
+        F.pandas_udf(resolve, "array<string>")("url", locs, odd).alias("locs"))
 
 
-def walk(seeds: DataFrame, sitemaps: DataFrame, max_depth: int = MAX_DEPTH, max_sitemaps: int = MAX_SITEMAPS) -> DataFrame:
+def walk(seeds: DataFrame, sitemaps: DataFrame, max_depth: int = MAX_DEPTH,
+        max_sitemaps: int = MAX_SITEMAPS) -> DataFrame:
     """(url, depth, is_index, locs) of the sitemaps that seeds (url, and position if given) lead to through indexes, each once.
 
     First come, first served: a level's sitemaps in order of the one that names them and their
@@ -103,18 +107,22 @@ def walk(seeds: DataFrame, sitemaps: DataFrame, max_depth: int = MAX_DEPTH, max_
         room = max_sitemaps - seen.count()
         if room <= 0:
             break
-        named = known.filter("is_index").join(frontier.select("url", "ord"), "url").select("ord", F.posexplode("locs").alias("at", "url"))
+        named = known.filter("is_index").join(frontier.select("url", "ord"), "url").select("ord",
+            F.posexplode("locs").alias("at", "url"))
         first = named.groupBy("url").agg(F.min(F.struct("ord", "at")).alias("by")).join(seen, "url", "left_anti")
         frontier = _level(first, depth, max_sitemaps * depth, room)
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
-    return seen.select("url", "depth").join(known, "url", "left").select("url", "depth", F.coalesce("is_index", F.lit(False)).alias("is_index"), F.coalesce("locs", F.array().cast("array<string>")).alias("locs"))
+    return seen.select("url", "depth").join(known, "url", "left").select("url", "depth",
+        F.coalesce("is_index", F.lit(False)).alias("is_index"),
+        F.coalesce("locs", F.array().cast("array<string>")).alias("locs"))
 
 
 def _level(first: DataFrame, depth: int, start: int, room: int) -> DataFrame:
     """(url, depth, ord) of the first ``room`` rows in order of by."""
-    return settled(first.orderBy("by", "url").limit(room).select("url", F.lit(depth).alias("depth"), (F.monotonically_increasing_id() + start).alias("ord")))
+    return settled(first.orderBy("by", "url").limit(room).select("url", F.lit(depth).alias("depth"),
+            (F.monotonically_increasing_id() + start).alias("ord")))
 
 
 def sitemap_urls(walked: DataFrame) -> DataFrame:

@@ -20,9 +20,11 @@ def audit_stream(fetched: DataFrame) -> DataFrame:
 
 def counts_by_window(findings: DataFrame, time: str, window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """(window, rule_id, count) of findings with a time column; findings later than ``late`` are left out."""
-    return findings.withWatermark(time, late).groupBy(F.window(time, window), "rule_id").agg(F.count(F.lit(1)).alias("count"))
+    return findings.withWatermark(time, late).groupBy(F.window(time, window),
+        "rule_id").agg(F.count(F.lit(1)).alias("count"))
 
 
 def start(findings: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Run the audit, handing each batch of findings to sink with its number, all arrived pages first."""
-    return findings.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return findings.writeStream.foreachBatch(sink).option("checkpointLocation",
+        checkpoint).trigger(availableNow=True).start()
