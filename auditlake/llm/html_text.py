@@ -55,26 +55,35 @@ INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del",
     "wbr"}
 #: Elements that are page furniture as such.
 FURNITURE = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "fieldset", "head"}
-#: Stems of the words that names are made of; what begins with one counts as it.
-_STEMS = (
-    "advert", "adsense", "adbox", "sponsor", "promo", "banner", "cookie", "consent", "gdpr", "notice", "alert", "popup",
-    "modal", "newsletter", "subscri", "signup", "nav", "menu", "breadcrumb", "header", "footer", "masthead",
-    "sidebar", "aside", "widget", "relat", "recommend", "shar", "social", "comment", "disqus", "respond", "repl",
-    "login", "search", "pagin", "pager", "toolbar", "contentinfo", "complementary",
-)
-_WHOLE_STEMS = {"ad": "advert", "ads": "advert", "foot": "footer"}
+#: Words of names by kind; only whole words count, since "relative" or "sharp" say nothing.
+_KINDS = {
+    "advert": "ads?|adbox|adsense|adverts?|advertis(?:ing|ements?)", "sponsor": "sponsors?|sponsored|sponsoring",
+    "promo": "promos?|promotions?|promotional", "banner": "banners?", "cookie": "cookies?|cookiebar|cookienotice",
+    "consent": "consent", "gdpr": "gdpr", "notice": "notices?", "alert": "alerts?", "popup": "popups?",
+    "modal": "modals?", "newsletter": "newsletters?", "subscribe": "subscribe|subscriptions?", "signup": "signup",
+    "nav": "navs?|navbars?|navigation|navmenu|navlinks?|navlist", "menu": "menus?|menubar|menuitems?|submenu",
+    "breadcrumb": "breadcrumbs?", "header": "headers?", "footer": "foot|footers?", "masthead": "masthead",
+    "sidebar": "sidebars?", "aside": "asides?", "widget": "widgets?", "related": "related",
+    "recommend": "recommend|recommended|recommendations?", "share": "shares?|sharing|sharebar|sharebuttons?",
+    "social": "socials?|socialmedia|sociallinks?", "comment": "comments?|commentlist|commentform", "disqus": "disqus",
+    "respond": "respond", "reply": "reply|replies", "login": "login", "search": "search|searchbox|searchform",
+    "pagination": "pagination|paginator", "pager": "pagers?", "toolbar": "toolbars?", "contentinfo": "contentinfo",
+    "complementary": "complementary",
+}
+_KIND_OF = re.compile("|".join(f"(?P<{kind}>{words})" for kind, words in _KINDS.items()))
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 def _stem(word: str) -> str | None:
-    return _WHOLE_STEMS.get(word) or next((s for s in _STEMS if word.startswith(s)), None)
+    m = _KIND_OF.fullmatch(word)
+    return m.lastgroup if m else None
 
 
 def _name_words(attributes: dict[str, str]) -> list[tuple[str, bool]]:
     """(stem, whether it is the whole name) of the words of class, id and role."""
     out = []
-    for name in (x for k in ("class", "id", "role") for x in re.sub(r"(?<=[a-z])(?=[A-Z])", "-",
-            attributes.get(k, "")).lower().split()):
+    apart = re.compile(r"(?<=[a-z])(?=[A-Z])")
+    for name in " ".join(apart.sub("-", attributes.get(k, "")) for k in ("class", "id", "role")).lower().split():
         parts = [p for p in _SPLIT.split(name) if p]
         out += [(stem, len(parts) == 1) for p in parts if (stem := _stem(p))]
     return out

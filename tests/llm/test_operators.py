@@ -418,6 +418,11 @@ _HAND_TEXT = [
 ]
 
 
+@pytest.mark.parametrize("name", ["relative", "sharp", "relative flex navy", "commentary", "headline", "notable", "adapt", "footnote", "searchlight"])
+def test_html_text_keeps_blocks_of_telling_beginnings(name):
+    assert html_text.extract(f'<article><h1>T</h1><div class="{name}"><p>Some words of the text.</p></div></article>') == "T Some words of the text."
+
+
 @pytest.mark.parametrize("i", range(len(_HAND)))
 def test_html_text_of_hand_written_pages(i):
     assert html_text.extract("".join(_HAND[i])) == _HAND_TEXT[i]
