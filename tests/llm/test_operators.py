@@ -145,14 +145,66 @@ def _fingerprint(text):
 
 
 def test_simhash(spark, odd_rows):
-    rows = [r for r in odd_rows if r[0] is not None]
-    got = _by_id(simhash.simhash_dedup(_docs(spark, rows)).collect())
-    fps = {i: _fingerprint(t) for i, t, _ in rows}
-    want = _groups(fps, [(a, b) for a, b in itertools.combinations(fps, 2) if (fps[a] ^ fps[b]).bit_count() <= 4])
-    assert {i: (r["fingerprint"], r["component_id"]) for i, r in got.items()} == {i: (f"{fps[i]:016x}", want[i])
-        for i in fps}
-    assert len(set(want.values())) < len(fps) - 20
-    assert sorted(r["doc_id"] for r in simhash.filter_near(_docs(spark, rows)).collect()) == sorted(set(want.values()))
+    got = _by_id(simhash.simhash_dedup(_docs(spark, odd_rows)).collect())
+    fps = {i: _fingerprint(t) for i, t, _ in odd_rows}
+    values = sorted(set(fps.values()))
+    group = _groups(values, [(a, b) for a, b in itertools.combinations(values, 2) if (a ^ b).bit_count() <= 4])
+    least = {}
+    for i, fp in fps.items():
+        if i is not None:
+            least[group[fp]] = min(least.get(group[fp], i), i)
+    want = {i: (f"{fp:016x}", least.get(group[fp])) for i, fp in fps.items()}
+    assert {i: (r["fingerprint"], r["component_id"]) for i, r in got.items()} == want
+    assert len({c for _, c in want.values()}) < len(fps) - 20
+    kept = sorted(str(r["doc_id"]) for r in simhash.filter_near(_docs(spark, odd_rows)).collect())
+    assert kept == sorted(str(i) for i, (_, c) in want.items() if i == c)
+
+
+def test_fingerprint_bits_of_exactly_half_are_unset():
+    words = "alpha beta gamma delta epsilon".split()
+    first, second = (xxhash.xxh64_intdigest(" ".join(words[i : i + 4]).encode(), 42) for i in (0, 1))
+    assert simhash.fingerprint(" ".join(words)) == first & second
+    # over half of the shingles, repeats included
+    assert simhash.fingerprint("a b c d " * 2) == _fingerprint("a b c d " * 2)
+
+
+def test_very_long_texts(spark, tokenizer):
+    """One text of 60,000 words, and one of a single word of 300,000 characters, beside short ones."""
+    r = random.Random(41)
+    vocabulary = ["".join(r.choice("abcdeö") for _ in range(r.randint(1, 7))) for _ in range(3000)]
+    long, word = _words(r, 60_000, vocabulary), "ab" * 150_000
+    rows = [(0, "short one", "s"), (1, long, "s"), (2, word, "t"), (3, long + " tail", "s"), (4, long.replace(" ", "\n", 5), "t")]
+    docs = _docs(spark, rows)
+    texts = {i: t for i, t, _ in rows}
+    exact = _by_id(exact_dedup.exact_dedup(docs).collect())
+    assert [exact[i]["keep_id"] for i in range(5)] == [0, 1, 2, 3, 1]
+    near = _by_id(simhash.simhash_dedup(docs).collect())
+    ones = np.zeros(64, np.int64)
+    w = long.split()
+    h = np.array([xxhash.xxh64_intdigest(" ".join(w[k : k + 4]).encode(), 42) for k in range(len(w) - 3)], np.uint64)
+    for bit in range(64):
+        ones[bit] = int(((h >> np.uint64(bit)) & np.uint64(1)).sum())
+    assert near[1]["fingerprint"] == f"{sum(1 << b for b in range(64) if ones[b] * 2 > len(h)):016x}" == near[4]["fingerprint"]
+    cut = _by_id(substring_dedup.substring_dedup(docs).collect())
+    assert [cut[i]["n_removed"] for i in range(5)] == [0, 0, 0, 60_000, 60_000] and cut[3]["kept"] == "tail"
+    sizes = {x["doc_id"]: x["size"] for x in mixing.allocation(docs).collect()}
+    assert sizes == {0: 2, 1: 60_000, 2: 1, 3: 60_001, 4: 60_000}
+    path, _, pattern, reference = tokenizer
+    for x in bpe.encode(docs, path, pattern).collect():
+        assert x["ids"] == reference.encode_ordinary(texts[x["doc_id"]])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(5)], "doc_id long, quality int, toxic int")
+    assert all(np.isfinite(x["score"]) for x in quality.quality(docs, labels).collect())
+    scan = _by_id(licenses.license_scan(docs).collect())
+    assert scan[1]["n_words"] == 60_000 and scan[2]["n_words"] == 1
+
+
+def test_equal_levels_of_water(spark):
+    """Sources that fill at one level, by their order: sizes in proportion to the weights 3, 1, 2."""
+    rows = [(i, _words(random.Random(i), n, ["w"]), s) for i, (s, n) in enumerate([("a", 30), ("b", 10), ("c", 20), ("a", 30), ("b", 10), ("c", 20)])]
+    got = mixing.allocation(_docs(spark, rows), share=1.5).collect()
+    assert {(x["source"], x["target"]) for x in got} == {("a", 90.0), ("b", 30.0), ("c", 60.0)}
+    full = mixing.allocation(_docs(spark, rows), share=2.0).collect()
+    assert {(x["source"], x["target"]) for x in full} == {("a", 120.0), ("b", 40.0), ("c", 80.0)} and all(x["times"] == 2 for x in full)
 
 
 @pytest.mark.parametrize("large", [16, 32_768])
