@@ -116,12 +116,19 @@ def near_pairs(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return both.filter(F.col("similarity") >= similar).select("a", "b", "similarity")
 
 
-def near_findings(texts: DataFrame) -> DataFrame:
-    """A finding for either page of each pair of similar but not equal texts."""
+def near_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((a, b, similarity), (doc, page_url)): pairs of similar unlike texts by digest, and the pages of each text.
+
+    What the near-duplicate rule says, without a row for each pair of pages.
+    """
     sets = materialize(shingled(texts), "shingles")
-    pairs = near_pairs(sets)
+    return near_pairs(sets), sets.select("doc", "page_url").distinct()
+
+
+def near_findings(texts: DataFrame) -> DataFrame:
+    """A finding for either page of each pair of similar but not equal texts, as the rule has it: copies multiply."""
+    pairs, members = near_classes(texts)
     both = pairs.union(pairs.select("b", "a", "similarity"))
-    members = sets.select("page_url", "doc").distinct()
     rows = both.join(members.withColumnRenamed("doc", "a"),
         "a").join(members.select(F.col("doc").alias("b"), F.col("page_url").alias("other")), "b")
     return as_findings(rows, "content.duplicate.near",

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from auditlake import storage
 from auditlake.functions import text
-from auditlake.operators import scoring, structure, tech
+from auditlake.operators import content, scoring, structure, tech
 from auditlake.plans import catalog, compare, issues, oracles, projects, store
 from auditlake.sources import fetcher, fixtures, probes, robots, sitemaps, spelling
 from auditlake.sources.fixtures import stored_crawl, table
@@ -280,8 +280,17 @@ def sitemaps_replaced(s, d):
         "urls_count", F.array_join("urls", " ").alias("urls"), "fetch_error")
 
 
+def near_text_pairs(s, d):
+    """Similar texts without their copies; near_text_members has the pages of each text."""
+    return content.near_classes(content.with_text(fixtures.document_pages(s, d)))[0].withColumn("similarity", F.round("similarity", 6))
+
+
+def near_text_members(s, d):
+    return content.near_classes(content.with_text(fixtures.document_pages(s, d)))[1]
+
+
 _QUERIES = (
-    report_examples, stored_scan, sitemaps_replaced, crawl_fetch, crawl_site, probe_external, probe_resources,
+    near_text_pairs, near_text_members, report_examples, stored_scan, sitemaps_replaced, crawl_fetch, crawl_site, probe_external, probe_resources,
     spelling_probe, sitemap_seeds, sitemap_files, pages_stored, links_stored, resources_stored, blocks_stored,
     crawl_scores, score_deltas, issues_json, issue_list_total,
     page_list_total, project_list, project_get, project_create, project_patch, project_delete, crawl_list, crawl_get,
@@ -301,7 +310,11 @@ def _half(k: int) -> str:
     return f"(SELECT category, round(greatest(0::DOUBLE, least(100::DOUBLE, 100 * (1 - load / capacity))), 2) AS score FROM (SELECT category, sum(coalesce(n, 0) * weight * {oracles._MULTIPLIER}) AS load, sum(weight) * 1.5::DOUBLE * (SELECT count(*) FROM crawl WHERE is_html) AS capacity FROM rules LEFT JOIN (SELECT rule_id, count(*) AS n FROM issues WHERE page_id % 2 = {k} GROUP BY rule_id) USING (rule_id) GROUP BY category))"
 
 
+_NEAR = oracles._CONTENT["content.duplicate.near"]
+_NEAR_PAIRS = _NEAR[: _NEAR.rindex("SELECT")]
 SQL = {
+    "near_text_pairs": f"{_NEAR_PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM j WHERE a < b",
+    "near_text_members": f"WITH {oracles._DOCS} SELECT DISTINCT digest AS doc, url AS page_url FROM docs WHERE words >= 50",
     "report_examples": f"WITH {oracles._ISSUES} SELECT rule_id, (row_number() OVER (PARTITION BY rule_id ORDER BY id))::INT AS place, id, page_url, payload FROM issues QUALIFY place <= 5",
     "stored_scan": f"WITH {_C}, {_E} SELECT 1::INT AS crawl_id, p AS source_page_id, target_url FROM edges WHERE NOT is_internal",
     "sitemaps_replaced": "SELECT project_id, url, CASE WHEN page_id % 4 = 0 THEN 0 ELSE 3 END::INT AS urls_count, CASE WHEN page_id % 4 <> 0 THEN url || ' ' || url || ' ' || url || '2' END AS urls, CASE WHEN page_id % 7 = 0 THEN 'HTTP 404' END AS fetch_error FROM pages JOIN (VALUES (1::BIGINT), (2)) p(project_id) ON CASE project_id WHEN 1 THEN page_id % 3 = 0 ELSE page_id % 2 = 1 END",
