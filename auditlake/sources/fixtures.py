@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import html, urls
 from auditlake.functions.text import content_blocks, word_count
-from auditlake.storage import once
+from auditlake.storage import once, spread
 
 BASE_URL = "https://www.audit.example/"
 
@@ -73,7 +73,7 @@ def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = F.when(p % 16 == 3, F.concat(plain, F.lit("/a/b/c/d/e/" + "x" * 90))).when(p % 16 == 5,
         F.concat(plain, F.lit("?PHPSESSID=1&a=2"))).otherwise(F.col("url"))
     url = urls.normalized(F.col("url"))
-    return table(spark, sf_dir, "pages").withColumn("url", odd).select(
+    return spread(table(spark, sf_dir, "pages")).withColumn("url", odd).select(
         "page_id",
         url.alias("url"),
         furnished_html().alias("html"),
@@ -106,7 +106,7 @@ def stored_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as crawled pages: the text is the main text, its first line the title, its last the heading."""
     lines = F.split("text", "\n")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/"),
             F.col("doc_id").cast("string")).alias("url"),
         F.lit(True).alias("is_html"),

@@ -66,3 +66,13 @@ def once(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> Data
     if key not in known:
         known[key] = materialize(make(), str(key[0]))
     return known[key]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores if its input lies in fewer splits than there are cores.
+
+    Few splits are little data, of which each task would have too much to do; an input of more
+    splits is left as it lies, so large ones are never exchanged for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
