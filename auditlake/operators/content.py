@@ -92,26 +92,29 @@ def shingled(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
 def near_pairs(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(a, b, similarity) of docs a < b in (doc, set) whose sets have at least that Jaccard similarity.
 
-    A doc is an equal text's representative, so copies add nothing; ``sets`` is read several times
-    and should be a written table.
+    A doc is an equal text's representative, so copies add nothing. What is exchanged for each
+    shingle is its hash and 16 bytes of the doc's digest; the prefixes, which meet themselves, and
+    the texts without copies are written once.
     """
-    sets = sets.select("doc", "set", F.size("set").alias("n")).filter("n > 0").dropDuplicates(["doc"])
-    each = sets.select("doc", "n", F.explode("set").alias("shingle"))
+    key = F.unhex(F.substring("doc", 1, 32)).alias("id")
+    texts = materialize(sets.select("doc", "set").dropDuplicates(["doc"]).select(key, "doc", "set",
+        F.size("set").alias("n")).filter("n > 0"), "texts")
+    each = texts.select("id", "n", F.explode("set").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     # shingles of one text only can't be shared, but have their place in the order: they come first
     known = each.join(often, "shingle")
-    shared = Window.partitionBy("doc").orderBy("df", "shingle")
-    known = known.withColumn("rank", F.row_number().over(shared)).withColumn("alone",
-        F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("doc")))
-    prefix = known.filter(F.col("rank") + F.col("alone") <= F.col("n") - F.ceil(
-            F.col("n") * similar - 1e-9) + 1).select("shingle", "doc", "n")
-    a, b = prefix.select("shingle", F.col("doc").alias("a"), F.col("n").alias("na")), prefix.select("shingle",
-        F.col("doc").alias("b"), F.col("n").alias("nb"))
-    candidates = a.join(b, "shingle").filter((F.col("a") < F.col("b"))
-        & (F.least("na", "nb") >= F.greatest("na", "nb") * similar - 1e-9)).select("a", "b").distinct()
-    left = sets.select(F.col("doc").alias("a"), F.col("set").alias("sa"))
-    right = sets.select(F.col("doc").alias("b"), F.col("set").alias("sb"))
-    both = candidates.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    shared = Window.partitionBy("id").orderBy("df", "shingle")
+    known = known.withColumn("rank", F.row_number().over(shared))
+    known = known.withColumn("alone", F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id")))
+    last = F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1
+    prefix = materialize(known.filter(F.col("rank") + F.col("alone") <= last).select("shingle", "id", "n"), "prefixes")
+    a = prefix.select("shingle", F.col("id").alias("ia"), F.col("n").alias("na"))
+    b = prefix.select("shingle", F.col("id").alias("ib"), F.col("n").alias("nb"))
+    like = (F.col("ia") < F.col("ib")) & (F.least("na", "nb") >= F.greatest("na", "nb") * similar - 1e-9)
+    candidates = a.join(b, "shingle").filter(like).select("ia", "ib").distinct()
+    left = texts.select(F.col("id").alias("ia"), F.col("doc").alias("a"), F.col("set").alias("sa"))
+    right = texts.select(F.col("id").alias("ib"), F.col("doc").alias("b"), F.col("set").alias("sb"))
+    both = candidates.join(left, "ia").join(right, "ib").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     both = both.withColumn("similarity", F.col("common") / (F.size("sa") + F.size("sb") - F.col("common")))
     return both.filter(F.col("similarity") >= similar).select("a", "b", "similarity")
 
