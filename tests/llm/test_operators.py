@@ -246,6 +246,14 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, 200: 200, 300: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    # a star with many ends, a comb on it, and thousands of pairs beside
+    r = random.Random(3)
+    pairs = [(5, i) for i in range(1000, 4000)] + [(i, i + 10_000) for i in range(1000, 4000, 7)]
+    pairs += [(i, i + 1) for i in range(50_000, 58_000, 2)]
+    r.shuffle(pairs)
+    nodes = {x for p in pairs for x in p}
+    got = {x["node"]: x["component"] for x in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == _groups(nodes, pairs)
 
 
 def test_substring_dedup(spark, odd_rows):
