@@ -289,9 +289,10 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, recall: float =
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("class").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node",
         "class")
-    least = parts.join(classes.select("class", "least_id"),
-        "class").groupBy("component").agg(F.min("least_id").alias("component_id"))
-    parts = parts.join(least, "component").select("class", "component_id")
+    least = parts.join(classes.select("class", "least_id"), "class").groupBy("component")
+    least = materialize(least.agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
+    parts = looked_up(parts, least, "component", "component", "n", {"component_id": "component_id"}, [F.col("class")])
+    parts = parts.select("class", "component_id")
     known = classes.select("class", "least_id", "weight").join(links, "class", "left").join(parts, "class", "left")
     known = materialize(known.select("class", "weight",
             (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
