@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.llm import bpe, embedding_dedup, exact_dedup, html_text, licenses, mixing, pii, quality, simhash, substring_dedup
+from auditlake.llm import (bpe, embedding_dedup, exact_dedup, html_text, licenses, merkle, mixing, pii, quality, simhash,
+    substring_dedup)
 from auditlake.llm.common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -56,6 +57,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(table(spark, sf_dir, "documents")).drop("lang", "place")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_embedding_dedup,
@@ -68,12 +73,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_exact_dedup,
         op9_quality,
         op10_source_mixing,
+        op12_merkle_manifest,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL, "op10_source_mixing": OP10_SQL}
+    return {"op8_exact_dedup": OP8_SQL, "op10_source_mixing": OP10_SQL, "op12_merkle_manifest": OP12_SQL}
 
 
 OP8_SQL = r"""
@@ -106,3 +112,44 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
        ((whole + CASE WHEN size > 0 AND whole < 2 AND start + size / 2.0::DOUBLE < target - whole * source_size THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM x
 """
+
+_OP12_LEAF = "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}, '-')" for f in (
+    "doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
+OP12_SQL = f"""
+WITH RECURSIVE
+crc(b, c, j) AS (SELECT b, b, 0 FROM range(256) r(b) UNION ALL
+  SELECT b, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, j + 1 FROM crc WHERE j < 8),
+crcs AS (SELECT list(c ORDER BY b) AS t FROM crc WHERE j = 8),
+d AS (SELECT row_number() OVER () AS row, *, coalesce('=' || lang, '') AS g,
+  list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])) AS c FROM documents, crcs),
+e AS (SELECT *, xor(c, 4294967295) % 3 = 0 AS touched FROM d),
+leaves AS (SELECT row, doc_id, g, {_OP12_LEAF.replace("{text}", "text")} AS h, CASE WHEN touched THEN
+  {_OP12_LEAF.replace("{text}", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS tampered FROM e),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i,
+  count(*) OVER (PARTITION BY g) AS n FROM leaves),
+low(k, g, i, h, n) AS (SELECT 0, g, i, h, n FROM placed UNION ALL
+  SELECT k + 1, g, i // 8, sha256(string_agg(h, '' ORDER BY i)), (max(n) + 7) // 8 FROM low WHERE n > 1 GROUP BY k, g, i // 8),
+subroots AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM low WHERE n = 1),
+high(k, i, h, n) AS (SELECT 0, i, h, n FROM subroots UNION ALL
+  SELECT k + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (max(n) + 7) // 8 FROM high WHERE n > 1 GROUP BY k, i // 8),
+nodes AS (SELECT 0 AS tree, k, g, i, h FROM low WHERE n > 1 UNION ALL SELECT 1, k, NULL, i, h FROM high WHERE n > 1),
+own AS (SELECT p.row, 0 AS tree, l.k, p.g, p.i // (8 ** l.k)::BIGINT AS i FROM placed p
+    JOIN (SELECT DISTINCT k, g FROM low WHERE n > 1) l ON p.g = l.g
+  UNION ALL SELECT p.row, 1, l.k, NULL, s.i // (8 ** l.k)::BIGINT FROM placed p JOIN subroots s ON p.g = s.g,
+    (SELECT DISTINCT k FROM high WHERE n > 1) l),
+steps AS (SELECT o.row, row_number() OVER (PARTITION BY o.row ORDER BY o.tree, o.k) - 1 AS step,
+    coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (x.i < o.i), '') AS l,
+    coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (x.i > o.i), '') AS r
+  FROM own o JOIN nodes x ON x.tree = o.tree AND x.k = o.k AND x.g IS NOT DISTINCT FROM o.g AND x.i // 8 = o.i // 8
+  GROUP BY o.row, o.tree, o.k),
+folds(row, step, h) AS (SELECT row, 0, coalesce(tampered, h) FROM placed UNION ALL
+  SELECT f.row, f.step + 1, sha256(s.l || f.h || s.r) FROM folds f JOIN steps s ON f.row = s.row AND f.step = s.step),
+proofs AS (SELECT row, sha256(string_agg(l || r, '' ORDER BY step)) AS proof FROM steps GROUP BY row),
+folded AS (SELECT row, arg_max(h, step) AS folded_root FROM folds GROUP BY row)
+SELECT p.doc_id, p.h AS leaf, s.h AS subroot, t.h AS root, coalesce(q.proof, sha256('')) AS proof_sha256, f.folded_root,
+       f.folded_root = t.h AS verified
+FROM placed p JOIN subroots s ON p.g = s.g JOIN folded f ON p.row = f.row LEFT JOIN proofs q ON p.row = q.row,
+     (SELECT h FROM high WHERE n = 1) t
+"""
