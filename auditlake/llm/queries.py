@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from auditlake.llm import (bpe, embedding_dedup, exact_dedup, html_text, licenses, merkle, mixing, pii, quality, simhash,
-    substring_dedup)
+from auditlake.llm import (bpe, embedding_dedup, exact_dedup, hard_negatives, html_text, licenses, merkle, mixing, pii,
+    quality, simhash, substring_dedup, token_files)
 from auditlake.llm.common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+#: The vocabulary of the token files and the id that ends a document there.
+WORD_TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +60,22 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(table(spark, sf_dir, "documents")).drop("lang", "place")
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return token_files.token_files(docs, public_tokenizers.path(WORD_TOKENIZER), END_ID, keep_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_embedding_dedup,
@@ -73,13 +88,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_exact_dedup,
         op9_quality,
         op10_source_mixing,
+        op11_hard_negatives,
         op12_merkle_manifest,
+        op13_token_files,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL, "op10_source_mixing": OP10_SQL, "op12_merkle_manifest": OP12_SQL}
+    return {"op8_exact_dedup": OP8_SQL, "op10_source_mixing": OP10_SQL, "op11_hard_negatives": OP11_SQL,
+        "op12_merkle_manifest": OP12_SQL}
 
 
 OP8_SQL = r"""
@@ -113,6 +131,24 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM x
 """
 
+OP11_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+    list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.positive_id, (row_number() OVER w)::INT AS rank, s.other_id AS negative_id, p.positive_score,
+       s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score
+  AND 100 * s.score <= 100 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
 _OP12_LEAF = "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}, '-')" for f in (
     "doc_id", "source", "lang", "n_chars", "{text}")) + ")"
 
