@@ -1,8 +1,11 @@
 """HTML to page facts: one scan over a page's tags, in Arrow batches.
 
-Texts of elements are the text below them, joined as it stands and stripped. The main text is
-that of the first article, else main, else body, without navigation, header, footer, aside, form,
-script and style; blocks of it are its lines.
+The scan builds the tree of a page's containers (``functions/blocks.py``) in linear time, whatever
+the tags: elements that are never closed cost no more than others. Texts of elements are the text
+below them, joined as it stands and stripped; they are cut from one buffer by where they begin and
+end. A heading or link ends where the next one begins, as browsers have it. The main text is that
+of the first article, else main, without navigation, header, footer, aside, form, script, style
+and comments; a page without either is searched for its prose. Blocks of it are its lines.
 """
 
 from __future__ import annotations
@@ -15,17 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.functions.blocks import BREAKS, CONTAINERS, Tree
 from auditlake.functions.urls import normalize, same_site
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+# possessive: a tag with an open quote is given up at once
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _RAW = ("script", "style", "noscript", "template", "textarea")
-_HIDDEN = {"script", "style", "noscript", "template"}
-_ASIDE = {"nav", "header", "footer", "aside", "form"}
-_BREAK = {"p", "br", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "section", "article",
-    "main", "blockquote", "pre", "hr", "dt", "dd"}
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-_CAUGHT = {"title", "a", *_HEADINGS}
+_INLINE = {"b", "strong", "i", "em", "span", "a", "u", "s", "small", "sub", "sup", "code"}
 _END = {n: re.compile(rf"</{n}\b[^>]*>", re.I) for n in _RAW}
 _WORD = re.compile(r"\w+")
 _SPACE = re.compile(r"\s+")
@@ -61,29 +62,29 @@ def _attributes(text: str) -> dict[str, str | None]:
     return out
 
 
-def _lines(text: str) -> str:
-    """The lines that hold words, white space collapsed."""
-    lines = (_SPACE.sub(" ", line).strip() for line in text.split("\n"))
-    return "\n".join(line for line in lines if line)
-
-
 class _Scan:
     """What one page's tags tell."""
 
     def __init__(self, url: str, page: str):
-        self.url, self.metas, self.rels, self.images, self.links, self.scripts = url, {}, [], [], [], []
+        self.url, self.metas, self.rels, self.images, self.links = url, {}, [], [], []
         self.language = self.charset = self.title = None
         self.headings: dict[str, list[str]] = {}
         self.counts = {"strong": 0, "b": 0}
         self.body: list[str] = []
-        self.main: dict[str, list[str]] = {"article": [], "main": [], "body": []}
+        self.tree = Tree()
         self.resources: list[tuple[str, str]] = []
-        self._catching: list[tuple[str, list[str], dict]] = []
-        self._inside, self._seen, self._aside, self._head = [], set(), 0, False
-        at = 0
-        for m in _TOKEN.finditer(page):
-            if m.start() < at:
-                continue
+        #: What is caught now: kind -> (name, where its text begins, attributes); texts go to the buffer meanwhile.
+        self._open_now: dict[str, tuple[str, int, dict]] = {}
+        self._buffer: list[str] = []
+        self._length, self._head = 0, False
+        #: (kind, name, begin, end, attributes) in the order in which they end.
+        self._caught: list[tuple[str, str, int, int, dict]] = []
+        search, at = _TOKEN.search, 0
+        while at < len(page):
+            m = search(page, at)
+            if m is None:
+                self._text(page[at:])
+                break
             if m.start() > at:
                 self._text(page[at : m.start()])
             at = m.end()
@@ -96,45 +97,45 @@ class _Scan:
                     if name in _END:
                         end = _END[name].search(page, at)
                         at = end.end() if end else len(page)
-        if at < len(page):
-            self._text(page[at:])
-        for name, *_ in self._catching[::-1]:
-            self._close(name)
+        for kind in [*self._open_now][::-1]:
+            self._catch_ends(kind)
+        self.tree.finish()
+        self._sort_out()
 
     def _text(self, raw: str) -> None:
-        text = html.unescape(raw)
-        for _, parts, _ in self._catching:
-            parts.append(text)
+        text = html.unescape(raw) if "&" in raw else raw
+        if self._open_now:
+            self._buffer.append(text)
+            self._length += len(text)
         if not self._head:
             self.body.append(text)
-            if not self._aside:
-                for name in self._inside:
-                    self.main[name].append(text)
+            self.tree.text(text, "a" in self._open_now)
 
-    def _gap(self, name: str) -> None:
-        if name not in ("b", "strong", "i", "em", "span", "a", "u", "s", "small", "sub", "sup", "code"):
-            self.body.append(" ")
-        if name in _BREAK and not self._aside:
-            for inside in self._inside:
-                self.main[inside].append("\n")
+    def _catch(self, kind: str, name: str, a: dict) -> None:
+        if kind in self._open_now:
+            self._catch_ends(kind)
+        self._open_now[kind] = (name, self._length, a)
+
+    def _catch_ends(self, kind: str) -> None:
+        name, begin, a = self._open_now.pop(kind)
+        self._caught.append((kind, name, begin, self._length, a))
 
     def _open(self, name: str, rest: str) -> None:
-        self._gap(name)
+        if name not in _INLINE:
+            self.body.append(" ")
         if name == "head":
             self._head = True
-        elif name == "body":
-            self._head, self._inside = False, ["body"]
-        elif name in _ASIDE:
-            self._aside += 1
-        elif name in ("article", "main") and name not in self._seen:
-            self._seen.add(name)
-            self._inside = [*self._inside, name]
+        elif self._head and (name == "body" or name in CONTAINERS or name in BREAKS):
+            self._head = False
+        self.tree.open(name, rest)
         if name in self.counts:
             self.counts[name] += 1
-        if name in _CAUGHT:
-            if name == "a" and any(n == "a" for n, *_ in self._catching):
-                self._close("a")
-            self._catching.append((name, [], _attributes(rest) if name == "a" else {}))
+        elif name == "a":
+            self._catch("a", name, _attributes(rest))
+        elif name in _HEADINGS:
+            self._catch("heading", name, {})
+        elif name == "title":
+            self._catch("title", name, {})
         elif name in ("meta", "link", "img", "script", "html"):
             a = _attributes(rest)
             if name == "html":
@@ -164,26 +165,26 @@ class _Scan:
                 self.metas["\0charset"] = m.group(1).lower()
 
     def _close(self, name: str) -> None:
-        self._gap(name)
+        if name not in _INLINE:
+            self.body.append(" ")
         if name == "head":
             self._head = False
-        elif name in _ASIDE:
-            self._aside = max(0, self._aside - 1)
-        elif name in self._inside and name != "body":
-            self._inside = [n for n in self._inside if n != name]
-        if name not in _CAUGHT:
-            return
-        for i in range(len(self._catching) - 1, -1, -1):
-            if self._catching[i][0] == name:
-                _, parts, a = self._catching.pop(i)
-                text = "".join(parts).strip()
-                if name == "title":
-                    self.title = self.title or text or None
-                elif name == "a":
-                    self._link(a, text)
-                elif text:
-                    self.headings.setdefault(name, []).append(text)
-                return
+        kind = "heading" if name in _HEADINGS else name
+        if kind in self._open_now:
+            self._catch_ends(kind)
+        self.tree.close(name)
+
+    def _sort_out(self) -> None:
+        """The texts that were caught."""
+        whole = "".join(self._buffer)
+        for kind, name, begin, end, a in self._caught:
+            text = whole[begin:end].strip()
+            if kind == "title":
+                self.title = self.title or text or None
+            elif kind == "a":
+                self._link(a, text)
+            elif text:
+                self.headings.setdefault(name, []).append(text)
 
     def _link(self, a: dict[str, str | None], text: str) -> None:
         target = normalize(a["href"], self.url) if a.get("href") is not None else None
@@ -196,8 +197,7 @@ class _Scan:
     def row(self) -> dict:
         canonical = next((href for rel, href in self.rels if "canonical" in rel and href), None)
         body = _SPACE.sub(" ", "".join(self.body)).strip()
-        texts = (_lines("".join(self.main[n])) for n in ("article", "main", "body"))
-        main = next((t for t in texts if t), None)
+        main = "\n".join(self.tree.main()) or None
         blocks = list(dict.fromkeys(x for x in (main or "").split("\n") if len(x.split()) >= 5))
         resources = []
         for raw, kind in [*self.resources, *((i["src"], "image") for i in self.images)]:

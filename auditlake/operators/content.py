@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.text import collapse, tokens
 from auditlake.operators.registry import FINDING, as_findings, payload
+from auditlake.operators.sketches import class_sizes, similar_classes
 from auditlake.storage import materialize
 
 THIN, DUPLICATE_WORDS, SIMILAR, SHINGLE, BLOCK_PAGES, KEYWORD_LENGTH, TOP, SHOWN, SPELLING_ERRORS = 100, 50, 0.85, 4, 3, 4, 3, 5, 5
@@ -128,6 +129,19 @@ def near_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return near_pairs(sets), sets.select("doc", "page_url").distinct()
 
 
+def text_classes(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(page_url, doc, class, texts, pages), a row for each page: near copies as classes in place of pairs.
+
+    doc is the text's digest, class the smallest digest that similar texts reach, texts and pages how
+    many different texts and pages the class has. Equal texts are sketched once.
+    """
+    sets = materialize(shingled(texts), "shingles")
+    one = materialize(sets.select(F.col("doc").alias("id"), "set").dropDuplicates(["id"]), "texts")
+    found = similar_classes(one, similar)
+    pages = sets.select("page_url", "doc").distinct().join(found.withColumnRenamed("id", "doc"), "doc")
+    return class_sizes(pages).select("page_url", "doc", "class", "texts", F.col("rows").alias("pages"))
+
+
 def near_findings(texts: DataFrame) -> DataFrame:
     """A finding for either page of each pair of similar but not equal texts, as the rule has it: copies multiply."""
     pairs, members = near_classes(texts)
@@ -182,16 +196,45 @@ def keyword_findings(texts: DataFrame) -> DataFrame:
             payload(keyword=F.col("h1"), source=F.lit("h1"))))
 
 
+def top_words(words: Column, top: int) -> Column:
+    """array<struct<n, at, word>>: the most frequent of an array of words, n negative, first occurrence deciding between equals.
+
+    One pass over the sorted words with room for ``top`` of them, inside the row: of a page's words
+    nothing else leaves it.
+    """
+    entry = "struct<n:int,at:int,word:string>"
+    at = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    nothing = F.lit(None).cast(entry)
+    start = F.struct(F.array().cast(f"array<{entry}>").alias("best"), nothing.alias("run"))
+
+    def kept(s: Column) -> Column:
+        """The best with the run that has ended."""
+        better = F.slice(F.array_sort(F.concat(s["best"], F.array(s["run"]))), 1, top)
+        return F.when(s["run"].isNull(), s["best"]).otherwise(better)
+
+    def step(s: Column, x: Column) -> Column:
+        same = s["run"]["word"].eqNullSafe(x["w"])
+        n, first = F.when(same, s["run"]["n"] - 1).otherwise(F.lit(-1)), F.when(same, s["run"]["at"]).otherwise(x["i"])
+        run = F.struct(n.alias("n"), first.alias("at"), x["w"].alias("word"))
+        return F.struct(F.when(same, s["best"]).otherwise(kept(s)).alias("best"), run.alias("run"))
+
+    return F.aggregate(at, start, step, kept)
+
+
 def page_keywords(texts: DataFrame, top: int = TOP) -> DataFrame:
-    """(page_url, keyword, n, rank): each page's most frequent keywords, first occurrence deciding between equals."""
-    words = texts.select("page_url", F.posexplode(_keywords(F.col("main_text"))).alias("at", "keyword"))
-    counts = words.groupBy("page_url", "keyword").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("page_url").orderBy(F.desc("n"), "at")))
-    return ranked.filter(F.col("rank") <= top).select("page_url", "keyword", "n", "rank")
+    """(page_url, keyword, n, rank): each page's most frequent keywords, first occurrence deciding between equals.
+
+    A page's words are bound to a column first, so that they are cut once. Rows of one URL each have
+    their keywords.
+    """
+    words = texts.select("page_url", _keywords(F.col("main_text")).alias("__words"))
+    best = words.select("page_url", F.posexplode(top_words(F.col("__words"), top)).alias("rank", "best"))
+    return best.select("page_url", F.col("best.word").alias("keyword"), (-F.col("best.n")).cast("long").alias("n"),
+        (F.col("rank") + 1).alias("rank"))
 
 
 def cannibalization_findings(texts: DataFrame) -> DataFrame:
-    rows = page_keywords(texts).select("page_url", "keyword")
+    rows = page_keywords(texts).select("page_url", "keyword").distinct()
     few = rows.withColumn("n", F.row_number().over(Window.partitionBy("keyword").orderBy("page_url"))).filter(
         F.col("n") <= SHOWN + 1)
     few = few.groupBy("keyword").agg(F.array_sort(F.collect_list("page_url")).alias("few")).filter(F.size("few") > 1)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from auditlake import storage
 from auditlake.functions import text
+from auditlake.functions.html import extract
 from auditlake.operators import content, scoring, structure, tech
 from auditlake.plans import catalog, compare, issues, oracles, projects, store
 from auditlake.sources import fetcher, fixtures, probes, robots, sitemaps, spelling
@@ -289,8 +290,20 @@ def near_text_members(s, d):
     return content.near_classes(content.with_text(fixtures.document_pages(s, d)))[1]
 
 
+def near_text_classes(s, d):
+    """Near copies as classes: a row for each page, found by sketches and verified by the exact index."""
+    return content.text_classes(content.with_text(fixtures.document_pages(s, d)))
+
+
+def main_content_untagged(s, d):
+    """The main text of pages whose article and menu are plain containers: found by its prose, and the menu by its links."""
+    plain = F.regexp_replace("html", "<(/?)(article|nav)>", "<$1div>")
+    pages = table(s, d, "pages").select("page_id", "url", plain.alias("html"))
+    return extract(pages).select("page_id", "main_text", "main_word_count")
+
+
 _QUERIES = (
-    near_text_pairs, near_text_members, report_examples, stored_scan, sitemaps_replaced, crawl_fetch, crawl_site, probe_external, probe_resources,
+    main_content_untagged, near_text_classes, near_text_pairs, near_text_members, report_examples, stored_scan, sitemaps_replaced, crawl_fetch, crawl_site, probe_external, probe_resources,
     spelling_probe, sitemap_seeds, sitemap_files, pages_stored, links_stored, resources_stored, blocks_stored,
     crawl_scores, score_deltas, issues_json, issue_list_total,
     page_list_total, project_list, project_get, project_create, project_patch, project_delete, crawl_list, crawl_get,
@@ -313,6 +326,10 @@ def _half(k: int) -> str:
 _NEAR = oracles._CONTENT["content.duplicate.near"]
 _NEAR_PAIRS = _NEAR[: _NEAR.rindex("SELECT")]
 SQL = {
+    "main_content_untagged": oracles.SQL["main_content"],
+    "near_text_classes": f"""{_NEAR_PAIRS.replace("WITH ", "WITH RECURSIVE ", 1)}, r AS (SELECT a AS node, a AS other FROM j UNION SELECT r.node, j.b FROM r JOIN j ON j.a = r.other),
+m AS (SELECT DISTINCT url, digest FROM docs WHERE words >= 50), k AS (SELECT node, min(other) AS class FROM r GROUP BY node), f AS (SELECT url, digest, coalesce(class, digest) AS class FROM m LEFT JOIN k ON node = digest)
+SELECT url AS page_url, digest AS doc, class, count(DISTINCT digest) OVER (PARTITION BY class) AS texts, count(*) OVER (PARTITION BY class) AS pages FROM f""",
     "near_text_pairs": f"{_NEAR_PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM j WHERE a < b",
     "near_text_members": f"WITH {oracles._DOCS} SELECT DISTINCT digest AS doc, url AS page_url FROM docs WHERE words >= 50",
     "report_examples": f"WITH {oracles._ISSUES} SELECT rule_id, (row_number() OVER (PARTITION BY rule_id ORDER BY id))::INT AS place, id, page_url, payload FROM issues QUALIFY place <= 5",
