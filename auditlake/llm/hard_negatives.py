@@ -50,7 +50,7 @@ SCORES = 1 << 22
 #: The largest squared norm: all products and sums are whole numbers that a double holds.
 MAX_NORM = 1 << 52
 #: Relative error of distances, generously; bounds are widened by it.
-_EPS = 1e-9
+_EPS = 1e-6
 _LOW, _HIGH = -(1 << 62), 1 << 62
 
 

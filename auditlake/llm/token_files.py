@@ -26,12 +26,16 @@ empty table gives no shards; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,11 +48,16 @@ FREQUENT = 8
 #: A round takes pairs with at least one in so many of the occurrences of its most frequent one.
 SPREAD = 64
 #: Characters that are cut into pieces at a time.
-PIECE_CHARS = 1 << 21
+PIECE_CHARS = 1 << 22
 #: Distinct pieces and their characters that a task remembers.
-KNOWN_PIECES, KNOWN_CHARS = 1_000_000, 1 << 25
+KNOWN_PIECES, KNOWN_CHARS = 800_000, 1 << 25
+#: Words inside pieces that it remembers beside them.
+KNOWN_WORDS = 400_000
+#: New pieces of one call of the tokenizer.
+TOGETHER = 2000
 #: Symbols that fit 16 bits.
 _SMALL = 1 << 16
+_SPACE = re.compile(r"[ \t\n\v\f\r]")
 
 
 #: Encoders by the path of their file, kept by a worker for its next tasks.
@@ -65,9 +74,12 @@ class Encoder:
     """Ids of texts by a tokenizers file whose vocabulary drops white space."""
 
     def __init__(self, path: str):
+        # a task has one core; the library's threads would spin on all of them
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.words, self.pattern = {}, _ascii_words(path)
         self.forget()
 
     def forget(self) -> None:
@@ -79,12 +91,39 @@ class Encoder:
         new, self.known.new = self.known.new, []
         if not new:
             return
-        ids = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.chars += sum(map(len, new))
+        found: list = [None] * len(new)
+        other = [k for k, piece in enumerate(new) if not self._by_words(piece, k, found)]
+        for at in range(0, len(other), TOGETHER):
+            self._by_library([new[k] for k in other[at : at + TOGETHER]], other[at : at + TOGETHER], found)
+        length = np.fromiter(map(len, found), np.int64, len(found))
         self.offset = np.r_[self.offset, len(self.flat) + np.cumsum(length) - length]
         self.length = np.r_[self.length, length]
-        self.flat = np.r_[self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(length.sum()))]
-        self.chars += sum(map(len, new))
+        self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(length.sum()))]
+
+    def _by_words(self, piece: str, k: int, found: list) -> bool:
+        """found[k]: a printable ASCII piece's ids, from those of its words, each given to the library's model once."""
+        if self.pattern is None or not (piece.isascii() and piece.isprintable()) or "<|" in piece:
+            return False
+        ids: list[int] = []
+        for word in self.pattern.findall(piece.lower()):
+            if word not in self.words:
+                if len(self.words) >= KNOWN_WORDS:
+                    self.words.clear()
+                self.words[word] = [t.id for t in self.tokenizer.model.tokenize(word)]
+            ids += self.words[word]
+        found[k] = ids
+        return True
+
+    def _by_library(self, pieces: list[str], places: list[int], found: list) -> None:
+        """found at places: the pieces' ids from one call, told apart by where their tokens lie."""
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)
+        all_ids = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+        starts = np.fromiter((a for a, _ in all_ids.offsets), np.int64, len(all_ids))
+        cut = np.r_[0, np.searchsorted(starts, ends, side="left")].tolist()
+        ids = all_ids.ids
+        for k, start, end in zip(places, cut, cut[1:]):
+            found[k] = ids[start:end]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Each text's ids; stretches of bounded length, cut at white space, are looked up together."""
@@ -92,28 +131,49 @@ class Encoder:
         for stretch in _stretches(texts):
             if len(self.known) > KNOWN_PIECES or self.chars > KNOWN_CHARS:
                 self.forget()
-            pieces = [text.split(" ") for _, text in stretch]
-            count = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(pieces)), np.int64, int(count.sum()))
+            pieces = pc.ascii_split_whitespace(pa.array([text for _, text in stretch], pa.string()))
+            several = pieces.flatten().dictionary_encode()
+            distinct = several.dictionary.to_numpy(zero_copy_only=False).tolist()
+            number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
             self.learn()
+            index = number[several.indices.to_numpy()]
             length = self.length[index]
             ids = _gathered(self.flat, self.offset[index], length)
-            ends = np.cumsum(length)[np.cumsum(count) - 1]
+            last = np.cumsum(pieces.value_lengths().to_numpy())
+            ends = np.r_[0, np.cumsum(length)][last]
             for (k, _), start, end in zip(stretch, np.r_[0, ends[:-1]].tolist(), ends.tolist()):
                 parts[k].append(ids[start:end])
         return [np.concatenate(p) if len(p) != 1 else p[0] for p in parts]
 
 
+def _ascii_words(path: str):
+    """The pattern that cuts lower-cased printable ASCII into the words that the model gets, None where the file says more than that.
+
+    On such text composing does nothing, and bytes stand for themselves.
+    """
+    with open(path) as file:
+        said = json.load(file)
+    kinds = [x.get("type") for x in (said.get("normalizer") or {}).get("normalizers", [])]
+    steps = (said.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = dict(steps[0], pattern="") if steps else {}
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    if kinds != ["NFC", "Replace", "Lowercase"] or split != {"type": "Split", "pattern": "", "behavior": "Removed",
+            "invert": True} or steps[1:] != [plain] or said.get("post_processor") or not all(
+            x["content"].startswith("<|") for x in said.get("added_tokens", [])):
+        return None
+    # letters and digits by their ASCII ranges, which the standard module knows
+    pattern = steps[0]["pattern"].get("Regex", "")
+    return re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")) if pattern else None
+
+
 def _stretches(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
     """(number of the text, a part of it that ends at white space or with it), together by ``PIECE_CHARS``."""
     held, chars = [], 0
     for k, text in enumerate(texts):
-        for c in "\t\n\v\f\r":
-            text = text.replace(c, " ")
         at = 0
         while True:
-            end = len(text) if len(text) - at <= PIECE_CHARS else text.find(" ", at + PIECE_CHARS)
-            end = len(text) if end < 0 else end
+            m = _SPACE.search(text, at + PIECE_CHARS) if len(text) - at > PIECE_CHARS else None
+            end = m.start() if m else len(text)
             held.append((k, text[at:end]))
             chars += end - at
             at = end
@@ -160,13 +220,13 @@ def compressed(ids: np.ndarray, first: int, most: int = _SMALL) -> tuple[np.ndar
         chosen = chosen[np.lexsort((pairs[chosen], -count[chosen]))]
         left = (pairs[chosen] >> (32 if most > _SMALL else 16)).astype(np.int64)
         right = (pairs[chosen] & (0xFFFFFFFF if most > _SMALL else 0xFFFF)).astype(np.int64)
-        role = np.zeros(first + n, np.uint8)  # 1: left member, 2: right member, 3: both, of a pair of itself
+        role = bytearray(first + n)  # 1: left member, 2: right member, 3: both, of a pair of itself
         taken = _taken(left, right, role, most - first - n)
         made = np.c_[left[taken], right[taken]].astype(np.uint32)
         by_key = np.sort(pairs[chosen[taken]])
         number = np.empty(len(taken), np.uint32)
         number[np.searchsorted(by_key, pairs[chosen[taken]])] = first + n + np.arange(len(taken), dtype=np.uint32)
-        of = role[seq]
+        of = np.take(np.frombuffer(role, np.uint8), seq)
         at = np.flatnonzero((of[:-1] & 1 == 1) & (of[1:] & 2 == 2))
         place = np.searchsorted(by_key, key[at])
         hit = by_key[np.minimum(place, len(by_key) - 1)] == key[at]
@@ -187,7 +247,7 @@ def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[starts], np.diff(np.r_[starts, len(ordered)])
 
 
-def _taken(left: np.ndarray, right: np.ndarray, role: np.ndarray, most: int) -> np.ndarray:
+def _taken(left: np.ndarray, right: np.ndarray, role: bytearray, most: int) -> np.ndarray:
     """Places of the pairs that can be replaced together, from the first on; role gets each id's part in them."""
     found = []
     for k, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
@@ -247,14 +307,11 @@ class Shard:
         return symbols
 
     def all(self) -> np.ndarray:
-        """Every id: the rules' expansions, each gathered from those before it, then the symbols'."""
+        """Every id: the rules' expansions first, then the symbols', gathered from them."""
         if not len(self.rules):
             return self.symbols
-        used = np.unique(self.symbols[self.symbols >= self.first])
-        flat = self._expanded(used)
-        length = self.lengths[used - self.first]
-        before = np.zeros(len(self.rules), np.int64)
-        before[used - self.first] = np.cumsum(length) - length
+        flat = self._expanded(np.arange(self.first, self.first + len(self.rules)))
+        before = np.cumsum(self.lengths) - self.lengths
         low = np.arange(self.first)
         deep = self.symbols >= self.first
         offset = np.where(deep, self.first + before[np.maximum(self.symbols - self.first, 0)], self.symbols)
@@ -355,11 +412,11 @@ def _arrow(name: pa.DataType) -> pa.Schema:
 
 def placed(shards: DataFrame) -> DataFrame:
     """shards with start, the number of ids in all shards before."""
-    # one row for each task that wrote
+    # one row of two numbers for each task that wrote: bounded, so broadcast, which leaves the shards where they lie
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
     earlier = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select("part", F.coalesce(earlier, F.lit(0)).alias("__parts_before"))
-    return shards.join(parts, "part").withColumn("start", F.col("__parts_before") + F.col("before")).drop("__parts_before")
+    return shards.join(F.broadcast(parts), "part").withColumn("start", F.col("__parts_before") + F.col("before")).drop("__parts_before")
 
 
 def read_documents(shards: DataFrame, keep_ids: bool = True) -> DataFrame:
