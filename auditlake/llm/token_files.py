@@ -70,6 +70,36 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+class _Table(dict):
+    """Text -> number, given when the text first comes up, and the ids of each number."""
+
+    def __init__(self, make):
+        """make: texts -> (their ids one after another, how many each has)."""
+        super().__init__()
+        self.make, self.new, self.chars = make, [], 0
+        self.flat, self.offset, self.length = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def __missing__(self, text: str) -> int:
+        self[text] = n = len(self)
+        self.new.append(text)
+        return n
+
+    def numbers(self, texts: list[str]) -> np.ndarray:
+        found = np.fromiter(map(self.__getitem__, texts), np.int64, len(texts))
+        new, self.new = self.new, []
+        if new:
+            flat, length = self.make(new)
+            self.offset = np.r_[self.offset, len(self.flat) + np.cumsum(length) - length]
+            self.length, self.flat = np.r_[self.length, length], np.r_[self.flat, flat]
+            self.chars += sum(map(len, new))
+        return found
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all numbers, how many each has)."""
+        length = self.length[numbers]
+        return _gathered(self.flat, self.offset[numbers], length), length
+
+
 class Encoder:
     """Ids of texts by a tokenizers file whose vocabulary drops white space."""
 
@@ -78,73 +108,65 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.pattern = {}, _ascii_words(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known, self.chars = _Known(), 0
-        self.flat, self.offset, self.length = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def learn(self) -> None:
-        """Encode the pieces that came up new."""
-        new, self.known.new = self.known.new, []
-        if not new:
-            return
-        self.chars += sum(map(len, new))
-        found: list = [None] * len(new)
-        other = [k for k, piece in enumerate(new) if not self._by_words(piece, k, found)]
-        for at in range(0, len(other), TOGETHER):
-            self._by_library([new[k] for k in other[at : at + TOGETHER]], other[at : at + TOGETHER], found)
-        length = np.fromiter(map(len, found), np.int64, len(found))
-        self.offset = np.r_[self.offset, len(self.flat) + np.cumsum(length) - length]
-        self.length = np.r_[self.length, length]
-        self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(length.sum()))]
-
-    def _by_words(self, piece: str, k: int, found: list) -> bool:
-        """found[k]: a printable ASCII piece's ids, from those of its words, each given to the library's model once."""
-        if self.pattern is None or not (piece.isascii() and piece.isprintable()) or "<|" in piece:
-            return False
-        ids: list[int] = []
-        for word in self.pattern.findall(piece.lower()):
-            if word not in self.words:
-                if len(self.words) >= KNOWN_WORDS:
-                    self.words.clear()
-                self.words[word] = [t.id for t in self.tokenizer.model.tokenize(word)]
-            ids += self.words[word]
-        found[k] = ids
-        return True
-
-    def _by_library(self, pieces: list[str], places: list[int], found: list) -> None:
-        """found at places: the pieces' ids from one call, told apart by where their tokens lie."""
-        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)
-        all_ids = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
-        starts = np.fromiter((a for a, _ in all_ids.offsets), np.int64, len(all_ids))
-        cut = np.r_[0, np.searchsorted(starts, ends, side="left")].tolist()
-        ids = all_ids.ids
-        for k, start, end in zip(places, cut, cut[1:]):
-            found[k] = ids[start:end]
+        self.tokenizer, self.pattern = Tokenizer.from_file(path), _ascii_words(path)
+        self.pieces, self.words = _Table(self._pieces), _Table(self._words)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Each text's ids; stretches of bounded length, cut at white space, are looked up together."""
         parts: list[list[np.ndarray]] = [[] for _ in texts]
         for stretch in _stretches(texts):
-            if len(self.known) > KNOWN_PIECES or self.chars > KNOWN_CHARS:
-                self.forget()
+            if len(self.pieces) > KNOWN_PIECES or self.pieces.chars > KNOWN_CHARS:
+                self.pieces = _Table(self._pieces)
+            if len(self.words) > KNOWN_WORDS:
+                self.words = _Table(self._words)
             pieces = pc.ascii_split_whitespace(pa.array([text for _, text in stretch], pa.string()))
             several = pieces.flatten().dictionary_encode()
-            distinct = several.dictionary.to_numpy(zero_copy_only=False).tolist()
-            number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-            self.learn()
-            index = number[several.indices.to_numpy()]
-            length = self.length[index]
-            ids = _gathered(self.flat, self.offset[index], length)
-            last = np.cumsum(pieces.value_lengths().to_numpy())
-            ends = np.r_[0, np.cumsum(length)][last]
+            number = self.pieces.numbers(several.dictionary.to_numpy(zero_copy_only=False).tolist())
+            ids, length = self.pieces.ids(number[several.indices.to_numpy()])
+            ends = np.r_[0, np.cumsum(length)][np.cumsum(pieces.value_lengths().to_numpy())]
             for (k, _), start, end in zip(stretch, np.r_[0, ends[:-1]].tolist(), ends.tolist()):
                 parts[k].append(ids[start:end])
         return [np.concatenate(p) if len(p) != 1 else p[0] for p in parts]
 
+    def _pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Printable ASCII by its words, of which the model gets each once; other pieces by the whole tokenizer."""
+        plain = np.fromiter((self.pattern is not None and x.isascii() and x.isprintable() and "<|" not in x for x in new), bool,
+            len(new))
+        found = [self._by_words([x for x, ok in zip(new, plain.tolist()) if ok]),
+            self._by_library([x for x, ok in zip(new, plain.tolist()) if not ok])]
+        length = np.empty(len(new), np.int64)
+        length[plain], length[~plain] = found[0][1], found[1][1]
+        offset = np.empty(len(new), np.int64)
+        offset[plain] = np.cumsum(found[0][1]) - found[0][1]
+        offset[~plain] = len(found[0][0]) + np.cumsum(found[1][1]) - found[1][1]
+        return _gathered(np.r_[found[0][0], found[1][0]], offset, length), length
+
+    def _by_words(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not pieces:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        # a line for each piece; its end is a word without ids
+        number = self.words.numbers(["\n", *self.pattern.findall("\n".join(pieces).lower()), "\n"])
+        ids, length = self.words.ids(number)
+        ends = np.cumsum(length)[np.flatnonzero(number == number[0])]
+        return ids, np.diff(ends)
+
+    def _words(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        tokens = [[] if word == "\n" else [t.id for t in self.tokenizer.model.tokenize(word)] for word in new]
+        length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        return np.fromiter(chain.from_iterable(tokens), np.int32, int(length.sum())), length
+
+    def _by_library(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Many pieces to a call, told apart by where their tokens lie."""
+        ids, lengths = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for at in range(0, len(pieces), TOGETHER):
+            own = pieces[at : at + TOGETHER]
+            ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
+            found = self.tokenizer.encode(" ".join(own), add_special_tokens=False)
+            starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
+            ids.append(np.array(found.ids, np.int32))
+            lengths.append(np.bincount(np.searchsorted(ends, starts, side="right"), minlength=len(own)))
+        return np.concatenate(ids), np.concatenate(lengths)
+
 
 def _ascii_words(path: str):
     """The pattern that cuts lower-cased printable ASCII into the words that the model gets, None where the file says more than that.
@@ -163,7 +185,7 @@ def _ascii_words(path: str):
         return None
     # letters and digits by their ASCII ranges, which the standard module knows
     pattern = steps[0]["pattern"].get("Regex", "")
-    return re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")) if pattern else None
+    return re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9") + r"|\n") if pattern else None
 
 
 def _stretches(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
@@ -186,19 +208,6 @@ def _stretches(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
         yield held
 
 
-class _Known(dict):
-    """Piece -> number, given when the piece first comes up."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self)
-        self.new.append(piece)
-        return n
-
-
 def _gathered(flat: np.ndarray, offset: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The stretches of flat, one after another."""
     before = np.cumsum(length) - length
@@ -287,7 +296,6 @@ class Shard:
 
     def __init__(self, first: int, symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray):
         self.first, self.symbols, self.rules, self.lengths = first, symbols.astype(np.int64), rules.astype(np.int64), lengths
-        self.ends = np.cumsum(self._length(self.symbols))
 
     def _length(self, symbols: np.ndarray) -> np.ndarray:
         if not len(self.rules):
@@ -312,20 +320,21 @@ class Shard:
             return self.symbols
         flat = self._expanded(np.arange(self.first, self.first + len(self.rules)))
         before = np.cumsum(self.lengths) - self.lengths
-        low = np.arange(self.first)
-        deep = self.symbols >= self.first
-        offset = np.where(deep, self.first + before[np.maximum(self.symbols - self.first, 0)], self.symbols)
-        return _gathered(np.concatenate([low, flat]), offset, self._length(self.symbols))
+        # ids stand for themselves, nonterminals for a stretch after them
+        offset = np.concatenate([np.arange(self.first), self.first + before])
+        length = np.concatenate([np.ones(self.first, np.int64), self.lengths])
+        return _gathered(np.concatenate([np.arange(self.first), flat]), offset[self.symbols], length[self.symbols])
 
     def span(self, start: int, stop: int) -> np.ndarray:
         """The ids at start <= position < stop, from the symbols that cover them; nonterminals cut by an end are followed down by their lengths."""
-        total = int(self.ends[-1]) if len(self.ends) else 0
+        ends = np.cumsum(self._length(self.symbols))
+        total = int(ends[-1]) if len(ends) else 0
         start, stop = max(0, start), min(stop, total)
         if start >= stop:
             return np.empty(0, np.int64)
-        low, high = np.searchsorted(self.ends, [start, stop - 1], side="right")
+        low, high = np.searchsorted(ends, [start, stop - 1], side="right")
         cover = self.symbols[low : high + 1]
-        skip = start - (int(self.ends[low - 1]) if low else 0)
+        skip = start - (int(ends[low - 1]) if low else 0)
         left = stop - start
         # narrow both ends to what they need before anything is expanded
         while len(self.rules) and cover[0] >= self.first and skip:
