@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import collapse, tokens
+from auditlake.operators.membership import among, bitmaps
 from auditlake.operators.registry import FINDING, as_findings, payload
 from auditlake.operators.sketches import class_sizes, similar_classes
 from auditlake.storage import materialize
@@ -152,11 +153,34 @@ def near_findings(texts: DataFrame) -> DataFrame:
         payload(similar_to=F.col("other"), similarity=F.round("similarity", 3)))
 
 
+def _key(c: Column) -> Column:
+    """16 bytes that stand for a text."""
+    return F.unhex(F.substring(F.sha2(c.cast("binary"), 256), 1, 32))
+
+
 def block_findings(texts: DataFrame) -> DataFrame:
-    rows = texts.select("page_url", F.explode("content_blocks").alias("block")).distinct()
-    many = rows.groupBy("block").agg(F.count(F.lit(1)).alias("page_count")).filter(F.col("page_count") > BLOCK_PAGES)
-    return as_findings(rows.join(many, "block"), "content.block.repeated",
-        payload(excerpt=F.substring("block", 1, 200), page_count=F.col("page_count"), threshold=F.lit(BLOCK_PAGES)))
+    """A finding for each page and block of it that more than ``BLOCK_PAGES`` pages have.
+
+    First only keys of blocks and pages are exchanged and counted. The keys that are frequent make
+    a filter, by which blocks that stand on few pages go where they lie. What is left meets by key;
+    a key's least and greatest text tell whether two texts share it, and such texts are counted by
+    themselves.
+    """
+    blocks = texts.select("page_url", F.explode("content_blocks").alias("block")).withColumn("key", _key(F.col("block")))
+    seen = blocks.select("key", _key(F.col("page_url")).alias("page")).distinct()
+    often = seen.groupBy("key").agg(F.count(F.lit(1)).alias("page_count")).filter(F.col("page_count") > BLOCK_PAGES)
+    often = materialize(often, "frequent-blocks")
+    left = among(blocks, "key", bitmaps(often, "key"))
+    ends = left.groupBy("key").agg(F.min("block").alias("low"), F.max("block").alias("high")).join(often, "key")
+    ends = materialize(ends.select("key", "page_count", (F.col("low") == F.col("high")).alias("one")), "block-keys")
+    excerpt = F.substring("block", 1, 200).alias("excerpt")
+    rows = left.select("page_url", "key", excerpt).join(ends.filter("one"), "key").select("page_url", "key", "excerpt",
+        "page_count").distinct()
+    shared = left.join(ends.filter("not one").select("key"), "key").select("page_url", "block").distinct()
+    counts = shared.groupBy("block").agg(F.count(F.lit(1)).alias("page_count")).filter(F.col("page_count") > BLOCK_PAGES)
+    rows = rows.drop("key").union(shared.join(counts, "block").select("page_url", excerpt, "page_count"))
+    return as_findings(rows, "content.block.repeated",
+        payload(excerpt=F.col("excerpt"), page_count=F.col("page_count"), threshold=F.lit(BLOCK_PAGES)))
 
 
 def _keywords(c: Column) -> Column:

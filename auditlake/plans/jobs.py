@@ -14,12 +14,13 @@ from types import SimpleNamespace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake import storage
+from auditlake import snapshots, storage
 from auditlake.functions import text
 from auditlake.functions.html import extract
+from auditlake.functions.urls import host_of
 from auditlake.operators import content, scoring, structure, tech
-from auditlake.plans import catalog, compare, issues, oracles, projects, store
-from auditlake.sources import fetcher, fixtures, probes, robots, sitemaps, spelling
+from auditlake.plans import catalog, compare, issues, listing, oracles, projects, store
+from auditlake.sources import fetcher, fixtures, polite, probes, robots, sitemaps, spelling
 from auditlake.sources.fixtures import stored_crawl, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +78,23 @@ def crawl_site(s, d):
         "discovered_from", "fetch_error")
 
 
+def crawl_polite(s, d):
+    """A crawl from all pages over their links, answered from the pages as an archive, at most 25 URLs of a host in a round.
+
+    It stops after its second round and goes on from what it has committed.
+    """
+    answers = fixtures.fetched(s, d).filter("fetch_error is null")
+    hosts = answers.select(host_of(F.col("url")).alias("host")).distinct()
+    files = hosts.withColumn("robots_txt", F.lit("User-agent: *\nCrawl-delay: 1.5\nDisallow: /de/4"))
+    held = snapshots.Store(s, f"{storage.application_folder(s)}/{uuid.uuid4().hex}")
+    seeds = fixtures.fetched(s, d).select("url")
+    for rounds in (2, None):
+        polite.crawl(held, 1, seeds, polite.archived(answers), files, "auditlake", max_depth=3, per_host=25, rounds=rounds)
+    found = polite.pages(held, 1)
+    return found.select("url", "depth", "discovered_from", "status_code", "fetch_error",
+        F.when(F.col("depth") == 0, F.col("round")).alias("round"))
+
+
 def probe_external(s, d):
     return probes.probe(probes.external_targets(structure.edges(stored_crawl(s, d))), _made_answer).select("url",
         "status_code", "error")
@@ -302,8 +320,83 @@ def main_content_untagged(s, d):
     return extract(pages).select("page_id", "main_text", "main_word_count")
 
 
+def _crawl_tables(s, d) -> dict:
+    """All tables of the made crawl, as a commit takes them."""
+    pages, found = catalog._issues(s, d)
+    html = pages.filter("is_html")
+    return {
+        "pages": store.pages_table(html), "images": store.images_table(html), "blocks": store.blocks_table(html),
+        "links": store.links_table(html, _external_statuses(pages)),
+        "resources": store.resources_table(html, fixtures.statuses(tech.resources(pages))), "issues": found,
+        "scores": catalog._scores(s, d),
+    }
+
+
+def _committed(s, d) -> snapshots.Store:
+    """A crawl's first version with all its tables, a second with fewer pages, and a writer that stopped before its last table."""
+    def breaks() -> DataFrame:
+        raise ConnectionError("lost")
+
+    held = snapshots.Store(s, f"{storage.application_folder(s)}/{uuid.uuid4().hex}")
+    tables = _crawl_tables(s, d)
+    held.commit(1, tables)
+    held.commit(1, {name: tables[name].filter("status_code = 200 and depth < 4") for name in ("pages",)})
+    try:
+        held.commit(1, {"pages": tables["pages"].limit(0), "issues": breaks})
+    except ConnectionError:
+        pass
+    return held
+
+
+def crawl_committed(s, d):
+    """What each version of a crawl has, as its commit says; the writer that stopped has left no version."""
+    held = _committed(s, d)
+    first, *later = [held.contents(1, v) for v in held.versions(1)]
+    for x in later:
+        first = first.union(x)
+    return first.drop("crawl_id")
+
+
+def pages_committed(s, d):
+    """The pages of a crawl's last version beside those of the first."""
+    held = _committed(s, d)
+    now, before = held.read(1, "pages").select("page_id", "url"), held.read(1, "pages", 1).select("page_id", "title")
+    return before.join(now, "page_id", "left")
+
+
+def _listed(s, d, rows: DataFrame, *order) -> DataFrame:
+    path = f"{storage.application_folder(s)}/{uuid.uuid4().hex}"
+    listing.write(rows, path, *order)
+    return s.read.schema(f"place long, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}").parquet(path)
+
+
+def issue_list_keyset(s, d):
+    """Three pages of the list of all issues, each from the last place of the one before."""
+    rows = _listed(s, d, catalog._issues(s, d)[1].select("id", "rule_id", "severity", "page_url"), F.desc("severity"), "id")
+    shown, last = None, 0
+    for _ in range(3):
+        now = listing.page(rows, 50, last)
+        shown, last = now if shown is None else shown.union(now), last + 50
+    return shown
+
+
+def issue_list_keyset_filtered(s, d):
+    """Two pages of the issues of a category whose rule's name holds a word, from the last place of the one before."""
+    rows = _listed(s, d, catalog._issues(s, d)[1].select("id", "rule_id", "category", "severity", "page_url"), F.desc("severity"), "id")
+    like = (F.col("category") == "tech_meta") & F.lower("rule_id").like("%title%")
+    first = storage.materialize(listing.page(rows, 7, 0, like), "page")
+    last = first.agg(F.max("place")).first()[0] or 0
+    return first.union(listing.page(rows, 7, last, like)).select("id", "rule_id", "severity")
+
+
+def page_list_keyset(s, d):
+    """The second page of the list of pages by depth and id, by its offset."""
+    rows = _listed(s, d, stored_crawl(s, d).select("page_id", "url", "depth"), F.asc_nulls_last("depth"), "page_id")
+    return listing.at(rows, 100, 100).select("page_id", "url", "depth")
+
+
 _QUERIES = (
-    main_content_untagged, near_text_classes, near_text_pairs, near_text_members, report_examples, stored_scan, sitemaps_replaced, crawl_fetch, crawl_site, probe_external, probe_resources,
+    crawl_polite, crawl_committed, pages_committed, issue_list_keyset, issue_list_keyset_filtered, page_list_keyset, main_content_untagged, near_text_classes, near_text_pairs, near_text_members, report_examples, stored_scan, sitemaps_replaced, crawl_fetch, crawl_site, probe_external, probe_resources,
     spelling_probe, sitemap_seeds, sitemap_files, pages_stored, links_stored, resources_stored, blocks_stored,
     crawl_scores, score_deltas, issues_json, issue_list_total,
     page_list_total, project_list, project_get, project_create, project_patch, project_delete, crawl_list, crawl_get,
@@ -326,6 +419,21 @@ def _half(k: int) -> str:
 _NEAR = oracles._CONTENT["content.duplicate.near"]
 _NEAR_PAIRS = _NEAR[: _NEAR.rindex("SELECT")]
 SQL = {
+    "crawl_polite": rf"""WITH {_C}, a AS (SELECT url, min(status_code) FILTER (fetch_error IS NULL) AS status, min(origin) AS origin FROM crawl GROUP BY url), l AS (SELECT *, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) LIKE '/de/4%' AS shut FROM a),
+r AS (SELECT *, ((row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/?#]*)', 1) ORDER BY url) - 1) // 25)::INT AS round FROM l), {_E[1:]},
+n AS (SELECT target_url AS url, min(source_url) AS parent FROM edges JOIN l ON source_url = l.url WHERE is_internal AND NOT shut AND target_url NOT IN (SELECT url FROM a) GROUP BY target_url),
+m AS (SELECT *, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) LIKE '/de/4%' AS shut FROM n)
+SELECT url, 0::INT AS depth, NULL AS discovered_from, CASE WHEN NOT shut THEN coalesce(status, 404) END::INT AS status_code, CASE WHEN shut THEN 'blocked_by_robots' END AS fetch_error, round FROM r
+UNION ALL SELECT url, 1, parent, CASE WHEN NOT shut THEN 404 END, CASE WHEN shut THEN 'blocked_by_robots' END, NULL FROM m""",
+    "crawl_committed": f"""WITH {oracles._ISSUES}, {_E}, {_R}, n AS (SELECT (SELECT count(*) FROM crawl WHERE is_html) AS pages, (SELECT count(*) FROM crawl WHERE is_html AND status_code = 200 AND depth < 4) AS later,
+(SELECT count(*) FROM edges) AS links, (SELECT count(*) FROM res) AS resources, (SELECT sum(CASE p % 8 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END) FROM crawl WHERE is_html) AS images,
+(SELECT count(*) FROM (SELECT DISTINCT page_id, unnest(string_split({oracles._main_text('h')}, chr(10))) AS block FROM crawl WHERE is_html) WHERE len(string_split(block, ' ')) >= 5) AS blocks, (SELECT count(*) FROM issues) AS issues)
+SELECT v::INT AS version, t.name, (CASE t.name WHEN 'pages' THEN CASE v WHEN 1 THEN pages ELSE later END WHEN 'links' THEN links WHEN 'resources' THEN resources WHEN 'images' THEN images WHEN 'blocks' THEN blocks WHEN 'issues' THEN issues ELSE 3 END)::BIGINT AS rows
+FROM n, (VALUES (1), (2)) v(v), (VALUES ('pages'), ('links'), ('resources'), ('images'), ('blocks'), ('issues'), ('scores')) t(name)""",
+    "pages_committed": f"WITH {_C} SELECT page_id, title, CASE WHEN status_code = 200 AND depth < 4 THEN url END AS url FROM crawl WHERE is_html",
+    "issue_list_keyset": f"WITH {oracles._ISSUES} SELECT row_number() OVER (ORDER BY severity DESC, id) AS place, id, rule_id, severity, page_url FROM issues QUALIFY place <= 150",
+    "issue_list_keyset_filtered": f"WITH {oracles._ISSUES} SELECT id, rule_id, severity FROM issues WHERE category = 'tech_meta' AND lower(rule_id) LIKE '%title%' ORDER BY severity DESC, id LIMIT 14",
+    "page_list_keyset": f"WITH {_C} SELECT page_id, url, depth FROM crawl ORDER BY depth, page_id LIMIT 100 OFFSET 100",
     "main_content_untagged": oracles.SQL["main_content"],
     "near_text_classes": f"""{_NEAR_PAIRS.replace("WITH ", "WITH RECURSIVE ", 1)}, r AS (SELECT a AS node, a AS other FROM j UNION SELECT r.node, j.b FROM r JOIN j ON j.a = r.other),
 m AS (SELECT DISTINCT url, digest FROM docs WHERE words >= 50), k AS (SELECT node, min(other) AS class FROM r GROUP BY node), f AS (SELECT url, digest, coalesce(class, digest) AS class FROM m LEFT JOIN k ON node = digest)

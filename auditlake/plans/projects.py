@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.plans import listing
+
 INTERVAL_MIN, INTERVAL_MAX = 15, 525_600
 
 
@@ -114,16 +116,14 @@ def created(projects: DataFrame, new: DataFrame, now: datetime | Column | None =
     domain, and of those whose domain is taken, only the first is taken.
     """
     last = projects.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    numbered = new.withColumn("id", F.row_number().over(Window.orderBy("domain",
-                "name")).cast("long"))  # a batch of requests
+    numbered = listing.laid_out(new, "domain", "name").withColumnRenamed("place", "id")
     bad = invalid(numbered).filter("problem <> 'domain is taken'").groupBy("id").agg(F.min("problem").alias("problem"))
     taken = projects.select("domain").distinct().withColumn("taken", F.lit(True))
     first = F.row_number().over(Window.partitionBy("domain").orderBy("id")) == 1
     x = numbered.join(bad, "id", "left").join(taken, "domain", "left").withColumn("first", first)
     problem = F.coalesce("problem", F.when(F.col("taken") | ~F.col("first"), "domain is taken"))
     x = x.withColumn("problem", problem).withColumn("ok", F.when(F.col("problem").isNull(), 1).otherwise(0))
-    x = x.withColumn("n", F.sum("ok").over(Window.orderBy("id"))).withColumn("one",
-        F.lit(1)).join(F.broadcast(last.withColumn("one", F.lit(1))), "one")
+    x = listing.running(x.withColumnRenamed("id", "place"), "ok", "n").withColumn("one", F.lit(1)).join(F.broadcast(last.withColumn("one", F.lit(1))), "one")
     return x.select(*new.columns, F.when(F.col("ok") == 1, F.col("last") + F.col("n")).alias("id"),
         F.when(F.col("ok") == 1, next_time(F.col("schedule_interval_minutes"), now)).alias("next_scheduled_at"),
         "problem")

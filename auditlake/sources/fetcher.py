@@ -76,8 +76,12 @@ def process(found: DataFrame, robots: DataFrame, client: Callable, agent: str, r
     page has facts: it was answered well, as HTML and with a body.
     """
     gated = with_permission(found.select("url", "depth", "discovered_from"), robots, agent, respect)
-    pages = fetch(gated, client, partitions).withColumn("blocked_by_robots",
-        F.col("fetch_error").eqNullSafe(F.lit(BLOCKED)))
+    return facts(fetch(gated, client, partitions))
+
+
+def facts(pages: DataFrame) -> DataFrame:
+    """Fetched pages (``FETCHED``) with blocked_by_robots, is_html and, where that is true, what their HTML tells."""
+    pages = pages.withColumn("blocked_by_robots", F.col("fetch_error").eqNullSafe(F.lit(BLOCKED)))
     pages = pages.withColumn("is_html", ok() & is_html_type() & (F.octet_length("body") > 0))
     # read as UTF-8 unless the answer says otherwise or the bytes aren't; other encodings by their bytes
     said = F.lower(F.coalesce("encoding", F.lit("utf-8"))).isin("utf-8", "utf8", "ascii", "us-ascii")

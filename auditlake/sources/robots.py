@@ -39,6 +39,36 @@ def parse(text: str | None, agent: str) -> list[tuple[bool, str]]:
     return named if has_own else [r for names, rules in groups if "*" in names for r in rules]
 
 
+def delay(text: str | None, agent: str) -> float | None:
+    """The seconds between two requests that the file asks of the agent: of its own groups, or else of '*'; null if it doesn't say."""
+    named: list[str] = []
+    found: dict[bool, float] = {}
+    last = ""
+    for line in (text or "").splitlines():
+        key, _, value = line.split("#", 1)[0].partition(":")
+        key, value = key.strip().lower(), value.strip()
+        if key == "user-agent":
+            named = [*named, value.lower()] if last == key else [value.lower()]
+        elif key == "crawl-delay" and re.fullmatch(r"[0-9]+(\.[0-9]*)?", value):
+            if any(n != "*" and n in agent.lower() for n in named):
+                found.setdefault(True, float(value))
+            if "*" in named:
+                found.setdefault(False, float(value))
+        last = key or last
+    return found.get(True, found.get(False))
+
+
+def delays(robots: DataFrame, agent: str) -> DataFrame:
+    """(host, asked_delay_ms) of the hosts whose file asks for a delay."""
+
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: delay(t, agent)).astype(float)
+
+    rows = robots.select("host", of("robots_txt").alias("seconds")).filter(F.col("seconds").isNotNull() & ~F.isnan("seconds"))
+    return rows.groupBy("host").agg((F.max("seconds") * 1000).cast("long").alias("asked_delay_ms"))
+
+
 def allowed(rules: list[tuple[bool, str]], url: str) -> bool:
     parts = urlsplit(url)
     path = (parts.path or "/") + ("?" + parts.query if parts.query else "")
