@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.text import collapse, tokens
 from auditlake.operators.membership import among, bitmaps
-from auditlake.operators.registry import FINDING, as_findings, payload
+from auditlake.operators.registry import FINDING, as_findings, finding, payload
 from auditlake.operators.sketches import class_sizes, similar_classes
 from auditlake.storage import materialize
 
@@ -43,6 +43,23 @@ def with_text(pages: DataFrame) -> DataFrame:
         "main_text", "main_word_count", "content_blocks")
 
 
+def text_facts(texts: DataFrame) -> DataFrame:
+    """What the rules on texts need of each, from one pass over its words; to be written before they read it.
+
+    (page_url, main_word_count, doc, set, title_key, title_found, h1_key, h1_found, keywords): the
+    digest, the shingles' hashes of texts of enough words, the keywords of title and heading and
+    whether the text has them, the text's own keywords.
+    """
+    words = texts.select("page_url", "main_word_count", _digest().alias("doc"), tokens(F.col("main_text")).alias("__words"),
+        top_keyword(F.coalesce("title", F.lit(""))).alias("title_key"), top_keyword(F.coalesce("h1", F.lit(""))).alias("h1_key"))
+    found = lambda c: F.array_contains("__words", F.col(c)).alias(c.replace("key", "found"))
+    kept = F.filter("__words", _is_keyword)
+    enough = F.col("main_word_count") >= DUPLICATE_WORDS
+    facts = words.select("page_url", "main_word_count", "doc", "title_key", found("title_key"), "h1_key", found("h1_key"),
+        top_words(kept, TOP).alias("keywords"), F.when(enough, F.transform("__words", lambda w: F.xxhash64(w))).alias("__hashes"))
+    return facts.withColumn("set", F.when(F.col("__hashes").isNotNull(), _shingles("__hashes", SHINGLE))).drop("__hashes")
+
+
 def thin_findings(texts: DataFrame) -> DataFrame:
     return as_findings(texts.filter(F.col("main_word_count") < THIN), "content.thin",
         payload(word_count=F.col("main_word_count"), min=F.lit(THIN)))
@@ -57,7 +74,9 @@ def _eligible(texts: DataFrame) -> DataFrame:
 
 
 def duplicate_findings(texts: DataFrame) -> DataFrame:
-    rows = _eligible(texts).select("page_url", _digest().alias("digest"))
+    """Findings for pages of one text. texts or their facts; digests go in 32 bytes, and those that stand once don't meet URLs."""
+    doc = F.col("doc") if "doc" in texts.columns else _digest()
+    rows = _eligible(texts).select("page_url", F.unhex(doc).alias("digest"))
     few = rows.distinct().withColumn("n",
         F.row_number().over(Window.partitionBy("digest").orderBy("page_url"))).filter(F.col("n") <= SHOWN + 1)
     few = few.groupBy("digest").agg(F.array_sort(F.collect_list("page_url")).alias("few"))
@@ -86,6 +105,8 @@ def shingled(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
     The words are bound to a column before the runs are made: inside the lambda the text would be
     cut into words again for each run.
     """
+    if "set" in texts.columns:
+        return _eligible(texts).select("page_url", "doc", "set")
     words = _eligible(texts).select("page_url", _digest().alias("doc"),
         _word_hashes(F.col("main_text")).alias("__words"))
     return words.select("page_url", "doc", _shingles("__words", k).alias("set"))
@@ -126,17 +147,22 @@ def near_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     What the near-duplicate rule says, without a row for each pair of pages.
     """
-    sets = materialize(shingled(texts), "shingles")
+    sets = _written_sets(texts)
     return near_pairs(sets), sets.select("doc", "page_url").distinct()
 
 
+def _written_sets(texts: DataFrame) -> DataFrame:
+    """The sets of texts or of their facts, which are written already."""
+    return shingled(texts) if "set" in texts.columns else materialize(shingled(texts), "shingles")
+
+
 def text_classes(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(page_url, doc, class, texts, pages), a row for each page: near copies as classes in place of pairs.
 
     doc is the text's digest, class the smallest digest that similar texts reach, texts and pages how
     many different texts and pages the class has. Equal texts are sketched once.
     """
-    sets = materialize(shingled(texts), "shingles")
+    sets = _written_sets(texts)
     one = materialize(sets.select(F.col("doc").alias("id"), "set").dropDuplicates(["id"]), "texts")
     found = similar_classes(one, similar)
     pages = sets.select("page_url", "doc").distinct().join(found.withColumnRenamed("id", "doc"), "doc")
@@ -183,8 +209,12 @@ def block_findings(texts: DataFrame) -> DataFrame:
         payload(excerpt=F.col("excerpt"), page_count=F.col("page_count"), threshold=F.lit(BLOCK_PAGES)))
 
 
+def _is_keyword(w: Column) -> Column:
+    return (F.length(w) >= KEYWORD_LENGTH) & ~w.isin(*STOPWORDS)
+
+
 def _keywords(c: Column) -> Column:
-    return F.filter(tokens(c), lambda w: (F.length(w) >= KEYWORD_LENGTH) & ~w.isin(*STOPWORDS))
+    return F.filter(tokens(c), _is_keyword)
 
 
 def _most_frequent(words: Column) -> Column:
@@ -210,14 +240,18 @@ def top_keyword(c: Column) -> Column:
 
 
 def keyword_findings(texts: DataFrame) -> DataFrame:
-    rows = texts.select("page_url", top_keyword(F.coalesce("title", F.lit(""))).alias("title"),
-        top_keyword(F.coalesce("h1", F.lit(""))).alias("h1"), tokens(F.col("main_text")).alias("words"))
-    lacks = lambda c: F.col(c).isNotNull() & ~F.array_contains("words", F.col(c))
-    title = as_findings(rows.filter(lacks("title")), "content.keyword.title_not_in_body",
-        payload(keyword=F.col("title"), source=F.lit("title")))
-    h1 = rows.filter(lacks("h1") & ~F.col("h1").eqNullSafe(F.col("title")))
-    return title.union(as_findings(h1, "content.keyword.h1_not_in_body",
-            payload(keyword=F.col("h1"), source=F.lit("h1"))))
+    """Findings for titles and headings whose keyword isn't in the text, in one pass. texts or their facts."""
+    rows = texts
+    if "title_key" not in texts.columns:
+        rows = texts.select("page_url", top_keyword(F.coalesce("title", F.lit(""))).alias("title_key"),
+            top_keyword(F.coalesce("h1", F.lit(""))).alias("h1_key"), tokens(F.col("main_text")).alias("words"))
+        rows = rows.select("*", *[F.array_contains("words", F.col(f"{c}_key")).alias(f"{c}_found") for c in ("title", "h1")])
+    lacks = lambda c: F.col(f"{c}_key").isNotNull() & ~F.col(f"{c}_found")
+    url = F.col("page_url")
+    one = lambda c: finding(f"content.keyword.{c}_not_in_body", payload(keyword=F.col(f"{c}_key"), source=F.lit(c)), url)
+    title = F.when(lacks("title"), one("title"))
+    h1 = F.when(lacks("h1") & ~F.col("h1_key").eqNullSafe(F.col("title_key")), one("h1"))
+    return rows.select(F.inline(F.array_compact(F.array(title, h1)))).select(*FINDING)
 
 
 def top_words(words: Column, top: int) -> Column:
@@ -251,8 +285,10 @@ def page_keywords(texts: DataFrame, top: int = TOP) -> DataFrame:
     A page's words are bound to a column first, so that they are cut once. Rows of one URL each have
     their keywords.
     """
-    words = texts.select("page_url", _keywords(F.col("main_text")).alias("__words"))
-    best = words.select("page_url", F.posexplode(top_words(F.col("__words"), top)).alias("rank", "best"))
+    if "keywords" not in texts.columns or top != TOP:
+        words = texts.select("page_url", _keywords(F.col("main_text")).alias("__words"))
+        texts = words.select("page_url", top_words(F.col("__words"), top).alias("keywords"))
+    best = texts.select("page_url", F.posexplode("keywords").alias("rank", "best"))
     return best.select("page_url", F.col("best.word").alias("keyword"), (-F.col("best.n")).cast("long").alias("n"),
         (F.col("rank") + 1).alias("rank"))
 
@@ -284,6 +320,7 @@ def spelling_findings(results: DataFrame, least: int = SPELLING_ERRORS) -> DataF
 
 def content_findings(pages: DataFrame, spelling: DataFrame | None = None) -> DataFrame:
     texts = with_text(pages)
-    out = thin_findings(texts).union(duplicate_findings(texts)).union(near_findings(texts)).union(
-        block_findings(texts)).union(keyword_findings(texts)).union(cannibalization_findings(texts))
+    facts = materialize(text_facts(texts), "text-facts")
+    out = thin_findings(facts).union(duplicate_findings(facts)).union(near_findings(facts)).union(
+        block_findings(texts)).union(keyword_findings(facts)).union(cannibalization_findings(facts))
     return (out if spelling is None else out.union(spelling_findings(spelling))).select(*FINDING)

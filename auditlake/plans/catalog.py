@@ -31,6 +31,11 @@ def _texts(s: SparkSession, d: str) -> DataFrame:
     return content.with_text(document_pages(s, d))
 
 
+def _facts(s: SparkSession, d: str) -> DataFrame:
+    """The facts of the documents' texts, which the rules on texts read: made once in a session."""
+    return once(s, ("text-facts", d), lambda: content.text_facts(_texts(s, d)))
+
+
 def _spelling_results(rows: DataFrame) -> DataFrame:
     """Made matches of rows (i, url): i % 9 of them, an error for each 13th."""
     i = F.col("i")
@@ -76,12 +81,12 @@ def _group(rule_id: str) -> Query:
     else:
         f = {
             "content.thin": lambda s, d: content.thin_findings(_texts(s, d)),
-            "content.duplicate.page": lambda s, d: content.duplicate_findings(_texts(s, d)),
-            "content.duplicate.near": lambda s, d: content.near_findings(_texts(s, d)),
+            "content.duplicate.page": lambda s, d: content.duplicate_findings(_facts(s, d)),
+            "content.duplicate.near": lambda s, d: content.near_findings(_facts(s, d)),
             "content.block.repeated": lambda s, d: content.block_findings(_texts(s, d)),
-            "content.keyword.title_not_in_body": lambda s, d: content.keyword_findings(_texts(s, d)),
-            "content.keyword.h1_not_in_body": lambda s, d: content.keyword_findings(_texts(s, d)),
-            "content.keyword.cannibalization": lambda s, d: content.cannibalization_findings(_texts(s, d)),
+            "content.keyword.title_not_in_body": lambda s, d: content.keyword_findings(_facts(s, d)),
+            "content.keyword.h1_not_in_body": lambda s, d: content.keyword_findings(_facts(s, d)),
+            "content.keyword.cannibalization": lambda s, d: content.cannibalization_findings(_facts(s, d)),
             "content.spelling.errors": lambda s, d: content.spelling_findings(_spelled_documents(s, d)),
         }[rule_id]
     return lambda s, d: f(s, d).filter(F.col("rule_id") == rule_id)

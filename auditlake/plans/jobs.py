@@ -18,7 +18,7 @@ from auditlake import snapshots, storage
 from auditlake.functions import text
 from auditlake.functions.html import extract
 from auditlake.functions.urls import host_of
-from auditlake.operators import content, scoring, structure, tech
+from auditlake.operators import content, lexicon, scoring, structure, tech
 from auditlake.plans import catalog, compare, issues, listing, oracles, projects, store
 from auditlake.sources import fetcher, fixtures, polite, probes, robots, sitemaps, spelling
 from auditlake.sources.fixtures import stored_crawl, table
@@ -113,6 +113,24 @@ def spelling_probe(s, d):
     return x.select(F.col("url").cast("long").alias("doc_id"), "error", F.array_join(shown, "|").alias("matches"))
 
 
+def spelling_by_lexicon(s, d):
+    """Spelling errors in documents by the words of all of them: no service, no made matches."""
+    rows = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("url"), F.col("text").alias("main_text"),
+        F.col("lang").alias("language"))
+    x = lexicon.check(rows)
+    first = F.coalesce(F.array_join(F.get("matches", F.lit(0))["suggestions"], " "), F.lit(""))
+    return x.select(F.col("url").cast("long").alias("doc_id"), F.size("matches").alias("n_matches"), F.array_join("words", " ").alias("words"),
+        first.alias("first_suggestions"))
+
+
+def spelling_rule_by_lexicon(s, d):
+    """The pages that content.spelling.errors flags by the lexicon of their texts."""
+    rows = fixtures.document_pages(s, d).select("url", "main_text").join(table(s, d, "documents").select(F.concat(F.lit("https://"),
+        F.col("source"), F.lit(".example.com/"), F.col("doc_id").cast("string")).alias("url"), F.col("lang").alias("language")), "url")
+    found = content.spelling_findings(lexicon.check(rows))
+    return found.select("page_url", "rule_id", F.get_json_object("payload", "$.count").cast("int").alias("n"))
+
+
 def sitemap_seeds(s, d):
     k = F.col("page_id")
     named = F.when(k % 3 == 0, F.concat(F.lit("User-agent: *\nSITEMAP: https://h.example/a"), k.cast("string"),
@@ -396,7 +414,7 @@ def page_list_keyset(s, d):
 
 
 _QUERIES = (
-    crawl_polite, crawl_committed, pages_committed, issue_list_keyset, issue_list_keyset_filtered, page_list_keyset, main_content_untagged, near_text_classes, near_text_pairs, near_text_members, report_examples, stored_scan, sitemaps_replaced, crawl_fetch, crawl_site, probe_external, probe_resources,
+    spelling_by_lexicon, spelling_rule_by_lexicon, crawl_polite, crawl_committed, pages_committed, issue_list_keyset, issue_list_keyset_filtered, page_list_keyset, main_content_untagged, near_text_classes, near_text_pairs, near_text_members, report_examples, stored_scan, sitemaps_replaced, crawl_fetch, crawl_site, probe_external, probe_resources,
     spelling_probe, sitemap_seeds, sitemap_files, pages_stored, links_stored, resources_stored, blocks_stored,
     crawl_scores, score_deltas, issues_json, issue_list_total,
     page_list_total, project_list, project_get, project_create, project_patch, project_delete, crawl_list, crawl_get,
@@ -416,9 +434,17 @@ def _half(k: int) -> str:
     return f"(SELECT category, round(greatest(0::DOUBLE, least(100::DOUBLE, 100 * (1 - load / capacity))), 2) AS score FROM (SELECT category, sum(coalesce(n, 0) * weight * {oracles._MULTIPLIER}) AS load, sum(weight) * 1.5::DOUBLE * (SELECT count(*) FROM crawl WHERE is_html) AS capacity FROM rules LEFT JOIN (SELECT rule_id, count(*) AS n FROM issues WHERE page_id % 2 = {k} GROUP BY rule_id) USING (rule_id) GROUP BY category))"
 
 
+_SLIPS = r"""t AS (SELECT doc_id, source, lang, regexp_extract_all(lower(text), '[\p{L}]+') AS w FROM documents), c AS (SELECT lang, word, count(*) AS pages FROM (SELECT lang, unnest(list_distinct(w)) AS word FROM t) GROUP BY ALL),
+g AS (SELECT *, unnest(list_distinct(list_prepend(word, list_transform(range(1, length(word) + 1), lambda i: word[1:i - 1] || word[i + 1:])))) AS form FROM c WHERE length(word) >= 4 AND (pages >= 10 OR pages <= 2)),
+p AS (SELECT DISTINCT a.lang, a.word, b.word AS known, b.pages FROM g a JOIN g b ON a.lang IS NOT DISTINCT FROM b.lang AND a.form = b.form WHERE a.pages <= 2 AND length(a.word) >= 5 AND b.pages >= 10
+  AND (list_contains(list_transform(range(1, length(a.word) + 1), lambda i: a.word[1:i - 1] || a.word[i + 1:]), b.word) OR list_contains(list_transform(range(1, length(b.word) + 1), lambda i: b.word[1:i - 1] || b.word[i + 1:]), a.word) OR length(a.word) = length(b.word) AND len(list_filter(list_zip(list_transform(range(1, length(a.word) + 1), lambda i: a.word[1:i - 1] || a.word[i + 1:]), list_transform(range(1, length(b.word) + 1), lambda i: b.word[1:i - 1] || b.word[i + 1:])), lambda x: x[1] = x[2])) > 0 OR length(a.word) = length(b.word) AND list_contains(list_transform(range(1, length(a.word)), lambda i: a.word[1:i - 1] || a.word[i + 1] || a.word[i] || a.word[i + 2:]), b.word))),
+e AS (SELECT lang, word, array_to_string((list(known ORDER BY pages DESC, known))[1:5], ' ') AS suggestions FROM p GROUP BY ALL),
+m AS (SELECT doc_id, i, e.word, suggestions FROM (SELECT doc_id, lang, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t) x JOIN e ON x.word = e.word AND x.lang IS NOT DISTINCT FROM e.lang)"""
 _NEAR = oracles._CONTENT["content.duplicate.near"]
 _NEAR_PAIRS = _NEAR[: _NEAR.rindex("SELECT")]
 SQL = {
+    "spelling_by_lexicon": f"WITH {_SLIPS} SELECT doc_id, count(m.word)::INT AS n_matches, coalesce(string_agg(DISTINCT m.word, ' ' ORDER BY m.word), '') AS words, coalesce(arg_min(suggestions, i), '') AS first_suggestions FROM documents LEFT JOIN m USING (doc_id) WHERE text IS NOT NULL GROUP BY doc_id",
+    "spelling_rule_by_lexicon": f"WITH {_SLIPS} SELECT 'https://' || source || '.example.com/' || doc_id AS page_url, 'content.spelling.errors' AS rule_id, count(*)::INT AS n FROM m JOIN t USING (doc_id) GROUP BY ALL HAVING count(*) >= 5",
     "crawl_polite": rf"""WITH {_C}, a AS (SELECT url, min(status_code) FILTER (fetch_error IS NULL) AS status, min(origin) AS origin FROM crawl GROUP BY url), l AS (SELECT *, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) LIKE '/de/4%' AS shut FROM a),
 r AS (SELECT *, ((row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/?#]*)', 1) ORDER BY url) - 1) // 25)::INT AS round FROM l), {_E[1:]},
 n AS (SELECT target_url AS url, min(source_url) AS parent FROM edges JOIN l ON source_url = l.url WHERE is_internal AND NOT shut AND target_url NOT IN (SELECT url FROM a) GROUP BY target_url),

@@ -61,11 +61,28 @@ def discard(df: DataFrame) -> None:
 
 
 def once(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table of that key, written when the session first asks for it, read from then on."""
+    """The table of that key, written when the session first asks for it, read from then on.
+
+    key: what the table is, and the folder that it is made from; other files there, or changed ones,
+    make it anew.
+    """
     known = spark.sparkContext.__dict__.setdefault("_auditlake_tables", {})
-    if key not in known:
-        known[key] = materialize(make(), str(key[0]))
-    return known[key]
+    at = (*key, _stamp(spark, key[1]))
+    if at not in known:
+        known[at] = materialize(make(), str(key[0]))
+    return known[at]
+
+
+def _stamp(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of the files in a folder's tables, one level of folders deep."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(context._jsc.hadoopConfiguration())
+    found = []
+    for entry in system.listStatus(path) if system.exists(path) else []:
+        inside = system.listStatus(entry.getPath()) if entry.isDirectory() else [entry]
+        found += [(str(f.getPath()), f.getLen(), f.getModificationTime()) for f in inside]
+    return tuple(sorted(found))
 
 
 def spread(df: DataFrame) -> DataFrame:
