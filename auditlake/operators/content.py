@@ -196,7 +196,7 @@ def block_findings(texts: DataFrame) -> DataFrame:
     seen = blocks.select("key", _key(F.col("page_url")).alias("page")).distinct()
     often = seen.groupBy("key").agg(F.count(F.lit(1)).alias("page_count")).filter(F.col("page_count") > BLOCK_PAGES)
     often = materialize(often, "frequent-blocks")
-    left = among(blocks, "key", bitmaps(often, "key"))
+    left = materialize(among(blocks, "key", bitmaps(often, "key")), "repeated-blocks")
     ends = left.groupBy("key").agg(F.min("block").alias("low"), F.max("block").alias("high")).join(often, "key")
     ends = materialize(ends.select("key", "page_count", (F.col("low") == F.col("high")).alias("one")), "block-keys")
     excerpt = F.substring("block", 1, 200).alias("excerpt")
@@ -219,7 +219,8 @@ def _keywords(c: Column) -> Column:
 
 def _most_frequent(words: Column) -> Column:
     """The most frequent of an array of words, the first among equals; null without one. One pass over the sorted words."""
-    at = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    # sort_array compares by itself, array_sort by a lambda
+    at = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("at"), F.lit(None).cast("string").alias("word"),
         F.lit(None).cast("string").alias("w"), F.lit(0).alias("c"), F.lit(0).alias("f"))
 
@@ -261,13 +262,13 @@ def top_words(words: Column, top: int) -> Column:
     nothing else leaves it.
     """
     entry = "struct<n:int,at:int,word:string>"
-    at = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    at = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
     nothing = F.lit(None).cast(entry)
     start = F.struct(F.array().cast(f"array<{entry}>").alias("best"), nothing.alias("run"))
 
     def kept(s: Column) -> Column:
         """The best with the run that has ended."""
-        better = F.slice(F.array_sort(F.concat(s["best"], F.array(s["run"]))), 1, top)
+        better = F.slice(F.sort_array(F.concat(s["best"], F.array(s["run"]))), 1, top)
         return F.when(s["run"].isNull(), s["best"]).otherwise(better)
 
     def step(s: Column, x: Column) -> Column:

@@ -66,22 +66,31 @@ def check(texts: DataFrame, **bounds: int) -> DataFrame:
     """(url, error, matches) of texts (url, main_text, language), as a spelling service has them: a match for each place of an error."""
     texts = texts.filter("main_text is not null").select("url", "main_text", F.coalesce("language", F.lit("")).alias("language"))
     wrong = materialize(errors(texts, **bounds), "errors").withColumn("key", F.xxhash64("language", "word"))
-    pieces = texts.select("url", "language", F.regexp_extract_all("main_text", F.lit(_PIECES), F.lit(1)).alias("pieces"))
-    # a piece of context has a character at least
-    around = lambda i: F.array_join(F.slice("pieces", F.greatest(i + 1 - CONTEXT, F.lit(1)), F.least(i, F.lit(CONTEXT))), "")
-    after = lambda i: F.array_join(F.slice("pieces", i + 2, F.lit(CONTEXT)), "")
-    places = pieces.select("url", "language", F.explode(F.filter(F.transform("pieces", lambda p, i: F.struct(i.alias("at"), F.lower(
-        p).alias("word"))), lambda x: F.length(x["word"]) >= bounds.get("letters", LETTERS))).alias("x"), "pieces")
-    places = places.withColumn("key", F.xxhash64("language", "x.word"))
-    found = among(places, "key", bitmaps(wrong, "key"))
-    excerpt = F.concat(F.right(around(F.col("x.at")), F.lit(CONTEXT)), F.get("pieces", F.col("x.at")), F.left(after(F.col("x.at")),
-        F.lit(CONTEXT)))
-    found = found.select("url", "language", "key", F.col("x.at").alias("at"), F.col("x.word").alias("word"), F.substring(F.trim(F.regexp_replace(
-        excerpt, r"\s+", " ")), 1, EXCERPT).alias("excerpt"))
-    each = found.join(wrong, ["key", "language", "word"]).select("url", F.struct("at", F.struct(F.lit(RULE_ID).alias("rule_id"),
-        F.lit(MESSAGE).alias("message"), F.lit(SHORT).alias("short_message"), "excerpt", "suggestions").alias("match")).alias("place"), "word")
-    byurl = each.groupBy("url").agg(F.array_sort(F.collect_list("place")).getField("match").alias("matches"), F.array_sort(F.collect_set(
-        "word")).alias("words"))
+    filters = bitmaps(wrong, "key")
+    pieces = F.regexp_extract_all("main_text", F.lit(_PIECES), F.lit(1))
+    # only a word's place leaves the text, not the text with each word
+    words = F.filter(F.transform(pieces, lambda p, i: F.struct(i.alias("at"), F.lower(p).alias("word"))),
+        lambda x: F.length(x["word"]) >= bounds.get("letters", LETTERS))
+    places = texts.select("url", "language", F.inline(words)).withColumn("key", F.xxhash64("language", "word"))
+    found = among(places, "key", filters).join(wrong, ["key", "language", "word"])
+    found = found.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("at", "word", "suggestions"))).alias("places"))
+    found = materialize(found, "places")
+    # of the texts only those with errors meet their places
+    own = among(texts.select("url", "main_text"), "url", bitmaps(found, "url")).join(found, "url").select("url", "places",
+        pieces.alias("pieces"))
+    byurl = own.select("url", F.transform("places", _match).alias("matches"), F.array_sort(F.array_distinct(F.transform("places",
+        lambda x: x["word"]))).alias("words"))
     none = "array<struct<rule_id:string,message:string,short_message:string,excerpt:string,suggestions:array<string>>>"
     return texts.select("url").join(byurl, "url", "left").select("url", F.lit(None).cast("string").alias("error"), F.coalesce("matches",
         F.array().cast(none)).alias("matches"), F.coalesce("words", F.array().cast("array<string>")).alias("words"))
+
+
+def _match(x: Column) -> Column:
+    """A place of an error as a service has it, with the text around it from the column pieces, of which each has a character at least."""
+    at = x["at"]
+    before = F.array_join(F.slice("pieces", F.greatest(at + 1 - CONTEXT, F.lit(1)), F.least(at, F.lit(CONTEXT))), "")
+    after = F.array_join(F.slice("pieces", at + 2, F.lit(CONTEXT)), "")
+    excerpt = F.concat(F.right(before, F.lit(CONTEXT)), F.get("pieces", at), F.left(after, F.lit(CONTEXT)))
+    excerpt = F.substring(F.trim(F.regexp_replace(excerpt, r"\s+", " ")), 1, EXCERPT)
+    return F.struct(F.lit(RULE_ID).alias("rule_id"), F.lit(MESSAGE).alias("message"), F.lit(SHORT).alias("short_message"),
+        excerpt.alias("excerpt"), x["suggestions"].alias("suggestions"))

@@ -111,7 +111,7 @@ def similar_classes(texts: DataFrame, similar: float) -> DataFrame:
     texts is read several times and should be written; no two rows have the same id.
     """
     sized = texts.select("id", F.size("set").alias("n"), "set").filter("n > 0")
-    meeting = banded(sketches(sized))
+    meeting = banded(materialize(sketches(sized), "sketches"))
     several = meeting.groupBy("band").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
     members = materialize(meeting.join(several.drop("__n"), "band"), "bands")
     # sets of which the smaller has too few shingles can't be similar enough
@@ -133,8 +133,9 @@ def similar_classes(texts: DataFrame, similar: float) -> DataFrame:
     across = few.join(mixed.select("band", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("class").alias("cb")),
         "band").filter((F.col("ca") != F.col("cb")) & close(F.col("na"), F.col("nb")))
     across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = linked.union(_verified(across, texts, similar))
-    found = classes(links)
+    more = materialize(_verified(across, texts, similar), "links")
+    # a component stands for the links that made it
+    found = known if more.isEmpty() else classes(known.select(F.col("node").alias("a"), F.col("class").alias("b")).union(more))
     return texts.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id",
         F.coalesce("class", "id").alias("class"))
 

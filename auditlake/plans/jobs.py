@@ -115,7 +115,7 @@ def spelling_probe(s, d):
 
 def spelling_by_lexicon(s, d):
     """Spelling errors in documents by the words of all of them: no service, no made matches."""
-    rows = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("url"), F.col("text").alias("main_text"),
+    rows = storage.spread(table(s, d, "documents")).select(F.col("doc_id").cast("string").alias("url"), F.col("text").alias("main_text"),
         F.col("lang").alias("language"))
     x = lexicon.check(rows)
     first = F.coalesce(F.array_join(F.get("matches", F.lit(0))["suggestions"], " "), F.lit(""))
@@ -319,16 +319,16 @@ def sitemaps_replaced(s, d):
 
 def near_text_pairs(s, d):
     """Similar texts without their copies; near_text_members has the pages of each text."""
-    return content.near_classes(content.with_text(fixtures.document_pages(s, d)))[0].withColumn("similarity", F.round("similarity", 6))
+    return content.near_classes(catalog._facts(s, d))[0].withColumn("similarity", F.round("similarity", 6))
 
 
 def near_text_members(s, d):
-    return content.near_classes(content.with_text(fixtures.document_pages(s, d)))[1]
+    return content.near_classes(catalog._facts(s, d))[1]
 
 
 def near_text_classes(s, d):
     """Near copies as classes: a row for each page, found by sketches and verified by the exact index."""
-    return content.text_classes(content.with_text(fixtures.document_pages(s, d)))
+    return content.text_classes(catalog._facts(s, d))
 
 
 def main_content_untagged(s, d):
