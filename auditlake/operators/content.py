@@ -15,6 +15,7 @@ from auditlake.functions.text import collapse, tokens
 from auditlake.operators.membership import among, bitmaps
 from auditlake.operators.registry import FINDING, as_findings, finding, payload
 from auditlake.operators.sketches import class_sizes, similar_classes
+from auditlake.operators.tech import shared
 from auditlake.storage import materialize
 
 THIN, DUPLICATE_WORDS, SIMILAR, SHINGLE, BLOCK_PAGES, KEYWORD_LENGTH, TOP, SHOWN, SPELLING_ERRORS = 100, 50, 0.85, 4, 3, 4, 3, 5, 5
@@ -77,13 +78,14 @@ def duplicate_findings(texts: DataFrame) -> DataFrame:
     """Findings for pages of one text. texts or their facts; digests go in 32 bytes, and those that stand once don't meet URLs."""
     doc = F.col("doc") if "doc" in texts.columns else _digest()
     rows = _eligible(texts).select("page_url", F.unhex(doc).alias("digest"))
-    few = rows.distinct().withColumn("n",
-        F.row_number().over(Window.partitionBy("digest").orderBy("page_url"))).filter(F.col("n") <= SHOWN + 1)
-    few = few.groupBy("digest").agg(F.array_sort(F.collect_list("page_url")).alias("few"))
-    many = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("count")).filter("count > 1").join(few, "digest")
-    others = F.slice(F.array_remove("few", F.col("page_url")), 1, SHOWN)
-    return as_findings(rows.join(many, "digest"), "content.duplicate.page",
-        payload(duplicate_of=others, count=F.col("count")))
+    return as_findings(shared(rows.withColumnRenamed("digest", "value")), DUPLICATE, duplicate_payload())
+
+
+DUPLICATE = "content.duplicate.page"
+
+
+def duplicate_payload() -> Column:
+    return payload(duplicate_of=F.col("others"), count=F.col("count"))
 
 
 def _word_hashes(c: Column) -> Column:

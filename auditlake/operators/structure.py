@@ -41,8 +41,12 @@ def orphan_findings(pages: DataFrame) -> DataFrame:
     """Pages, but for the start page, that no internal link leads to; a link to itself counts."""
     start = pages.filter("is_html and depth = 0").select(F.col("url").alias("page_url"))
     linked = edges(pages).filter("is_internal").select(F.col("target_url").alias("page_url"))
-    rows = _html_urls(pages).join(start.union(linked).distinct(), "page_url", "left_anti")
-    return as_findings(rows, "structure.inlinks.none", F.lit("{}"))
+    return as_findings(unlinked(_html_urls(pages), start.union(linked)), "structure.inlinks.none", F.lit("{}"))
+
+
+def unlinked(urls: DataFrame, reached: DataFrame) -> DataFrame:
+    """The URLs (page_url) that are not among those that something leads to."""
+    return urls.join(reached.distinct(), "page_url", "left_anti")
 
 
 def outlink_findings(pages: DataFrame) -> DataFrame:
@@ -52,21 +56,31 @@ def outlink_findings(pages: DataFrame) -> DataFrame:
             payload(count=F.col("count"), threshold=F.lit(MANY_LINKS))))
 
 
-def anchor_findings(pages: DataFrame) -> DataFrame:
-    rows = edges(pages).select(F.col("source_url").alias("page_url"), "target_url",
+def anchors(pages: DataFrame) -> DataFrame:
+    """(page_url, target_url, shown, anchor): links with a text, as it is shown and in lower case."""
+    return edges(pages).select(F.col("source_url").alias("page_url"), "target_url",
         strip(F.col("anchor_text")).alias("shown")).withColumn("anchor", F.lower("shown")).filter("anchor <> ''")
+
+
+def anchor_findings(pages: DataFrame) -> DataFrame:
+    rows = anchors(pages)
     generic = as_findings(rows.filter(F.col("anchor").isin(*GENERIC)), "structure.anchor.generic",
         payload(anchor=F.col("shown"), target=F.col("target_url")))
+    return generic.union(as_findings(ambiguous(rows), AMBIGUOUS, payload(anchor=F.col("anchor"), targets=F.col("targets"))))
+
+
+AMBIGUOUS = "structure.anchor.ambiguous"
+
+
+def ambiguous(rows: DataFrame) -> DataFrame:
+    """(anchor, page_url, targets) of ``anchors`` rows whose text leads to several targets."""
     # a few targets suffice to show; two tell that a text is ambiguous
     targets = rows.select("anchor", "target_url").distinct()
     few = targets.withColumn("n", F.row_number().over(Window.partitionBy("anchor").orderBy("target_url"))).filter(
         F.col("n") <= SHOWN)
     few = few.groupBy("anchor").agg(F.array_sort(F.collect_list("target_url")).alias("targets")).filter(
         F.size("targets") > 1)
-    sources = rows.select("anchor", "page_url").distinct()
-    ambiguous = as_findings(sources.join(few, "anchor"), "structure.anchor.ambiguous",
-        payload(anchor=F.col("anchor"), targets=F.col("targets")))
-    return generic.union(ambiguous)
+    return rows.select("anchor", "page_url").distinct().join(few, "anchor")
 
 
 def canonical_findings(pages: DataFrame, base_url: str) -> DataFrame:

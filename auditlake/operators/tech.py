@@ -83,24 +83,34 @@ def page_findings(pages: DataFrame) -> DataFrame:
     return pages.select(F.inline(F.filter(F.array(*rules), lambda f: f.isNotNull())))
 
 
-def _shared(pages: DataFrame, column: str, rule_id: str, shown: Column, name: str) -> DataFrame:
+def values(pages: DataFrame, column: str) -> DataFrame:
+    """(page_url, value) of HTML pages that have a text in the column."""
     rows = pages.filter("is_html").select(F.col("url").alias("page_url"),
         F.nullif(F.col(column), F.lit("")).alias("raw")).filter("raw is not null")
-    rows = rows.select("page_url", strip(F.col("raw")).alias("value"))
+    return rows.select("page_url", strip(F.col("raw")).alias("value"))
+
+
+def shared(rows: DataFrame) -> DataFrame:
+    """rows (page_url, value) whose value other rows have too, with count and others, some of their URLs."""
     few = rows.distinct().withColumn("n",
         F.row_number().over(Window.partitionBy("value").orderBy("page_url"))).filter(F.col("n") <= EXAMPLES + 1)
     few = few.groupBy("value").agg(F.array_sort(F.collect_list("page_url")).alias("few"))
     many = rows.groupBy("value").agg(F.count(F.lit(1)).alias("count")).filter("count > 1").join(few, "value")
-    others = F.slice(F.array_remove("few", F.col("page_url")), 1, EXAMPLES)
-    return as_findings(rows.join(many, "value"), rule_id,
-        payload(**{name: shown, "count": F.col("count"), "other_urls": others}))
+    return rows.join(many, "value").withColumn("others", F.slice(F.array_remove("few", F.col("page_url")), 1, EXAMPLES)).drop("few")
+
+
+#: Columns whose values should be a page's own: rule, and payload of rows of ``shared``.
+OWN_VALUES = {
+    "title": ("meta.title.duplicate", lambda: payload(title=F.col("value"), count=F.col("count"), other_urls=F.col("others"))),
+    "meta_description": ("meta.description.duplicate", lambda: payload(description=F.substring("value", 1, 200), count=F.col("count"),
+        other_urls=F.col("others"))),
+}
 
 
 def duplicate_findings(pages: DataFrame) -> DataFrame:
     """Titles and descriptions that several pages share."""
-    titles = _shared(pages, "title", "meta.title.duplicate", F.col("value"), "title")
-    return titles.union(_shared(pages, "meta_description", "meta.description.duplicate", F.substring("value", 1, 200),
-            "description"))
+    titles, descriptions = (as_findings(shared(values(pages, column)), rule_id, data()) for column, (rule_id, data) in OWN_VALUES.items())
+    return titles.union(descriptions)
 
 
 def resources(pages: DataFrame) -> DataFrame:

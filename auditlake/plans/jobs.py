@@ -22,6 +22,7 @@ from auditlake.operators import content, lexicon, scoring, structure, tech
 from auditlake.plans import catalog, compare, issues, listing, oracles, projects, store
 from auditlake.sources import fetcher, fixtures, polite, probes, robots, sitemaps, spelling
 from auditlake.sources.fixtures import stored_crawl, table
+from auditlake.streaming import across
 
 Query = Callable[[SparkSession, str], DataFrame]
 ROBOTS = "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /fr/ # part\nAllow: /fr/1"
@@ -388,6 +389,15 @@ def _listed(s, d, rows: DataFrame, *order) -> DataFrame:
     return s.read.schema(f"place long, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}").parquet(path)
 
 
+def incremental_audit(s, d):
+    """The findings of rules across pages after the crawl has arrived in three batches, the last ones first."""
+    pages = stored_crawl(s, d)
+    audit = across.Audit(snapshots.Store(s, f"{storage.application_folder(s)}/{uuid.uuid4().hex}"), 1)
+    for batch in range(3):
+        audit.add(pages.filter(F.col("page_id") % 3 == 2 - batch), batch)
+    return audit.findings()
+
+
 def issue_list_keyset(s, d):
     """Three pages of the list of all issues, each from the last place of the one before."""
     rows = _listed(s, d, catalog._issues(s, d)[1].select("id", "rule_id", "severity", "page_url"), F.desc("severity"), "id")
@@ -414,7 +424,7 @@ def page_list_keyset(s, d):
 
 
 _QUERIES = (
-    spelling_by_lexicon, spelling_rule_by_lexicon, crawl_polite, crawl_committed, pages_committed, issue_list_keyset, issue_list_keyset_filtered, page_list_keyset, main_content_untagged, near_text_classes, near_text_pairs, near_text_members, report_examples, stored_scan, sitemaps_replaced, crawl_fetch, crawl_site, probe_external, probe_resources,
+    incremental_audit, spelling_by_lexicon, spelling_rule_by_lexicon, crawl_polite, crawl_committed, pages_committed, issue_list_keyset, issue_list_keyset_filtered, page_list_keyset, main_content_untagged, near_text_classes, near_text_pairs, near_text_members, report_examples, stored_scan, sitemaps_replaced, crawl_fetch, crawl_site, probe_external, probe_resources,
     spelling_probe, sitemap_seeds, sitemap_files, pages_stored, links_stored, resources_stored, blocks_stored,
     crawl_scores, score_deltas, issues_json, issue_list_total,
     page_list_total, project_list, project_get, project_create, project_patch, project_delete, crawl_list, crawl_get,
@@ -443,6 +453,9 @@ m AS (SELECT doc_id, i, e.word, suggestions FROM (SELECT doc_id, lang, unnest(w)
 _NEAR = oracles._CONTENT["content.duplicate.near"]
 _NEAR_PAIRS = _NEAR[: _NEAR.rindex("SELECT")]
 SQL = {
+    "incremental_audit": " UNION ALL ".join(f"SELECT page_url, rule_id, category, severity, payload FROM ({q})" for q in (
+        *(oracles.RULE_SQL[i] for i in ("meta.title.duplicate", "meta.description.duplicate", "structure.inlinks.none",
+            "structure.anchor.ambiguous")), oracles._CONTENT["content.duplicate.page"].replace(oracles._DOCS, f"{_C}, {oracles._CRAWL_DOCS}"))),
     "spelling_by_lexicon": f"WITH {_SLIPS} SELECT doc_id, count(m.word)::INT AS n_matches, coalesce(string_agg(DISTINCT m.word, ' ' ORDER BY m.word), '') AS words, coalesce(arg_min(suggestions, i), '') AS first_suggestions FROM documents LEFT JOIN m USING (doc_id) WHERE text IS NOT NULL GROUP BY doc_id",
     "spelling_rule_by_lexicon": f"WITH {_SLIPS} SELECT 'https://' || source || '.example.com/' || doc_id AS page_url, 'content.spelling.errors' AS rule_id, count(*)::INT AS n FROM m JOIN t USING (doc_id) GROUP BY ALL HAVING count(*) >= 5",
     "crawl_polite": rf"""WITH {_C}, a AS (SELECT url, min(status_code) FILTER (fetch_error IS NULL) AS status, min(origin) AS origin FROM crawl GROUP BY url), l AS (SELECT *, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) LIKE '/de/4%' AS shut FROM a),
