@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -15,18 +14,34 @@ from auditlake.functions.urls import normalize
 from auditlake.sources.frontier import settled
 
 MAX_DEPTH, MAX_SITEMAPS = 3, 50
+#: Bytes that a gzipped sitemap may hold: the protocol's 50 MB.
+MOST_BYTES = 52_428_800
 _LOC = r"(?i)<loc>\s*([^<]+?)\s*</loc>"
 
 
-def decoded(bodies: DataFrame) -> DataFrame:
-    """(url, xml, error) of (url, body binary): gunzipped where the name or the first bytes say so."""
+def inflated(data: bytes, most: int = MOST_BYTES) -> bytes:
+    """The gzip members in data; an error as soon as they hold more than ``most`` bytes, of which no more are ever made."""
+    out = bytearray()
+    while data:
+        member = zlib.decompressobj(wbits=31)
+        out += member.decompress(data, most + 1 - len(out))
+        if len(out) > most:
+            raise OSError(f"more than {most} bytes inflated")
+        if not member.eof:
+            raise EOFError("the file ends before its end mark")
+        data = member.unused_data.lstrip(b"\0")
+    return bytes(out)
+
+
+def decoded(bodies: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """(url, xml, error) of (url, body binary): gunzipped where the name or the first bytes say so, an error where it is more than ``most`` bytes."""
 
     def gunzip(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for links, data in parts:
             xml, error = [], []
             for u, b in zip(links, data):
                 try:
-                    raw = gzip.decompress(b) if b is not None and (u.lower().endswith(".gz")
+                    raw = inflated(b, most) if b is not None and (u.lower().endswith(".gz")
                         or b[:2] == b"\x1f\x8b") else b
                     xml.append(raw.decode("utf-8", "replace") if raw is not None else None)
                     error.append("no response" if raw is None else None)
@@ -45,25 +60,31 @@ class _Locs(HTMLParser):
 
     def __init__(self):
         super().__init__()
-        self.stack: list[tuple[str, int | None]] = []  # open elements, with the number of their loc
+        self.stack: list[str] = []
+        self.open: dict[str, list[int]] = {}  # places on the stack by name
+        self.inside: list[tuple[int, int]] = []  # (place, number) of the open locs
         self.locs: list[str] = []
 
     def handle_starttag(self, tag, attrs):
-        self.stack.append((tag, len(self.locs) if tag == "loc" else None))
         if tag == "loc":
+            self.inside.append((len(self.stack), len(self.locs)))
             self.locs.append("")
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(tag)
 
     handle_startendtag = handle_starttag  # in HTML the slash closes nothing
 
     def handle_endtag(self, tag):
-        where = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
-        if where is not None:
-            del self.stack[where:]
+        if self.open.get(tag):
+            place = self.open[tag][-1]
+            while len(self.stack) > place:
+                self.open[self.stack.pop()].pop()
+            while self.inside and self.inside[-1][0] >= place:
+                self.inside.pop()
 
     def handle_data(self, data):
-        for _, loc in self.stack:
-            if loc is not None:
-                self.locs[loc] += data.strip()
+        for _, loc in self.inside:
+            self.locs[loc] += data.strip()
 
 
 def _html_locs(text: str) -> list[str]:

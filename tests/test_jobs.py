@@ -133,3 +133,34 @@ def test_formats(spark):
     sizes = spark.createDataFrame([(None,), (1023,), (1024,), (1048575,), (1048576,)], "n long")
     assert [r[0] for r in sizes.select(text.format_bytes(F.col("n"))).collect()] == ["—", "1023 B", "1.0 KB",
         "1024.0 KB", "1.0 MB"]
+
+
+def test_sitemaps_are_inflated_up_to_a_bound(spark):
+    import gzip
+    import tracemalloc
+
+    from auditlake.sources import sitemaps
+
+    bomb = gzip.compress(bytes(200_000_000))
+    tracemalloc.start()
+    with pytest.raises(OSError, match="more than"):
+        sitemaps.inflated(bomb, 1_000_000)
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000  # what it holds is not made
+    tracemalloc.stop()
+    members = gzip.compress(b"<urlset><loc>/a</loc>") + gzip.compress(b"</urlset>") + b"\0\0"
+    rows = [("https://s.example/bomb.xml.gz", bomb), ("https://s.example/two.xml.gz", members), ("https://s.example/cut.xml.gz", members[:20]),
+        ("https://s.example/none.xml.gz", b""), ("https://s.example/no.xml.gz", b"plain")]
+    got = {r["url"].split("/")[-1].split(".")[0]: r for r in sitemaps.decoded(spark.createDataFrame(rows, "url string, body binary")).collect()}
+    assert got["two"]["xml"] == "<urlset><loc>/a</loc></urlset>" and got["none"]["xml"] == ""
+    assert all(got[k]["xml"] is None and got[k]["error"] for k in ("bomb", "cut", "no"))
+
+
+def test_odd_sitemaps_are_parsed_in_linear_time():
+    import time
+
+    from auditlake.sources import sitemaps
+
+    assert sitemaps._html_locs("<loc a=1>x</loc><loc>y<b></loc>z</b><loc>w") == ["x", "y", "w"]
+    began = time.process_time()
+    sitemaps._html_locs("<b>" * 50_000 + "</i>" * 50_000 + "</b>" * 50_000)
+    assert time.process_time() - began < 10
