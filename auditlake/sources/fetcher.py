@@ -2,7 +2,7 @@
 
 The client is the caller's: ``client("GET", url)`` returns an object with status_code, url (the
 final one), history (URLs of the redirects), headers, content and encoding, or raises. Failures
-become rows, never exceptions. URLs are dealt to tasks by hash, each is fetched once.
+become rows, never exceptions. URLs are dealt to tasks by hash, as many as they need, each is fetched once.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from auditlake.functions.html import extract
 from auditlake.functions.urls import is_same_site
 from auditlake.sources.frontier import MAX_DEPTH, MAX_PAGES
+from auditlake.sources.probes import URLS_A_TASK
 from auditlake.sources.robots import with_permission
-from auditlake.storage import materialize
+from auditlake.storage import in_tasks, materialize
 
 BLOCKED = "blocked_by_robots"
 HTML_TYPES = ("text/html", "application/xhtml+xml")
@@ -53,7 +54,7 @@ def _one(client: Callable, url: str, allowed: bool) -> tuple:
         return url, None, took(), None, b"", None, None, [], f"{type(e).__name__}: {e}"[:500]
 
 
-def fetch(found: DataFrame, client: Callable, partitions: int = 8) -> DataFrame:
+def fetch(found: DataFrame, client: Callable, partitions: int | None = None) -> DataFrame:
     """``FETCHED`` of the rows (url, depth, discovered_from, allowed); what robots.txt forbids is not asked for."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,11 +66,12 @@ def fetch(found: DataFrame, client: Callable, partitions: int = 8) -> DataFrame:
 
     columns = found.select("url", F.col("depth").cast("int").alias("depth"),
         F.col("discovered_from").cast("string").alias("discovered_from"), "allowed")
-    return columns.repartition(partitions, "url").mapInPandas(run, FETCHED)
+    dealt = columns.repartition(partitions, "url") if partitions else in_tasks(columns, "url", URLS_A_TASK)
+    return dealt.mapInPandas(run, FETCHED)
 
 
 def process(found: DataFrame, robots: DataFrame, client: Callable, agent: str, respect: bool = True,
-        partitions: int = 8) -> DataFrame:
+        partitions: int | None = None) -> DataFrame:
     """The crawled pages of the rows (url, depth, discovered_from): gate, fetch, and the facts of those that are HTML.
 
     robots (host, robots_txt) has a row for each host that has the file. is_html tells that the
@@ -91,7 +93,7 @@ def facts(pages: DataFrame) -> DataFrame:
 
 
 def crawl_site(spark: SparkSession, base_url: str, robots: DataFrame, client: Callable, agent: str,
-        max_pages: int = MAX_PAGES, max_depth: int = MAX_DEPTH, respect: bool = True, partitions: int = 8) -> DataFrame:
+        max_pages: int = MAX_PAGES, max_depth: int = MAX_DEPTH, respect: bool = True, partitions: int | None = None) -> DataFrame:
     """The crawled pages of the site, level by level; each level is fetched once and written before it is read.
 
     Links are followed whether nofollow or not, from pages of the start's site to URLs that those

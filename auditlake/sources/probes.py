@@ -13,9 +13,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.storage import in_tasks
 
-def probe(found: DataFrame, client: Callable, partitions: int = 8) -> DataFrame:
-    """(url, status_code, error, response_time_ms) of the distinct URLs in column url: HEAD, then GET where HEAD is refused."""
+#: URLs that a task asks for, one after another.
+URLS_A_TASK = 500
+
+
+def probe(found: DataFrame, client: Callable, partitions: int | None = None) -> DataFrame:
+    """(url, status_code, error, response_time_ms) of the distinct URLs in column url: HEAD, then GET where HEAD is refused.
+
+    partitions: how many tasks ask, so many as the URLs need if not said; a task that is run again asks for its own URLs only.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -33,8 +41,9 @@ def probe(found: DataFrame, client: Callable, partitions: int = 8) -> DataFrame:
             yield pd.DataFrame(rows, columns=["url", "status_code", "error",
                     "response_time_ms"]).astype({"status_code": "Int32", "response_time_ms": "int32"})
 
-    return found.select("url").filter(F.col("url").isNotNull()).distinct().repartition(partitions,
-        "url").mapInPandas(run, "url string, status_code int, error string, response_time_ms int")
+    asked = found.select("url").filter(F.col("url").isNotNull()).distinct()
+    asked = asked.repartition(partitions, "url") if partitions else in_tasks(asked, "url", URLS_A_TASK)
+    return asked.mapInPandas(run, "url string, status_code int, error string, response_time_ms int")
 
 
 def external_targets(edges: DataFrame) -> DataFrame:

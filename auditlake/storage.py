@@ -85,6 +85,13 @@ def _stamp(spark: SparkSession, folder: str) -> tuple:
     return tuple(sorted(found))
 
 
+def in_tasks(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """df, written and dealt by key to tasks of about that many rows, to all cores at least: for tasks that wait for others to answer."""
+    written = materialize(df, "asked")
+    n, cores = written.count(), df.sparkSession.sparkContext.defaultParallelism
+    return written.repartition(max(1, min(n, cores), -(-n // rows)), key)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df, dealt to all cores if its input lies in fewer splits than there are cores.
 
