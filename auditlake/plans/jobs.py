@@ -9,6 +9,7 @@ from __future__ import annotations
 import gzip
 import uuid
 from collections.abc import Callable
+from functools import partial
 from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,10 +42,11 @@ def _made_answer(method: str, url: str) -> SimpleNamespace:
         headers={"Content-Type": kind, "content-encoding": "br"}, content=body, encoding="utf-8")
 
 
-def _made_site(method: str, url: str) -> SimpleNamespace:
-    """A site of pages 0, 1, 2, ..., of which each links to two more, one with nofollow, and to another site."""
+def _made_site(method: str, url: str, n: int = 1 << 60) -> SimpleNamespace:
+    """A site of n pages 0, 1, 2, ..., of which each links to two more, one with nofollow, and to another site."""
     i = int(url.rsplit("/", 1)[1])
-    links = f'<a href="/{2 * i + 1}#x">a</a><a rel="nofollow" href="{2 * i + 2}">b</a><a href="https://other.example/{i}">c</a><a href="/{i}">self</a>'
+    more = [f'<a href="/{2 * i + 1}#x">a</a>', f'<a rel="nofollow" href="{2 * i + 2}">b</a>'][: max(0, n - 1 - 2 * i)]
+    links = "".join(more) + f'<a href="https://other.example/{i}">c</a><a href="/{i}">self</a>'
     return SimpleNamespace(status_code=200, url=url, history=[], headers={"content-type": "text/html"},
         content=f"<html><body>{links}</body></html>".encode(), encoding=None)
 
@@ -73,10 +75,11 @@ def crawl_fetch(s, d):
 
 
 def crawl_site(s, d):
-    """A crawl of a made site within the usual bounds; its robots.txt forbids one page."""
+    """A crawl of a site of as many pages as the table has; its robots.txt forbids one of them, and so what only that leads to."""
     files = s.createDataFrame([("s.example", "User-agent: *\nDisallow: /13$")], "host string, robots_txt string")
-    return fetcher.crawl_site(s, "https://s.example/0", files, _made_site, "auditlake").select("url", "depth",
-        "discovered_from", "fetch_error")
+    n = table(s, d, "pages").count()
+    found = fetcher.crawl_site(s, "https://s.example/0", files, partial(_made_site, n=n), "auditlake", max_pages=n, max_depth=64)
+    return found.select("url", "depth", "discovered_from", "fetch_error")
 
 
 def crawl_polite(s, d):
@@ -487,7 +490,7 @@ a AS (SELECT *, length(url) AS n, NOT (page_id % 2 = 0 AND path LIKE '/fr/%' AND
 SELECT url AS requested_url, CASE WHEN answered AND n % 5 = 1 THEN url || '/moved' ELSE url END AS url, CASE WHEN answered THEN CASE WHEN n % 11 = 2 THEN 404 ELSE 200 END END::INT AS status_code,
 CASE WHEN NOT allowed THEN 'blocked_by_robots' WHEN NOT answered THEN 'ConnectionError: no route' END AS fetch_error, CASE WHEN answered THEN 'br' END AS content_encoding, (answered AND n % 5 = 1)::INT AS hops, NOT allowed AS blocked_by_robots,
 answered AND n % 11 <> 2 AND n % 13 <> 4 AND n % 17 <> 5 AS is_html, CASE WHEN answered AND n % 11 <> 2 AND n % 13 <> 4 AND n % 17 <> 5 THEN 'Page ' || n END AS title FROM f""",
-    "crawl_site": "SELECT 'https://s.example/' || i AS url, floor(log2(i + 1))::INT AS depth, CASE WHEN i > 0 THEN 'https://s.example/' || (i - 1) // 2 END AS discovered_from, CASE WHEN i = 13 THEN 'blocked_by_robots' END AS fetch_error FROM range(63) r(i) WHERE i NOT IN (27, 28, 55, 56, 57, 58)",
+    "crawl_site": "SELECT 'https://s.example/' || i AS url, floor(log2(i + 1))::INT AS depth, CASE WHEN i > 0 THEN 'https://s.example/' || (i - 1) // 2 END AS discovered_from, CASE WHEN i = 13 THEN 'blocked_by_robots' END AS fetch_error FROM (SELECT unnest(range(count(*))) AS i FROM pages) WHERE NOT list_contains(list_transform(range(1, 50), lambda k: (i + 1) >> k::INT), 14)",
     "probe_external": f"WITH {_C}, {_E} {_probed('SELECT target_url AS url FROM edges WHERE NOT is_internal')}",
     "probe_resources": f"WITH {_C}, {_R} {_probed('SELECT url FROM res')}",
     "spelling_probe": r"""WITH t AS (SELECT doc_id, substr(text, 1, 8000) AS text FROM documents), n AS (SELECT *, length(text) AS n FROM t WHERE regexp_replace(text, '\s', '', 'g') <> '')
