@@ -10,8 +10,9 @@ The store lies outside memory. Leaves are hashed where their rows are read, so t
 exchange, and written; sorted runs of them give each leaf its coordinate (group, place), which is
 written too, so that nothing run again can change it. Each level is written as a Parquet table of
 its own: it reads the one below and holds for each run its hash and its members' hashes, an eighth
-of the rows. Proofs come by merge joins down the levels on the coordinate of the run, so that a
-path moves once for each run of leaves, never for each leaf. All of it is built-in expressions.
+of the rows. Proofs come by merge joins down the levels on the coordinate of the run, each level's
+paths written before the next reads them; a path moves once for each run of leaves, never for each
+leaf. All of it is built-in expressions.
 
 Defined cases: a null field counts as said; null groups are one group and come first; null and
 equal order values are ordered by the leaf's hash (equal leaves change nothing by changing
@@ -107,7 +108,8 @@ def paths(t: Tree, above: DataFrame) -> DataFrame:
             "members", "path", *kept)
         if down is not None:
             runs = runs.union(_stepped(level.filter("n > 1").select("g", "i", "members"), down, kept, ["members"]))
-        down = runs
+        # an eighth of the rows below; written, so that no plan holds more than one level and a lost executor costs no more
+        down = materialize(runs, f"merkle-paths-{k + 1}")
     own = [c for c in t.leaves.columns if c not in ("g", "i", "n")]
     alone = t.leaves.filter("n = 1").join(tops.filter("level = -1").drop("level"), "g")
     found = alone.select("g", "i", *own, "path", *kept)
@@ -143,7 +145,7 @@ def manifest(rows: DataFrame, order: list[str]) -> DataFrame:
     joined = tree(groups.roots().select(F.lit("").alias("g"), "h", F.col("g").alias("group")), ["group"])
     top = joined.roots().select("g", F.array().cast(_PATH).alias("path"), F.col("h").alias("root"))
     above = paths(joined, top).select(F.col("group").alias("g"), "path", F.col("h").alias("subroot"), "root")
-    return paths(groups, above)
+    return paths(groups, materialize(above, "merkle-groups"))
 
 
 def merkle_manifest(docs: DataFrame) -> DataFrame:
