@@ -7,8 +7,10 @@ each host's delay, counted from its last request, also that of an earlier round.
 all have an answer is expanded to the next one.
 
 All state is in a store of commits: ``found-<level>`` (url, host, depth, discovered_from, ord) are
-a level's URLs, ``pages-<level>-<round>`` the answers of a round. Each is one commit, so a driver
-that is lost costs the round that it was in; ``crawl`` with the same store goes on behind it.
+a level's URLs, ``pages-<level>-<round>`` the answers from that round on, with the round of each.
+Each is one commit, so a driver that is lost costs the round that it was in; ``crawl`` with the
+same store goes on behind it. An archive keeps no host waiting, so all rounds of a level that are
+still to come are one commit there; the work of a crawl doesn't grow with its rounds.
 
 Answers come from ``live`` (a client, asked at the pace of each host) or ``archived`` (a table of
 stored answers, joined by URL).
@@ -72,10 +74,11 @@ def archived(answers: DataFrame) -> Fetch:
             "body": F.coalesce(F.col("__html").cast("binary"), F.lit(b"")), "encoding": F.lit(None).cast("string"),
             "content_encoding": F.lit(None).cast("string"), "redirect_chain": F.array().cast("array<string>"),
             "fetch_error": F.when(~asked, fetcher.BLOCKED), "depth": F.col("depth"), "discovered_from": F.col("discovered_from"),
-            "asked_ms": F.col("last_ms") + F.col("n") * F.col("delay_ms"),
+            "asked_ms": F.col("last_ms") + F.col("n") * F.col("delay_ms"), "round": F.col("round"),
         }
         return x.select(*[v.alias(k) for k, v in values.items()])
 
+    fetch.waits = False
     return fetch
 
 
@@ -97,9 +100,14 @@ def crawl(store: Store, crawl_id: int, seeds: DataFrame, fetch: Fetch, robots: D
         level = max(int(n.split("-")[1]) for n in names if n.startswith("found-"))
         asked = sorted(n for n in names if n.startswith(f"pages-{level}-"))
         if names[f"found-{level}"]["rows"] > sum(names[n]["rows"] for n in asked):
-            wave = _wave(store, crawl_id, level, asked, robots, agent, per_host, delay_ms, respect)
-            store.commit(crawl_id, {f"pages-{level}-{len(asked):06d}": fetcher.facts(fetch(wave))})
-            done += 1
+            first = _rounds(store, crawl_id, asked[-1]) if asked else 0
+            at_once = 1 if getattr(fetch, "waits", True) else None if rounds is None else rounds - done
+            wave = _wave(store, crawl_id, level, asked, robots, agent, per_host, delay_ms, respect, first, at_once)
+            answers = fetcher.facts(fetch(wave))
+            name = f"pages-{level}-{first:06d}"
+            store.commit(crawl_id, {name: answers if "round" in answers.columns else answers.withColumn("round", F.lit(first))})
+            if rounds is not None:
+                done += 1 if at_once == 1 else _rounds(store, crawl_id, name) - first
             continue
         reached = sum(names[n]["rows"] for n in names if n.startswith("found-"))
         if level == max_depth or reached >= max_pages or not names[f"found-{level}"]["rows"]:
@@ -108,6 +116,11 @@ def crawl(store: Store, crawl_id: int, seeds: DataFrame, fetch: Fetch, robots: D
     return False
 
 
+def _rounds(store: Store, crawl_id: int, name: str) -> int:
+    """The rounds of a level up to the last one in that table."""
+    return store.read(crawl_id, name).agg(F.max("round")).first()[0] + 1
+
+
 def _at_most(rows: DataFrame, n: int) -> DataFrame:
     return rows.limit(n) if n < 1 << 31 else rows
 
@@ -117,18 +130,26 @@ def _union(store: Store, crawl_id: int, names: list[str], *columns: str) -> Data
 
 
 def _wave(store: Store, crawl_id: int, level: int, asked: list[str], robots: DataFrame, agent: str, per_host: int, delay_ms: int,
-        respect: bool) -> DataFrame:
-    """The next URLs of each host: (url, host, depth, discovered_from, ord, n, delay_ms, last_ms, allowed), n from 1 in each host."""
+        respect: bool, first: int = 0, rounds: int | None = 1) -> DataFrame:
+    """The next URLs of each host: (url, host, depth, discovered_from, ord, n, delay_ms, round, last_ms, allowed), n from 1 in each host.
+
+    first: the number of the next round; rounds: how many of them, all that are left if not said.
+    """
     waiting = store.read(crawl_id, f"found-{level}")
     if asked:
         waiting = waiting.join(_union(store, crawl_id, asked, "requested_url"), F.col("url") == F.col("requested_url"), "left_anti")
-    # a host's rows are cut to per_host where they lie, before they meet
     turn = F.row_number().over(Window.partitionBy("host").orderBy("ord"))
-    wave = waiting.withColumn("n", turn).filter(F.col("n") <= per_host)
+    wave = waiting.withColumn("n", turn)
+    if rounds is not None:  # a host's rows are cut where they lie, before they meet
+        wave = wave.filter(F.col("n") <= min(per_host * rounds, (1 << 31) - 1))
     asks = robots_txt.delays(robots, agent) if respect else robots.select("host", F.lit(0).alias("asked_delay_ms")).limit(0)
     wave = wave.join(asks, "host", "left").withColumn("delay_ms",
         F.greatest(F.lit(delay_ms), F.coalesce("asked_delay_ms", F.lit(0))).cast("long")).drop("asked_delay_ms")
-    wave = wave.filter((F.col("n") == 1) | (F.col("n") * F.col("delay_ms") <= ROUND_MS))
+    # what a host's delay allows in a round, one URL at least
+    allowed = F.when(F.col("delay_ms") > 0, F.greatest(F.lit(1), F.least(F.lit(per_host), F.floor(F.lit(ROUND_MS) / F.col("delay_ms"))))).otherwise(per_host)
+    wave = wave.withColumn("round", (F.floor((F.col("n") - 1) / allowed) + first).cast("int"))
+    if rounds is not None:
+        wave = wave.filter(F.col("round") < first + rounds)
     before = [n for n in store.commit_of(crawl_id)["tables"] if n.startswith("pages-")]
     if before:
         last = _union(store, crawl_id, before, "requested_url", "asked_ms").groupBy(host_of(F.col("requested_url")).alias("host")).agg(
@@ -154,4 +175,4 @@ def _next_level(store: Store, crawl_id: int, level: int, asked: list[str], room:
 def pages(store: Store, crawl_id: int) -> DataFrame:
     """The pages that a crawl has asked for so far, with the level and round of each."""
     names = [n for n in store.commit_of(crawl_id)["tables"] if n.startswith("pages-")]
-    return reduce(DataFrame.unionByName, (store.read(crawl_id, n).withColumn("round", F.lit(int(n.split("-")[2]))) for n in names))
+    return _union(store, crawl_id, names, *store.read(crawl_id, names[0]).columns)

@@ -149,3 +149,13 @@ def test_a_live_crawl(spark, store):
     ("User-agent: other\nCrawl-delay: 9", "bot", None), ("User-agent: *\nCrawl-delay: soon", "bot", None)])
 def test_delays_of_robots_files(text, agent, want):
     assert robots.delay(text, agent) == want
+
+
+def test_an_archive_answers_all_rounds_of_a_level_in_one_commit(spark, store):
+    seeds = spark.createDataFrame([(f"https://h{0 if i % 3 else i}.example/{i:02d}",) for i in range(60)], "url string")
+    none = spark.createDataFrame([], "url string, status_code int, html string")
+    for rounds in (2, None):
+        polite.crawl(store, 1, seeds, polite.archived(none), files(spark), "bot", per_host=7, max_depth=0, rounds=rounds)
+    assert len(store.versions(1)) == 3  # the seeds, two rounds, and the rest
+    own = sorted((r["url"], r["round"]) for r in polite.pages(store, 1).collect() if "/h0." in r["url"])
+    assert [r for _, r in own] == [i // 7 for i in range(len(own))] and len(own) > 35
