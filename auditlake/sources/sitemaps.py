@@ -95,7 +95,7 @@ def _html_locs(text: str) -> list[str]:
 
 
 def parsed(sitemaps: DataFrame) -> DataFrame:
-    """(url, is_index, locs) of (url, xml): the places named, resolved against the sitemap's URL and normalised.
+    """(url, is_index, locs, ...) of (url, xml, ...): the places named, resolved against the sitemap's URL and normalised.
 
     Where the pattern finds none but there is "<loc", as with attributes or spaces in the tag, the text is parsed as HTML.
     """
@@ -108,7 +108,8 @@ def parsed(sitemaps: DataFrame) -> DataFrame:
     resolve.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
     locs = F.regexp_extract_all("xml", F.lit(_LOC), F.lit(1))
     odd = F.when((F.size(locs) == 0) & F.lower("xml").contains("<loc"), F.col("xml"))
-    return sitemaps.select("url", F.coalesce(F.lower("xml").contains("<sitemapindex"), F.lit(False)).alias("is_index"),
+    others = [c for c in sitemaps.columns if c not in ("url", "xml")]
+    return sitemaps.select(*others, "url", F.coalesce(F.lower("xml").contains("<sitemapindex"), F.lit(False)).alias("is_index"),
         F.pandas_udf(resolve, "array<string>")("url", locs, odd).alias("locs"))
 
 

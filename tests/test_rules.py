@@ -1,5 +1,7 @@
 """Truth tables of rules on hand-made pages, and queries against their SQL on the small tables."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -408,3 +410,39 @@ def test_queries_are_listed_without_a_session():
             cwd=root, capture_output=True, text=True)
     assert out.returncode == 0, out.stderr
     assert int(out.stdout.split()[-1]) > 80
+
+
+def test_pages_of_one_url_each_have_their_findings(spark):
+    schema = ("page_id long, url string, is_html boolean, depth int, title string, meta_description string, links array<struct<target_url:string,"
+        "anchor_text:string,rel:string,is_internal:boolean,is_followed:boolean>>, resources array<string>")
+    page = lambda i, u, depth=1: (i, f"https://a.example/{u}", True, depth, "Same", None, [], ["r"])
+    pages = spark.createDataFrame([page(1, "x"), page(2, "x"), page(3, "y"), page(4, "z", 0), page(5, "z")], schema)
+    count = lambda found, rule: sorted(r["page_url"][-1] for r in found.filter(F.col("rule_id") == rule).collect())
+    assert count(structure.orphan_findings(pages), "structure.inlinks.none") == ["x", "x", "y", "z"]
+    assert count(structure.outlink_findings(pages), "structure.outlinks.none") == ["x", "x", "y", "z", "z"]
+    named = spark.createDataFrame([("https://a.example/y",)], "url string")
+    found = structure.sitemap_findings(pages, named, "https://a.example/")
+    assert count(found, "structure.sitemap.in_crawl_only") == ["x", "x", "z", "z"]
+    shown = {r["page_url"][-1]: json.loads(r["payload"]) for r in tech.duplicate_findings(pages).collect()}
+    assert shown["y"]["count"] == 5 and [u[-1] for u in shown["y"]["other_urls"]] == ["x", "x", "z", "z"]
+    alone = catalog.no_others(tech.duplicate_findings(pages.filter("page_id < 3"))).collect()
+    assert [json.loads(r["payload"])["other_urls"] for r in alone] == [None, None]
+    found = issues.with_page_ids(structure.orphan_findings(pages), pages)
+    assert sorted((r["page_url"][-1], r["page_id"]) for r in found.collect()) == [("x", 1), ("x", 1), ("x", 2), ("x", 2), ("y", 3), ("z", 4), ("z", 5)]
+    numbers = {r["page_id"]: (r["n_resources"], r["n_issues"]) for r in issues.page_counts(pages, found).collect()}
+    assert numbers == {1: (2, 2), 2: (2, 2), 3: (1, 1), 4: (2, 1), 5: (2, 1)}
+
+
+def test_texts_of_one_url_have_one_keyword(spark):
+    rows = [("u", "alpha beta", "h", "alpha gamma gamma"), ("u", "beta", "h", "delta delta delta"), ("v", "omega", None, "none here")]
+    texts = spark.createDataFrame([(*r, 60) for r in rows], "page_url string, title string, h1 string, main_text string, main_word_count int")
+    facts = content.text_facts(texts).checkpoint()
+    got = sorted((r["page_url"], r["title_key"], r["title_found"], [k["word"] for k in r["keywords"]])
+        for r in content.keyword_facts(facts, texts).collect())
+    assert got == [("u", "beta", False, ["delta", "gamma", "alpha"])] * 2 + [("v", "omega", False, ["none", "here"])]
+
+
+def test_sitemaps_of_one_url_are_parsed_each(spark):
+    rows = spark.createDataFrame([(i, "https://a.example/s.xml", f"<urlset><loc>/{i}</loc></urlset>") for i in (1, 2)],
+        "k long, url string, xml string")
+    assert sorted((r["k"], r["locs"]) for r in sitemaps.parsed(rows).collect()) == [(1, ["https://a.example/1"]), (2, ["https://a.example/2"])]
