@@ -75,3 +75,12 @@ def test_blocks_of_few_pages_pass_no_exchange(spark, monkeypatch):
     plan = plans["repeated-blocks"]
     assert "getbit" in plan and "Exchange hashpartitioning" not in plan.split("BroadcastExchange")[0]
     assert "substring" not in plans["frequent-blocks"].split("Exchange hashpartitioning")[0]  # keys only above the first exchange
+
+
+def test_a_larger_input_has_more_tasks_not_longer_ones(spark, tmp_path):
+    from auditlake.storage import spread
+
+    spark.range(200_000).selectExpr("uuid() as u").coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    assert spread(rows, 1 << 20).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism + 2
+    assert spread(rows, 1 << 30).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
