@@ -65,3 +65,30 @@ def test_among_and_apart_make_up_the_whole(spark):
     outside = {x["id"] for x in membership.apart(rows, "k", filters).collect()}
     assert not inside & outside and inside | outside == set(range(5000))
     assert {i for i in range(100, 400) if i % 50} <= inside and len(inside) < 1000
+
+
+def test_only_pools_are_counted_and_a_template_is_found_behind_them(spark, monkeypatch):
+    exchanged, real = [], content._often
+
+    def spy(each, few):
+        exchanged.append(each.count())
+        return real(each, few)
+
+    monkeypatch.setattr(content, "_often", spy)
+    apart = [(f"{i:064x}", [i * 1000 + k for k in range(100)]) for i in range(60)]
+    texts = spark.createDataFrame(apart, "id string, set array<long>").checkpoint()
+    # of 100 shingles a prefix takes 16
+    assert content.frequent_shingles(texts).isEmpty() and exchanged == [60 * 32]
+    # a template of 300 shingles on all pages, before and behind each page's own 60
+    page = lambda i: [*range(-150, 0), *range(10**6 * (i + 1), 10**6 * (i + 1) + 60), *range(10**12, 10**12 + 150)]
+    same = spark.createDataFrame([(f"{i:064x}", page(i)) for i in range(60)], "id string, set array<long>").checkpoint()
+    frequent = content.frequent_shingles(same)
+    assert {x["shingle"] for x in frequent.collect()} == {*range(-150, 0), *range(10**12, 10**12 + 150)}
+    # 55 of a page's own, none of the template
+    assert content.prefixes(same, frequent, 0.85).groupBy("shingle").count().filter("count > 1").isEmpty()
+
+
+def test_pairs_of_texts_with_empty_batches_and_single_shingles(spark):
+    rows = spark.createDataFrame([("1" * 64, [5]), ("2" * 64, [5]), ("3" * 64, [6])], "doc string, set array<long>")
+    got = content.near_pairs(rows.repartition(4).checkpoint()).collect()
+    assert [(x["a"][-1], x["b"][-1], x["similarity"]) for x in got] == [("1", "2", 1.0)]
