@@ -14,7 +14,7 @@ import __spark_entry__
 from auditlake.plans import oracles
 from tests.conftest import SMALL
 
-NAMES = ["page_list_total", "severity_histogram", "crawl_summary", "issue_list", "issue_list_keyset_filtered"]
+NAMES = ["page_list_total", "severity_histogram", "crawl_summary", "issue_list", "issue_list_keyset_filtered", "report_examples"]
 OPEN, CLOSED = "ORDER BY n DESC, place)", "ORDER BY n DESC, place, w)"
 
 
