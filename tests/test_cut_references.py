@@ -10,7 +10,10 @@ import __spark_entry__
 from auditlake.functions.html import scan
 from tests.conftest import SMALL
 
-NAMES = ["page_titles", "main_content", "main_content_untagged", "page_text_stats", "pages_stored", "blocks_stored"]
+NAMES = [
+    "page_titles", "main_content", "main_content_untagged", "page_text_stats", "pages_stored", "blocks_stored",
+    "rule_meta_title_too_long",
+]
 
 
 @pytest.fixture(scope="module")
