@@ -13,7 +13,7 @@ from tests.conftest import SMALL
 NAMES = [
     "page_titles", "main_content", "main_content_untagged", "page_text_stats", "pages_stored", "blocks_stored",
     "rule_meta_title_too_long", "rule_meta_title_duplicate", "pages_committed", "incremental_audit",
-    "crawl_compare", "issue_list", "report_examples",
+    "crawl_compare", "issue_list", "report_examples", "issues_json",
 ]
 
 
